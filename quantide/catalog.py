@@ -1,0 +1,15 @@
+"""Every registered query of the quote engine, by the operator's ID, with its SQL twin."""
+
+from __future__ import annotations
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
+
+
+def queries():
+    return {}
+
+
+def oracles():
+    return {}
