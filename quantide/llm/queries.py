@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import pii
+from . import idstore, packing, pii
 
-QUERIES = {"op2_pii": pii.op2_pii}
+QUERIES = {
+    "op2_pii": pii.op2_pii,
+    "op3_token_ids": idstore.op3_token_ids,
+    "op9_packing": packing.op9_packing,
+}
 ORACLES: dict[str, str] = {}
