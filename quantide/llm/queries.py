@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import idstore, packing, pii
+from . import idstore, packing, pii, simhash
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
     "op3_token_ids": idstore.op3_token_ids,
+    "op5_simhash": simhash.op5_simhash,
     "op9_packing": packing.op9_packing,
 }
 ORACLES: dict[str, str] = {}
