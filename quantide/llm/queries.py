@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import idstore, packing, pii, simhash
+from . import idstore, maxent, packing, pii, simhash
 
 QUERIES = {
+    "op1_lm_score": maxent.op1_lm_score,
     "op2_pii": pii.op2_pii,
     "op3_token_ids": idstore.op3_token_ids,
     "op5_simhash": simhash.op5_simhash,
