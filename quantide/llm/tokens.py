@@ -58,6 +58,7 @@ class Encoder:
         self.pieces_of = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         ).findall
+        self.marks = {m: self._model_ids(m) for m in ".,"}
         self.units: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -68,16 +69,31 @@ class Encoder:
         found = self.pieces.get(piece)
         if found is None:
             shown = piece.encode().decode("latin-1").translate(self.letters)
-            found = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(shown)])
+            found = self._model_ids(shown)
             if len(piece) <= CACHE_CHARS:
                 self.pieces[piece] = found
         return found
 
+    def _model_ids(self, shown: str) -> bytes:
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(shown)])
+
     def _unit(self, unit: str) -> bytes:
         if unit and not _PLAIN.fullmatch(unit):
             return self.whole([unit])[0]
         return b"".join(map(self._piece, self.pieces_of(unit)))
 
+    def _spaced(self, u: str) -> bytes:
+        """Ids of a space and u. A word of letters is one piece, and so is a mark after it."""
+        if u.isalpha():
+            if u.isascii():
+                return self._model_ids("\u0120" + u)
+            if _PLAIN.fullmatch(u):
+                return self._model_ids(("\u0120" + u.encode().decode("latin-1").translate(self.letters)))
+        elif u[-1:] in self.marks and u[:-1].isalpha():
+            word = self.units.get(u[:-1])
+            return (self._spaced(u[:-1]) if word is None else word) + self.marks[u[-1]]
+        return self._unit(" " + u)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.units) > CACHE_UNITS:
             self.units = {}
@@ -95,7 +111,7 @@ class Encoder:
             del own[0]
             passing = []
             for u in set(own).difference(cache):
-                cache[u] = self._unit(u if u[:1] == "\n" else " " + u)
+                cache[u] = self._unit(u) if u[:1] == "\n" else self._spaced(u)
                 if len(u) > CACHE_CHARS:
                     passing.append(u)
             out.append(first + b"".join(map(cache.__getitem__, own)))
