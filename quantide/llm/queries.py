@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import idstore, maxent, packing, pii, simhash
+from . import idstore, maxent, mpegts, packing, pii, simhash
 
 QUERIES = {
     "op1_lm_score": maxent.op1_lm_score,
     "op2_pii": pii.op2_pii,
     "op3_token_ids": idstore.op3_token_ids,
     "op5_simhash": simhash.op5_simhash,
+    "op7_media": mpegts.op7_media,
     "op9_packing": packing.op9_packing,
 }
 ORACLES: dict[str, str] = {}

@@ -17,8 +17,8 @@ import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Units, and pieces, kept by a Python worker; about 80 MB.
-CACHE_UNITS = 300_000
+#: Units, and pieces, kept by a Python worker; about 120 MB.
+CACHE_UNITS = 500_000
 #: Longer units aren't kept.
 CACHE_CHARS = 64
 
