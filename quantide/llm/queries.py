@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import idstore, maxent, mpegts, packing, pii, simhash
+from . import idstore, maxent, mpegts, packing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_lm_score": maxent.op1_lm_score,
@@ -11,5 +11,6 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op7_media": mpegts.op7_media,
     "op9_packing": packing.op9_packing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
