@@ -143,7 +143,7 @@ def train_chain(docs: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -
     if docs:  # features of too few documents can't be selected in any fit
         keys, count = np.unique(np.concatenate(docs), return_counts=True)
         keys = keys[count >= LEAST_DOCUMENTS]
-        docs = [d[np.isin(d, keys, kind="sort")] if len(keys) else d[:0] for d in docs]
+        docs = [d[keys[np.minimum(np.searchsorted(keys, d), len(keys) - 1)] == d] if len(keys) else d[:0] for d in docs]
     for k in range(labels.shape[1]):
         known = ~np.isnan(labels[:, k])
         before = logits[:, :k]
