@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from . import common
 
 LABELLED = 8000
-SELECTED = 4096
+SELECTED = 2048
 FOLDS = 4
 LEAST_DOCUMENTS = 3
 BEGINNINGS = (4, 5, 6)
 PENALTY = 2e-4
-STEPS = 250
+STEPS = 150
 #: Words whose features a worker keeps.
 HELD = 300_000
 
