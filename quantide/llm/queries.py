@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import idstore, maxent, mpegts, packing, pii, simhash, toxicity
+from . import decontaminate, idstore, maxent, mpegts, packing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_lm_score": maxent.op1_lm_score,
@@ -10,7 +10,8 @@ QUERIES = {
     "op3_token_ids": idstore.op3_token_ids,
     "op5_simhash": simhash.op5_simhash,
     "op7_media": mpegts.op7_media,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE}
