@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, idstore, maxent, mpegts, packing, pii, simhash, toxicity
+from . import decontaminate, idstore, maxent, mpegts, packing, pii, simhash, toxicity, warc
 
 QUERIES = {
     "op1_lm_score": maxent.op1_lm_score,
     "op2_pii": pii.op2_pii,
     "op3_token_ids": idstore.op3_token_ids,
+    "op4_warc": warc.op4_warc,
     "op5_simhash": simhash.op5_simhash,
     "op7_media": mpegts.op7_media,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
