@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, idstore, maxent, mpegts, packing, pii, simhash, toxicity, warc
+from . import chat, decontaminate, idstore, maxent, mpegts, packing, pii, simhash, toxicity, warc
 
 QUERIES = {
     "op1_lm_score": maxent.op1_lm_score,
@@ -10,9 +10,10 @@ QUERIES = {
     "op3_token_ids": idstore.op3_token_ids,
     "op4_warc": warc.op4_warc,
     "op5_simhash": simhash.op5_simhash,
+    "op6_preference": chat.op6_preference,
     "op7_media": mpegts.op7_media,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op6_preference": chat.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
