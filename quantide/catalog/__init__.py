@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import windows
+from . import relational, windows
 
-_MODULES = (windows,)
+_MODULES = (relational, windows)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
