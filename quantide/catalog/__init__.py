@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, windows
+from . import calendar, models, relational, windows
 
-_MODULES = (relational, windows)
+_MODULES = (relational, windows, calendar, models)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
