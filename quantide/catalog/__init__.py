@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import calendar, models, relational, windows
+from . import calendar, models, relational, storage, windows
 
-_MODULES = (relational, windows, calendar, models)
+_MODULES = (relational, windows, calendar, models, storage)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
