@@ -4,7 +4,8 @@ Categories are 0/1 columns of a label table, in an order. Each has a logistic mo
 its words, their beginnings (which catch inflected and compounded forms), and bins of its shape (capitals, marks, word
 length). A later model also gets the logits of the earlier ones. In training these are out-of-fold: each labelled
 document's logit comes from a model that saw none of its fold, so later models learn from predictions as good as those
-that they meet in use. The threshold of each category is the one with the best F1 on its out-of-fold probabilities.
+that they meet in use. The threshold of each category is the one with the best F1 on its out-of-fold
+probabilities among those with a precision of at least LEAST_PRECISION; if there is none, nothing is rejected.
 
 The models are fitted on the driver from at most LABELLED labelled documents, those with the smallest hash of the id;
 each holds at most SELECTED features, those that tell most. All documents are then scored in their tasks.
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LABELLED = 8000
+LABELLED = 6000
 SELECTED = 2048
 FOLDS = 4
 LEAST_DOCUMENTS = 3
 BEGINNINGS = (4, 5, 6)
+#: Of the documents that a threshold takes, out of fold.
+LEAST_PRECISION = 0.9
 PENALTY = 2e-4
 STEPS = 150
 #: Words whose features a worker keeps.
@@ -86,78 +89,97 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, before: np.ndarray) -> Model:
-    """A logistic model of y by the documents' features and the logits before (documents x earlier categories)."""
-    rate = float(y.mean()) if len(y) else 0.0
-    base = float(np.clip(rate, 1e-6, 1 - 1e-6))
-    none = Model(math.log(base / (1 - base)), np.zeros(0, np.uint32), np.zeros(0), np.zeros(before.shape[1]))
-    if not 0 < rate < 1:
-        return none
-    every = np.concatenate(docs)
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    keys, column, count = np.unique(every, return_inverse=True, return_counts=True)
-    hits = np.bincount(column, y[owner], len(keys))
-    expected = count * rate
-    told = np.abs(hits - expected) / np.sqrt(expected * (1 - rate) + 1.0)
-    told[count < LEAST_DOCUMENTS] = 0
-    best = np.sort(np.argsort(-told, kind="stable")[:SELECTED])
-    best = best[told[best] > 0]
-    place = np.full(len(keys), -1)
-    place[best] = np.arange(len(best))
-    keep = place[column] >= 0
-    row, col = owner[keep], place[column[keep]]
-    size = len(best) + before.shape[1] + 1
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    w[-1] = none.bias
-    k, b = len(best), before.shape[1]
-    # Positives and negatives weigh alike where one kind is rare, up to a factor.
-    weight = np.where(y > 0, min(math.sqrt((1 - rate) / rate), 4.0), 1.0)
-    weight /= weight.sum()
-    for step in range(1, STEPS + 1):
-        z = w[-1] + np.bincount(row, w[col], len(y)) + before @ w[k : k + b]
-        error = (_sigmoid(z) - y) * weight
-        grad = np.concatenate([np.bincount(col, error[row], k), before.T @ error, [error.sum()]])
-        grad[:k] += PENALTY * w[:k]
-        m = 0.9 * m + 0.1 * grad
-        v = 0.999 * v + 0.001 * grad * grad
-        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return Model(float(w[-1]), keys[best], w[:k], w[k : k + b])
+class Sample:
+    """Labelled documents as a sparse 0/1 matrix: a column for each feature that enough of them have."""
+
+    def __init__(self, docs: list[np.ndarray]):
+        self.size = len(docs)
+        every = np.concatenate([*docs, np.zeros(0, np.uint32)])
+        ordered = np.sort(every)
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+        often = np.diff(np.append(first, len(ordered))) >= LEAST_DOCUMENTS
+        self.keys = ordered[first[often]]
+        del ordered
+        # As small as can be: this is the driver.
+        columns, rows = [], []
+        for k, d in enumerate(docs):
+            at = np.minimum(np.searchsorted(self.keys, d), max(len(self.keys) - 1, 0))
+            columns.append(at[self.keys[at] == d].astype(np.int32) if len(self.keys) else np.zeros(0, np.int32))
+            rows.append(np.full(len(columns[-1]), k, np.int32))
+        self.column = np.concatenate([*columns, np.zeros(0, np.int32)])
+        self.row = np.concatenate([*rows, np.zeros(0, np.int32)])
+
+    def fit(self, use: np.ndarray, y: np.ndarray, before: np.ndarray) -> tuple[Model, np.ndarray]:
+        """A logistic model of y (by document) over the documents in `use` and the logits before, and its logits of all
+        documents."""
+        n, rate = int(use.sum()), float(y[use].mean()) if use.any() else 0.0
+        base = float(np.clip(rate, 1e-6, 1 - 1e-6))
+        bias = math.log(base / (1 - base))
+        links = before.shape[1]
+        if not 0 < rate < 1:
+            return Model(bias, np.zeros(0, np.uint32), np.zeros(0), np.zeros(links)), np.full(self.size, bias)
+        mine = use[self.row]
+        row, col = self.row[mine], self.column[mine]
+        count = np.bincount(col, minlength=len(self.keys))
+        hits = np.bincount(col, y[row], len(self.keys))
+        told = np.abs(hits - count * rate) / np.sqrt(count * rate * (1 - rate) + 1.0)
+        told[count < LEAST_DOCUMENTS] = 0
+        best = np.sort(np.argsort(-told, kind="stable")[:SELECTED])
+        best = best[told[best] > 0]
+        k = len(best)
+        place = np.full(len(self.keys), -1, np.int32)
+        place[best] = np.arange(k)
+        keep = place[col] >= 0
+        row, col = row[keep], place[col[keep]]
+        w, m, v = np.zeros(k + links + 1), np.zeros(k + links + 1), np.zeros(k + links + 1)
+        w[-1] = bias
+        # Positives weigh more where they are rare, up to a factor.
+        weight = np.where(use, np.where(y > 0, min(math.sqrt((1 - rate) / rate), 4.0), 1.0), 0.0)
+        weight /= weight.sum()
+        y = np.where(use, y, 0.0)
+        for step in range(1, STEPS + 1):
+            z = w[-1] + np.bincount(row, w[col], self.size) + before @ w[k : k + links]
+            error = (_sigmoid(z) - y) * weight
+            grad = np.concatenate([np.bincount(col, error[row], k), before.T @ error, [error.sum()]])
+            grad[:k] += PENALTY * w[:k]
+            m = 0.9 * m + 0.1 * grad
+            v = 0.999 * v + 0.001 * grad * grad
+            w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        column = place[self.column]
+        met = column >= 0
+        logits = w[-1] + np.bincount(self.row[met], w[column[met]], self.size) + before @ w[k : k + links]
+        return Model(float(w[-1]), self.keys[best], w[:k], w[k : k + links]), logits
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1, midway to the next lower probability."""
+    """The cut with the best F1 among those with the least precision, midway to the next lower logit; above 1 if there
+    is none."""
     if not 0 < y.sum() < len(y):
         return 2.0
     order = np.argsort(-p, kind="stable")
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    hit, taken = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    f1 = 2 * hit / (taken + y.sum())
+    f1[hit < LEAST_PRECISION * taken] = 0
     f1[:-1][p[order][:-1] == p[order][1:]] = 0  # no cut between equal probabilities
     k = int(np.argmax(f1))
-    return float((p[order[k]] + (p[order[k + 1]] if k + 1 < len(y) else 0.0)) / 2)
+    if f1[k] == 0:
+        return 2.0
+    low = np.clip([p[order[k]], p[order[k + 1]] if k + 1 < len(y) else 0.0], 1e-9, 1 - 1e-9)
+    return float(_sigmoid(np.log(low / (1 - low)).mean()))
 
 
 def train_chain(docs: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> tuple[list[Model], np.ndarray]:
     """The chain, and the out-of-fold probabilities; labels are documents x categories with NaN for none."""
+    sample = Sample(docs)
     logits = np.zeros(labels.shape)
     chain = []
-    if docs:  # features of too few documents can't be selected in any fit
-        keys, count = np.unique(np.concatenate(docs), return_counts=True)
-        keys = keys[count >= LEAST_DOCUMENTS]
-        docs = [d[keys[np.minimum(np.searchsorted(keys, d), len(keys) - 1)] == d] if len(keys) else d[:0] for d in docs]
     for k in range(labels.shape[1]):
-        known = ~np.isnan(labels[:, k])
-        before = logits[:, :k]
-
-        def on(rows: np.ndarray, k=k, before=before) -> Model:
-            at = np.flatnonzero(rows)
-            return fit([docs[i] for i in at], labels[at, k], before[at])
-
+        y, known, before = np.nan_to_num(labels[:, k]), ~np.isnan(labels[:, k]), logits[:, :k].copy()
         for fold in range(FOLDS):
-            model = on(known & (folds != fold))
-            for i in np.flatnonzero(folds == fold):
-                logits[i, k] = model.logit(docs[i], list(before[i]))
-        model = on(known)
-        model.threshold = best_threshold(_sigmoid(logits[known, k]), labels[known, k])
+            _, found = sample.fit(known & (folds != fold), y, before)
+            logits[folds == fold, k] = found[folds == fold]
+        model, _ = sample.fit(known, y, before)
+        model.threshold = best_threshold(_sigmoid(logits[known, k]), y[known])
         chain.append(model)
     return chain, _sigmoid(logits)
 
