@@ -190,12 +190,16 @@ def _jump(w):
     return S.full(w, f"greatest({_rv(w)} - {X.HALF_PI!r} * {bp} / {w - 1}, 0)")
 
 
+def _settled(x: str) -> str:
+    return f"(CASE WHEN abs({x}) < 1e-9 THEN 0 ELSE {x} END)"
+
+
 _up, _dn = "CASE WHEN s_ret > 0 THEN s_ret * s_ret ELSE 0 END", "CASE WHEN s_ret <= 0 THEN s_ret * s_ret ELSE 0 END"
 W3 = (60, 900, 1440)
 register("T07_jump_ratio", X.jumps, 1440, {f"s_jump_ratio_w{w}": S.div(_jump(w), _rv(w)) for w in W3}, _j)
 register("T08_asym_impact", X.jumps, 1440, {f"s_asym_impact_w{w}": f"{S.rs(_dn, w)} - {S.rs(_up, w)}" for w in W3}, _j)
 register("T09_downside_share", X.jumps, 1440, {f"s_downside_share_w{w}": S.div(S.rs(_dn, w), _rv(w)) for w in W3}, _j)
-register("T10_signed_jump", X.jumps, 1440, {f"s_signed_jump_w{w}": f"{_jump(w)} * sign({S.rs('s_ret', w)})" for w in W3}, _j)
+register("T10_signed_jump", X.jumps, 1440, {f"s_signed_jump_w{w}": f"{_jump(w)} * sign({_settled(S.rs('s_ret', w))})" for w in W3}, _j)
 register("T11_jump_variation", X.jumps, 1440, {f"s_rj_w{w}": _jump(w) for w in W3}, _j)
 register("T12_signed_return", X.trend, 2880, {f"s_signed_ret_w{w}": S.rs("s_ret", w) for w in (30, 60, 1440)})
 register("T13_drawdown", X.trend, 2880, {"s_drawdown_w1440": S.full(1440, f"ln(s_mid + 1e-12) - max(ln(s_mid + 1e-12)) OVER {S.frame(1440)}")})
@@ -212,7 +216,7 @@ register("T21_obi_divergence", X.book, 61, {"obi_divergence": "s_obi - p_obi"})
 register("T22_spread_obi", X.book, 61, {"s_spread_obi_interaction": "s_obi / greatest(s_spread, 0.1)"})
 register("T23_realised_covariance", X.covariation, 300, {f"sp_rcov_{k}": S.rs("s_ret * p_ret", w) for k, w in (("1m", 60), ("5m", 300))} | {f"sp_rcov_corr_ratio_{k}": f"{S.rs('s_ret * p_ret', w)} / sqrt(greatest({_rv(w)} * {S.rs('p_ret * p_ret', w)}, 1e-12))" for k, w in (("1m", 60), ("5m", 300))})
 register("T24_signed_volume_imbalance", X.flow, 900, {f"s_signed_vol_imbalance_w{w}": S.div(S.rs("sign(coalesce(s_ret, 0)) * s_n_ticks", w), S.rs("s_n_ticks", w)) for w in (60, 300, 900)})
-register("T25_cumulative_returns", X.covariation, 300, {f"{i}_cum_ret_{w}s": S.rs(f"{i}_ret", w) for i in "sp" for w in (10, 60)} | {f"ps_cum_ret_ratio_{w}s": S.div(S.rs("p_ret", w), S.rs("s_ret", w)) for w in (10, 60)})
+register("T25_cumulative_returns", X.covariation, 300, {f"{i}_cum_ret_{w}s": S.rs(f"{i}_ret", w) for i in "sp" for w in (10, 60)} | {f"ps_cum_ret_ratio_{w}s": S.div(S.rs("p_ret", w), _settled(S.rs("s_ret", w))) for w in (10, 60)})
 _v = [{"md": "(s_mid - c_mid) / s_mid", "od": "s_obi - c_obi", "sr": "s_spread / c_spread", "vd": "s_micro - c_micro", "vr": "s_micro / c_micro"}]
 register("T26_venue_mid_delta", X.venues, 900, {"sc_mid_delta": "md"} | {f"sc_mid_delta_mean_w{w}": S.rmean("md", w) for w in (5, 30, 60, 300)} | {f"sc_mid_delta_std_w{w}": S.rstd("md", w) for w in (60, 300)}, _v)
 register("T27_venue_obi", X.venues, 900, {"sc_obi_imbalance": "od"} | {f"sc_obi_imbalance_w{w}": S.rmean("od", w) for w in (60, 300)}, _v)

@@ -27,6 +27,11 @@ def lag(c: str | Column, k: int) -> Column:
     return F.lag(c, k).over(R.order())
 
 
+def settled(x: Column) -> Column:
+    """A sum of returns as 0 where it is only what rounding has left, so that its sign or a ratio by it means something."""
+    return F.when(F.abs(x) < 1e-9, 0.0).otherwise(x)
+
+
 def returns(df: DataFrame, insts=("s", "p", "c")) -> DataFrame:
     """Log returns and their per-second variances: squares, signed parts, and bipower products."""
     df = df.withColumns({f"{i}_ret": F.ln(f"{i}_mid") - lag(F.ln(f"{i}_mid"), 1) for i in insts})
@@ -91,7 +96,7 @@ def jumps(df: DataFrame, i: str = "s", wins=(60, 900, 1440)) -> DataFrame:
         rv, up, dn = F.col(f"_rv_{w}"), F.col(f"_up_{w}"), F.col(f"_dn_{w}")
         jump = floored(rv - HALF_PI * F.col(f"_bp_{w}") / max(w - 1, 1), 0.0)
         new |= {f"{i}_jump_ratio_w{w}": safe_div(jump, rv), f"{i}_asym_impact_w{w}": dn - up, f"{i}_downside_share_w{w}": safe_div(dn, rv)}
-        new |= {f"{i}_signed_jump_w{w}": jump * F.signum(f"_r_{w}"), f"{i}_rj_w{w}": jump}
+        new |= {f"{i}_signed_jump_w{w}": jump * F.signum(settled(F.col(f"_r_{w}"))), f"{i}_rj_w{w}": jump}
     return df.withColumns(new).drop("_lag", *parts)
 
 
@@ -149,7 +154,7 @@ def covariation(df: DataFrame) -> DataFrame:
     for name, w in (("1m", 60), ("5m", 300)):
         new[f"sp_rcov_{name}"] = F.col(f"_c{w}")
         new[f"sp_rcov_corr_ratio_{name}"] = F.col(f"_c{w}") / F.sqrt(floored(F.col(f"_s{w}") * F.col(f"_p{w}"), EPS))
-    new |= {f"ps_cum_ret_ratio_{w}s": safe_div(F.col(f"p_cum_ret_{w}s"), F.col(f"s_cum_ret_{w}s")) for w in (10, 60)}
+    new |= {f"ps_cum_ret_ratio_{w}s": safe_div(F.col(f"p_cum_ret_{w}s"), settled(F.col(f"s_cum_ret_{w}s"))) for w in (10, 60)}
     return df.withColumns(new).drop(*(f"_{k}{w}" for w in (60, 300) for k in "csp"))
 
 
