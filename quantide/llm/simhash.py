@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -222,12 +222,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """From (print, doc_id) rows: for each different print its component's smallest doc_id."""
+    """From (print, doc_id) rows: for each different print the root print of its component, which tells components apart
+    where ids are null or repeat, and the component's smallest doc_id."""
     each = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
     joined = components(links(each.select("print")))
     rooted = each.join(joined.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("print", "component_id")
+    return rooted.join(least, "root").select("print", "root", "component_id")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,17 +239,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: that of the smallest id (null ids last), of repeated rows any one."""
-    mark = common.free_name(df, "_print")
-    found = near_duplicates(df, doc_id, text)
-    # The rows of a component are only counted through their least (id, print), an aggregate that is combined early.
-    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "print")
-    first = found.groupBy("component_id").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.print").alias("_p"))
-    own = with_fingerprint(df, text, mark)
-    kept = own.join(first, own[doc_id].eqNullSafe(first["_id"]) & (own[mark] == first["_p"])).drop(first["_id"], first["_p"])
-    number = common.free_name(kept, "_number")
-    once = Window.partitionBy(doc_id, mark).orderBy(F.lit(1))
-    return kept.withColumn(number, F.row_number().over(once)).filter(F.col(number) == 1).select(*df.columns)
+    """One row of each component: that of the smallest id (null ids last), of repeated rows any one.
+
+    The rows are written once with their fingerprint and a number, so that each text is read by Python once and shuffled
+    once, in the join with the numbers that stay.
+    """
+    mark, number = common.free_name(df, "_print"), common.free_name(df, "_number")
+    marked, _ = common.stored(with_fingerprint(df, text, mark).withColumn(number, F.monotonically_increasing_id()), "marked")
+    prints = marked.select(F.col(doc_id).alias("doc_id"), F.col(mark).alias("print"), F.col(number).alias("number"))
+    # Copies meet as minima, which are combined before they move.
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "number")
+    first = prints.groupBy("print").agg(F.min(key).alias("k")).join(classes(prints.select("print", "doc_id")), "print")
+    kept = first.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.number").alias(number))
+    return marked.join(kept, number, "left_semi").select(*df.columns)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

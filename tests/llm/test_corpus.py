@@ -315,6 +315,13 @@ def test_near_duplicate_edges(edges, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
 
 
+def test_deduplicate_with_null_and_repeated_ids(spark):
+    texts = ["one two three four", "five six seven eight", "nine ten eleven twelve", "red green blue grey"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[2]), (3, texts[0]), (None, texts[0])]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.text, r.doc_id) for r in kept) == sorted([(texts[0], 3), (texts[1], None), (texts[2], 7), (texts[3], 7)])
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------------
 
 
