@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quantide.llm import chat, decontaminate, idstore, maxent, mpegts, packing, pii, queries, simhash, tokens, toxicity, warc
+from quantide.llm import chat, decontaminate, idstore, maxent, minhash, mpegts, packing, pii, queries, simhash, tokens, toxicity, warc
 
 from twins import assert_same
 
@@ -315,6 +315,70 @@ def test_near_duplicate_edges(edges, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
 
 
+def jaccard_components(texts):
+    """The smallest index of each text's component under five-word Jaccard 0.8, by comparing all pairs that share a shingle."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    root = list(range(len(sets)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    holders = {}
+    for k, s in enumerate(sets):
+        met = Counter(j for x in s for j in holders.get(x, ()))
+        for j, n in met.items():
+            if 5 * n >= 4 * (len(s) + len(sets[j]) - n):
+                a, b = sorted((top(j), top(k)))
+                root[b] = a
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    return [top(k) for k in range(len(sets))]
+
+
+def near_copies(seed=3, n=60):
+    """Texts and chains of copies of them, each with a few words of its predecessor replaced: on both sides of the threshold."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        text = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(5, 200))]
+        for _ in range(rng.integers(1, 6)):
+            out.append(" ".join(text))
+            text = list(text)
+            for _ in range(rng.integers(1, 1 + max(1, len(text) // 40))):
+                text[rng.integers(0, len(text))] = f"x{rng.integers(0, 10**9)}"
+    return out + ["", None, " ", "a b c", "A b  c", "a b d"]
+
+
+def test_near_duplicates_stage_finds_all_near_copies(spark, docs):
+    import corpus_pipeline as c
+
+    for texts in (near_copies(), docs.text.tolist()):
+        want = sorted(set(jaccard_components(texts)))
+        kept = c.drop_near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), None)
+        assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_near_copies_in_tiles(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(base[:k] + [f"x{j}"] + base[k + 1 :]) for j, k in enumerate(rng.integers(0, 120, 90))] + near_copies(4, 10)
+    nodes = spark.createDataFrame(list(enumerate(texts)), "number long, text string").withColumn("s", F.arrow_udf(minhash._sketches, "struct<print:bigint,keys:array<bigint>>")("text"))
+    nodes = nodes.groupBy("s.print").agg(F.min("number").alias("number"), F.first("s.keys").alias("keys"))
+    texts_ = spark.createDataFrame(list(enumerate(texts)), "number long, text string")
+    found = [{tuple(sorted(x)) for x in simhash.components(minhash.links(nodes, texts_, t)).collect()} for t in (7, 512)]
+    assert found[0] == found[1] and len(found[0]) >= 89
+
+
+def test_near_copies_edges(edges, empty):
+    assert sorted(str(r.doc_id) for r in minhash.deduplicate(edges).collect()) == sorted(map(str, [0, None, 1, 4, 5, -7]))
+    assert minhash.deduplicate(edges).columns == edges.columns and minhash.deduplicate(empty).count() == 0
+
+
 def test_deduplicate_with_null_and_repeated_ids(spark):
     texts = ["one two three four", "five six seven eight", "nine ten eleven twelve", "red green blue grey"]
     rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[2]), (3, texts[0]), (None, texts[0])]
