@@ -118,6 +118,24 @@ def test_personal_data_additions():
     assert pii.spans("1" * 200_000 + "." + "a" * 200_000 + "@" * 1000) == []  # linear
 
 
+IBANS = ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947")
+
+
+@pytest.mark.parametrize("after", ["", " BIC", " EUR 500", " OR CALL", " BIC COBADEFFXXX", " A B C D E F G H I J K L M N O P", " and", ", GB82"])
+@pytest.mark.parametrize("before", ["", "REF 7 ", "AB12 ", "AB12 34 "])
+def test_account_numbers_beside_capitals(before, after):
+    for number in IBANS:
+        t = f"{before}{number}{after}"
+        assert [t[a:b] for k, a, b, _ in pii.spans(t) if k == "iban"] == [number]
+    two = f"{IBANS[0]} {IBANS[2]}"
+    assert [two[a:b] for k, a, b, _ in pii.spans(two) if k == "iban"] == [IBANS[0], IBANS[2]]
+    assert pii.spans("DE89370400440532013001 BIC") == [] and not any(k == "iban" for k, *_ in pii.spans("DE89370400440532013000X"))
+
+
+def test_account_numbers_take_linear_time():
+    assert not any(k == "iban" for k, *_ in pii.spans("AA11 " * 40_000 + "AA11" * 40_000))
+
+
 def test_personal_data_edges(edges, empty):
     out = pii.mask(edges).collect()
     assert len(out) == len(EDGES) and sum("[EMAIL] now" in (r.text or "") for r in out) == 2 and sum(r.text is None for r in out) == 2
