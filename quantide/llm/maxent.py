@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 HEAD = 1 << 17
-OWN = 15
+OWN = 31
 CLUSTERS = 32
 CLASSES = 1 + OWN + CLUSTERS
 ENDINGS = 512
@@ -237,7 +237,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near_endings(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """How often endings stand one or two words apart."""
+    """How often endings stand one to four words apart."""
     out = np.zeros(ENDINGS * ENDINGS)
     codes: dict[bytes, int] = {}
     held: list[np.ndarray] = []
@@ -249,7 +249,7 @@ def _near_endings(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             for w in set(found).difference(codes):
                 codes[w] = zlib.crc32(w.rstrip(_MARKS)[-3:]) & (ENDINGS - 1)
             e = np.fromiter(map(codes.__getitem__, found), np.int64, len(found))
-            held += [e[:-k] * ENDINGS + e[k:] for k in (1, 2) if k < len(e)]
+            held += [e[:-k] * ENDINGS + e[k:] for k in (1, 2, 3, 4) if k < len(e)]
         if held and sum(map(len, held)) > 1 << 19:
             out += np.bincount(np.concatenate(held), minlength=ENDINGS * ENDINGS)
             held = []

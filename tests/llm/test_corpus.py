@@ -83,6 +83,16 @@ def test_language_model_sums_to_one():
     assert math.isclose(math.log(p[of[2]]), w.log_target(h, 0, len(words))[2], rel_tol=1e-4)
 
 
+def test_language_model_is_whole():
+    """64 classes, and pairs of endings up to four words apart."""
+    assert maxent.CLASSES == 64
+    found = [b"one", b"two", b"six", b"ten", b"red"]
+    batch = pa.record_batch([pa.array([b" ".join(found).decode()])], ["text"])
+    near = maxent._near_endings(iter([batch])).reshape(maxent.ENDINGS, maxent.ENDINGS)
+    e = [maxent.ending(w) for w in found]
+    assert len(set(e)) == 5 and near.sum() == 10 and all(near[e[i], e[j]] == 1 for j in range(5) for i in range(j))
+
+
 def test_language_model_edges(edges, empty):
     check_scores(maxent.score(edges).collect(), EDGES)
     assert maxent.score(empty).count() == 0
