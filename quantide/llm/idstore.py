@@ -28,6 +28,8 @@ from . import common, tokens
 BLOCK_IDS = 256
 SEGMENT_IDS = 1 << 20
 ROWS_AT_ONCE = 256
+#: Ids that are coded at a time.
+CODED_IDS = 1 << 16
 MAGIC = b"HIDS"
 _HEAD = struct.Struct("<4sIQQI")  # magic, documents, ids before, ids, ids a block
 
@@ -80,22 +82,37 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bit string, first bit highest, and the offset of each id's first bit."""
+def _bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Words of 64 bits that hold the codes from bit `at` of the first on, the offset of each id's first bit, and the end."""
     size = lengths[ids].astype(np.int64)
-    end = np.cumsum(size)
+    end = np.cumsum(size) + at
     start = end - size
     word, shift = start >> 6, 64 - (start & 63) - size
     code = codes[ids]
     over = np.flatnonzero(shift < 0)
     high = code << np.maximum(shift, 0).astype(np.uint64)
     high[over] = code[over] >> (-shift[over]).astype(np.uint64)
-    out = np.zeros((int(end[-1]) + 63) // 64 if len(ids) else 0, np.uint64)
-    if len(ids):
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        out[word[first]] = np.bitwise_or.reduceat(high, first)
-        out[word[over] + 1] |= code[over] << (64 + shift[over]).astype(np.uint64)
-    return out.astype(">u8").tobytes(), start
+    out = np.zeros((int(end[-1]) + 63) // 64, np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    out[word[first]] = np.bitwise_or.reduceat(high, first)
+    out[word[over] + 1] |= code[over] << (64 + shift[over]).astype(np.uint64)
+    return out, start, int(end[-1])
+
+
+def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bit string, first bit highest, and the offset of each id's first bit; as many ids at a time as caches hold."""
+    out, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for lo in range(0, len(ids), CODED_IDS):
+        words, start, end = _bits(ids[lo : lo + CODED_IDS], codes, lengths, at & 63)
+        base = at - (at & 63)
+        if at & 63:
+            out[-1][-1] |= words[0]
+            words = words[1:]
+        if len(words):
+            out.append(words)
+        starts.append(start + base)
+        at = end + base
+    return np.concatenate(out).astype(">u8").tobytes(), np.concatenate(starts)
 
 
 class Table:
@@ -202,7 +219,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _encode(lengths: np.ndarray, offsets: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical(lengths)
-        docs, sizes, held, first, follows = [], [], [], None, None
+        docs, sizes, held, total, first, follows = [], [], [], 0, None, None
 
         def flush():
             part, before = first
@@ -211,13 +228,14 @@ def _encode(lengths: np.ndarray, offsets: dict[int, int]):
 
         for batch in batches:
             for part, doc, before, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if docs and (follows != (part, before) or sum(sizes) + n > SEGMENT_IDS):
+                if docs and (follows != (part, before) or total + n > SEGMENT_IDS):
                     yield flush()
-                    docs, sizes, held = [], [], []
+                    docs, sizes, held, total = [], [], [], 0
                 if not docs:
                     first = part, before
                 docs.append(doc)
                 sizes.append(n)
+                total += n
                 held.append(_ids(data, n).astype(np.int64))
                 follows = part, before + n
         if docs:

@@ -17,8 +17,8 @@ import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Units, and pieces, kept by a Python worker; about 120 MB.
-CACHE_UNITS = 500_000
+#: Units, and pieces, kept by a Python worker; about 170 MB.
+CACHE_UNITS = 700_000
 #: Longer units aren't kept.
 CACHE_CHARS = 64
 
@@ -41,6 +41,20 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class _Held(dict):
+    """Ids by unit (or piece); make(key) fills in what is missing and says whether to keep it."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            self[key] = found
+        return found
+
+
 class Encoder:
     """encode(texts) gives for each text its ids as little-endian unsigned 32-bit integers."""
 
@@ -59,47 +73,40 @@ class Encoder:
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         ).findall
         self.marks = {m: self._model_ids(m) for m in ".,"}
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.units, self.pieces = _Held(self._after_space), _Held(self._piece)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            shown = piece.encode().decode("latin-1").translate(self.letters)
-            found = self._model_ids(shown)
-            if len(piece) <= CACHE_CHARS:
-                self.pieces[piece] = found
-        return found
+        return self._model_ids(piece.encode().decode("latin-1").translate(self.letters))
 
     def _model_ids(self, shown: str) -> bytes:
-        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(shown)])
+        ids = self.id_bytes
+        return b"".join([ids[t.id] for t in self.model.tokenize(shown)])
 
     def _unit(self, unit: str) -> bytes:
         if unit and not _PLAIN.fullmatch(unit):
             return self.whole([unit])[0]
-        return b"".join(map(self._piece, self.pieces_of(unit)))
+        return b"".join(map(self.pieces.__getitem__, self.pieces_of(unit)))
 
-    def _spaced(self, u: str) -> bytes:
-        """Ids of a space and u. A word of letters is one piece, and so is a mark after it."""
+    def _after_space(self, u: str) -> bytes:
+        """Ids of a space and u, or of u alone where it begins with a line feed. A word of letters is one piece, and so is
+        a mark after it."""
         if u.isalpha():
             if u.isascii():
                 return self._model_ids("\u0120" + u)
             if _PLAIN.fullmatch(u):
-                return self._model_ids(("\u0120" + u.encode().decode("latin-1").translate(self.letters)))
+                return self._model_ids("\u0120" + u.encode().decode("latin-1").translate(self.letters))
         elif u[-1:] in self.marks and u[:-1].isalpha():
-            word = self.units.get(u[:-1])
-            return (self._spaced(u[:-1]) if word is None else word) + self.marks[u[-1]]
-        return self._unit(" " + u)
+            return self.units[u[:-1]] + self.marks[u[-1]]
+        return self._unit(u if u[:1] == "\n" else " " + u)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.units) > CACHE_UNITS:
-            self.units = {}
-        if len(self.pieces) > CACHE_UNITS:
-            self.pieces = {}
-        cache, out = self.units, []
+        for held in (self.units, self.pieces):
+            if len(held) > CACHE_UNITS:
+                held.clear()
+        ids_of, out = self.units.__getitem__, []
         for t in texts:
             if not t or _INSIDE.search(t):
                 out.append(self.whole([t])[0] if t else b"")
@@ -109,14 +116,7 @@ class Encoder:
             own = t.replace("\n", " \n").split(" ")
             first = self._unit(own[0]) if own[0] else b""
             del own[0]
-            passing = []
-            for u in set(own).difference(cache):
-                cache[u] = self._unit(u) if u[:1] == "\n" else self._spaced(u)
-                if len(u) > CACHE_CHARS:
-                    passing.append(u)
-            out.append(first + b"".join(map(cache.__getitem__, own)))
-            for u in passing:
-                del cache[u]
+            out.append(first + b"".join(map(ids_of, own)))
         return out
 
 
