@@ -1,15 +1,21 @@
-"""Hashed maximum-entropy language model with a class-factored softmax.
+"""Hashed maximum-entropy language model with a class-factored softmax and a memory of word pairs.
 
-P(word | history) = P(class | history) P(word | class). The class distribution is a log-linear model of the history: the
-hashed previous word, the hashed previous bigram, and a skip bag of the classes two to nine words back. Its weights come
-from gradient steps that all tasks take over their share of the training texts, in rounds: a task starts from the
-round's weights, and the rounds' changes are averaged by the numbers of tokens. Within a class the maximum-entropy model
-with word features alone is the smoothed relative frequency, (c + 0.5) / (sum of c + 0.5 (words + 1)), which keeps one
-place for an unseen word. Classes: the end, each of the most frequent words for itself, and clusters of word endings,
-so that any word, seen or not, has a class by its form. The clusters come from counts of endings near each other.
+P(word | history) = P(class | history) P(word | class), mixed with what followed the previous word in the training texts.
+The class distribution is a log-linear model of the history: the hashed previous word, the hashed previous bigram, and a
+skip bag of the classes two to nine words back. Its weights come from gradient steps in rounds: in each, chains of steps
+run over disjoint shares of a third of the training texts, from the round's weights, and their changes are averaged by
+tokens. Documents are dealt to chains by their hash, and the number of chains follows from the corpus, so scores don't
+depend on partitions or cores. Within a class the maximum-entropy model with word features alone is the smoothed
+relative frequency, (c + 0.5) / (sum of c + 0.5 (words + 1)), which keeps one place for an unseen word. Classes: the
+end, each of the most frequent words for itself, and clusters of word endings, so that any word, seen or not, has a
+class by its form. The clusters come from counts of endings near each other.
 
-What is broadcast is bounded by parameters: weights, ending clusters, and the HEAD most frequent words with counts. The
-counts of all other words meet their tokens in a shuffle join; none of them can be frequent.
+The memory is a hashed table of all pairs of neighbours, one key of about 32 bits and the shard's for each different pair,
+which grows with the corpus: shards hold it, and each unit (about a million tokens) asks the shards for the pairs and
+the rare words that it needs, once each. A pair's share in the mixture is, by the frequency of its first word, how many
+of the training pairs occur again, at most MOST_MEMORY.
+
+What is broadcast is bounded by parameters: weights, ending clusters, and the HEAD most frequent words with counts.
 
 Defined results: a null or empty text has the end token alone; a null id is not held out; repeated rows are learned from
 and come out as often as they come; without training texts every class is equally likely; other columns are not read.
@@ -22,6 +28,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +38,36 @@ from pyspark.sql import functions as F
 
 from . import common
 
-HEAD = 1 << 17
+HEAD, HEAD_BYTES = 1 << 17, 64
 OWN = 31
 CLUSTERS = 32
 CLASSES = 1 + OWN + CLUSTERS
 ENDINGS = 512
 WORD_ROWS, PAIR_ROWS = 1 << 12, 1 << 13
-SKIPS = range(2, 10)
+#: The skip bag: classes of the words from two to nine words back.
+SKIPS = 8
+#: Places before each document, so that no feature reaches into the document before.
+PAD = SKIPS + 1
 ROUNDS = 3
-BATCH = 16384
+BATCH = 4096
 RATE = 0.3
+#: Rows of a table that more tokens of a batch share are summed one by one.
+FREQUENT = 8
+#: Scores of classes are cut here, far beyond any trained one.
+LIMIT = 60.0
 ROWS_AT_ONCE = 128
 #: Words that a task holds at a time: counts, or codes.
 HELD = 400_000
-#: Blocks in which sums over tasks are shuffled.
-BLOCKS = 16
+#: Tokens that are counted at a time, and of a unit and a shard of the memory.
+TOKENS_AT_ONCE, UNIT_TOKENS, SHARD_TOKENS = 1 << 19, 1 << 20, 1 << 21
+#: The largest share that the memory of word pairs has in a probability.
+MOST_MEMORY = 0.5
+#: Tokens that one chain of gradient steps sees in a round; the number of chains follows from the corpus alone.
+CHAIN_TOKENS = 1 << 21
+#: Equal rows of a task that go to one chain together.
+EQUAL_ROWS = 1024
+#: Blocks in which weights are summed, and chains that are summed at a time.
+BLOCKS, FAN_IN = 16, 64
 #: The end token; no word is empty.
 END = b""
 
@@ -92,33 +114,56 @@ _made: dict[str, Classes] = {}
 
 
 class History:
-    """Features of each token of some documents: rows of the two hashed tables and the skip bag."""
-
-    def __init__(self, codes: np.ndarray, place: np.ndarray):
-        """place: each token's number within its document."""
-        self.target = (codes & 63).astype(np.int64)
-        hashes = codes >> 6 & 0xFFFFFFFF
-        one = np.where(place >= 1, np.concatenate([[0], hashes[:-1]]), 0)
-        two = np.where(place >= 2, np.concatenate([[0, 0], hashes[:-2]])[: len(hashes)], 1)
-        self.word = one * 0x9E3779B1 >> 13 & (WORD_ROWS - 1)
-        self.pair = (one * 0x85EBCA6B ^ two * 0xC2B2AE35) >> 11 & (PAIR_ROWS - 1)
-        self.place = place
-
-    def bag(self, lo: int, hi: int) -> np.ndarray:
-        """The classes two to nine words back, each with its share."""
-        at = []
-        for back in SKIPS:
-            has = np.flatnonzero(self.place[lo:hi] >= back)
-            at.append(has * CLASSES + self.target[has + (lo - back)])
-        counts = np.bincount(np.concatenate(at), minlength=(hi - lo) * CLASSES)
-        return counts.astype(np.float32).reshape(-1, CLASSES) * np.float32(1.0 / len(SKIPS))
+    """Features of each token of some documents: rows of the two hashed tables and the classes before it.
+
+    Documents stand one after the other with PAD places before each; such a place has the class CLASSES and hash 0.
+    """
+
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray):
+        self.at = np.arange(len(codes)) + PAD * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+        n = len(codes) + PAD * len(sizes)
+        self.target = np.full(n, CLASSES, np.uint8)
+        self.target[self.at] = codes & 63
+        hashes = np.zeros(n + 2, np.int64)
+        hashes[self.at + 2] = codes >> 6 & 0xFFFFFFFF
+        one, two = hashes[1:-1], hashes[:-2]
+        self.word = (one * 0x9E3779B1 >> 13 & (WORD_ROWS - 1)).astype(np.uint16)
+        self.pair = ((one * 0x85EBCA6B ^ two * 0xC2B2AE35) >> 11 & (PAIR_ROWS - 1)).astype(np.uint16)
+
+    def parts(self) -> Iterator[tuple[int, int]]:
+        for lo in range(PAD, len(self.target), BATCH):
+            yield lo, min(lo + BATCH, len(self.target))
+
+
+def _sum_of_eight(rows: np.ndarray) -> np.ndarray:
+    """The sums of each eight rows in a row."""
+    two = rows[:-1] + rows[1:]
+    four = two[:-2] + two[2:]
+    return four[:-4] + four[4:]
+
+
+def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, sum of its values) for each different row: the few frequent ones one by one, the others side by side."""
+    order = np.argsort(rows, kind="stable")
+    values, rows = np.take(values, order, axis=0), rows[order]
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    many = np.diff(np.append(first, len(rows)))
+    out = np.take(values, first, axis=0)
+    for k in range(1, FREQUENT):
+        has = np.flatnonzero((many > k) & (many <= FREQUENT))
+        if not len(has):
+            break
+        out[has] += np.take(values, first[has] + k, axis=0)
+    for j in np.flatnonzero(many > FREQUENT).tolist():
+        values[first[j] : first[j] + many[j]].sum(0, out=out[j])
+    return rows[first], out
 
 
 class Weights:
-    SHAPES = {"bias": (1, CLASSES), "word": (WORD_ROWS, CLASSES), "pair": (PAIR_ROWS, CLASSES), "skip": (CLASSES, CLASSES)}
+    #: Of the skip table the last row, of places before a document, stays zero.
+    SHAPES = {"bias": (1, CLASSES), "word": (WORD_ROWS, CLASSES), "pair": (PAIR_ROWS, CLASSES), "skip": (CLASSES + 1, CLASSES)}
 
     def __init__(self, flat: np.ndarray | None = None):
-        """Weights and, for the step sizes, the mean squares of each row's gradients so far."""
         size = sum(r * c for r, c in self.SHAPES.values())
         flat = np.zeros(size, np.float32) if flat is None else flat.astype(np.float32)
         at = 0
@@ -127,60 +172,65 @@ class Weights:
             at += r * c
         self.flat = flat
 
-    def scores(self, h: History, lo: int, hi: int, bag: np.ndarray) -> np.ndarray:
-        """Unnormalised logs of the classes, the largest of each token 0."""
+    def scores(self, h: History, lo: int, hi: int) -> np.ndarray:
+        """Unnormalised logs of the classes at the places lo to hi."""
         z = np.take(self.word, h.word[lo:hi], axis=0)
         z += np.take(self.pair, h.pair[lo:hi], axis=0)
-        z += bag @ self.skip
+        z += _sum_of_eight(np.take(self.skip, h.target[lo - PAD : hi - 2], axis=0))
         z += self.bias
-        z -= z.max(1, keepdims=True)
-        return z
+        return np.clip(z, -LIMIT, LIMIT, out=z)
 
-    def classes(self, h: History, lo: int, hi: int, bag: np.ndarray) -> np.ndarray:
-        z = np.exp(self.scores(h, lo, hi, bag))
-        z /= z.sum(1, keepdims=True)
+    def classes(self, h: History, lo: int, hi: int) -> np.ndarray:
+        z = self.scores(h, lo, hi)
+        np.exp(z, out=z)
+        z *= (1.0 / (z @ _ONES))[:, None]
         return z
 
-    def log_target(self, h: History, lo: int, hi: int) -> np.ndarray:
-        z = self.scores(h, lo, hi, h.bag(lo, hi))
-        own = z[np.arange(hi - lo), h.target[lo:hi]].astype(np.float64)
-        return own - np.log(np.exp(z, out=z).sum(1, dtype=np.float64))
+    def log_target(self, h: History) -> np.ndarray:
+        """The log probability of each token's class."""
+        out = np.empty(len(h.target))
+        for lo, hi in h.parts():
+            z = self.scores(h, lo, hi)
+            own = z[np.arange(hi - lo), np.minimum(h.target[lo:hi], CLASSES - 1)].astype(np.float64)
+            out[lo:hi] = own - np.log((np.exp(z, out=z) @ _ONES).astype(np.float64))
+        return out[h.at]
+
 
+_ONES = np.ones(CLASSES, np.float32)
 
-def _add_rows(to: np.ndarray, squares: np.ndarray, rows: np.ndarray, error: np.ndarray, scale: float) -> None:
-    """An adaptive step on the rows of a table that a batch touches."""
-    row = np.flatnonzero(np.bincount(rows, minlength=len(to)))
-    # Sums by row, a class at a time: errors come with classes first.
-    step = np.stack([np.bincount(rows, e, len(to))[row] for e in error], axis=1).astype(np.float32)
-    step *= np.float32(scale)
-    squares[row] += np.einsum("ij,ij->i", step, step) / np.float32(CLASSES)
-    step *= (-RATE / np.sqrt(squares[row] + 1e-6)).astype(np.float32)[:, None]
-    to[row] += step
 
+def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, change: np.ndarray, scale: float, rate: float = RATE) -> None:
+    """An adaptive step on some rows of a table, each once."""
+    change *= np.float32(scale)
+    squares[rows] += np.einsum("ij,ij->i", change, change) / np.float32(CLASSES)
+    change *= (-rate / np.sqrt(squares[rows] + 1e-6)).astype(np.float32)[:, None]
+    table[rows] += change
 
-def train(start: np.ndarray, texts: Iterator[list[str | None]], classes: Classes) -> tuple[np.ndarray, int]:
-    """The change of the weights over some texts, and their tokens."""
+
+def train(start: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, int]:
+    """The change of the weights over (codes, sizes) of some documents, step by step, and their tokens."""
     w = Weights(start.copy())
     squares = {name: np.full(r, 1e-3, np.float32) for name, (r, _) in Weights.SHAPES.items()}
     tokens = 0
-    for batch in texts:
-        found = [words(t) for t in batch]
-        place = np.concatenate([np.arange(len(f)) for f in found])
-        h = History(classes.coded([x for f in found for x in f]), place)
-        tokens += len(place)
-        for lo in range(0, len(place), BATCH):
-            hi = min(lo + BATCH, len(place))
-            bag = h.bag(lo, hi)
-            error = w.classes(h, lo, hi, bag)
-            error[np.arange(hi - lo), h.target[lo:hi]] -= 1.0
-            scale = 1.0 / math.sqrt(hi - lo)
-            by_class = np.ascontiguousarray(error.T)
-            _add_rows(w.word, squares["word"], h.word[lo:hi], by_class, scale)
-            _add_rows(w.pair, squares["pair"], h.pair[lo:hi], by_class, scale)
-            for name, step in (("skip", bag.T @ error), ("bias", error.sum(0, keepdims=True))):
-                step *= scale
-                squares[name] += (step * step).mean(1)
-                getattr(w, name)[:] -= RATE * step / np.sqrt(squares[name] + 1e-6)[:, None]
+    for codes, sizes in found:
+        h = History(codes, sizes)
+        tokens += len(codes)
+        for lo, hi in h.parts():
+            target = h.target[lo:hi]
+            real = np.flatnonzero(target < CLASSES)
+            error = np.zeros((hi - lo + 2 * (SKIPS - 1), CLASSES), np.float32)
+            own = error[SKIPS - 1 : hi - lo + SKIPS - 1]
+            own[:] = w.classes(h, lo, hi)
+            own[target == CLASSES] = 0
+            own[real, target[real]] -= 1
+            scale = 1.0 / math.sqrt(max(len(real), 1))
+            _step(w.word, squares["word"], *_by_row(h.word[lo:hi], own), scale)
+            _step(w.pair, squares["pair"], *_by_row(h.pair[lo:hi], own), scale)
+            # A class in the bag has an eighth as its value.
+            rows, change = _by_row(h.target[lo - PAD : hi - 2], _sum_of_eight(error))
+            before = rows < CLASSES
+            _step(w.skip, squares["skip"], rows[before], change[before], scale / SKIPS, RATE / SKIPS)
+            _step(w.bias, squares["bias"], np.zeros(1, np.int64), own.sum(0, keepdims=True), scale)
     return w.flat - start, tokens
 
 
@@ -193,69 +243,61 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
             yield batch.slice(at, ROWS_AT_ONCE).column(0).to_pylist()
 
 
-def summed(df: DataFrame, task: Callable[[Iterator], np.ndarray], size: int) -> np.ndarray:
-    """The sum over tasks of an array of `size` numbers that task(batches) makes; as few tasks as keep all cores busy.
+class _Numbered(dict):
+    """Numbers of keys in the order in which they come."""
 
-    The arrays are added block by block after a shuffle; the driver gets the sum alone, whatever the number of tasks.
-    """
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism * 2)
-    width = -(-size // BLOCKS)
-
-    def run(batches):
-        out = np.asarray(task(batches), np.float32)
-        if out.any():
-            data = [out[k * width : (k + 1) * width].tobytes() for k in range(BLOCKS)]
-            yield pa.record_batch([pa.array(np.arange(BLOCKS)), pa.array(data, pa.binary())], ["block", "data"])
-
-    def add(found: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in found.column("data"))
-        return pa.table({"block": found.column("block")[:1], "data": pa.array([total.tobytes()], pa.binary())})
-
-    parts = df.coalesce(n).mapInArrow(run, "block bigint, data binary").groupBy("block").applyInArrow(add, "block bigint, data binary").collect()
-    out = np.zeros(BLOCKS * width)
-    for r in parts:
-        got = np.frombuffer(r["data"], np.float64)
-        out[r["block"] * width : r["block"] * width + len(got)] = got
-    return out[:size]
+    def __missing__(self, key):
+        self[key] = out = len(self)
+        return out
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+    """(word, n), and how often endings stand one to four words apart as a word that no text can have, a space and the
+    pair's code."""
+    number, ends, count, near = _Numbered(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(ENDINGS * ENDINGS, np.int64)
+    held: list[np.ndarray] = []
+
+    def add():
+        nonlocal ends, count, held
+        new = list(islice(number, len(ends), None))
+        ends = np.append(ends, np.fromiter((zlib.crc32(w.rstrip(_MARKS)[-3:]) & (ENDINGS - 1) for w in new), np.int64, len(new)))
+        flat = np.concatenate(held)
+        count = np.pad(count, (0, len(number) - len(count))) + np.bincount(flat, minlength=len(number))
+        pairs = []
+        for found in held:
+            e = ends[found[:-1]]
+            pairs += [e[:-k] * ENDINGS + e[k:] for k in (1, 2, 3, 4) if k < len(e)]
+        if pairs:
+            near[:] += np.bincount(np.concatenate(pairs), minlength=len(near))
+        held = []
 
     def flush():
-        rows = pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-        held.clear()
+        nonlocal ends, count
+        rows = pa.record_batch([pa.array(list(number), pa.binary()), pa.array(count)], ["word", "n"])
+        number.clear()
+        ends, count = ends[:0], count[:0]
         return rows
 
+    tokens = 0
     for texts in _texts(batches):
         for t in texts:
-            held.update(words(t))
-        if len(held) > HELD:
-            yield flush()
+            found = words(t)
+            held.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
+            tokens += len(found)
+        if tokens > TOKENS_AT_ONCE:
+            tokens = 0
+            add()
+            if len(number) > HELD:
+                yield flush()
     if held:
+        add()
+    if number:
         yield flush()
+    some = np.flatnonzero(near)
+    yield pa.record_batch([pa.array([_PAIR + int(k).to_bytes(4, "big") for k in some], pa.binary()), pa.array(near[some])], ["word", "n"])
 
 
-def _near_endings(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """How often endings stand one to four words apart."""
-    out = np.zeros(ENDINGS * ENDINGS)
-    codes: dict[bytes, int] = {}
-    held: list[np.ndarray] = []
-    for texts in _texts(batches):
-        for t in texts:
-            found = words(t)[:-1]
-            if len(codes) > HELD:
-                codes.clear()
-            for w in set(found).difference(codes):
-                codes[w] = zlib.crc32(w.rstrip(_MARKS)[-3:]) & (ENDINGS - 1)
-            e = np.fromiter(map(codes.__getitem__, found), np.int64, len(found))
-            held += [e[:-k] * ENDINGS + e[k:] for k in (1, 2, 3, 4) if k < len(e)]
-        if held and sum(map(len, held)) > 1 << 19:
-            out += np.bincount(np.concatenate(held), minlength=ENDINGS * ENDINGS)
-            held = []
-    if held:
-        out += np.bincount(np.concatenate(held), minlength=ENDINGS * ENDINGS)
-    return out
+_PAIR = b" "
 
 
 def cluster(near: np.ndarray, n: int = CLUSTERS) -> np.ndarray:
@@ -281,86 +323,324 @@ def cluster(near: np.ndarray, n: int = CLUSTERS) -> np.ndarray:
 
 def _class_totals(make: Callable[[], Classes]):
     def run(batches):
-        classes, out = make(), np.zeros((2, CLASSES))
+        classes, out = make(), np.zeros((2, CLASSES), np.int64)
         for batch in batches:
             k = np.fromiter((classes.of(w) for w in batch.column(0).to_pylist()), np.int64, batch.num_rows)
-            out[0] += np.bincount(k, np.asarray(batch.column(1), np.float64), CLASSES)
+            np.add.at(out[0], k, np.asarray(batch.column(1)))
             out[1] += np.bincount(k, minlength=CLASSES)
-        # float32 sums: whole counts stay exact as two parts.
-        high = np.floor(out / 4096)
-        return np.concatenate([high.ravel(), (out - 4096 * high).ravel()])
+        yield pa.record_batch([pa.array(np.arange(CLASSES)), pa.array(out[0]), pa.array(out[1])], ["class", "n", "words"])
 
     return run
 
 
-_SCORED = (
-    "word binary, row bigint, n bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, head double, classes double"
-)
+# Units: the coded documents of a stretch of a task's input, with a dictionary of their own.
 
+_UNIT = "unit bigint, doc_id array<bigint>, held_out array<boolean>, mark binary, sizes binary, ids binary, codes binary, words array<binary>"
+_NAMES = [c.split()[0] for c in _UNIT.split(", ")]
 
-def _score(make, head_logs: np.ndarray, flat: np.ndarray, log_mass: np.ndarray):
-    names = [c.split()[0] for c in _SCORED.split(", ")]
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
+def _units(make: Callable[[], Classes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, w = make(), Weights(flat)
-        row = TaskContext.get().partitionId() << 36
+        classes, unit = make(), TaskContext.get().partitionId() << 32
+        number, held, docs = _Numbered(), [], []
+
+        def flush():
+            distinct = list(number)
+            codes = classes.coded(distinct)
+            rare = pa.array([distinct[k] for k in np.flatnonzero(codes >> 38 == 0).tolist()], pa.binary())
+            of = [pa.concat_arrays(c) for c in zip(*docs)]
+            lists = [pa.ListArray.from_arrays([0, len(c)], c) for c in (of[0].cast(pa.int64()), of[1], rare)]
+            data = [np.asarray(of[2]), np.array([len(h) for h in held], np.uint32), np.concatenate(held), codes]
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in data]
+            number.clear()
+            return pa.record_batch([pa.array([unit]), lists[0], lists[1], *blobs, lists[2]], _NAMES)
+
+        tokens = 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                docs = batch.slice(at, ROWS_AT_ONCE)
-                found = [words(t) for t in docs.column(2).to_pylist()]
-                size = np.array([len(f) for f in found])
-                flat_words = [x for f in found for x in f]
-                codes = classes.coded(flat_words)
-                place = np.concatenate([np.arange(n) for n in size])
-                doc = np.repeat(np.arange(len(size)), size)
-                h = History(codes, place)
-                logs = np.empty(len(codes))
-                for lo in range(0, len(codes), BATCH):
-                    hi = min(lo + BATCH, len(codes))
-                    logs[lo:hi] = w.log_target(h, lo, hi)
-                by_class = np.bincount(doc, logs / math.log(10) - log_mass[h.target], len(size))
-                rank = codes >> 38
-                in_head = rank > 0
-                by_head = np.bincount(doc, np.where(in_head, head_logs[rank - 1], 0.0), len(size))
-                known = np.bincount(doc, in_head, len(size)).astype(np.int64)
-                rows = row + np.arange(len(size))
-                row += len(size)
-                # A document's own row has a word that no text can have.
-                own = [b" " + int(r).to_bytes(8, "big") for r in rows]
-                yield pa.record_batch([pa.array(own, pa.binary()), pa.array(rows), pa.nulls(len(size), pa.int64()), docs.column(0).cast(pa.int64()), docs.column(1), pa.array(size), pa.array(known), pa.array(by_head), pa.array(by_class)], names)
-                rest = np.flatnonzero(~in_head)
-                if n := len(rest):
-                    tail = pa.array([flat_words[k] for k in rest.tolist()], pa.binary())
-                    yield pa.record_batch([tail, pa.array(rows[doc[rest]]), pa.array(np.ones(n, np.int64)), *(pa.nulls(n, k) for k in kinds[3:])], names)
+                part = batch.slice(at, ROWS_AT_ONCE)
+                for t in part.column(3).to_pylist():
+                    found = words(t)
+                    held.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
+                    tokens += len(found)
+                docs.append(part.columns[:3])
+                if tokens >= UNIT_TOKENS:
+                    yield flush()
+                    held, docs, tokens, unit = [], [], 0, unit + 1
+        if docs:
+            yield flush()
 
     return run
 
 
+class Unit:
+    def __init__(self, row: dict):
+        self.unit = row["unit"]
+        self.doc_id, self.held_out = row["doc_id"], np.array(row["held_out"], bool)
+        self.mark, self.sizes = np.frombuffer(row["mark"], np.int64), np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+        self.ids, self.codes = np.frombuffer(row["ids"], np.uint32), np.frombuffer(row["codes"], np.int64)
+        self.words = pa.array(row["words"] or [], pa.binary())
+        self.ends = np.cumsum(self.sizes)
+        self.learned = np.repeat(~self.held_out, self.sizes)
+
+    @property
+    def rare(self) -> np.ndarray:
+        """The words of the dictionary that aren't of the head, those of `words`."""
+        return np.flatnonzero(self.codes >> 38 == 0)
+
+    def before(self) -> np.ndarray:
+        """The dictionary's number of the word before each token, or one past its end at a document's begin."""
+        out = np.append(len(self.codes), self.ids[:-1]).astype(np.int64)
+        out[(self.ends - self.sizes)] = len(self.codes)
+        return out
+
+    def pairs(self, shards: int) -> np.ndarray:
+        """A key for each token and the word before it: shard, group of the word before, and 32 bits."""
+        one = np.append(self.codes >> 6 & 0xFFFFFFFF, 1 << 32).astype(np.uint64)[self.before()]
+        mixed = (one * _MIX[0] ^ (self.codes.astype(np.uint64) >> np.uint64(6) & np.uint64(0xFFFFFFFF))[self.ids]) * _MIX[1]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _MIX[2]
+        mixed ^= mixed >> np.uint64(32)
+        shard = mixed >> np.uint64(32) & np.uint64(shards - 1)
+        return shard << np.uint64(37) | self.group()[self.before()].astype(np.uint64) << np.uint64(32) | mixed & np.uint64(0xFFFFFFFF)
+
+    def group(self) -> np.ndarray:
+        """For each word of the dictionary, and a document's begin, a group by frequency: words share a memory's weight."""
+        rank = self.codes >> 38
+        out = np.where(rank > 0, 2 + np.log2(np.maximum(rank, 1)).astype(np.int64), 1)
+        return np.append(out, 0)
+
+    def by_shard(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rare words in order of their shard, and where each shard's begin."""
+        shard = (self.codes[self.rare] >> 6 & 0xFFFFFFFF) * 0x9E3779B1 >> 16 & (shards - 1)
+        order = np.argsort(shard, kind="stable")
+        return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and how often each comes. Sorting is several times as fast as hashing here."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+_MIX = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+GROUPS = 32
+
+
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Unit]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield Unit(dict(zip(batch.schema.names, (c[k].as_py() for c in batch.columns))))
+
+
+# Training: chains of gradient steps over documents dealt by their hash, so that neither the partitions nor the cluster matter.
+
+
+def _dealt(round_: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for u in _unit_rows(batches):
+            codes = ((u.codes & 63) | (u.codes >> 6 & 0x3FFFFFF) << 6).astype(np.uint32)[u.ids]
+            mine = np.flatnonzero(~u.held_out & (u.mark % ROUNDS == round_))
+            keys = []
+            for m in u.mark[mine].tolist():
+                keys.append((m + seen[m] // EQUAL_ROWS * 0x9E3779B9) % (1 << 62))
+                seen[m] += 1
+            data = [codes[u.ends[k] - u.sizes[k] : u.ends[k]].tobytes() for k in mine]
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(u.mark[mine]), pa.array(data, pa.binary())], ["key", "mark", "codes"])
+
+    return run
+
+
+def _coded_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            found = [np.frombuffer(b, np.uint32) for b in batch.slice(at, ROWS_AT_ONCE).column(0).to_pylist()]
+            yield np.concatenate(found).astype(np.int64), np.array([len(f) for f in found])
+
+
+_CHANGE = "block bigint, chain bigint, tokens double, data binary"
+
+
+def _chain(start):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change, tokens = train(start.value, _coded_documents(batches))
+        if tokens:
+            width = -(-len(change) // BLOCKS)
+            parts = [(change[k * width : (k + 1) * width] * np.float32(tokens / 1e6)).tobytes() for k in range(BLOCKS)]
+            chain = TaskContext.get().partitionId()
+            yield pa.record_batch(
+                [pa.array(np.arange(BLOCKS)), pa.array([chain] * BLOCKS), pa.array([tokens / 1e6] * BLOCKS), pa.array(parts, pa.binary())],
+                ["block", "chain", "tokens", "data"],
+            )
+
+    return run
+
+
+def _add(found: pa.Table) -> pa.Table:
+    """Sums of a block over at most FAN_IN chains, in the chains' order."""
+    found = found.sort_by("chain")
+    total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in found.column("data"))
+    tokens = float(np.sum(found["tokens"].to_numpy()))
+    return pa.table({"block": found["block"][:1], "chain": found["chain"][:1], "tokens": [tokens], "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+
+def _trained(units: DataFrame, round_: int, weights: np.ndarray, chains: int) -> np.ndarray:
+    """The weights after a round: the mean of the chains' changes by their tokens, summed as a tree."""
+    start = units.sparkSession.sparkContext.broadcast(weights)
+    dealt = units.mapInArrow(_dealt(round_), "key bigint, mark bigint, codes binary").repartition(chains, "key").sortWithinPartitions("mark")
+    found, left = dealt.select("codes").mapInArrow(_chain(start), _CHANGE), chains
+    while True:
+        found = found.withColumn("chain", F.floor(F.col("chain") / FAN_IN)).groupBy("block", "chain").applyInArrow(_add, _CHANGE)
+        if (left := -(-left // FAN_IN)) <= 1:
+            break
+    parts = sorted(found.collect(), key=lambda r: r["block"])  # BLOCKS rows
+    if not parts:
+        return weights
+    return weights + np.concatenate([np.frombuffer(r["data"], np.float32) for r in parts])[: len(weights)] / np.float32(parts[0]["tokens"])
+
+
+# The memory: counts of word pairs and of rare words, kept by shards; units ask for what they need.
+
+
+def _asked(shards: int):
+    names = ["shard", "unit", "keys", "counts", "groups", "words", "word_counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u in _unit_rows(batches):
+            keys = u.pairs(shards)
+            each, _ = _different(keys)
+            own, n = _different(keys[u.learned])
+            counts = np.zeros(len(each), np.uint32)
+            counts[np.searchsorted(each, own)] = n
+            cut = np.searchsorted(each >> np.uint64(37), np.arange(shards + 1, dtype=np.uint64))
+            order, at = u.by_shard(shards)
+            learned = np.bincount(u.ids[u.learned], minlength=len(u.codes))[u.rare][order].astype(np.uint32)
+            words_ = u.words.take(pa.array(order))
+            low, group = each.astype(np.uint32), (each >> np.uint64(32)).astype(np.int64) & (GROUPS - 1)
+            rows = []
+            for s in range(shards):
+                a, b, c, d = cut[s], cut[s + 1], at[s], at[s + 1]
+                if a < b or c < d:
+                    sizes = np.bincount(group[a:b], minlength=GROUPS).astype(np.uint32)
+                    rows.append((s, u.unit, low[a:b].tobytes(), counts[a:b].tobytes(), sizes.tobytes(), words_.slice(c, d - c), learned[c:d].tobytes()))
+            if rows:
+                of = list(zip(*rows))
+                offsets = np.cumsum([0, *map(len, of[5])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(of[5]))
+                blobs = [pa.array(c, pa.binary()) for c in (*of[2:5], of[6])]
+                yield pa.record_batch([pa.array(of[0], pa.int64()), pa.array(of[1], pa.int64()), *blobs[:3], lists, blobs[3]], names)
+
+    return run
+
+
+_ASKED = "shard bigint, unit bigint, keys binary, counts binary, groups binary, words array<binary>, word_counts binary"
+_TOLD = "unit bigint, shard bigint, counts binary, word_counts binary, tokens array<bigint>, again array<bigint>"
+
+
+def _joined(blobs: pa.ChunkedArray) -> tuple[np.ndarray, list[int]]:
+    found = [np.frombuffer(b, np.uint32) for b in blobs.to_pylist()]
+    return np.concatenate(found), np.cumsum([len(f) for f in found])[:-1]
+
+
+def _told(asked: pa.Table) -> pa.Table:
+    """A shard's sums for each unit that asks, and for the first one how many tokens of each group it has learned, and
+    how many of them it has met more than once."""
+    keys, cut = _joined(asked["keys"])
+    counts, _ = _joined(asked["counts"])
+    each = np.concatenate([np.repeat(np.arange(GROUPS), np.frombuffer(b, np.uint32)) for b in asked["groups"].to_pylist()])
+    different, place = np.unique(keys.astype(np.uint64) | each.astype(np.uint64) << np.uint64(32), return_inverse=True)
+    total = np.bincount(place, counts, len(different)).astype(np.int64)
+    group = (different >> np.uint64(32)).astype(np.int64)
+    tokens, again = np.bincount(group, total, GROUPS), np.bincount(group, np.where(total > 1, total, 0), GROUPS)
+    n = asked.num_rows
+    empty = np.zeros(GROUPS, np.int64)
+    stats = [[x.astype(np.int64).tolist()] + [empty[:0].tolist()] * (n - 1) for x in (tokens, again)]
+    lists = asked["words"].combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = np.array([len(x) for x in lists])
+    coded = lists.flatten().dictionary_encode()
+    word_counts, _ = _joined(asked["word_counts"])
+    number = np.asarray(coded.indices)
+    of_word = np.bincount(number, word_counts, len(coded.dictionary)).astype(np.uint32)[number]
+    blobs = [pa.array([p.tobytes() for p in np.split(x, c)], pa.binary()) for x, c in ((total[place].astype(np.uint32), cut), (of_word, np.cumsum(sizes)[:-1]))]
+    kind = pa.list_(pa.int64())
+    return pa.table([asked["unit"], asked["shard"], *blobs, pa.array(stats[0], kind), pa.array(stats[1], kind)], names=[c.split()[0] for c in _TOLD.split(", ")])
+
+
+_SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double"
+
+
+def _scored(shards: int, model):
+    """Over a unit and what the shards told it: a row for each document."""
+
+    def run(unit: pa.Table, told: pa.Table) -> pa.Table:
+        head, flat, log_mass, begins, share = model.value
+        u, told = next(_unit_rows(unit.to_batches())), told.sort_by("shard")
+        counts, _ = _joined(told["counts"])
+        rare, _ = _joined(told["word_counts"])
+        rank = u.codes >> 38
+        c = np.zeros(len(u.codes) + 1, np.int64)
+        c[:-1][rank > 0] = head[rank[rank > 0] - 1]
+        c[u.rare[u.by_shard(shards)[0]]] = rare
+        c[-1] = begins
+        doc = np.repeat(np.arange(len(u.sizes)), u.sizes)
+        codes = u.codes[u.ids]
+        own = np.log10(c[:-1] + 0.5)[u.ids]
+        p = np.log10(np.e) * np.concatenate([Weights(flat).log_target(History(codes[a:b], u.sizes[i:j])) for i, j, a, b in _stretches(u.sizes)])
+        p += own - log_mass[codes & 63]
+        # Where the word before was learned, what followed it has its share.
+        keys, before = u.pairs(shards), u.before()
+        met = counts[np.searchsorted(_different(keys)[0], keys)]
+        part = np.where(c[before] > 0, share[u.group()[before]], 0.0)
+        p = np.log10((1 - part) * 10.0**p + part * met / np.maximum(c[before], 1))
+        sums = [np.bincount(doc, x, len(u.sizes)) for x in ((c[:-1] > 0)[u.ids], own, p)]
+        columns = [pa.array(u.doc_id, pa.int64()), pa.array(u.held_out), pa.array(u.sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+        return pa.table(columns, names=[x.split()[0] for x in _SCORED.split(", ")])
+
+    return run
+
+
+def _stretches(sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first document, end, first token, end) of stretches of documents."""
+    ends = np.append(0, np.cumsum(sizes))
+    for i in range(0, len(sizes), ROWS_AT_ONCE):
+        j = min(i + ROWS_AT_ONCE, len(sizes))
+        yield i, j, int(ends[i]), int(ends[j])
+
+
 def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Learns from the rows
     whose crc32 of the id's text leaves another remainder than 1 by 5."""
+    spark = df.sparkSession
     out = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    docs = df.select(F.col(doc_id).alias("doc_id"), out.alias("held_out"), F.col(text).alias("text"))
-    training = docs.filter(~F.col("held_out")).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).alias("round"))
-    vocabulary, _ = common.stored(training.select("text").mapInArrow(_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    docs = df.select(F.col(doc_id).alias("doc_id"), out.alias("held_out"), F.xxhash64(doc_id, text).bitwiseAND((1 << 62) - 1).alias("mark"), F.col(text).alias("text"))
+    training = docs.filter(~F.col("held_out"))
+    counted, counted_path = common.stored(training.select("text").mapInArrow(_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    is_pair = F.substring("word", 1, 1) == F.lit(_PAIR)
+    vocabulary = counted.filter(~is_pair)
+    total, distinct, begins = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("n"))), F.lit(0))).first()
     # The most frequent words, by steps of a sixteenth of a power of two in their counts: the lowest step that still
-    # leaves HEAD words at most. A row for each step, then HEAD rows at most, come to the driver.
-    words_ = vocabulary.filter(F.length("word") <= 64).withColumn("step", F.floor(F.log2("n") * 16))
+    # leaves HEAD words at most. A row for each step, then HEAD rows at most, come to the driver. Words of over HEAD_BYTES
+    # are asked for like rare ones, once a unit, however frequent they are.
+    words_ = vocabulary.filter(F.length("word") <= HEAD_BYTES).withColumn("step", F.floor(F.log2("n") * 16))
     least, size = None, 0
     for r in sorted(words_.groupBy("step").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["step"]):
         size += r["k"]
         if size > HEAD:
             break
         least = r["step"]
-    most = words_.filter(F.col("step") >= least).select("word", "n").collect() if least is not None else []
-    most.sort(key=lambda r: (-r["n"], bytes(r["word"])))
-    head = {bytes(r["word"]): k for k, r in enumerate(most)}
-    own = [w for w in head if w != END][:OWN]
-    cluster_of = cluster(summed(training.select("text"), _near_endings, ENDINGS * ENDINGS))
-    sent = df.sparkSession.sparkContext.broadcast((own, cluster_of, head))
-
+    most = words_.filter(F.col("step") >= (least if least is not None else 1 << 30)).select("word", "n").toArrow()
+    n = np.asarray(most["n"].combine_chunks())
+    most = most["word"].to_pylist()
+    order = sorted(range(len(most)), key=lambda k: (-n[k], most[k]))
+    head, head_counts = {most[k]: j for j, k in enumerate(order)}, n[order].astype(np.int64)
+    own = [w for w in islice(head, OWN + 1) if w != END][:OWN]
+    pairs = counted.filter(is_pair).toArrow()  # at most ENDINGS squared rows
+    near = np.zeros(ENDINGS * ENDINGS)
+    near[[int.from_bytes(w[1:], "big") for w in pairs["word"].to_pylist()]] = np.asarray(pairs["n"].combine_chunks())
+    sent = spark.sparkContext.broadcast((own, cluster(near), head))
     key = uuid.uuid4().hex
 
     def make() -> Classes:
@@ -369,36 +649,25 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
             _made[key] = Classes(*sent.value)
         return _made[key]
 
-    sums = summed(vocabulary, _class_totals(make), 4 * CLASSES).reshape(2, 2, CLASSES)
-    counts, sizes = sums[0] * 4096 + sums[1]
+    counts, sizes = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in vocabulary.mapInArrow(_class_totals(make), "class bigint, n bigint, words bigint").groupBy("class").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():
+        counts[r["class"]], sizes[r["class"]] = r["n"], r["words"]
     log_mass = np.log10(counts + 0.5 * (sizes + 1))
+    units, units_path = common.stored(docs.mapInArrow(_units(make), _UNIT), "units")
     weights = np.zeros(Weights().flat.size, np.float32)
+    chains = max(1, -(-total // (ROUNDS * CHAIN_TOKENS)))
     for k in range(ROUNDS):
-        start = df.sparkSession.sparkContext.broadcast(weights)
-
-        def task(batches, start=start):
-            change, tokens = train(start.value, _texts(batches), make())
-            return np.append(change * (tokens / 1e6), tokens / 1e6)
-
-        got = summed(training.filter(F.col("round") == k).select("text"), task, len(weights) + 1)
-        if got[-1]:
-            weights = (weights + got[:-1] / got[-1]).astype(np.float32)
-    head_logs = np.log10(np.array([r["n"] for r in most] or [0], np.float64) + 0.5)
-    model = df.sparkSession.sparkContext.broadcast((head_logs, weights, log_mass))
-
-    def run(batches):
-        yield from _score(make, *model.value)(batches)
-
-    rows = docs.mapInArrow(run, _SCORED)
-    met = rows.join(vocabulary.withColumnRenamed("n", "c"), "word", "left")
-    tail = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-    by_row = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.sum(F.when(F.col("c").isNotNull() & F.col("n").isNotNull(), F.col("n")).otherwise(0))).alias("n_known"),
-        (F.max("head") + F.sum(F.coalesce(tail, F.lit(0.0)))).alias("logs"), F.max("classes").alias("classes"),
-    )
+        weights = _trained(units, k, weights, chains)
+    shards = 1 << max(0, math.ceil(math.log2(max(total, 1) / SHARD_TOKENS)))
+    told, told_path = common.stored(units.mapInArrow(_asked(shards), _ASKED).groupBy("shard").applyInArrow(_told, _TOLD), "told")
+    group = F.posexplode(F.arrays_zip("tokens", "again")).alias("group", "x")
+    share = np.zeros(GROUPS)
+    for r in told.filter(F.size("tokens") > 0).select(group).groupBy("group").agg(F.sum("x.tokens").alias("n"), F.sum("x.again").alias("again")).collect():
+        share[r["group"]] = min(r["again"] / r["n"], MOST_MEMORY) if r["n"] else 0.0
+    model = spark.sparkContext.broadcast((head_counts, weights, log_mass, begins, share))
+    rows = units.groupBy("unit").cogroup(told.select("unit", "shard", "counts", "word_counts").groupBy("unit")).applyInArrow(_scored(shards, model), _SCORED)
     base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(total + 0.5 * (distinct + 1)))
-    return by_row.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("logs") + F.col("classes")).alias("score"))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:

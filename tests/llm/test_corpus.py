@@ -76,11 +76,41 @@ def test_language_model_sums_to_one():
     mass = np.bincount(of, counts, maxent.CLASSES) + 0.5 * (np.bincount(of, minlength=maxent.CLASSES) + 1)
     rng = np.random.default_rng(0)
     w = maxent.Weights(rng.normal(size=maxent.Weights().flat.size))
-    h = maxent.History(k.coded(words), np.arange(len(words)))
-    p = w.classes(h, 0, len(words), h.bag(0, len(words)))[2]
+    h = maxent.History(k.coded(words), np.array([len(words)]))
+    p = w.classes(h, maxent.PAD, maxent.PAD + len(words))[2]
     total = sum(p[c] / mass[c] * (n + 0.5) for c, n in zip(of, counts)) + (p * 0.5 / mass).sum()
     assert math.isclose(total, 1, rel_tol=1e-5)
-    assert math.isclose(math.log(p[of[2]]), w.log_target(h, 0, len(words))[2], rel_tol=1e-4)
+    assert math.isclose(math.log(p[of[2]]), w.log_target(h)[2], rel_tol=1e-4)
+
+
+def test_language_model_features():
+    """Scores equal plain sums over features, and no feature reaches into the document before."""
+    rng = np.random.default_rng(1)
+    sizes = np.array([1, 30, 3])
+    codes = rng.integers(0, 64, 34) | rng.integers(0, 1 << 32, 34) << 6
+    w = maxent.Weights(rng.normal(size=maxent.Weights().flat.size))
+    w.skip[maxent.CLASSES] = 0
+    h = maxent.History(codes, sizes)
+    z = w.scores(h, maxent.PAD, len(h.target))[h.at - maxent.PAD]
+    alone = maxent.History(codes[31:], sizes[2:])
+    at = 0
+    for n in sizes:
+        own = codes[at : at + n] & 63
+        for t in range(n):
+            bag = sum((w.skip[own[t - back]] for back in range(2, 10) if t >= back), np.zeros(64))
+            k = h.at[at + t]
+            assert np.allclose(z[at + t], w.bias[0] + w.word[h.word[k]] + w.pair[h.pair[k]] + bag, atol=1e-4)
+        at += n
+    assert (alone.word[alone.at] == h.word[h.at[31:]]).all() and (alone.pair[alone.at] == h.pair[h.at[31:]]).all()
+
+
+@pytest.mark.parametrize("n", [1, 7, 400])
+def test_sums_by_row(n):
+    rng = np.random.default_rng(n)
+    rows, values = (rng.zipf(1.5, n) % 50).astype(np.uint16), rng.normal(size=(n, 64)).astype(np.float32)
+    got, sums = maxent._by_row(rows, values.copy())
+    assert got.tolist() == sorted(set(rows.tolist()))
+    assert all(np.allclose(x, values[rows == r].sum(0), atol=1e-4) for r, x in zip(got, sums))
 
 
 def test_language_model_is_whole():
@@ -88,9 +118,49 @@ def test_language_model_is_whole():
     assert maxent.CLASSES == 64
     found = [b"one", b"two", b"six", b"ten", b"red"]
     batch = pa.record_batch([pa.array([b" ".join(found).decode()])], ["text"])
-    near = maxent._near_endings(iter([batch])).reshape(maxent.ENDINGS, maxent.ENDINGS)
+    rows = {w: n for b in maxent._counts(iter([batch])) for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist())}
+    assert {w: n for w, n in rows.items() if w[:1] != b" "} == dict.fromkeys([*found, b""], 1)
+    near = {divmod(int.from_bytes(w[1:], "big"), maxent.ENDINGS): n for w, n in rows.items() if w[:1] == b" "}
     e = [maxent.ending(w) for w in found]
-    assert len(set(e)) == 5 and near.sum() == 10 and all(near[e[i], e[j]] == 1 for j in range(5) for i in range(j))
+    assert len(set(e)) == 5 and near == {(e[i], e[j]): 1 for j in range(5) for i in range(j)}
+
+
+def test_language_model_memory(spark, docs, monkeypatch):
+    """The memory against counts of all pairs, in several units and shards; scores don't depend on the partitions."""
+    monkeypatch.setattr(maxent, "UNIT_TOKENS", 5000)
+    monkeypatch.setattr(maxent, "SHARD_TOKENS", 20000)
+    model = []
+    keep = maxent._scored
+    monkeypatch.setattr(maxent, "_scored", lambda shards, m: model.append((shards, m.value)) or keep(shards, m))
+    df = spark.createDataFrame(list(zip(docs.doc_id.tolist(), docs.text)), "doc_id bigint, text string")
+    runs = [{r.doc_id: r for r in maxent.score(df.repartition(n)).collect()} for n in (1, 2, 8)]
+    for other in runs[1:]:
+        assert all(math.isclose(r.score, other[i].score, rel_tol=1e-6) for i, r in runs[0].items())
+    shards, (head, flat, log_mass, begins, share) = model[0]
+    assert shards > 1
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    text = dict(zip(docs.doc_id.tolist(), docs.text))
+    own, pairs = Counter(), Counter()
+    for i, t in text.items():
+        if not held(i):
+            w = maxent.words(t)
+            own.update(w)
+            pairs.update(zip([None, *w], w))
+    own[None] = begins
+    assert begins == sum(not held(i) for i in text)
+    ranked = sorted((w for w in own if w is not None), key=lambda w: (-own[w], w))
+    group = {w: 2 + int(math.log2(k + 1)) for k, w in enumerate(ranked)} | {None: 0}
+    n, again = np.zeros(maxent.GROUPS), np.zeros(maxent.GROUPS)
+    for (a, _), c in pairs.items():
+        n[group[a]] += c
+        again[group[a]] += c if c > 1 else 0
+    expected = np.minimum(np.divide(again, n, out=np.zeros_like(n), where=n > 0), maxent.MOST_MEMORY)
+    assert np.allclose(share, expected)
+    # A document whose every pair is known from elsewhere scores above one that is new.
+    copies = [i for i in text if held(i) and any(text[j] == text[i] and not held(j) for j in text) and len((text[i] or "").split()) > 20]
+    new = [i for i in text if held(i) and i not in copies and len((text[i] or "").split()) > 20]
+    per = lambda ids: sum(runs[0][i].score for i in ids) / sum(runs[0][i].n_tokens for i in ids)
+    assert not copies or per(copies) > per(new) + 0.5
 
 
 def test_language_model_edges(edges, empty):
