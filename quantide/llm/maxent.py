@@ -11,7 +11,7 @@ end, each of the most frequent words for itself, and clusters of word endings, s
 class by its form. The clusters come from counts of endings near each other.
 
 The memory is a hashed table of all pairs of neighbours, one key of about 32 bits and the shard's for each different pair,
-which grows with the corpus: shards hold it, and each unit (about a million tokens) asks the shards for the pairs and
+which grows with the corpus: shards hold it, and each unit (about two million tokens) asks the shards for the pairs and
 the rare words that it needs, once each. A pair's share in the mixture is, by the frequency of its first word, how many
 of the training pairs occur again, at most MOST_MEMORY.
 
@@ -27,8 +27,7 @@ import math
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
-from itertools import islice
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,14 +55,12 @@ FREQUENT = 8
 #: Scores of classes are cut here, far beyond any trained one.
 LIMIT = 60.0
 ROWS_AT_ONCE = 128
-#: Words that a task holds at a time: counts, or codes.
-HELD = 400_000
-#: Tokens that are counted at a time, and of a unit and a shard of the memory.
-TOKENS_AT_ONCE, UNIT_TOKENS, SHARD_TOKENS = 1 << 19, 1 << 20, 1 << 21
+#: Tokens of a unit, and of a shard of the memory.
+UNIT_TOKENS, SHARD_TOKENS = 1 << 21, 1 << 21
 #: The largest share that the memory of word pairs has in a probability.
 MOST_MEMORY = 0.5
 #: Tokens that one chain of gradient steps sees in a round; the number of chains follows from the corpus alone.
-CHAIN_TOKENS = 1 << 21
+CHAIN_TOKENS = 1 << 22
 #: Equal rows of a task that go to one chain together.
 EQUAL_ROWS = 1024
 #: Blocks in which weights are summed, and chains that are summed at a time.
@@ -84,32 +81,37 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word.rstrip(_MARKS)[-3:]) & (ENDINGS - 1)
 
 
-class Classes:
-    """Codes of words: class (6 bits), hash (32 bits) and rank among the head, or 0."""
+def hashed(found: Iterable[bytes]) -> np.ndarray:
+    """64-bit hashes of words; what must be exact tells words apart by them only within the HEAD words and against them."""
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(xxh64_intdigest, found), np.uint64)
 
-    def __init__(self, own: list[bytes], cluster_of: np.ndarray, head: dict[bytes, int]):
-        self.own = {w: 1 + k for k, w in enumerate(own)} | {END: 0}
-        self.cluster_of = [int(k) for k in cluster_of]
-        self.head = head
-        self.codes: dict[bytes, int] = {}
 
-    def of(self, word: bytes) -> int:
-        c = self.own.get(word)
-        return 1 + OWN + self.cluster_of[ending(word)] if c is None else c
+class Classes:
+    """Codes of words: class (6 bits), hash (32 bits) and rank from 1 among the head, or 0. head: words in order."""
+
+    def __init__(self, own: list[bytes], cluster_of: np.ndarray, head: list[bytes]):
+        of = hashed(head)
+        order = np.argsort(of)
+        self.head, self.rank = np.append(of[order], ~np.uint64(0)), np.append(order + 1, 0)
+        of = hashed([END, *own])
+        order = np.argsort(of)
+        self.own, self.own_class = of[order], order
+        self.cluster_of = np.asarray(cluster_of, np.int64)
+
+    def codes(self, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.head[:-1], hashes)
+        rank = np.where(self.head[at] == hashes, self.rank[at], 0)
+        at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
+        of = np.where(self.own[at] == hashes, self.own_class[at], 1 + OWN + self.cluster_of[ends])
+        return of | (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64) << 6 | rank << 38
 
     def coded(self, found: list[bytes]) -> np.ndarray:
-        codes, own, head, cluster_of, crc = self.codes, self.own, self.head, self.cluster_of, zlib.crc32
-        if len(codes) > HELD:
-            codes.clear()
-        for w in set(found).difference(codes):  # of() and ending() written out: this is most of the work on rare words
-            c = own.get(w)
-            if c is None:
-                c = 1 + OWN + cluster_of[crc(w.rstrip(_MARKS)[-3:]) & (ENDINGS - 1)]
-            codes[w] = c | crc(w) << 6 | (head.get(w, -1) + 1) << 38
-        return np.fromiter(map(codes.__getitem__, found), np.int64, len(found))
-
-
-#: The classes that a worker used last, with the codes that it has met.
+        return self.codes(hashed(found), np.fromiter(map(ending, found), np.int64, len(found)))
+
+
+#: The classes that a worker used last.
 _made: dict[str, Classes] = {}
 
 
@@ -237,12 +239,6 @@ def train(start: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) ->
 # --- jobs ---------------------------------------------------------------------------------------------------------
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(at, ROWS_AT_ONCE).column(0).to_pylist()
-
-
 class _Numbered(dict):
     """Numbers of keys in the order in which they come."""
 
@@ -251,158 +247,82 @@ class _Numbered(dict):
         return out
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n), and how often endings stand one to four words apart as a word that no text can have, a space and the
-    pair's code."""
-    number, ends, count, near = _Numbered(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(ENDINGS * ENDINGS, np.int64)
-    held: list[np.ndarray] = []
-
-    def add():
-        nonlocal ends, count, held
-        new = list(islice(number, len(ends), None))
-        ends = np.append(ends, np.fromiter((zlib.crc32(w.rstrip(_MARKS)[-3:]) & (ENDINGS - 1) for w in new), np.int64, len(new)))
-        flat = np.concatenate(held)
-        count = np.pad(count, (0, len(number) - len(count))) + np.bincount(flat, minlength=len(number))
-        pairs = []
-        for found in held:
-            e = ends[found[:-1]]
-            pairs += [e[:-k] * ENDINGS + e[k:] for k in (1, 2, 3, 4) if k < len(e)]
-        if pairs:
-            near[:] += np.bincount(np.concatenate(pairs), minlength=len(near))
-        held = []
-
-    def flush():
-        nonlocal ends, count
-        rows = pa.record_batch([pa.array(list(number), pa.binary()), pa.array(count)], ["word", "n"])
-        number.clear()
-        ends, count = ends[:0], count[:0]
-        return rows
-
-    tokens = 0
-    for texts in _texts(batches):
-        for t in texts:
-            found = words(t)
-            held.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
-            tokens += len(found)
-        if tokens > TOKENS_AT_ONCE:
-            tokens = 0
-            add()
-            if len(number) > HELD:
-                yield flush()
-    if held:
-        add()
-    if number:
-        yield flush()
-    some = np.flatnonzero(near)
-    yield pa.record_batch([pa.array([_PAIR + int(k).to_bytes(4, "big") for k in some], pa.binary()), pa.array(near[some])], ["word", "n"])
-
-
-_PAIR = b" "
-
-
-def cluster(near: np.ndarray, n: int = CLUSTERS) -> np.ndarray:
-    """A cluster for each ending: k-means on the leading directions of their positive pointwise mutual information."""
-    m = near.reshape(ENDINGS, ENDINGS)
-    m = m + m.T
-    mass = m.sum(1)
-    total = max(mass.sum(), 1.0)
-    expected = np.outer(mass, mass) / total
-    info = np.maximum(np.log((m + 0.5) / (expected + 0.5)), 0.0)
-    u, s, _ = np.linalg.svd(info)
-    x = u[:, :24] * np.sqrt(s[:24])
-    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
-    centre = x[np.argsort(-mass, kind="stable")[:n]].copy()
-    for _ in range(25):
-        best = np.argmax(x @ centre.T, axis=1)
-        for k in range(n):
-            if (mine := best == k).any():
-                c = (x[mine] * np.log1p(mass[mine])[:, None]).sum(0)
-                centre[k] = c / (np.linalg.norm(c) + 1e-9)
-    return np.argmax(x @ centre.T, axis=1)
-
+def _packed(x: np.ndarray) -> bytes:
+    """Compressed by planes of bytes, as most of them are nearly constant."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
-def _class_totals(make: Callable[[], Classes]):
-    def run(batches):
-        classes, out = make(), np.zeros((2, CLASSES), np.int64)
-        for batch in batches:
-            k = np.fromiter((classes.of(w) for w in batch.column(0).to_pylist()), np.int64, batch.num_rows)
-            np.add.at(out[0], k, np.asarray(batch.column(1)))
-            out[1] += np.bincount(k, minlength=CLASSES)
-        yield pa.record_batch([pa.array(np.arange(CLASSES)), pa.array(out[0]), pa.array(out[1])], ["class", "n", "words"])
 
-    return run
+def _unpacked(data: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, "zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-# Units: the coded documents of a stretch of a task's input, with a dictionary of their own.
+# Units: the documents of a stretch of a task's input as numbers of words, with a dictionary of their own.
 
-_UNIT = "unit bigint, doc_id array<bigint>, held_out array<boolean>, mark binary, sizes binary, ids binary, codes binary, words array<binary>"
+_UNIT = "unit bigint, doc_id array<bigint>, held_out array<boolean>, mark binary, sizes binary, ids binary, hashes binary, ends binary, words array<binary>"
 _NAMES = [c.split()[0] for c in _UNIT.split(", ")]
 
 
-def _units(make: Callable[[], Classes]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, unit = make(), TaskContext.get().partitionId() << 32
-        number, held, docs = _Numbered(), [], []
-
-        def flush():
-            distinct = list(number)
-            codes = classes.coded(distinct)
-            rare = pa.array([distinct[k] for k in np.flatnonzero(codes >> 38 == 0).tolist()], pa.binary())
-            of = [pa.concat_arrays(c) for c in zip(*docs)]
-            lists = [pa.ListArray.from_arrays([0, len(c)], c) for c in (of[0].cast(pa.int64()), of[1], rare)]
-            data = [np.asarray(of[2]), np.array([len(h) for h in held], np.uint32), np.concatenate(held), codes]
-            blobs = [pa.array([x.tobytes()], pa.binary()) for x in data]
-            number.clear()
-            return pa.record_batch([pa.array([unit]), lists[0], lists[1], *blobs, lists[2]], _NAMES)
-
-        tokens = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                for t in part.column(3).to_pylist():
-                    found = words(t)
-                    held.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
-                    tokens += len(found)
-                docs.append(part.columns[:3])
-                if tokens >= UNIT_TOKENS:
-                    yield flush()
-                    held, docs, tokens, unit = [], [], 0, unit + 1
-        if docs:
-            yield flush()
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unit, number, held, docs, tokens = TaskContext.get().partitionId() << 32, _Numbered(), [], [], 0
 
-    return run
+    def flush():
+        distinct = list(number)
+        number.clear()
+        of = [pa.concat_arrays(c) for c in zip(*docs)]
+        lists = [pa.ListArray.from_arrays([0, len(c)], c) for c in (of[0].cast(pa.int64()), of[1], pa.array(distinct, pa.binary()))]
+        ends = np.fromiter(map(ending, distinct), np.uint16, len(distinct))
+        sizes = np.array([len(h) for h in held], np.uint32)
+        blobs = [pa.array([x], pa.binary()) for x in (np.asarray(of[2]).tobytes(), sizes.tobytes(), _packed(np.concatenate(held)), hashed(distinct).tobytes(), _packed(ends))]
+        return pa.record_batch([pa.array([unit]), lists[0], lists[1], *blobs, lists[2]], _NAMES)
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(at, ROWS_AT_ONCE)
+            for t in part.column(3).to_pylist():
+                found = words(t)
+                held.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
+                tokens += len(found)
+            docs.append(part.columns[:3])
+            if tokens >= UNIT_TOKENS:
+                yield flush()
+                held, docs, tokens, unit = [], [], 0, unit + 1
+    if docs:
+        yield flush()
 
 
 class Unit:
-    def __init__(self, row: dict):
-        self.unit = row["unit"]
-        self.doc_id, self.held_out = row["doc_id"], np.array(row["held_out"], bool)
+    def __init__(self, row: dict, classes: Classes | None = None):
+        self.unit, self.doc_id = row["unit"], row["doc_id"]
+        self.held_out = np.asarray(row["held_out"].values, bool) if len(row["held_out"]) else np.zeros(0, bool)
         self.mark, self.sizes = np.frombuffer(row["mark"], np.int64), np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
-        self.ids, self.codes = np.frombuffer(row["ids"], np.uint32), np.frombuffer(row["codes"], np.int64)
-        self.words = pa.array(row["words"] or [], pa.binary())
         self.ends = np.cumsum(self.sizes)
+        self.ids = _unpacked(row["ids"], int(self.ends[-1]), np.uint32)
+        self.hashes, self.words = np.frombuffer(row["hashes"], np.uint64), row["words"].values
+        self.endings = _unpacked(row["ends"], len(self.hashes), np.uint16)
         self.learned = np.repeat(~self.held_out, self.sizes)
-
-    @property
-    def rare(self) -> np.ndarray:
-        """The words of the dictionary that aren't of the head, those of `words`."""
-        return np.flatnonzero(self.codes >> 38 == 0)
+        if classes:
+            self.codes = classes.codes(self.hashes, self.endings)
+            #: The words of the dictionary that aren't of the head.
+            self.rare = np.flatnonzero(self.codes >> 38 == 0)
 
     def before(self) -> np.ndarray:
         """The dictionary's number of the word before each token, or one past its end at a document's begin."""
-        out = np.append(len(self.codes), self.ids[:-1]).astype(np.int64)
-        out[(self.ends - self.sizes)] = len(self.codes)
+        out = np.append(len(self.hashes), self.ids[:-1]).astype(np.int64)
+        out[self.ends - self.sizes] = len(self.hashes)
         return out
 
     def pairs(self, shards: int) -> np.ndarray:
         """A key for each token and the word before it: shard, group of the word before, and 32 bits."""
-        one = np.append(self.codes >> 6 & 0xFFFFFFFF, 1 << 32).astype(np.uint64)[self.before()]
-        mixed = (one * _MIX[0] ^ (self.codes.astype(np.uint64) >> np.uint64(6) & np.uint64(0xFFFFFFFF))[self.ids]) * _MIX[1]
+        before = self.before()
+        mixed = (np.append(self.hashes, np.uint64(0))[before] * _MIX[0] ^ self.hashes[self.ids]) * _MIX[1]
         mixed ^= mixed >> np.uint64(29)
         mixed *= _MIX[2]
         mixed ^= mixed >> np.uint64(32)
         shard = mixed >> np.uint64(32) & np.uint64(shards - 1)
-        return shard << np.uint64(37) | self.group()[self.before()].astype(np.uint64) << np.uint64(32) | mixed & np.uint64(0xFFFFFFFF)
+        return shard << np.uint64(37) | self.group()[before].astype(np.uint64) << np.uint64(32) | mixed & np.uint64(0xFFFFFFFF)
 
     def group(self) -> np.ndarray:
         """For each word of the dictionary, and a document's begin, a group by frequency: words share a memory's weight."""
@@ -412,7 +332,7 @@ class Unit:
 
     def by_shard(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """The rare words in order of their shard, and where each shard's begin."""
-        shard = (self.codes[self.rare] >> 6 & 0xFFFFFFFF) * 0x9E3779B1 >> 16 & (shards - 1)
+        shard = (self.hashes[self.rare] >> np.uint64(32) & np.uint64(shards - 1)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
@@ -428,52 +348,124 @@ _MIX = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94
 GROUPS = 32
 
 
-def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Unit]:
+def _unit_rows(batches: Iterator[pa.RecordBatch], classes: Classes | None = None) -> Iterator[Unit]:
     for batch in batches:
         for k in range(batch.num_rows):
-            yield Unit(dict(zip(batch.schema.names, (c[k].as_py() for c in batch.columns))))
+            cells = {n: c[k] for n, c in zip(batch.schema.names, batch.columns)}
+            yield Unit({n: c if isinstance(c, pa.ListScalar) else c.as_py() for n, c in cells.items()}, classes)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over units: (word, n) in training texts, and how often endings stand one to four words apart as a word that no text
+    can have, a space and the pair's code."""
+    near = np.zeros(ENDINGS * ENDINGS, np.int64)
+    for u in _unit_rows(batches):
+        n = np.bincount(u.ids[u.learned], minlength=len(u.hashes))
+        some = np.flatnonzero(n)
+        yield pa.record_batch([u.words.take(pa.array(some)), pa.array(n[some])], ["word", "n"])
+        e = u.endings.astype(np.int64)[u.ids]
+        of = np.repeat(np.arange(len(u.sizes)), u.sizes)
+        inner = u.learned.copy()
+        inner[u.ends - 1] = False  # the end has no ending
+        for k in (1, 2, 3, 4):
+            both = inner[:-k] & inner[k:] & (of[:-k] == of[k:])
+            near += np.bincount((e[:-k] * ENDINGS + e[k:])[both], minlength=len(near))
+    some = np.flatnonzero(near)
+    yield pa.record_batch([pa.array([_PAIR + int(k).to_bytes(4, "big") for k in some], pa.binary()), pa.array(near[some])], ["word", "n"])
+
+
+_PAIR = b" "
+
+
+def cluster(near: np.ndarray, n: int = CLUSTERS) -> np.ndarray:
+    """A cluster for each ending: k-means on the leading directions of their positive pointwise mutual information."""
+    m = near.reshape(ENDINGS, ENDINGS)
+    m = m + m.T
+    mass = m.sum(1)
+    total = max(mass.sum(), 1.0)
+    expected = np.outer(mass, mass) / total
+    info = np.maximum(np.log((m + 0.5) / (expected + 0.5)), 0.0)
+    u, s, _ = np.linalg.svd(info)
+    x = u[:, :24] * np.sqrt(s[:24])
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
+    centre = x[np.argsort(-mass, kind="stable")[:n]].copy()
+    for _ in range(25):
+        best = np.argmax(x @ centre.T, axis=1)
+        for k in range(n):
+            if (mine := best == k).any():
+                c = (x[mine] * np.log1p(mass[mine])[:, None]).sum(0)
+                centre[k] = c / (np.linalg.norm(c) + 1e-9)
+    return np.argmax(x @ centre.T, axis=1)
+
+
+def _class_totals(make: Callable[[], Classes]):
+    def run(batches):
+        classes, out = make(), np.zeros((2, CLASSES), np.int64)
+        for batch in batches:
+            k = classes.coded(batch.column(0).to_pylist()) & 63
+            np.add.at(out[0], k, np.asarray(batch.column(1)))
+            out[1] += np.bincount(k, minlength=CLASSES)
+        yield pa.record_batch([pa.array(np.arange(CLASSES)), pa.array(out[0]), pa.array(out[1])], ["class", "n", "words"])
+
+    return run
 
 
 # Training: chains of gradient steps over documents dealt by their hash, so that neither the partitions nor the cluster matter.
 
 
-def _dealt(round_: int):
+_DEALT = "chain bigint, mark binary, sizes binary, codes binary"
+
+
+def _dealt(round_: int, chains: int, make: Callable[[], Classes]):
+    """Over units: the documents of a round by chain."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for u in _unit_rows(batches):
-            codes = ((u.codes & 63) | (u.codes >> 6 & 0x3FFFFFF) << 6).astype(np.uint32)[u.ids]
+        for u in _unit_rows(batches, make()):
+            codes = (u.codes & 0xFFFFFFFF).astype(np.uint32)[u.ids]  # class and 26 bits of the hash
             mine = np.flatnonzero(~u.held_out & (u.mark % ROUNDS == round_))
-            keys = []
-            for m in u.mark[mine].tolist():
-                keys.append((m + seen[m] // EQUAL_ROWS * 0x9E3779B9) % (1 << 62))
+            chain = u.mark[mine] // ROUNDS % chains
+            for k, m in enumerate(u.mark[mine].tolist()):  # many equal rows go on to other chains
+                chain[k] = (chain[k] + seen[m] // EQUAL_ROWS) % chains
                 seen[m] += 1
-            data = [codes[u.ends[k] - u.sizes[k] : u.ends[k]].tobytes() for k in mine]
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(u.mark[mine]), pa.array(data, pa.binary())], ["key", "mark", "codes"])
+            order = np.argsort(chain, kind="stable")
+            mine, chain = mine[order], chain[order]
+            first = np.flatnonzero(np.append(True, chain[1:] != chain[:-1])[: len(chain)])
+            rows = []
+            for of in np.split(mine, first[1:]) if len(mine) else ():
+                parts = np.concatenate([codes[u.ends[k] - u.sizes[k] : u.ends[k]] for k in of])
+                rows.append((u.mark[of].tobytes(), u.sizes[of].tobytes(), _packed(parts)))
+            if rows:
+                yield pa.record_batch([pa.array(chain[first]), *(pa.array(c, pa.binary()) for c in zip(*rows))], ["chain", "mark", "sizes", "codes"])
 
     return run
 
 
-def _coded_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            found = [np.frombuffer(b, np.uint32) for b in batch.slice(at, ROWS_AT_ONCE).column(0).to_pylist()]
-            yield np.concatenate(found).astype(np.int64), np.array([len(f) for f in found])
-
-
 _CHANGE = "block bigint, chain bigint, tokens double, data binary"
 
 
 def _chain(start):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        change, tokens = train(start.value, _coded_documents(batches))
-        if tokens:
-            width = -(-len(change) // BLOCKS)
-            parts = [(change[k * width : (k + 1) * width] * np.float32(tokens / 1e6)).tobytes() for k in range(BLOCKS)]
-            chain = TaskContext.get().partitionId()
-            yield pa.record_batch(
-                [pa.array(np.arange(BLOCKS)), pa.array([chain] * BLOCKS), pa.array([tokens / 1e6] * BLOCKS), pa.array(parts, pa.binary())],
-                ["block", "chain", "tokens", "data"],
-            )
+    """A chain's steps over its documents, in the order of their hashes."""
+
+    def run(dealt: pa.Table) -> pa.Table:
+        marks = np.concatenate([np.frombuffer(b, np.int64) for b in dealt["mark"].to_pylist()])
+        each = [np.frombuffer(b, np.int64) for b in dealt["sizes"].to_pylist()]
+        codes = np.concatenate([_unpacked(b, int(s.sum()), np.uint32) for b, s in zip(dealt["codes"].to_pylist(), each)])
+        sizes = np.concatenate(each)
+        first = np.cumsum(sizes) - sizes
+        order = np.lexsort((sizes, marks))
+
+        def found():
+            for at in range(0, len(order), ROWS_AT_ONCE):
+                part = order[at : at + ROWS_AT_ONCE].tolist()
+                yield np.concatenate([codes[first[k] : first[k] + sizes[k]] for k in part]).astype(np.int64), sizes[part]
+
+        change, tokens = train(start.value, found())
+        width = -(-len(change) // BLOCKS)
+        parts = [(change[k * width : (k + 1) * width] * np.float32(tokens / 1e6)).tobytes() for k in range(BLOCKS)]
+        chain = dealt["chain"][0].as_py()
+        columns = [pa.array(np.arange(BLOCKS)), pa.array([chain] * BLOCKS), pa.array([tokens / 1e6] * BLOCKS), pa.array(parts, pa.binary())]
+        return pa.table(columns, names=["block", "chain", "tokens", "data"])
 
     return run
 
@@ -486,11 +478,11 @@ def _add(found: pa.Table) -> pa.Table:
     return pa.table({"block": found["block"][:1], "chain": found["chain"][:1], "tokens": [tokens], "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def _trained(units: DataFrame, round_: int, weights: np.ndarray, chains: int) -> np.ndarray:
+def _trained(units: DataFrame, round_: int, weights: np.ndarray, chains: int, make: Callable[[], Classes]) -> np.ndarray:
     """The weights after a round: the mean of the chains' changes by their tokens, summed as a tree."""
     start = units.sparkSession.sparkContext.broadcast(weights)
-    dealt = units.mapInArrow(_dealt(round_), "key bigint, mark bigint, codes binary").repartition(chains, "key").sortWithinPartitions("mark")
-    found, left = dealt.select("codes").mapInArrow(_chain(start), _CHANGE), chains
+    dealt = units.mapInArrow(_dealt(round_, chains, make), _DEALT)
+    found, left = dealt.groupBy("chain").applyInArrow(_chain(start), _CHANGE), chains
     while True:
         found = found.withColumn("chain", F.floor(F.col("chain") / FAN_IN)).groupBy("block", "chain").applyInArrow(_add, _CHANGE)
         if (left := -(-left // FAN_IN)) <= 1:
@@ -504,11 +496,11 @@ def _trained(units: DataFrame, round_: int, weights: np.ndarray, chains: int) ->
 # The memory: counts of word pairs and of rare words, kept by shards; units ask for what they need.
 
 
-def _asked(shards: int):
+def _asked(shards: int, make: Callable[[], Classes]):
     names = ["shard", "unit", "keys", "counts", "groups", "words", "word_counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for u in _unit_rows(batches):
+        for u in _unit_rows(batches, make()):
             keys = u.pairs(shards)
             each, _ = _different(keys)
             own, n = _different(keys[u.learned])
@@ -516,7 +508,7 @@ def _asked(shards: int):
             counts[np.searchsorted(each, own)] = n
             cut = np.searchsorted(each >> np.uint64(37), np.arange(shards + 1, dtype=np.uint64))
             order, at = u.by_shard(shards)
-            learned = np.bincount(u.ids[u.learned], minlength=len(u.codes))[u.rare][order].astype(np.uint32)
+            learned = np.bincount(u.ids[u.learned], minlength=len(u.hashes))[u.rare][order].astype(np.uint32)
             words_ = u.words.take(pa.array(order))
             low, group = each.astype(np.uint32), (each >> np.uint64(32)).astype(np.int64) & (GROUPS - 1)
             rows = []
@@ -524,7 +516,7 @@ def _asked(shards: int):
                 a, b, c, d = cut[s], cut[s + 1], at[s], at[s + 1]
                 if a < b or c < d:
                     sizes = np.bincount(group[a:b], minlength=GROUPS).astype(np.uint32)
-                    rows.append((s, u.unit, low[a:b].tobytes(), counts[a:b].tobytes(), sizes.tobytes(), words_.slice(c, d - c), learned[c:d].tobytes()))
+                    rows.append((s, u.unit, low[a:b].tobytes(), _packed(counts[a:b]), sizes.tobytes(), words_.slice(c, d - c), learned[c:d].tobytes()))
             if rows:
                 of = list(zip(*rows))
                 offsets = np.cumsum([0, *map(len, of[5])]).astype(np.int32)
@@ -539,16 +531,17 @@ _ASKED = "shard bigint, unit bigint, keys binary, counts binary, groups binary,
 _TOLD = "unit bigint, shard bigint, counts binary, word_counts binary, tokens array<bigint>, again array<bigint>"
 
 
-def _joined(blobs: pa.ChunkedArray) -> tuple[np.ndarray, list[int]]:
-    found = [np.frombuffer(b, np.uint32) for b in blobs.to_pylist()]
+def _joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All of some arrays, and where to cut it."""
+    found = [np.frombuffer(b, np.uint32) for b in blobs]
     return np.concatenate(found), np.cumsum([len(f) for f in found])[:-1]
 
 
 def _told(asked: pa.Table) -> pa.Table:
     """A shard's sums for each unit that asks, and for the first one how many tokens of each group it has learned, and
     how many of them it has met more than once."""
-    keys, cut = _joined(asked["keys"])
-    counts, _ = _joined(asked["counts"])
+    keys, cut = _joined(asked["keys"].to_pylist())
+    counts = np.concatenate([_unpacked(b, n, np.uint32) for b, n in zip(asked["counts"].to_pylist(), np.diff(np.concatenate([[0], cut, [len(keys)]])).tolist())])
     each = np.concatenate([np.repeat(np.arange(GROUPS), np.frombuffer(b, np.uint32)) for b in asked["groups"].to_pylist()])
     different, place = np.unique(keys.astype(np.uint64) | each.astype(np.uint64) << np.uint64(32), return_inverse=True)
     total = np.bincount(place, counts, len(different)).astype(np.int64)
@@ -561,10 +554,10 @@ def _told(asked: pa.Table) -> pa.Table:
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     sizes = np.array([len(x) for x in lists])
     coded = lists.flatten().dictionary_encode()
-    word_counts, _ = _joined(asked["word_counts"])
+    word_counts, _ = _joined(asked["word_counts"].to_pylist())
     number = np.asarray(coded.indices)
     of_word = np.bincount(number, word_counts, len(coded.dictionary)).astype(np.uint32)[number]
-    blobs = [pa.array([p.tobytes() for p in np.split(x, c)], pa.binary()) for x, c in ((total[place].astype(np.uint32), cut), (of_word, np.cumsum(sizes)[:-1]))]
+    blobs = [pa.array([make(p) for p in np.split(x, c)], pa.binary()) for x, c, make in ((total[place].astype(np.uint32), cut, _packed), (of_word, np.cumsum(sizes)[:-1], np.ndarray.tobytes))]
     kind = pa.list_(pa.int64())
     return pa.table([asked["unit"], asked["shard"], *blobs, pa.array(stats[0], kind), pa.array(stats[1], kind)], names=[c.split()[0] for c in _TOLD.split(", ")])
 
@@ -572,14 +565,18 @@ def _told(asked: pa.Table) -> pa.Table:
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double"
 
 
-def _scored(shards: int, model):
+def _scored(shards: int, model, make: Callable[[], Classes]):
     """Over a unit and what the shards told it: a row for each document."""
 
     def run(unit: pa.Table, told: pa.Table) -> pa.Table:
         head, flat, log_mass, begins, share = model.value
-        u, told = next(_unit_rows(unit.to_batches())), told.sort_by("shard")
-        counts, _ = _joined(told["counts"])
-        rare, _ = _joined(told["word_counts"])
+        u, told = next(_unit_rows(unit.to_batches(), make())), told.sort_by("shard")
+        keys, before = u.pairs(shards), u.before()
+        different, _ = _different(keys)
+        at = np.searchsorted(different >> np.uint64(37), np.array(told["shard"].to_pylist(), np.uint64), "right")
+        sizes = np.diff(np.append(0, at)).tolist()
+        counts = np.concatenate([_unpacked(b, n, np.uint32) for b, n in zip(told["counts"].to_pylist(), sizes)])
+        rare, _ = _joined(told["word_counts"].to_pylist())
         rank = u.codes >> 38
         c = np.zeros(len(u.codes) + 1, np.int64)
         c[:-1][rank > 0] = head[rank[rank > 0] - 1]
@@ -591,12 +588,11 @@ def _scored(shards: int, model):
         p = np.log10(np.e) * np.concatenate([Weights(flat).log_target(History(codes[a:b], u.sizes[i:j])) for i, j, a, b in _stretches(u.sizes)])
         p += own - log_mass[codes & 63]
         # Where the word before was learned, what followed it has its share.
-        keys, before = u.pairs(shards), u.before()
-        met = counts[np.searchsorted(_different(keys)[0], keys)]
+        met = counts[np.searchsorted(different, keys)]
         part = np.where(c[before] > 0, share[u.group()[before]], 0.0)
         p = np.log10((1 - part) * 10.0**p + part * met / np.maximum(c[before], 1))
         sums = [np.bincount(doc, x, len(u.sizes)) for x in ((c[:-1] > 0)[u.ids], own, p)]
-        columns = [pa.array(u.doc_id, pa.int64()), pa.array(u.held_out), pa.array(u.sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+        columns = [u.doc_id.values, pa.array(u.held_out), pa.array(u.sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
         return pa.table(columns, names=[x.split()[0] for x in _SCORED.split(", ")])
 
     return run
@@ -616,8 +612,8 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     spark = df.sparkSession
     out = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 1, F.lit(False))
     docs = df.select(F.col(doc_id).alias("doc_id"), out.alias("held_out"), F.xxhash64(doc_id, text).bitwiseAND((1 << 62) - 1).alias("mark"), F.col(text).alias("text"))
-    training = docs.filter(~F.col("held_out"))
-    counted, counted_path = common.stored(training.select("text").mapInArrow(_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    units, _ = common.stored(docs.mapInArrow(_units, _UNIT), "units")
+    counted, counted_path = common.stored(units.mapInArrow(_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     is_pair = F.substring("word", 1, 1) == F.lit(_PAIR)
     vocabulary = counted.filter(~is_pair)
     total, distinct, begins = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("n"))), F.lit(0))).first()
@@ -635,8 +631,8 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     n = np.asarray(most["n"].combine_chunks())
     most = most["word"].to_pylist()
     order = sorted(range(len(most)), key=lambda k: (-n[k], most[k]))
-    head, head_counts = {most[k]: j for j, k in enumerate(order)}, n[order].astype(np.int64)
-    own = [w for w in islice(head, OWN + 1) if w != END][:OWN]
+    head, head_counts = [most[k] for k in order], n[order].astype(np.int64)
+    own = [w for w in head[: OWN + 1] if w != END][:OWN]
     pairs = counted.filter(is_pair).toArrow()  # at most ENDINGS squared rows
     near = np.zeros(ENDINGS * ENDINGS)
     near[[int.from_bytes(w[1:], "big") for w in pairs["word"].to_pylist()]] = np.asarray(pairs["n"].combine_chunks())
@@ -653,19 +649,19 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     for r in vocabulary.mapInArrow(_class_totals(make), "class bigint, n bigint, words bigint").groupBy("class").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():
         counts[r["class"]], sizes[r["class"]] = r["n"], r["words"]
     log_mass = np.log10(counts + 0.5 * (sizes + 1))
-    units, units_path = common.stored(docs.mapInArrow(_units(make), _UNIT), "units")
+    common.discard(spark, counted_path)
     weights = np.zeros(Weights().flat.size, np.float32)
     chains = max(1, -(-total // (ROUNDS * CHAIN_TOKENS)))
     for k in range(ROUNDS):
-        weights = _trained(units, k, weights, chains)
+        weights = _trained(units, k, weights, chains, make)
     shards = 1 << max(0, math.ceil(math.log2(max(total, 1) / SHARD_TOKENS)))
-    told, told_path = common.stored(units.mapInArrow(_asked(shards), _ASKED).groupBy("shard").applyInArrow(_told, _TOLD), "told")
+    told, _ = common.stored(units.mapInArrow(_asked(shards, make), _ASKED).groupBy("shard").applyInArrow(_told, _TOLD), "told")
     group = F.posexplode(F.arrays_zip("tokens", "again")).alias("group", "x")
     share = np.zeros(GROUPS)
     for r in told.filter(F.size("tokens") > 0).select(group).groupBy("group").agg(F.sum("x.tokens").alias("n"), F.sum("x.again").alias("again")).collect():
         share[r["group"]] = min(r["again"] / r["n"], MOST_MEMORY) if r["n"] else 0.0
     model = spark.sparkContext.broadcast((head_counts, weights, log_mass, begins, share))
-    rows = units.groupBy("unit").cogroup(told.select("unit", "shard", "counts", "word_counts").groupBy("unit")).applyInArrow(_scored(shards, model), _SCORED)
+    rows = units.groupBy("unit").cogroup(told.select("unit", "shard", "counts", "word_counts").groupBy("unit")).applyInArrow(_scored(shards, model, make), _SCORED)
     base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(total + 0.5 * (distinct + 1)))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 

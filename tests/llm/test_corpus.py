@@ -71,8 +71,8 @@ def test_language_model_sums_to_one():
     """Class probabilities times the shares within classes, over all known words and an unseen one of each class."""
     words = [b"the", b"cat", b"sat,", b"thing", b""]
     counts = np.array([9, 4, 2, 1, 3])
-    k = maxent.Classes(words[:2], np.arange(maxent.ENDINGS) % maxent.CLUSTERS, {})
-    of = np.array([k.of(w) for w in words])
+    k = maxent.Classes(words[:2], np.arange(maxent.ENDINGS) % maxent.CLUSTERS, [])
+    of = k.coded(words) & 63
     mass = np.bincount(of, counts, maxent.CLASSES) + 0.5 * (np.bincount(of, minlength=maxent.CLASSES) + 1)
     rng = np.random.default_rng(0)
     w = maxent.Weights(rng.normal(size=maxent.Weights().flat.size))
@@ -113,12 +113,13 @@ def test_sums_by_row(n):
     assert all(np.allclose(x, values[rows == r].sum(0), atol=1e-4) for r, x in zip(got, sums))
 
 
-def test_language_model_is_whole():
-    """64 classes, and pairs of endings up to four words apart."""
+def test_language_model_is_whole(monkeypatch):
+    """64 classes, and pairs of endings up to four words apart, within a document only."""
+    monkeypatch.setattr(maxent.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
     assert maxent.CLASSES == 64
     found = [b"one", b"two", b"six", b"ten", b"red"]
-    batch = pa.record_batch([pa.array([b" ".join(found).decode()])], ["text"])
-    rows = {w: n for b in maxent._counts(iter([batch])) for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist())}
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([False, True]), pa.array([5, 6]), pa.array([b" ".join(found).decode(), "one held out"])], ["doc_id", "held_out", "mark", "text"])
+    rows = {w: n for b in maxent._counts(maxent._units(iter([batch]))) for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist())}
     assert {w: n for w, n in rows.items() if w[:1] != b" "} == dict.fromkeys([*found, b""], 1)
     near = {divmod(int.from_bytes(w[1:], "big"), maxent.ENDINGS): n for w, n in rows.items() if w[:1] == b" "}
     e = [maxent.ending(w) for w in found]
@@ -131,7 +132,7 @@ def test_language_model_memory(spark, docs, monkeypatch):
     monkeypatch.setattr(maxent, "SHARD_TOKENS", 20000)
     model = []
     keep = maxent._scored
-    monkeypatch.setattr(maxent, "_scored", lambda shards, m: model.append((shards, m.value)) or keep(shards, m))
+    monkeypatch.setattr(maxent, "_scored", lambda shards, m, make: model.append((shards, m.value)) or keep(shards, m, make))
     df = spark.createDataFrame(list(zip(docs.doc_id.tolist(), docs.text)), "doc_id bigint, text string")
     runs = [{r.doc_id: r for r in maxent.score(df.repartition(n)).collect()} for n in (1, 2, 8)]
     for other in runs[1:]:
