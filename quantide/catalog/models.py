@@ -8,7 +8,6 @@ from ..functions import scalars as X
 from ..operators import features, linear, pricing, rolling as R, scoring, seasonality
 from ..plans import series
 from . import twin as S
-from .windows import w04
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -137,10 +136,8 @@ add("A31_feature_importance", _importance)
 def evaluation(spark, sf_dir, least: int = 3):
     """Prices of every row of well-filled periods from the variance that came, and their scores' inputs. Rows stand for
     seconds, so the variance is that of as many rows as the period still has."""
-    rows = pricing.labelled(series.price_table(spark, sf_dir), least)
-    last = rows.groupBy("period_start").agg(F.max("rn").alias("_last"))
-    rows = rows.join(last, "period_start").withColumn("steps", F.col("_last") - F.col("rn")).filter("steps > 0")
-    return pricing.priced(pricing.with_future_variance(rows, w04(spark, sf_dir)))
+    base = R.prefix_sums(series.base_table(spark, sf_dir), {"prefix": F.col("s_rv")})
+    return pricing.priced(pricing.with_future_variance(pricing.labelled(base, least)))
 
 
 def _cdf(x: str) -> str:
@@ -150,7 +147,7 @@ def _cdf(x: str) -> str:
 
 
 _V = "greatest(greatest(q2.prefix - q1.prefix, 0), (900 - x.into_) * 1e-10)"
-_EVAL = f"""WITH {S.BASE}, q AS (SELECT rn, round(sum(coalesce(s_rv, 0)) OVER (ORDER BY rn), 8) AS prefix FROM base),
+_EVAL = f"""WITH {S.BASE}, q AS (SELECT rn, sum(coalesce(s_rv, 0)) OVER (ORDER BY rn) AS prefix FROM base),
 per AS (SELECT time_bucket(INTERVAL 15 MINUTE, sec) AS ps, arg_min(s_mid, sec) AS strike, arg_max(s_mid, sec) AS end_price, count(s_mid) AS k, max(rn) AS last FROM base GROUP BY 1),
 x AS (SELECT base.rn, s_mid, ps, strike, CASE WHEN end_price > strike THEN 1.0 ELSE 0.0 END::DOUBLE AS y, last, (epoch_us(sec) - epoch_us(ps)) // 1000000 AS into_ FROM base JOIN per ON time_bucket(INTERVAL 15 MINUTE, sec) = ps WHERE k >= 3 AND last > base.rn),
 v AS (SELECT x.*, {_V} AS v FROM x JOIN q q1 ON q1.rn = x.rn JOIN q q2 ON q2.rn = x.last),

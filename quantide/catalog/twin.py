@@ -21,7 +21,7 @@ def _inst(template: str) -> str:
 
 
 QUOTES = """quotes AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 's' WHEN event_type IN ('purchase', 'signup') THEN 'p' ELSE 'c' END AS inst,
-  ts AS received_time, event_id, value AS bid, value * 1.001 AS ask, 1.0::DOUBLE + event_id % 97 AS bid_size, 1.0::DOUBLE + user_id % 53 AS ask_size FROM events)"""
+  ts AS received_time, event_id, value AS bid, value * (1.001::DOUBLE + (event_id % 7)::DOUBLE * 0.0001::DOUBLE) AS ask, 1.0::DOUBLE + event_id % 97 AS bid_size, 1.0::DOUBLE + user_id % 53 AS ask_size FROM events)"""
 
 LAST = (
     QUOTES

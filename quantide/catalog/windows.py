@@ -65,15 +65,13 @@ register("W14_lead", lambda df: df.withColumn("next5", F.lead("s_mid", 5).over(R
 register("W17_forward_sum", lambda df: df.withColumn("fwd", R.forward_sum(F.col("s_rv"), 60)), 4, {"fwd": "CASE WHEN count(s_rv) OVER (ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) = 60 THEN sum(s_rv) OVER (ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) END"}, after=60)
 
 
-def w04(spark, sf_dir):
-    """Running sum of a whole column: within days, plus the days before."""
-    from pyspark.sql import Window
+def prefixes(spark, sf_dir):
+    """rn and the running sum of s's variance, not rounded."""
+    return R.prefix_sums(series.base_table(spark, sf_dir), {"prefix": F.col("s_rv")}, 1024).select("rn", "prefix")
+
 
-    df = series.base_table(spark, sf_dir).select("rn", F.coalesce("s_rv", F.lit(0.0)).alias("v"), F.floor(F.col("rn") / 1024).alias("c"))
-    ends = df.groupBy("c").agg(F.sum("v").alias("t"))
-    base = ends.select("c", (F.sum("t").over(Window.orderBy("c")) - F.col("t")).alias("b"))
-    inner = F.sum("v").over(Window.partitionBy("c").orderBy("rn"))
-    return S.rounded(df.join(base, "c").select("rn", (F.col("b") + inner).alias("prefix")))
+def w04(spark, sf_dir):
+    return S.rounded(prefixes(spark, sf_dir))
 
 
 QUERIES["W04_prefix_sum"] = w04
@@ -287,20 +285,20 @@ QUERIES["T43_spectral_bands"] = t43
 
 def t53(spark, sf_dir):
     """Targets at a horizon that each row has for itself, as a difference of running sums joined by row number."""
-    df = w04(spark, sf_dir)
+    df = prefixes(spark, sf_dir)
     h = (F.pmod(F.col("rn") * 7919, F.lit(900)) + 1).cast("long")
     ahead = df.select((F.col("rn")).alias("to"), F.col("prefix").alias("later"))
     return S.rounded(df.withColumn("h", h).withColumn("to", F.col("rn") + F.col("h")).join(ahead, "to").select("rn", "h", F.ln(F.greatest(F.col("later") - F.col("prefix"), F.lit(0.0)) + X.EPS).alias("target")))
 
 
 QUERIES["T53_horizon_target"] = QUERIES["J13_prefix_difference_join"] = t53
-_T53 = f"WITH {S.BASE}, q AS (SELECT rn, round(sum(coalesce(s_rv, 0)) OVER (ORDER BY rn), 8) AS prefix FROM base) SELECT a.rn, (a.rn * 7919) % 900 + 1 AS h, round(ln(greatest(b.prefix - a.prefix, 0) + 1e-12), 8) AS target FROM q a JOIN q b ON b.rn = a.rn + (a.rn * 7919) % 900 + 1"
+_T53 = f"WITH {S.BASE}, q AS (SELECT rn, sum(coalesce(s_rv, 0)) OVER (ORDER BY rn) AS prefix FROM base) SELECT a.rn, (a.rn * 7919) % 900 + 1 AS h, round(ln(greatest(b.prefix - a.prefix, 0) + 1e-12), 8) AS target FROM q a JOIN q b ON b.rn = a.rn + (a.rn * 7919) % 900 + 1"
 ORACLES["T53_horizon_target"] = ORACLES["J13_prefix_difference_join"] = _T53
 
 
 def t54(spark, sf_dir, lookback: int = 16):
     """Positional features of lookback windows at a stride: k/L, what is left, its root, log1p, and the variance so far."""
-    p = w04(spark, sf_dir)
+    p = prefixes(spark, sf_dir)
     ends = p.filter((F.col("rn") >= lookback) & (F.pmod("rn", F.lit(64)) == 0)).select(F.col("rn").alias("t"))
     rows = ends.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(lookback - 1)))).withColumn("rn", F.col("t") - lookback + F.col("k"))
     first = p.select((F.col("rn") + lookback).alias("t"), F.col("prefix").alias("p0"))
@@ -310,7 +308,7 @@ def t54(spark, sf_dir, lookback: int = 16):
 
 
 QUERIES["T54_positional_features"] = QUERIES["T55_lookback_cumulative"] = t54
-ORACLES["T54_positional_features"] = ORACLES["T55_lookback_cumulative"] = f"""WITH {S.BASE}, q AS (SELECT rn, round(sum(coalesce(s_rv, 0)) OVER (ORDER BY rn), 8) AS prefix FROM base),
+ORACLES["T54_positional_features"] = ORACLES["T55_lookback_cumulative"] = f"""WITH {S.BASE}, q AS (SELECT rn, sum(coalesce(s_rv, 0)) OVER (ORDER BY rn) AS prefix FROM base),
 e AS (SELECT rn AS t, unnest(range(0, 16)) AS k FROM q WHERE rn >= 16 AND rn % 64 = 0)
 SELECT t, k::INT AS k, k / 16 AS pos, (16.0 - k) / 16 AS left, round(sqrt((16.0 - k) / 16), 8) AS root, round(ln(1 + (16.0 - k) / 16), 8) AS log1p, round(ln(greatest(a.prefix - b.prefix, 0) + 1e-12), 8) AS log_cum_rv
 FROM e JOIN q a ON a.rn = t - 16 + k JOIN q b ON b.rn = t - 16"""

@@ -17,7 +17,8 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     inst = F.when(F.col("event_type").isin("click", "view"), "s").when(F.col("event_type").isin("purchase", "signup"), "p").otherwise("c")
     return e.select(
-        inst.alias("inst"), F.col("ts").cast("timestamp_ntz").alias("received_time"), "event_id", F.col("value").alias("bid"), (F.col("value") * 1.001).alias("ask"),
+        inst.alias("inst"), F.col("ts").cast("timestamp_ntz").alias("received_time"), "event_id", F.col("value").alias("bid"),
+        (F.col("value") * (1.001 + (F.col("event_id") % 7).cast("double") * 0.0001)).alias("ask"),
         (1.0 + F.col("event_id") % 97).alias("bid_size"), (1.0 + F.col("user_id") % 53).alias("ask_size"),
     )
 
@@ -52,6 +53,16 @@ def merged(bars: DataFrame, insts: tuple[str, ...] = ("s", "p", "c"), fields: tu
     return bars.groupBy("sec").agg(*pick)
 
 
+def merged_quotes(q: DataFrame, insts: tuple[str, ...] = ("s", "p", "c")) -> DataFrame:
+    """merged(last_per_second(q)) in one shuffle."""
+    order, value = F.struct("received_time", "event_id"), F.struct(*FIELDS)
+    last = [F.max_by(value, F.when(F.col("inst") == i, order)).alias(f"_{i}") for i in insts]
+    count = [F.count(F.when(F.col("inst") == i, 1)).alias(f"_{i}_n") for i in insts]
+    wide = q.groupBy(second("received_time").alias("sec")).agg(*last, *count)
+    fields = [c for i in insts for c in (*(F.col(f"_{i}")[f].alias(f"{i}_{f}") for f in FIELDS), F.when(F.col(f"_{i}_n") > 0, F.col(f"_{i}_n")).alias(f"{i}_n_ticks"))]
+    return wide.select("sec", *fields)
+
+
 def outer_merged(left: DataFrame, right: DataFrame, key: str = "sec") -> DataFrame:
     """Full outer join with the key coalesced."""
     return left.join(right, key, "full_outer")
@@ -122,7 +133,14 @@ def grid(q: DataFrame, step: int = 1) -> DataFrame:
     unit = step * 1_000_000
     ends = q.groupBy("inst", "seg_id").agg(F.min(micros("received_time")).alias("a"), F.max(micros("received_time")).alias("b"))
     up = lambda c: (F.ceil(F.col(c) / unit) * unit).cast("long")
-    return ends.select("inst", "seg_id", F.explode(F.sequence(up("a"), up("b"), F.lit(unit))).alias("m")).select("inst", "seg_id", F.timestamp_micros("m").cast("timestamp_ntz").alias("grid_time"))
+    # Days first, in any task, then the steps of a day: no array is longer than a day.
+    day = 86_400_000_000
+    days = ends.select("inst", "seg_id", up("a").alias("a"), up("b").alias("b")).withColumn("d", F.explode(F.sequence(F.floor(F.col("a") / day), F.floor(F.col("b") / day))))
+    dealt = days.repartition("inst", "d")
+    first = F.greatest("a", (F.ceil(F.col("d") * day / unit) * unit).cast("long"))
+    last = F.least("b", (F.col("d") + 1) * day - 1)
+    steps = dealt.withColumn("_a", first).withColumn("_b", last).filter("_a <= _b").select("inst", "seg_id", F.explode(F.sequence("_a", "_b", F.lit(unit))).alias("m"))
+    return steps.select("inst", "seg_id", F.timestamp_micros("m").cast("timestamp_ntz").alias("grid_time"))
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, tie: str, fields: list[str]) -> DataFrame:
@@ -151,9 +169,23 @@ def resampled(q: DataFrame, step: int = 1, gap: int = GAP_SECONDS) -> DataFrame:
 
 def bars(q: DataFrame) -> DataFrame:
     """The merged, filled table of all seconds with rn; c_has_update is 1 where instrument c had a quote."""
-    wide = merged(last_per_second(q)).withColumn("c_has_update", F.col("c_bid").isNotNull().cast("double"))
+    wide = merged_quotes(q).withColumn("c_has_update", F.col("c_bid").isNotNull().cast("double")).withColumn("_day", F.to_date("sec"))
     fields = [f"{i}_{f}" for i in ("s", "p", "c") for f in (*FIELDS, "n_ticks")]
-    return indexed(filled(wide, fields))
+    # A row for each day: its size, and each column's first and last value; what comes before and after days is carried.
+    at = {c: F.when(F.col(c).isNotNull(), F.col("sec")) for c in fields}
+    ends = wide.groupBy("_day").agg(
+        F.count("*").alias("_size"), *(F.max_by(c, at[c]).alias(f"_last_{c}") for c in fields), *(F.min_by(c, at[c]).alias(f"_first_{c}") for c in fields)
+    )
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = ends.select(
+        "_day", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"), F.sum("_size").over(every).alias("n"),
+        *(F.coalesce(F.last(f"_last_{c}", True).over(before), F.first(f"_first_{c}", True).over(every)).alias(f"_{c}") for c in fields),
+    )
+    day = Window.partitionBy("_day").orderBy("sec")
+    met = wide.join(carried, "_day")
+    value = {c: F.coalesce(F.last(c, True).over(day.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"_{c}")) for c in fields}
+    return met.withColumns(value | {"rn": F.row_number().over(day) - 1 + F.col("_base")}).drop("_day", "_base", *(f"_{c}" for c in fields))
 
 
 def mid(bid: Column, ask: Column) -> Column:

@@ -20,18 +20,18 @@ def periods(df: DataFrame, seconds: int = PERIOD, price: str = "s_mid") -> DataF
 
 def labelled(df: DataFrame, least: int, seconds: int = PERIOD, price: str = "s_mid") -> DataFrame:
     """Rows of periods with at least `least` rows: with period_start, strike, end_price, label, and seconds_left."""
-    p = periods(df, seconds, price).filter(F.col("n") >= least)
+    p = periods(df, seconds, price).filter(F.col("n") >= least).drop("n")
     rows = df.withColumn("period_start", bars.truncated("sec", seconds)).join(p, "period_start")
     into = ((bars.micros("sec") - bars.micros("period_start")) / 1_000_000).cast("long")
     return rows.withColumns({"label": (F.col("end_price") > F.col("strike")).cast("double"), "into": into, "seconds_left": F.lit(seconds) - into})
 
 
-def with_future_variance(rows: DataFrame, prefix: DataFrame, steps: str = "steps") -> DataFrame:
-    """Realised variance of the next `steps` rows as a difference of running sums, joined by row number."""
-    a = prefix.select("rn", F.col("prefix").alias("_now"))
-    b = prefix.select(F.col("rn").alias("_to"), F.col("prefix").alias("_then"))
-    met = rows.join(a, "rn").withColumn("_to", F.col("rn") + F.col(steps)).join(b, "_to")
-    return met.withColumn("variance", F.greatest(F.col("_then") - F.col("_now"), F.lit(0.0))).drop("_to", "_now", "_then")
+def with_future_variance(rows: DataFrame, prefix: str = "prefix", period: str = "period_start") -> DataFrame:
+    """The realised variance of the rows that the period still has, as a difference of running sums: the period's last one
+    comes by the period, not by row number. The last row of a period has nothing ahead and goes."""
+    last = rows.groupBy(period).agg(F.max("rn").alias("_last"), F.max_by(prefix, "rn").alias("_then"))
+    met = rows.join(last, period).filter("rn < _last")
+    return met.withColumn("variance", F.greatest(F.col("_then") - F.col(prefix), F.lit(0.0))).drop("_last", "_then")
 
 
 def priced(rows: DataFrame, spot: str = "s_mid", strike: str = "strike", variance: str = "variance", left: str = "seconds_left") -> DataFrame:

@@ -129,9 +129,28 @@ def maxima(df: DataFrame, wanted: dict[str, tuple[Column, int]], direct: int = D
     return df
 
 
-def ewma(df: DataFrame, wanted: dict[str, tuple[str, float]], chunk: int = CHUNK) -> DataFrame:
-    """Exponentially weighted means by half-life in rows, y0 = x0, of whole columns. The recursion is linear, so chunks
-    are independent: each gives its own response from zero, and a row for each chunk carries the state over."""
+def prefix_sums(df: DataFrame, wanted: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
+    """df with the running sum of each expression (missing as 0) from the first row on. Sums of chunks are carried in two
+    levels, so that the one task that sees the upper one gets a row for each chunk squared rows."""
+    own = df.withColumn("_chunk", F.floor(F.col("rn") / chunk)).withColumns({f"_v_{k}": F.coalesce(x, F.lit(0.0)) for k, x in wanted.items()})
+    upper = F.floor(F.col("_chunk") / chunk).alias("_upper")
+    totals = own.groupBy(upper, "_chunk").agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in wanted))
+
+    def earlier(w: Window) -> list[Column]:
+        return [F.coalesce(F.sum(f"_t_{k}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(f"_b_{k}") for k in wanted]
+
+    tops = totals.groupBy("_upper").agg(*(F.sum(f"_t_{k}").alias(f"_t_{k}") for k in wanted)).select(F.col("_upper").alias("_top"), *(c.alias(f"_a_{k}") for c, k in zip(earlier(Window.orderBy("_upper")), wanted)))
+    lower = totals.select("_upper", "_chunk", *earlier(Window.partitionBy("_upper").orderBy("_chunk")))
+    base = lower.join(tops, F.col("_upper") == F.col("_top")).select("_chunk", *((F.col(f"_a_{k}") + F.col(f"_b_{k}")).alias(f"_b_{k}") for k in wanted))
+    run = order().rowsBetween(Window.unboundedPreceding, 0)
+    met = own.join(base, "_chunk")
+    return met.withColumns({k: F.col(f"_b_{k}") + F.sum(f"_v_{k}").over(run) for k in wanted}).drop("_chunk", *(f"_{p}_{k}" for p in "vb" for k in wanted))
+
+
+def ewma(df: DataFrame, wanted: dict[str, tuple[str, float]], chunk: int = CHUNK, group: int = 4096) -> DataFrame:
+    """Exponentially weighted means by half-life in rows, y0 = x0, of whole columns. The recursion is linear: a chunk of rows
+    gives its own response from zero and what it leaves of the state before it. Chunks are composed the same way within
+    groups, and groups within one last task, which gets a row for each group times chunk rows."""
     import numpy as np
     import pandas as pd
 
@@ -149,16 +168,30 @@ def ewma(df: DataFrame, wanted: dict[str, tuple[str, float]], chunk: int = CHUNK
             out[k] = pd.concat([pd.Series([start]), x * 1.0]).ewm(alpha=alpha[k], adjust=False).mean().iloc[1:].to_numpy()
         return out
 
-    own = cut.select("rn", "_chunk", *{c for c, _ in wanted.values()}).groupBy("_chunk").applyInPandas(run, schema)
-    ends = own.groupBy("_chunk").agg(*(F.max_by(k, "rn").alias(f"_e_{k}") for k in names), F.count("*").alias("_n"))
-    # State at a chunk's end: its own response plus what is left of the state before; a fold over one row a chunk.
-    w = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    state = ends.withColumn("_past", F.collect_list(F.struct("_n", *(f"_e_{k}" for k in names))).over(w))
+    states = ", ".join(f"_s_{k} double, _d_{k} double" for k in names)
+
+    def composed(key: str):
+        """(key, state and rest before it, from a state of zero) and, as a row of key -1 - group, those at the end."""
 
-    def step(k: str):
-        return lambda acc, x: acc * F.pow(F.lit(1 - alpha[k]), x["_n"]) + x[f"_e_{k}"]
+        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(key)
+            out = {key: pdf[key].tolist() + [-1 - int(pdf["_group"].iloc[0])]}
+            for k in names:
+                s, d, before = 0.0, 1.0, []
+                for e, rest in zip(pdf[f"_s_{k}"], pdf[f"_d_{k}"]):
+                    before.append((s, d))
+                    s, d = s * rest + e, d * rest
+                out[f"_s_{k}"], out[f"_d_{k}"] = zip(*before, (s, d))
+            return pd.DataFrame(out)
 
-    fold = [F.aggregate("_past", F.lit(0.0), step(k)).alias(f"_s_{k}") for k in names]
-    met = own.join(F.broadcast(state.select("_chunk", *fold)), "_chunk")
+        return fold
+
+    own = cut.select("rn", "_chunk", *{c for c, _ in wanted.values()}).groupBy("_chunk").applyInPandas(run, schema)
+    ends = own.groupBy("_chunk").agg(*(c for k in names for c in (F.max_by(k, "rn").alias(f"_s_{k}"), F.pow(F.lit(1 - alpha[k]), F.count("*")).alias(f"_d_{k}"))))
+    lower = ends.withColumn("_group", F.floor(F.col("_chunk") / group)).groupBy("_group").applyInPandas(composed("_chunk"), f"_chunk bigint, {states}")
+    tops = lower.filter("_chunk < 0").withColumn("_chunk", -1 - F.col("_chunk")).withColumn("_group", F.lit(0)).groupBy("_group").applyInPandas(composed("_chunk"), f"_chunk bigint, {states}")
+    tops = tops.filter("_chunk >= 0").select(F.col("_chunk").alias("_group"), *(F.col(f"_s_{k}").alias(f"_u_{k}") for k in names))
+    state = lower.filter("_chunk >= 0").withColumn("_group", F.floor(F.col("_chunk") / group)).join(tops, "_group")
+    state = state.select("_chunk", *((F.col(f"_s_{k}") + F.col(f"_d_{k}") * F.col(f"_u_{k}")).alias(f"_s_{k}") for k in names))
     steps = F.col("rn") - F.col("_chunk") * chunk + 1
-    return met.select("rn", *((F.col(k) + F.col(f"_s_{k}") * F.pow(F.lit(1 - alpha[k]), steps)).alias(k) for k in names))
+    return own.join(state, "_chunk").select("rn", *((F.col(k) + F.col(f"_s_{k}") * F.pow(F.lit(1 - alpha[k]), steps)).alias(k) for k in names))

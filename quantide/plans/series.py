@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import bars, features, rolling
+from ..sources import io
 
 
 def bar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars.bars(bars.quotes(spark, sf_dir))
+    """The numbered bars, written once to the shared folder: everything else of a query starts from that table."""
+    return io.stored(bars.bars(bars.quotes(spark, sf_dir)))
 
 
 def price_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,11 +15,22 @@ LEVEL1 = {"bid": "p_bid_0_price", "bid_size": "p_bid_0_size", "ask": "p_ask_0_pr
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder that driver and executors share: below spark.checkpoint.dir. Where none is set a local master, as in
+    tests, gets one of its own; a cluster has to name one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written once and read again, so that what follows doesn't compute it anew."""
+    df.write.option("compression", "zstd").parquet(path := scratch(df.sparkSession))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_level1(spark: SparkSession, path: str, start: str, end: str, instruments: list[str]) -> DataFrame:
     """Quotes of a table that write_level1() made; instruments and days prune folders, the times prune row groups."""
     day = F.col("day").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
