@@ -146,8 +146,8 @@ def _cdf(x: str) -> str:
     return c(x)
 
 
-_V = "greatest(greatest(q2.prefix - q1.prefix, 0), (900 - x.into_) * 1e-10)"
-_EVAL = f"""WITH {S.BASE}, q AS (SELECT rn, sum(coalesce(s_rv, 0)) OVER (ORDER BY rn) AS prefix FROM base),
+_V = "greatest(greatest((q2.prefix - q1.prefix)::DOUBLE, 0), (900 - x.into_) * 1e-10)"
+_EVAL = f"""WITH {S.BASE}, q AS (SELECT rn, sum(coalesce(s_rv, 0)::DECIMAL(38, 18)) OVER (ORDER BY rn) AS prefix FROM base),
 per AS (SELECT time_bucket(INTERVAL 15 MINUTE, sec) AS ps, arg_min(s_mid, sec) AS strike, arg_max(s_mid, sec) AS end_price, count(s_mid) AS k, max(rn) AS last FROM base GROUP BY 1),
 x AS (SELECT base.rn, s_mid, ps, strike, CASE WHEN end_price > strike THEN 1.0 ELSE 0.0 END::DOUBLE AS y, last, (epoch_us(sec) - epoch_us(ps)) // 1000000 AS into_ FROM base JOIN per ON time_bucket(INTERVAL 15 MINUTE, sec) = ps WHERE k >= 3 AND last > base.rn),
 v AS (SELECT x.*, {_V} AS v FROM x JOIN q q1 ON q1.rn = x.rn JOIN q q2 ON q2.rn = x.last),

@@ -125,9 +125,17 @@ add("P28_named_projection", lambda s, d: series.base_table(s, d).select("sec", *
 # Joins -----------------------------------------------------------------------------------------------------------------
 
 _SEG = Q + ", d AS (SELECT *, received_time - lag(received_time) OVER (PARTITION BY inst ORDER BY received_time, event_id) > INTERVAL 30 MINUTE AS j FROM quotes), seg AS (SELECT *, sum(CASE WHEN j THEN 1 ELSE 0 END) OVER (PARTITION BY inst ORDER BY received_time, event_id) AS seg_id FROM d)"
-_GRID = _SEG + ", ends AS (SELECT inst, seg_id, (epoch_us(min(received_time)) + 599999999) // 600000000 * 600000000 AS a, (epoch_us(max(received_time)) + 599999999) // 600000000 * 600000000 AS b FROM seg GROUP BY ALL), grid AS (SELECT inst, seg_id, make_timestamp(unnest(range(a, b + 1, 600000000))) AS grid_time FROM ends)"
-_ASOF = _GRID + ", t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY inst, seg_id, received_time ORDER BY event_id DESC) AS k FROM seg) WHERE k = 1)"
-add("J01_asof_join", lambda s, d: bars.resampled(q(s, d), 600).select("inst", "seg_id", "grid_time", "bid", "ask"), _ASOF + f" SELECT grid.inst, grid.seg_id, grid_time, {_r(bid='t.bid', ask='t.ask')} FROM grid ASOF LEFT JOIN t ON grid.inst = t.inst AND grid.seg_id = t.seg_id AND grid.grid_time >= t.received_time")
+_GRID = _SEG + ", ends AS (SELECT inst, seg_id, (epoch_us(min(received_time)) + 999999) // 1000000 * 1000000 AS a, (epoch_us(max(received_time)) + 999999) // 1000000 * 1000000 AS b FROM seg GROUP BY ALL), grid AS (SELECT inst, seg_id, make_timestamp(unnest(range(a, b + 1, 1000000))) AS grid_time FROM ends)"
+_ASOF = _GRID + ", t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY inst, seg_id, received_time ORDER BY event_id DESC) AS k FROM seg) WHERE k = 1), found AS (SELECT grid.inst, grid.seg_id, grid_time, time_bucket(INTERVAL 10 MINUTE, grid_time) AS period, t.bid, t.ask FROM grid ASOF LEFT JOIN t ON grid.inst = t.inst AND grid.seg_id = t.seg_id AND grid.grid_time >= t.received_time)"
+
+
+def _by_period(df, *columns):
+    """What a grid of seconds has in each ten minutes, from every row of it."""
+    return df.groupBy("inst", "seg_id", bars.truncated("grid_time", 600).alias("period")).agg(F.count("*").alias("n"), *columns)
+
+
+add("J01_asof_join", lambda s, d: _by_period(bars.resampled(q(s, d)), F.count("bid").alias("found"), F.avg("bid").alias("bid"), F.min("ask").alias("low"), F.max("ask").alias("high"), F.max_by("bid", "grid_time").alias("last")),
+    _ASOF + f" SELECT inst, seg_id, period, count(*) AS n, count(bid) AS found, {_r(bid='avg(bid)', low='min(ask)', high='max(ask)', last='arg_max(bid, grid_time)')} FROM found GROUP BY ALL")
 
 
 def _outer(s, d):
@@ -189,7 +197,8 @@ _AGG = f"WITH {S.BASE}, y AS (SELECT *, time_bucket(INTERVAL 1 HOUR, sec) AS per
 add("A03_period_variance", _minute, _AGG, "A04_conditional_sums", "A05_period_bipower", "A06_last_mid", "G06_aggregate_v1")
 add("A08_period_ohlc", per, _PER + f" SELECT period_start, {_r(strike='strike', end_price='end_price')}, n FROM per")
 add("A09_count_distinct", lambda s, d: series.price_table(s, d).agg(F.countDistinct(bars.truncated("sec", 900)).alias("n")), f"WITH {S.PRICES} SELECT count(DISTINCT time_bucket(INTERVAL 15 MINUTE, sec)) AS n FROM prices")
-add("A10_sampled_periods", lambda s, d: per(s, d).select("period_start").orderBy(F.xxhash64("period_start")).limit(20), None)
+_us = lambda c: bars.micros(c).cast("string")
+add("A10_sampled_periods", lambda s, d: per(s, d).select("period_start").orderBy(F.md5(_us("period_start").cast("binary"))).limit(20), _PER + " SELECT period_start FROM per ORDER BY md5(epoch_us(period_start)::VARCHAR) LIMIT 20")
 
 # A forecast to score: hour label from the last half hour's move; everything below is on these rows.
 _PR = f"WITH {S.PRICES}, pr AS (SELECT rn, sec, minute(sec) % 15 AS m, hour(sec) AS hr, s_obi / 2 + 0.5 AS p, p_obi / 2 + 0.5 AS p2, CASE WHEN lead(s_mid, 30) OVER (ORDER BY rn) > s_mid THEN 1.0 ELSE 0.0 END AS y0, lead(s_mid, 30) OVER (ORDER BY rn) AS l FROM prices), f AS (SELECT * REPLACE (sec AS sec), y0::DOUBLE AS y FROM pr WHERE l IS NOT NULL)"
@@ -278,8 +287,20 @@ add("O01_time_sort", lambda s, d: q(s, d).orderBy("received_time", "event_id").s
 add("O03_head_tail", lambda s, d: series.bar_table(s, d).filter(F.col("rn") >= F.col("n") - F.floor(F.col("n") * 0.1)).select("rn"), f"WITH {S.BARS} SELECT rn FROM bars WHERE rn >= n - floor(n * 0.1::DOUBLE)")
 add("O04_top_k", lambda s, d: bars.last_per_second(q(s, d)).orderBy(F.desc("bid"), "inst", "sec").limit(10).select("inst", "sec", "bid"), f"WITH {S.LAST} SELECT inst, sec, {_r(bid='bid')} FROM bars1 ORDER BY bars1.bid DESC, inst, sec LIMIT 10")
 add("O05_union_all", lambda s, d: q(s, d).filter("inst = 's'").select("inst", "event_id").unionByName(q(s, d).filter("inst = 'p'").select("inst", "event_id")), Q + "SELECT inst, event_id FROM quotes WHERE inst = 's' UNION ALL SELECT inst, event_id FROM quotes WHERE inst = 'p'")
-add("O07_epoch_permutation", lambda s, d: series.bar_table(s, d).select("rn", F.row_number().over(Window.partitionBy(F.floor(F.col("rn") / 4096)).orderBy(F.xxhash64("rn", F.lit(1)))).alias("place")), None)
-add("O08_hash_sample", lambda s, d: series.bar_table(s, d).select("rn").orderBy(F.xxhash64("rn", F.lit(42))).limit(200), None)
+
+
+def _permuted(s, d, epoch: int = 1):
+    """Every row's place in an epoch's order, that of a hash: places within a hash's first digits, after those before."""
+    df = series.bar_table(s, d).select("rn", F.md5(F.concat_ws(":", F.col("rn").cast("string"), F.lit(str(epoch))).cast("binary")).alias("h"))
+    df = df.withColumn("b", F.substring("h", 1, 3))
+    sizes = df.groupBy("b").agg(F.count("*").alias("k"))  # 4096 rows
+    base = sizes.select("b", (F.sum("k").over(Window.orderBy("b")) - F.col("k")).alias("base"))
+    inner = F.row_number().over(Window.partitionBy("b").orderBy("h", "rn"))
+    return df.join(F.broadcast(base), "b").select("rn", (F.col("base") + inner).alias("place"))
+
+
+add("O07_epoch_permutation", _permuted, f"WITH {S.BARS} SELECT rn, row_number() OVER (ORDER BY md5(rn || ':1'), rn) AS place FROM bars")
+add("O08_hash_sample", lambda s, d: series.bar_table(s, d).select("rn").orderBy(F.md5(F.concat(F.col("rn").cast("string"), F.lit(":42")).cast("binary"))).limit(200), f"WITH {S.BARS} SELECT rn FROM bars ORDER BY md5(rn || ':42') LIMIT 200")
 add("O09_distinct", lambda s, d: series.bar_table(s, d).select(F.to_date("sec").alias("day")).distinct(), f"WITH {S.BARS} SELECT DISTINCT sec::DATE AS day FROM bars")
 add("O10_explode_horizons", lambda s, d: series.bar_table(s, d).select("rn", F.explode(F.array(*(F.lit(h) for h in (60, 300, 900)))).alias("h")), f"WITH {S.BARS} SELECT rn, unnest([60, 300, 900])::INT AS h FROM bars")
 add("O11_batches", lambda s, d: series.bar_table(s, d).select("rn", "n", F.floor(F.col("rn") / 64).alias("batch")).filter((F.col("batch") + 1) * 64 <= F.col("n")).select("rn", "batch"), f"WITH {S.BARS} SELECT rn, rn // 64 AS batch FROM bars WHERE (rn // 64 + 1) * 64 <= n")
@@ -288,7 +309,9 @@ add("O11_batches", lambda s, d: series.bar_table(s, d).select("rn", "n", F.floor
 
 add("G01_segments", lambda s, d: bars.segmented(q(s, d)).select("inst", "event_id", "seg_id"), _SEG + " SELECT inst, event_id, seg_id FROM seg")
 add("G02_gap_report", lambda s, d: bars.gaps(q(s, d)), _SEG.replace("AS j FROM", "AS j, lag(received_time) OVER (PARTITION BY inst ORDER BY received_time, event_id) AS pv FROM") + " SELECT inst, pv AS gap_start, received_time AS gap_end, round((epoch_us(received_time) - epoch_us(pv)) / 1e6, 8) AS gap_seconds FROM seg WHERE j")
-add("G03_resampled", lambda s, d: bars.resampled(q(s, d), 600).select("inst", "grid_time", "mid_price"), _ASOF + f" SELECT grid.inst, grid_time, {_r(mid_price='(t.bid + t.ask) / 2')} FROM grid ASOF LEFT JOIN t ON grid.inst = t.inst AND grid.seg_id = t.seg_id AND grid.grid_time >= t.received_time")
-add("F34_grid", lambda s, d: bars.grid(bars.segmented(q(s, d)), 600), _GRID + " SELECT inst, seg_id, grid_time FROM grid")
+add("G03_resampled", lambda s, d: _by_period(bars.resampled(q(s, d)), F.avg("mid_price").alias("mean"), F.min_by("mid_price", "grid_time").alias("first"), F.max_by("mid_price", "grid_time").alias("last")),
+    _ASOF + f" SELECT inst, seg_id, period, count(*) AS n, {_r(mean='avg((bid + ask) / 2)', first='arg_min((bid + ask) / 2, grid_time)', last='arg_max((bid + ask) / 2, grid_time)')} FROM found GROUP BY ALL")
+add("F34_grid", lambda s, d: _by_period(bars.grid(bars.segmented(q(s, d))), F.min("grid_time").alias("first"), F.max("grid_time").alias("last")),
+    _GRID + " SELECT inst, seg_id, time_bucket(INTERVAL 10 MINUTE, grid_time) AS period, count(*) AS n, min(grid_time) AS first, max(grid_time) AS last FROM grid GROUP BY ALL")
 add("G04_merged_bars", lambda s, d: series.bar_table(s, d).select("sec", "s_bid", "p_bid", "c_bid"), f"WITH {S.BARS} SELECT sec, {_r(s_bid='s_bid', p_bid='p_bid', c_bid='c_bid')} FROM bars")
 add("G05_merged_bars_with_ticks", lambda s, d: series.bar_table(s, d).select("sec", "s_bid", "s_n_ticks", "c_n_ticks", "c_has_update"), f"WITH {S.BARS} SELECT sec, {_r(s_bid='s_bid', c_has_update='c_has_update')}, s_n_ticks, c_n_ticks FROM bars")

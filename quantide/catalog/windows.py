@@ -71,7 +71,7 @@ def prefixes(spark, sf_dir):
 
 
 def w04(spark, sf_dir):
-    return S.rounded(prefixes(spark, sf_dir))
+    return S.rounded(prefixes(spark, sf_dir).withColumn("prefix", F.col("prefix").cast("double")))
 
 
 QUERIES["W04_prefix_sum"] = w04
@@ -133,13 +133,15 @@ ORACLES["W19_strided_rows"] = S.query({"s_mid": "s_mid"}, tail="WHERE rn >= 60 A
 
 
 def w21(spark, sf_dir, lookback: int = 8):
-    """Lookback windows as arrays, the rows before each row."""
+    """Lookback windows as arrays, the rows before each row; as text of whole ten-thousandths."""
     o = R.order().rowsBetween(-lookback, -1)
-    df = R.windowed(series.price_table(spark, sf_dir), lambda d: d.withColumn("w", F.collect_list(F.round("s_mid", S.PLACES)).over(o)), lookback)
-    return df.filter(F.col("rn") >= lookback).select("rn", F.array_join(F.transform("w", lambda x: F.format_number(x, 4)), "|").alias("window"))
+    units = F.floor(F.col("s_mid") * 10_000 + 1e-6).cast("long").cast("string")
+    df = R.windowed(series.price_table(spark, sf_dir), lambda d: d.withColumn("w", F.collect_list(units).over(o)), lookback)
+    return df.filter(F.col("rn") >= lookback).select("rn", F.array_join("w", "|").alias("window"))
 
 
 QUERIES["W21_lookback_windows"] = w21
+ORACLES["W21_lookback_windows"] = f"WITH {S.PRICES}, w AS (SELECT rn, list(floor(s_mid * 10000 + 1e-6)::BIGINT::VARCHAR) OVER (ORDER BY rn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS w FROM prices) SELECT rn, array_to_string(w, '|') AS window FROM w WHERE rn >= 8"
 register("W22_decimated_carry", lambda df: X.dft_magnitude(df, "s", 240), 600, {"s_fourier_mag": "last_value(mag IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN 30 PRECEDING AND CURRENT ROW)"}, [
     {"re": S.rs(f"coalesce(s_rv, 0) * cos(rn * {2 * math.pi / 240!r})", 240), "im": S.rs(f"coalesce(s_rv, 0) * sin(rn * {2 * math.pi / 240!r})", 240)},
     {"mag": "CASE WHEN rn >= 239 AND (rn - 239) % 30 = 0 THEN sqrt(re * re + im * im) / 240 END"},
@@ -169,13 +171,12 @@ register("B07_composite", _composite, 6, {"x_mid": "x_mid", "x_ret": "x_ret", "x
 # T: features -----------------------------------------------------------------------------------------------------------
 
 _b = [{"b": "ln(p_mid / greatest(s_mid, 1e-12))"}]
-register("T01_basis_level", X.basis, 3600, {f"basis_level_w{w}": S.rmean("b", w) for w in (5, 60, 1440)}, _b)
-register("T02_basis_vol", X.basis, 3600, {f"basis_vol_w{w}": S.rstd("b", w) for w in (60, 1440)}, _b)
-register("T03_basis_change", X.basis, 3600, {f"basis_change_{k}s": f"b - {S.lag('b', k)}" for k in (60, 300)}, _b)
-register("T04_basis_zscore", X.basis, 3600, {"basis_zscore_1h": S.div(f"b - {S.rmean('b', 3600)}", S.rstd("b", 3600))}, _b)
+register("T01_basis_level", X.basis, 8192, {f"basis_level_w{w}": S.rmean("b", w) for w in (5, 60, 1440, 8192)}, _b)
+register("T02_basis_vol", X.basis, 8192, {f"basis_vol_w{w}": S.rstd("b", w) for w in (60, 1440, 8192)}, _b)
+register("T03_basis_change", X.basis, 8192, {f"basis_change_{k}s": f"b - {S.lag('b', k)}" for k in (60, 300)}, _b)
+register("T04_basis_zscore", X.basis, 8192, {"basis_zscore_1h": S.div(f"b - {S.rmean('b', 3600)}", S.rstd("b", 3600))}, _b)
 register("T05_spread_levels", X.spreads, 1440, {f"{i}_spread_w{w}": S.rmean(f"{i}_spread", w) for i in "sp" for w in (5, 60, 1440)})
-# Spreads of this table are constant up to rounding, so the z-score divides rounding by rounding: no twin, tests hold it.
-register("T06_spread_zscore", X.spreads, 1440, {"s_spread_zscore_5m": ""}, sql=False)
+register("T06_spread_zscore", X.spreads, 1440, {"s_spread_zscore_5m": S.div(f"s_spread - {S.rmean('s_spread', 300)}", S.rstd("s_spread", 300))})
 _j = [{"la": S.lag("abs(s_ret)", 1)}]
 
 
@@ -193,15 +194,15 @@ def _settled(x: str) -> str:
 
 
 _up, _dn = "CASE WHEN s_ret > 0 THEN s_ret * s_ret ELSE 0 END", "CASE WHEN s_ret <= 0 THEN s_ret * s_ret ELSE 0 END"
-W3 = (60, 900, 1440)
-register("T07_jump_ratio", X.jumps, 1440, {f"s_jump_ratio_w{w}": S.div(_jump(w), _rv(w)) for w in W3}, _j)
-register("T08_asym_impact", X.jumps, 1440, {f"s_asym_impact_w{w}": f"{S.rs(_dn, w)} - {S.rs(_up, w)}" for w in W3}, _j)
-register("T09_downside_share", X.jumps, 1440, {f"s_downside_share_w{w}": S.div(S.rs(_dn, w), _rv(w)) for w in W3}, _j)
-register("T10_signed_jump", X.jumps, 1440, {f"s_signed_jump_w{w}": f"{_jump(w)} * sign({_settled(S.rs('s_ret', w))})" for w in W3}, _j)
-register("T11_jump_variation", X.jumps, 1440, {f"s_rj_w{w}": _jump(w) for w in W3}, _j)
-register("T12_signed_return", X.trend, 2880, {f"s_signed_ret_w{w}": S.rs("s_ret", w) for w in (30, 60, 1440)})
-register("T13_drawdown", X.trend, 2880, {"s_drawdown_w1440": S.full(1440, f"ln(s_mid + 1e-12) - max(ln(s_mid + 1e-12)) OVER {S.frame(1440)}")})
-register("T14_variance_term_structure", X.trend, 2880, {"s_rv_term_slope": f"{S.div(_rv(60), _rv(900))} * 15", "s_rv_term_curvature": f"{_rv(60)} / 60 - 2 * {_rv(300)} / 300 + {_rv(900)} / 900"})
+W3 = (60, 900, 1440, 3600, 8192)
+register("T07_jump_ratio", X.jumps, 8192, {f"s_jump_ratio_w{w}": S.div(_jump(w), _rv(w)) for w in W3}, _j)
+register("T08_asym_impact", X.jumps, 8192, {f"s_asym_impact_w{w}": f"{S.rs(_dn, w)} - {S.rs(_up, w)}" for w in W3}, _j)
+register("T09_downside_share", X.jumps, 8192, {f"s_downside_share_w{w}": S.div(S.rs(_dn, w), _rv(w)) for w in W3}, _j)
+register("T10_signed_jump", X.jumps, 8192, {f"s_signed_jump_w{w}": f"{_jump(w)} * sign({_settled(S.rs('s_ret', w))})" for w in W3}, _j)
+register("T11_jump_variation", X.jumps, 8192, {f"s_rj_w{w}": _jump(w) for w in W3}, _j)
+register("T12_signed_return", X.trend, 32768, {f"s_signed_ret_w{w}": S.rs("s_ret", w) for w in (30, 60, 1440)})
+register("T13_drawdown", X.trend, 32768, {f"s_drawdown_w{w}": S.full(w, f"ln(s_mid + 1e-12) - max(ln(s_mid + 1e-12)) OVER {S.frame(w)}") for w in (1440, 8192, 16384)})
+register("T14_variance_term_structure", X.trend, 32768, {"s_rv_term_slope": f"{S.div(_rv(60), _rv(900))} * 15", "s_rv_term_curvature": f"{_rv(60)} / 60 - 2 * {_rv(300)} / 300 + {_rv(900)} / 900"})
 register("T15_microprice_returns", X.microprice_returns, 300, {f"microprice_ret_{k}s": f"s_micro / {S.lag('s_micro', k)} - 1" for k in (1, 5, 10, 30, 60, 300)})
 _acc = lambda a, b: f"CASE WHEN rn >= {b} THEN (ln(s_mid) - {S.lag('ln(s_mid)', a)}) / {a} - (ln(s_mid) - {S.lag('ln(s_mid)', b)}) / {b} END"
 register("T16_return_acceleration", X.acceleration, 300, {f"ret_accel_{a}s_{b}s": _acc(a, b) for a, b in ((1, 5), (5, 30), (30, 300))})
@@ -216,18 +217,18 @@ register("T23_realised_covariance", X.covariation, 300, {f"sp_rcov_{k}": S.rs("s
 register("T24_signed_volume_imbalance", X.flow, 900, {f"s_signed_vol_imbalance_w{w}": S.div(S.rs("sign(coalesce(s_ret, 0)) * s_n_ticks", w), S.rs("s_n_ticks", w)) for w in (60, 300, 900)})
 register("T25_cumulative_returns", X.covariation, 300, {f"{i}_cum_ret_{w}s": S.rs(f"{i}_ret", w) for i in "sp" for w in (10, 60)} | {f"ps_cum_ret_ratio_{w}s": S.div(S.rs("p_ret", w), _settled(S.rs("s_ret", w))) for w in (10, 60)})
 _v = [{"md": "(s_mid - c_mid) / s_mid", "od": "s_obi - c_obi", "sr": "s_spread / c_spread", "vd": "s_micro - c_micro", "vr": "s_micro / c_micro"}]
-register("T26_venue_mid_delta", X.venues, 900, {"sc_mid_delta": "md"} | {f"sc_mid_delta_mean_w{w}": S.rmean("md", w) for w in (5, 30, 60, 300)} | {f"sc_mid_delta_std_w{w}": S.rstd("md", w) for w in (60, 300)}, _v)
-register("T27_venue_obi", X.venues, 900, {"sc_obi_imbalance": "od"} | {f"sc_obi_imbalance_w{w}": S.rmean("od", w) for w in (60, 300)}, _v)
-register("T28_venue_spread_ratio", X.venues, 900, {"sc_spread_ratio": "sr"} | {f"sc_spread_ratio_w{w}": S.rmean("sr", w) for w in (60, 300)}, _v)
-register("T29_venue_variance_spread", X.venues, 900, {f"sc_rv_spread_w{w}": f"ln({_rv(w)} + 1e-12) - ln({S.rs('c_ret * c_ret', w)} + 1e-12)" for w in (60, 300, 900)}, _v)
-register("T30_venue_vwap", X.venues, 900, {"sc_vwap_delta": "vd"} | {f"sc_vwap_ratio_w{w}": S.rmean("vr", w) for w in (60, 300)} | {f"sc_vwap_delta_w{w}": S.rmean("vd", w) for w in (60, 300)}, _v)
+register("T26_venue_mid_delta", X.venues, 3600, {"sc_mid_delta": "md"} | {f"sc_mid_delta_mean_w{w}": S.rmean("md", w) for w in (5, 30, 60, 300)} | {f"sc_mid_delta_std_w{w}": S.rstd("md", w) for w in (60, 300)}, _v)
+register("T27_venue_obi", X.venues, 3600, {"sc_obi_imbalance": "od"} | {f"sc_obi_imbalance_w{w}": S.rmean("od", w) for w in (60, 300)}, _v)
+register("T28_venue_spread_ratio", X.venues, 3600, {"sc_spread_ratio": "sr"} | {f"sc_spread_ratio_w{w}": S.rmean("sr", w) for w in (60, 300)}, _v)
+register("T29_venue_variance_spread", X.venues, 3600, {f"sc_rv_spread_w{w}": f"ln({_rv(w)} + 1e-12) - ln({S.rs('c_ret * c_ret', w)} + 1e-12)" for w in (60, 300, 900, 3600)}, _v)
+register("T30_venue_vwap", X.venues, 3600, {"sc_vwap_delta": "vd"} | {f"sc_vwap_ratio_w{w}": S.rmean("vr", w) for w in (60, 300)} | {f"sc_vwap_delta_w{w}": S.rmean("vd", w) for w in (60, 300)}, _v)
 register("T31_wavelet_detail", X.wavelet_details, 512, {f"s_modwt_d{s}": f"CASE WHEN rn >= {2**s} THEN ln(d{s} * d{s} + 1e-12) END" for s in (6, 8)}, [
     {f"m{s}": S.rs("s_rv", 2 ** (s - 1)) for s in (6, 8)}, {f"d{s}": f"(m{s} - {S.lag(f'm{s}', 2 ** (s - 1))}) / {2 ** (s - 1)}" for s in (6, 8)},
 ])
-register("T32_return_correlation", X.pair_correlation, 1440, {f"sp_corr_w{w}": S.corr("s_ret", "p_ret", w) for w in (60, 300, 1440)})
+register("T32_return_correlation", X.pair_correlation, 8192, {f"sp_corr_w{w}": S.corr("s_ret", "p_ret", w) for w in (60, 300, 1440, 8192)})
 _vv = [{"v0": S.rs("s_rv", 60)}, {"v": "coalesce(v0, 0)", "l": "ln(v0 + 1e-12)"}]
 register("T33_vol_of_vol", X.variance_of_variance, 1500, {f"s_vol_of_vol_w{w}": S.rstd("v", w) for w in (60, 1440)}, _vv)
-register("T47_spread_variance_correlation", X.variance_of_variance, 1500, {"spread_rv_corr_15m": ""}, sql=False)
+register("T47_spread_variance_correlation", X.variance_of_variance, 1500, {"spread_rv_corr_15m": S.corr("s_spread", "v", 900)}, _vv)
 register("T48_vol_phase", X.variance_of_variance, 1500, {f"s_vol_phase_{k}": f"(l - {S.rmean('coalesce(l, 0)', w)}) / greatest({S.rstd('coalesce(l, 0)', w)}, 1e-12)" for k, w in (("5m", 300), ("15m", 900))}, _vv)
 _ts = [{"k5": S.rs("s_ret", 5)}, {"kk": "coalesce(k5 * k5, 0)"}]
 
@@ -236,24 +237,44 @@ def _tsrv(w):
     return S.full(w, f"greatest({S.rs('kk', w)} / 5 - {_rv(w)} / 5, 0.1 * {_rv(w)})")
 
 
-register("T34_two_scale_variance", X.two_scale, 910, {f"s_tsrv_w{w}": _tsrv(w) for w in (60, 300, 900)}, _ts)
-register("T35_two_scale_ratio", X.two_scale, 910, {f"s_tsrv_rv_ratio_w{w}": f"ln(({_tsrv(w)} + 1e-12) / ({_rv(w)} + 1e-12))" for w in (60, 300, 900)}, _ts)
-register("T37_quarticity", X.quarticity, 900, {f"s_rq_w{w}": f"{S.rs('s_ret * s_ret * s_ret * s_ret', w)} * {w / 3!r}" for w in (60, 300, 900)})
+register("T34_two_scale_variance", X.two_scale, 14410, {f"s_tsrv_w{w}": _tsrv(w) for w in (60, 300, 900, 3600, 14400)}, _ts)
+register("T35_two_scale_ratio", X.two_scale, 14410, {f"s_tsrv_rv_ratio_w{w}": f"ln(({_tsrv(w)} + 1e-12) / ({_rv(w)} + 1e-12))" for w in (60, 300, 900)}, _ts)
+register("T37_quarticity", X.quarticity, 3600, {f"s_rq_w{w}": f"{S.rs('s_ret * s_ret * s_ret * s_ret', w)} * {w / 3!r}" for w in (60, 300, 900, 3600)})
 _rl = [{"lr": f"coalesce({S.lag('coalesce(s_ret, 0)', 1)}, 0)"}]
 register("T39_roll_measure", X.roll_measure, 310, {f"s_roll_measure_w{w}": S.full(w, f"2 * sqrt(greatest(-({S.rs('s_ret * lr', w - 1)} / {w - 1} - {S.rs('s_ret', w - 1)} / {w - 1} * {S.rs('lr', w - 1)} / {w - 1}), 0))") for w in (60, 300)}, _rl)
 register("T40_parkinson", X.parkinson, 120, {f"s_parkinson_{w}s": S.full(w, f"pow(ln(max(s_micro) OVER {S.frame(w)} / min(s_micro) OVER {S.frame(w)}), 2) / (4 * ln(2))") for w in (30, 60)})
 register("T41_perp_lead", X.lead_correlation, 300, {"perp_lead_1s": S.corr("p_ret", "nx", 300)}, [{"nx": "coalesce(lead(s_ret) OVER (ORDER BY rn), 0)"}], after=2)
 _x = [{"x": "ln(coalesce(s_rv, 0) + 1e-12)"}]
 register("T42_roughness", X.roughness, 300, {f"s_roughness_{k}s": f"x - {S.lag('x', k)}" for k in (5, 30, 60, 300)} | {"s_vol_accel_5s": f"CASE WHEN rn >= 10 THEN x - 2 * {S.lag('x', 5)} + {S.lag('x', 10)} END"}, _x)
-register("T44_dft_magnitude", X.dft_magnitude, 1800, {"s_fourier_mag": "last_value(mag IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN 180 PRECEDING AND CURRENT ROW)"}, [
-    {"re": S.rs(f"coalesce(s_rv, 0) * cos(rn * {2 * math.pi / 1440!r})", 1440), "im": S.rs(f"coalesce(s_rv, 0) * sin(rn * {2 * math.pi / 1440!r})", 1440)},
-    {"mag": "CASE WHEN rn >= 1439 AND (rn - 1439) % 180 = 0 THEN sqrt(re * re + im * im) / 1440 END"},
-])
+def t44(spark, sf_dir):
+    prices = series.price_table(spark, sf_dir)
+    n = prices.count()  # of the written table
+    longest = max(min(p, n // 2) for p in X.PERIODS.values())
+    df = series.with_features(prices, lambda d: X.dft_magnitudes(d, n), longest + longest // 8 + 1)
+    return S.rounded(df.select("rn", *(f"s_fourier_mag_{k}" for k in X.PERIODS)))
+
+
+def _t44_sql() -> str:
+    parts, outs = [], []
+    for name, period in X.PERIODS.items():
+        w = f"least({period}, n // 2)"
+        a = f"rn * {2 * math.pi / period!r}"
+        parts.append(
+            f"p{name} AS (SELECT rn, {w} AS w, greatest({w} // 8, 1) AS step, sum(coalesce(s_rv, 0) * cos({a})) OVER (ORDER BY rn) AS re, sum(coalesce(s_rv, 0) * sin({a})) OVER (ORDER BY rn) AS im FROM base), "
+            f"e{name} AS (SELECT p.rn, sqrt(pow(p.re - coalesce(q.re, 0), 2) + pow(p.im - coalesce(q.im, 0), 2)) / p.w AS mag FROM p{name} p LEFT JOIN p{name} q ON q.rn = p.rn - p.w WHERE p.w > {X.LEAST_WINDOW} AND p.rn >= p.w - 1 AND (p.rn - (p.w - 1)) % p.step = 0)"
+        )
+        outs.append(f"round(last_value(e{name}.mag IGNORE NULLS) OVER (ORDER BY base.rn), 8) AS s_fourier_mag_{name}")
+    joins = " ".join(f"LEFT JOIN e{k} ON e{k}.rn = base.rn" for k in X.PERIODS)
+    return f"WITH {S.BASE}, {', '.join(parts)} SELECT base.rn, {', '.join(outs)} FROM base {joins}"
+
+
+QUERIES["T44_dft_magnitude"] = t44
+ORACLES["T44_dft_magnitude"] = _t44_sql()
 register("T45_return_autocorr", X.shape, 910, {f"s_ret_autocorr_{k}": S.corr("coalesce(s_ret, 0)", "lr", w - 1, w) for k, w in (("5m", 300), ("15m", 900))}, [{"lr": S.lag("coalesce(s_ret, 0)", 1)}])
 register("T46_return_shape", X.shape, 910, {f"s_{k}_{q}": _moments_sql("s_ret", w)[j] for k, w in (("5m", 300), ("15m", 900)) for j, q in enumerate(("skew", "kurt"))})
-register("T49_har_windows", X.har, 1440, {f"s_{n}_w{w}": f"ln(sqrt({S.full(w, f'greatest({S.rs(f's_{n}', w)}, 0)')} + 1e-12) + 1e-12)" for n in ("rv", "rsv_pos", "rsv_neg", "bpv") for w in (5, 30, 60, 1440)})
+register("T49_har_windows", X.har, 16384, {f"s_{n}_w{w}": f"ln(sqrt({S.full(w, f'greatest({S.rs(f's_{n}', w)}, 0)')} + 1e-12) + 1e-12)" for n in ("rv", "rsv_pos", "rsv_neg", "bpv") for w in X.HAR_WINDOWS})
 register("T50_har_v1", lambda df: df.withColumns({f"h{w}": 0.5 * F.ln(R.strict_sum(F.col("s_rv"), w) + X.EPS) for w in (5, 30, 60)}), 60, {f"h{w}": f"0.5 * ln(CASE WHEN count(s_rv) OVER {S.frame(w)} = {w} THEN sum(s_rv) OVER {S.frame(w)} END + 1e-12)" for w in (5, 30, 60)})
-register("T51_log_transforms", lambda df: X.log_transformed(X.quarticity(df), ["s_rq_w60", "s_rq_w300"]), 900, {f"s_rq_w{w}_log": S.full(w, f"ln(greatest({S.rs('s_ret * s_ret * s_ret * s_ret', w)} * {w / 3!r}, 1e-12))") for w in (60, 300)})
+register("T51_log_transforms", lambda df: X.log_transformed(X.quarticity(df), ["s_rq_w60", "s_rq_w300"]), 3600, {f"s_rq_w{w}_log": S.full(w, f"ln(greatest({S.rs('s_ret * s_ret * s_ret * s_ret', w)} * {w / 3!r}, 1e-12))") for w in (60, 300)})
 _fw = lambda h: f"CASE WHEN count(s_rv) OVER (ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) = {h} THEN sum(s_rv) OVER (ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) END"
 register("T52_forward_variance", X.forward_targets, 4, {f"s_fwd_rv_{h}": _fw(h) for h in (60, 300, 900)} | {f"s_fwd_log_rv_{h}": f"ln({_fw(h)} + 1e-12)" for h in (60, 300, 900)}, after=900)
 
@@ -276,11 +297,38 @@ ORACLES["T36_realized_kernel"] = S.query(
 )
 
 
+_SPECTRA = {"_4k": 4096, "_8k": 8192}
+
+
 def t43(spark, sf_dir):
-    return S.rounded(X.spectral_bands(series.base_table(spark, sf_dir), "s"))
+    base = series.base_table(spark, sf_dir)
+    out = [X.spectral_bands(base, "s", w, k) for k, w in _SPECTRA.items()]
+    return S.rounded(out[0].join(out[1], "rn"))
+
+
+def _t43_sql() -> str:
+    """The few low frequencies and the highest by a direct transform; the band above them by the sum of squares."""
+    ctes, outs, joins = [], [], []
+    for k, w in _SPECTRA.items():
+        of = {j: next((b for b, (lo, hi) in X.BANDS.items() if lo <= j / w < hi), "none") for j in [*range(w // 300 + 2), w // 2]}
+        low = [j for j, b in of.items() if b != "hf" or j == w // 2]
+        power = lambda b: " + ".join([f"coalesce(sum(p) FILTER (j IN ({', '.join(str(j) for j in low if of[j] == b)})), 0)"])
+        ctes.append(
+            f"ends{k} AS (SELECT rn AS e FROM base WHERE rn >= {w - 1} AND (rn - {w - 1}) % {w // 4} = 0), "
+            f"rows{k} AS (SELECT e, rn - e + {w - 1} AS t, coalesce(s_rv, 0) AS x FROM ends{k} JOIN base ON rn BETWEEN e - {w - 1} AND e), "
+            f"f{k} AS (SELECT e, j, pow(sum(x * cos({2 * math.pi / w!r} * ((j * t) % {w}))), 2) + pow(sum(x * sin({2 * math.pi / w!r} * ((j * t) % {w}))), 2) AS p FROM rows{k}, (SELECT unnest({low}) AS j) GROUP BY e, j), "
+            f"b{k} AS (SELECT e, {power('mf')} AS mf, {power('lf')} AS lf, {power('trend')} AS trend, sum(CASE WHEN j IN (0, {w // 2}) THEN p ELSE 2 * p END) AS taken FROM f{k} GROUP BY e), "
+            f"s{k} AS (SELECT e, mf + 1e-12 AS mf, lf + 1e-12 AS lf, trend + 1e-12 AS trend, ({w} * q - taken) / 2 + 1e-12 AS hf FROM b{k} JOIN (SELECT e, sum(x * x) AS q FROM rows{k} GROUP BY e) USING (e))"
+        )
+        each = {"hf_lf": "ln(hf / lf)", "mf_lf": "ln(mf / lf)", "hf_mf": "ln(hf / mf)", "trend_share": "trend / (hf + mf + lf + trend)"}
+        ctes.append(f"r{k} AS (SELECT e, {', '.join(f'{x} AS {n}' for n, x in each.items())} FROM s{k})")
+        outs += [f"round(last_value(r{k}.{n} IGNORE NULLS) OVER (ORDER BY base.rn), 8) AS s_spec_{n}{k}" for n in each]
+        joins.append(f"LEFT JOIN r{k} ON r{k}.e = base.rn")
+    return f"WITH {S.BASE}, {', '.join(ctes)} SELECT base.rn, {', '.join(outs)} FROM base {' '.join(joins)}"
 
 
 QUERIES["T43_spectral_bands"] = t43
+ORACLES["T43_spectral_bands"] = _t43_sql()
 
 
 def t53(spark, sf_dir):
@@ -288,11 +336,11 @@ def t53(spark, sf_dir):
     df = prefixes(spark, sf_dir)
     h = (F.pmod(F.col("rn") * 7919, F.lit(900)) + 1).cast("long")
     ahead = df.select((F.col("rn")).alias("to"), F.col("prefix").alias("later"))
-    return S.rounded(df.withColumn("h", h).withColumn("to", F.col("rn") + F.col("h")).join(ahead, "to").select("rn", "h", F.ln(F.greatest(F.col("later") - F.col("prefix"), F.lit(0.0)) + X.EPS).alias("target")))
+    return S.rounded(df.withColumn("h", h).withColumn("to", F.col("rn") + F.col("h")).join(ahead, "to").select("rn", "h", F.ln(F.greatest((F.col("later") - F.col("prefix")).cast("double"), F.lit(0.0)) + X.EPS).alias("target")))
 
 
 QUERIES["T53_horizon_target"] = QUERIES["J13_prefix_difference_join"] = t53
-_T53 = f"WITH {S.BASE}, q AS (SELECT rn, sum(coalesce(s_rv, 0)) OVER (ORDER BY rn) AS prefix FROM base) SELECT a.rn, (a.rn * 7919) % 900 + 1 AS h, round(ln(greatest(b.prefix - a.prefix, 0) + 1e-12), 8) AS target FROM q a JOIN q b ON b.rn = a.rn + (a.rn * 7919) % 900 + 1"
+_T53 = f"WITH {S.BASE}, q AS (SELECT rn, sum(coalesce(s_rv, 0)::DECIMAL(38, 18)) OVER (ORDER BY rn) AS prefix FROM base) SELECT a.rn, (a.rn * 7919) % 900 + 1 AS h, round(ln(greatest((b.prefix - a.prefix)::DOUBLE, 0) + 1e-12), 8) AS target FROM q a JOIN q b ON b.rn = a.rn + (a.rn * 7919) % 900 + 1"
 ORACLES["T53_horizon_target"] = ORACLES["J13_prefix_difference_join"] = _T53
 
 
@@ -304,11 +352,11 @@ def t54(spark, sf_dir, lookback: int = 16):
     first = p.select((F.col("rn") + lookback).alias("t"), F.col("prefix").alias("p0"))
     left = (F.lit(float(lookback)) - F.col("k")) / lookback
     met = rows.join(p, "rn").join(first, "t")
-    return S.rounded(met.select("t", "k", (F.col("k") / lookback).alias("pos"), left.alias("left"), F.sqrt(left).alias("root"), F.log1p(left).alias("log1p"), F.ln(F.greatest(F.col("prefix") - F.col("p0"), F.lit(0.0)) + X.EPS).alias("log_cum_rv")))
+    return S.rounded(met.select("t", "k", (F.col("k") / lookback).alias("pos"), left.alias("left"), F.sqrt(left).alias("root"), F.log1p(left).alias("log1p"), F.ln(F.greatest((F.col("prefix") - F.col("p0")).cast("double"), F.lit(0.0)) + X.EPS).alias("log_cum_rv")))
 
 
 QUERIES["T54_positional_features"] = QUERIES["T55_lookback_cumulative"] = t54
-ORACLES["T54_positional_features"] = ORACLES["T55_lookback_cumulative"] = f"""WITH {S.BASE}, q AS (SELECT rn, sum(coalesce(s_rv, 0)) OVER (ORDER BY rn) AS prefix FROM base),
+ORACLES["T54_positional_features"] = ORACLES["T55_lookback_cumulative"] = f"""WITH {S.BASE}, q AS (SELECT rn, sum(coalesce(s_rv, 0)::DECIMAL(38, 18)) OVER (ORDER BY rn) AS prefix FROM base),
 e AS (SELECT rn AS t, unnest(range(0, 16)) AS k FROM q WHERE rn >= 16 AND rn % 64 = 0)
-SELECT t, k::INT AS k, k / 16 AS pos, (16.0 - k) / 16 AS left, round(sqrt((16.0 - k) / 16), 8) AS root, round(ln(1 + (16.0 - k) / 16), 8) AS log1p, round(ln(greatest(a.prefix - b.prefix, 0) + 1e-12), 8) AS log_cum_rv
+SELECT t, k::INT AS k, k / 16 AS pos, (16.0 - k) / 16 AS left, round(sqrt((16.0 - k) / 16), 8) AS root, round(ln(1 + (16.0 - k) / 16), 8) AS log1p, round(ln(greatest((a.prefix - b.prefix)::DOUBLE, 0) + 1e-12), 8) AS log_cum_rv
 FROM e JOIN q a ON a.rn = t - 16 + k JOIN q b ON b.rn = t - 16"""

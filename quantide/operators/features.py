@@ -61,7 +61,7 @@ def stale_replaced(df: DataFrame, columns=("mid", "micro", "spread", "obi")) ->
     return df.withColumns({f"c_{f}": F.when(F.col("c_avail") == 0, F.col(f"s_{f}")).otherwise(F.col(f"c_{f}")) for f in columns})
 
 
-def basis(df: DataFrame, level=(5, 60, 1440), vol=(60, 1440), change=(60, 300)) -> DataFrame:
+def basis(df: DataFrame, level=(5, 60, 1440, 8192), vol=(60, 1440, 8192), change=(60, 300)) -> DataFrame:
     df = df.withColumn("_b", F.ln(F.col("p_mid") / floored(F.col("s_mid"), EPS)))
     b, wins = F.col("_b"), sorted({*level, *vol, 3600})
     df = R.sums(df, {f"_b1_{w}": (b, w) for w in wins} | {f"_b2_{w}": (b * b, w) for w in wins})
@@ -81,7 +81,7 @@ def spreads(df: DataFrame, insts=("s", "p"), wins=(5, 60, 1440)) -> DataFrame:
     return df.withColumns(new).drop(*parts)
 
 
-def jumps(df: DataFrame, i: str = "s", wins=(60, 900, 1440)) -> DataFrame:
+def jumps(df: DataFrame, i: str = "s", wins=(60, 900, 1440, 3600, 8192)) -> DataFrame:
     """Jump share and size, signed jump, downside share and asymmetry. Bipower is a mean of the window's pairs while the
     variance is a sum."""
     r = z(f"{i}_ret")
@@ -100,7 +100,7 @@ def jumps(df: DataFrame, i: str = "s", wins=(60, 900, 1440)) -> DataFrame:
     return df.withColumns(new).drop("_lag", *parts)
 
 
-def trend(df: DataFrame, i: str = "s", signed=(30, 60, 1440), draw=(1440,)) -> DataFrame:
+def trend(df: DataFrame, i: str = "s", signed=(30, 60, 1440), draw=(1440, 8192, 16384)) -> DataFrame:
     """Signed returns, drawdowns, and slope and curvature of the variance over window lengths."""
     r, level = z(f"{i}_ret"), F.ln(F.col(f"{i}_mid") + EPS)
     df = R.sums(df, {f"{i}_signed_ret_w{w}": (r, w) for w in signed} | {f"_v{w}": (r * r, w) for w in (60, 300, 900)})
@@ -169,13 +169,13 @@ def venues(df: DataFrame) -> DataFrame:
     parts = {f"_d{w}": (d, w) for w in (5, 30, 60, 300)} | {f"_dd{w}": (d * d, w) for w in (60, 300)}
     for k, c in (("o", "sc_obi_imbalance"), ("r", "sc_spread_ratio"), ("v", "sc_vwap_delta"), ("q", "_vr")):
         parts |= {f"_{k}{w}": (F.col(c), w) for w in (60, 300)}
-    parts |= {f"_{i}rv{w}": (r * r, w) for i, r in (("s", rs), ("c", rc)) for w in (60, 300, 900)}
+    parts |= {f"_{i}rv{w}": (r * r, w) for i, r in (("s", rs), ("c", rc)) for w in (60, 300, 900, 3600)}
     df = R.sums(df, parts)
     new = {f"sc_mid_delta_mean_w{w}": F.col(f"_d{w}") / w for w in (5, 30, 60, 300)}
     new |= {f"sc_mid_delta_std_w{w}": R.std(F.col(f"_d{w}"), F.col(f"_dd{w}"), w) for w in (60, 300)}
     for k, c in (("o", "sc_obi_imbalance"), ("r", "sc_spread_ratio"), ("v", "sc_vwap_delta"), ("q", "sc_vwap_ratio")):
         new |= {f"{c}_w{w}": F.col(f"_{k}{w}") / w for w in (60, 300)}
-    new |= {f"sc_rv_spread_w{w}": F.ln(F.col(f"_srv{w}") + EPS) - F.ln(F.col(f"_crv{w}") + EPS) for w in (60, 300, 900)}
+    new |= {f"sc_rv_spread_w{w}": F.ln(F.col(f"_srv{w}") + EPS) - F.ln(F.col(f"_crv{w}") + EPS) for w in (60, 300, 900, 3600)}
     return df.withColumns(new).drop("_vr", *parts)
 
 
@@ -207,7 +207,7 @@ def variance_of_variance(df: DataFrame, i: str = "s") -> DataFrame:
     return df.drop("_rv60", "_v", "_l", *parts)
 
 
-def two_scale(df: DataFrame, i: str = "s", wins=(60, 300, 900), k: int = 5) -> DataFrame:
+def two_scale(df: DataFrame, i: str = "s", wins=(60, 300, 900, 3600, 14400), k: int = 5) -> DataFrame:
     """Two-scale realised variance in closed form, at least a tenth of the plain one, and the log ratio of both."""
     r = z(f"{i}_ret")
     df = R.sums(df, {"_k": (r, k)}).withColumn("_kk", z(F.col("_k") * F.col("_k")))
@@ -221,7 +221,7 @@ def two_scale(df: DataFrame, i: str = "s", wins=(60, 300, 900), k: int = 5) -> D
     return df.withColumns(new).drop("_k", "_kk", *parts)
 
 
-def quarticity(df: DataFrame, i: str = "s", wins=(60, 300, 900)) -> DataFrame:
+def quarticity(df: DataFrame, i: str = "s", wins=(60, 300, 900, 3600)) -> DataFrame:
     r = z(f"{i}_ret")
     df = R.sums(df, {f"_q{w}": (r * r * r * r, w) for w in wins})
     return df.withColumns({f"{i}_rq_w{w}": F.col(f"_q{w}") * (w / 3) for w in wins}).drop(*(f"_q{w}" for w in wins))
@@ -271,27 +271,48 @@ def shape(df: DataFrame, i: str = "s") -> DataFrame:
     return R.moments(df, {f"{i}_5m": (r, 300), f"{i}_15m": (r, 900)})
 
 
-def pair_correlation(df: DataFrame, wins=(60, 300, 1440)) -> DataFrame:
+def pair_correlation(df: DataFrame, wins=(60, 300, 1440, 8192)) -> DataFrame:
     return R.correlations(df, {f"sp_corr_w{w}": (z("s_ret"), z("p_ret"), w) for w in wins})
 
 
-def har(df: DataFrame, i: str = "s", wins=(5, 30, 60, 1440), names=("rv", "rsv_pos", "rsv_neg", "bpv"), suffix: str = "") -> DataFrame:
+#: Rows of the heterogeneous autoregression's windows.
+HAR_WINDOWS = (5, 30, 60, 1440, 2048, 3600, 4096, 8192, 14400, 16384)
+
+
+def har(df: DataFrame, i: str = "s", wins=HAR_WINDOWS, names=("rv", "rsv_pos", "rsv_neg", "bpv"), suffix: str = "") -> DataFrame:
     """Log root of summed variances over many windows."""
     df = R.sums(df, {f"_{n}{w}": (z(f"{i}_{n}{suffix}"), w) for n in names for w in wins})
     made = {f"{i}_{n}_w{w}": F.ln(F.sqrt(floored(F.col(f"_{n}{w}"), 0.0) + EPS) + EPS) for n in names for w in wins}
     return df.withColumns(made).drop(*(f"_{n}{w}" for n in names for w in wins))
 
 
-def dft_magnitude(df: DataFrame, i: str = "s", period: int = 1440) -> DataFrame:
-    """Magnitude of one frequency over a window of one period, at window ends every eighth, carried forward: two sums
-    of products with cosine and sine suffice, since the magnitude doesn't depend on where the phase starts."""
+def dft_magnitude(df: DataFrame, i: str = "s", period: int = 1440, w: int | None = None, to: str = "fourier_mag") -> DataFrame:
+    """Magnitude of one frequency over a window of w rows (by default a period), at window ends every eighth, carried
+    forward: two sums of products with cosine and sine suffice, since the magnitude doesn't depend on where the phase starts."""
+    w = w or period
     a = F.col("rn") * (2 * math.pi / period)
-    df = R.sums(df, {"_re": (z(f"{i}_rv") * F.cos(a), period), "_im": (z(f"{i}_rv") * F.sin(a), period)})
-    step = period // 8
-    at_end = (F.col("rn") >= period - 1) & (F.pmod(F.col("rn") - (period - 1), F.lit(step)) == 0)
-    value = F.when(at_end, F.sqrt(F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")) / period)
+    df = R.sums(df, {"_re": (z(f"{i}_rv") * F.cos(a), w), "_im": (z(f"{i}_rv") * F.sin(a), w)})
+    step = max(w // 8, 1)
+    at_end = (F.col("rn") >= w - 1) & (F.pmod(F.col("rn") - (w - 1), F.lit(step)) == 0)
+    value = F.when(at_end, F.sqrt(F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")) / w)
     df = df.withColumn("_mag", value)
-    return df.withColumn(f"{i}_fourier_mag", F.last("_mag", True).over(R.order().rowsBetween(-step, 0))).drop("_re", "_im", "_mag")
+    return df.withColumn(f"{i}_{to}", F.last("_mag", True).over(R.order().rowsBetween(-step, 0))).drop("_re", "_im", "_mag")
+
+
+#: Periods whose magnitude is followed, in seconds, and the least window.
+PERIODS, LEAST_WINDOW = {"8h": 28_800, "24h": 86_400, "168h": 604_800}, 100
+
+
+def dft_magnitudes(df: DataFrame, n: int, i: str = "s", periods: dict[str, int] = PERIODS) -> DataFrame:
+    """Magnitudes of long periods over windows of a period, or of half a table of n rows that is shorter; null where that is
+    too little."""
+    for name, period in periods.items():
+        w = min(period, n // 2)
+        if w > LEAST_WINDOW:
+            df = dft_magnitude(df, i, period, w, f"fourier_mag_{name}")
+        else:
+            df = df.withColumn(f"{i}_fourier_mag_{name}", F.lit(None).cast("double"))
+    return df
 
 
 def log_transformed(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -332,15 +353,20 @@ def realized_kernel(df: DataFrame, i: str, w: int, chunk: int = R.CHUNK) -> Data
     return R.trimmed(made, chunk).withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
 
-def spectral_bands(df: DataFrame, i: str, w: int = 1024, bands=((2, 60), (60, 600), (600, 10**9)), chunk: int = R.CHUNK) -> DataFrame:
-    """(rn, {i}_spec_hf_lf, _mf_lf, _hf_mf, _trend_share): log ratios of band powers of the window's FFT, at window ends
-    every quarter, carried forward."""
+#: Bands by cycles a row (a second): from the first, below the second.
+BANDS = {"hf": (1 / 300, 0.5), "mf": (1 / 3600, 1 / 300), "lf": (1 / 14400, 1 / 3600), "trend": (0.0, 1 / 14400)}
+RATIOS = ("hf_lf", "mf_lf", "hf_mf", "trend_share")
+
+
+def spectral_bands(df: DataFrame, i: str, w: int = 4096, suffix: str = "", chunk: int = R.CHUNK) -> DataFrame:
+    """(rn, {i}_spec_hf_lf, _mf_lf, _hf_mf, _trend_share): log ratios of band powers of the window's FFT and the share of the
+    lowest band in all four, at window ends every quarter, carried forward."""
     import numpy as np
     import pandas as pd
 
-    names = [f"{i}_spec_{k}" for k in ("hf_lf", "mf_lf", "hf_mf", "trend_share")]
-    freq = np.arange(1, w // 2 + 1) / w
-    masks = [(freq <= 1 / a) & (freq > 1 / b) for a, b in bands]
+    names = [f"{i}_spec_{k}{suffix}" for k in RATIOS]
+    freq = np.fft.rfftfreq(w)
+    masks = [(freq >= lo) & (freq < hi) for lo, hi in BANDS.values()]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
@@ -349,8 +375,8 @@ def spectral_bands(df: DataFrame, i: str, w: int = 1024, bands=((2, 60), (60, 60
         ends = np.flatnonzero((rn >= w - 1) & ((rn - (w - 1)) % (w // 4) == 0) & (np.arange(len(rn)) >= w - 1))
         for e in ends:
             p = np.abs(np.fft.rfft(v[e - w + 1 : e + 1])) ** 2
-            hf, mf, lf = (p[1:][m].sum() + EPS for m in masks)
-            out[e] = np.log(hf / lf), np.log(mf / lf), np.log(hf / mf), p[0] / (p.sum() + EPS)
+            hf, mf, lf, trend = (p[m].sum() + EPS for m in masks)
+            out[e] = np.log(hf / lf), np.log(mf / lf), np.log(hf / mf), trend / (hf + mf + lf + trend)
         done = pd.DataFrame(out, columns=names).ffill(limit=w // 4 - 1)
         return pd.concat([pdf[["rn", "_chunk"]].reset_index(drop=True), done], axis=1)
 

@@ -31,7 +31,7 @@ def with_future_variance(rows: DataFrame, prefix: str = "prefix", period: str =
     comes by the period, not by row number. The last row of a period has nothing ahead and goes."""
     last = rows.groupBy(period).agg(F.max("rn").alias("_last"), F.max_by(prefix, "rn").alias("_then"))
     met = rows.join(last, period).filter("rn < _last")
-    return met.withColumn("variance", F.greatest(F.col("_then") - F.col(prefix), F.lit(0.0))).drop("_last", "_then")
+    return met.withColumn("variance", F.greatest((F.col("_then") - F.col(prefix)).cast("double"), F.lit(0.0))).drop("_last", "_then")
 
 
 def priced(rows: DataFrame, spot: str = "s_mid", strike: str = "strike", variance: str = "variance", left: str = "seconds_left") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
+EXACT = "decimal(28,18)"
 DIRECT = 64
 
 
@@ -130,14 +131,15 @@ def maxima(df: DataFrame, wanted: dict[str, tuple[Column, int]], direct: int = D
 
 
 def prefix_sums(df: DataFrame, wanted: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
-    """df with the running sum of each expression (missing as 0) from the first row on. Sums of chunks are carried in two
-    levels, so that the one task that sees the upper one gets a row for each chunk squared rows."""
-    own = df.withColumn("_chunk", F.floor(F.col("rn") / chunk)).withColumns({f"_v_{k}": F.coalesce(x, F.lit(0.0)) for k, x in wanted.items()})
+    """df with the running sum of each expression (missing as 0) from the first row on, as decimals: differences of them
+    are as exact as their inputs, however long the series. Sums of chunks are carried in two levels, so that the one task
+    that sees the upper one gets a row for each chunk squared rows."""
+    own = df.withColumn("_chunk", F.floor(F.col("rn") / chunk)).withColumns({f"_v_{k}": F.coalesce(x, F.lit(0.0)).cast(EXACT) for k, x in wanted.items()})
     upper = F.floor(F.col("_chunk") / chunk).alias("_upper")
     totals = own.groupBy(upper, "_chunk").agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in wanted))
 
     def earlier(w: Window) -> list[Column]:
-        return [F.coalesce(F.sum(f"_t_{k}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(f"_b_{k}") for k in wanted]
+        return [F.coalesce(F.sum(f"_t_{k}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast(EXACT)).alias(f"_b_{k}") for k in wanted]
 
     tops = totals.groupBy("_upper").agg(*(F.sum(f"_t_{k}").alias(f"_t_{k}") for k in wanted)).select(F.col("_upper").alias("_top"), *(c.alias(f"_a_{k}") for c, k in zip(earlier(Window.orderBy("_upper")), wanted)))
     lower = totals.select("_upper", "_chunk", *earlier(Window.partitionBy("_upper").orderBy("_chunk")))
