@@ -66,8 +66,11 @@ def ridge(df: DataFrame, features: list[str], targets: list[str], alpha: float =
         return dict.fromkeys(targets)
     mean = g[0, 1 : p + 1] / n
     cov = g[1 : p + 1, 1 : p + 1] - n * np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(cov) / n, 0))
-    sd[sd == 0] = 1
+    # A constant column's variance is what rounding leaves of its mean square: it counts as 0.
+    square = np.diag(g)[1 : p + 1] / n
+    constant = np.diag(cov) / n <= 1e-12 * square
+    cov[constant, :] = cov[:, constant] = 0
+    sd = np.where(constant, 1.0, np.sqrt(np.maximum(np.diag(cov) / n, 0)))
     zz, out = cov / np.outer(sd, sd), {}
     for k, t in enumerate(targets):
         ybar = g[0, p + 1 + k] / n

@@ -39,8 +39,8 @@ def test_model_grid(spark, sf):
         own = df.dropna()  # one pass: rows that have all targets
         x, y = own[list(models.FEATURES)].to_numpy(), own[f"y{r.horizon_s}"].to_numpy()
         mean, sd = x.mean(0), x.std(0)
-        sd[sd == 0] = 1
-        z = (x - mean) / sd
+        z = np.where(sd < 1e-9, 0, (x - mean) / np.maximum(sd, 1e-9))
+        sd = np.where(sd < 1e-9, 1, sd)
         b = np.linalg.solve(z.T @ z + np.eye(3), z.T @ (y - y.mean())) / sd
         assert r.n_train == len(own)
         assert np.allclose([r.b1, r.b2, r.b3], b, atol=1e-6) and np.isclose(r.intercept, y.mean() - mean @ b, atol=1e-5)
