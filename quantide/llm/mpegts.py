@@ -203,22 +203,25 @@ def feature(parsed: dict) -> str:
     return f"packets={parsed['packets']};units={len(units)};errors={parsed['errors']};pts={times};access={raps};bits={'.'.join(map(str, bins))}"
 
 
-_DIGEST = "struct<n_bytes:bigint,payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,feature:string>"
+_DIGEST = "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,feature:string>"
 
 
-def _digest(texts: pa.Array, streams: pa.Array) -> pa.Array:
+def _digest(streams: pa.Array) -> pa.Array:
     out = []
-    for text, stream in zip(texts.to_pylist(), streams.to_pylist()):
+    for stream in streams:
+        stream = stream.as_py()
         parsed = demux(stream)
         p = parsed["payload"]
         out.append({
-            "n_bytes": len((text or "").encode("utf-8", "surrogatepass")), "payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(),
-            "tail_crc32": zlib.crc32(p[-16:]), "media_bytes": len(stream), "media_sha256": hashlib.sha256(stream).hexdigest(), "feature": feature(parsed),
+            "payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-16:]),
+            "media_bytes": len(stream), "media_sha256": hashlib.sha256(stream).hexdigest(), "feature": feature(parsed),
         })
-    kinds = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64())]
+    kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64())]
     return pa.array(out, pa.struct([*kinds, ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]))
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("media", write("text"))
-    return docs.select("doc_id", F.arrow_udf(_digest, _DIGEST)("text", "media").alias("d")).select("doc_id", "d.*")
+    """The media column is written as a table and read again; what is returned comes from the stored bytes."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), write("text").alias("media"))
+    stored, _ = common.stored(docs, "media")
+    return stored.select("doc_id", "n_bytes", F.arrow_udf(_digest, _DIGEST)("media").alias("d")).select("doc_id", "n_bytes", "d.*")

@@ -11,6 +11,7 @@ the text, since possessive runs and look-behinds never try a run of digits or le
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -137,18 +138,33 @@ def _ibans(text: str):
         m = _IBAN.search(text, at)
 
 
-def _more(text: str):
-    for a, b in _ibans(text):
-        yield a, 4, b
+def _numbers(text: str):
+    """Local numbers in groups: social security ones and phones."""
     for m in _GROUPED.finditer(text):
         if m.lastindex and m.end() - m.start() in (11, 12) and _alone(text, m.start(), m.end(), "-+("):
             if m[2]:
                 yield m.start(), 6, m.end()
             elif m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
                 yield m.start(), 5, m.end()
-    for m in _BRACKETED.finditer(text):
-        if _alone(text, m.start(), m.end(), "-+"):
-            yield m.start(), 6, m.end()
+
+
+def _more(text: str):
+    """The added kinds, in rounds; spans of one round don't overlap."""
+    yield [(a, 4, b) for a, b in _ibans(text)]
+    yield list(_numbers(text))
+    yield [(m.start(), 6, m.end()) for m in _BRACKETED.finditer(text) if _alone(text, m.start(), m.end(), "-+")]
+
+
+def _covered(found: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what sorted spans cover."""
+    starts, ends = [], []
+    for a, _, b in found:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def _score(text: str, start: int, kind: str, end: int) -> float:
@@ -162,10 +178,13 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
     text = text or ""
     base = base_spans(text)
     kept = list(base)
-    for a, k, b in _more(text):
-        if _score(text, a, KINDS[k], b) >= THRESHOLD and not any(x < b and a < y for x, _, y in kept):
-            kept.append((a, k, b))
-    kept.sort()
+    for more in _more(text):
+        starts, ends = _covered(kept)
+        for a, k, b in more:
+            last = bisect.bisect_left(starts, b) - 1  # of what begins before b, the farthest end
+            if _score(text, a, KINDS[k], b) >= THRESHOLD and (last < 0 or ends[last] <= a):
+                kept.append((a, k, b))
+        kept.sort()
     return [(KINDS[k], a, b, _score(text, a, KINDS[k], b)) for a, k, b in kept]
 
 

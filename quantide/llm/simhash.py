@@ -5,8 +5,9 @@ least, so each different fingerprint goes to ten buckets, one for each pair of b
 bit-sliced: 64 fingerprints form a block whose bit planes are stored vertically, one word a plane; a fingerprint's
 distances to a whole block are counted in two carry-save bit counters and an overflow word, plane by plane, and blocks
 in which every lane has passed the radius are abandoned. A bucket yields a spanning forest of its links, not the links.
-Buckets of more than TILE fingerprints are cut into tiles, and each pair of tiles is a bucket of its own in any task,
-so no bucket has to be held or compared whole. Components then come from alternating star contractions as joins.
+Buckets of more than TILE fingerprints are dealt anew by four parts of the bits that they don't share; what is larger than
+TILE even so is cut into tiles, and each pair of tiles is a bucket of its own in any task, so no bucket has to be held or
+compared whole. Only there, where thousands agree on all but some 28 bits, do copies grow with a bucket. Components then come from alternating star contractions as joins.
 
 Defined results: null and empty texts, and those of white space only, have fingerprint zero, linked like any other;
 repeated rows come out as often as they came, with equal values; a null id counts for a component's smallest id only
@@ -31,6 +32,8 @@ SEED = 42
 #: Bands as (first bit, bits); one more than the radius, plus one.
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TILE = 4096
+#: Bits of a part of the 38 or 39 that a bucket's fingerprints don't share; RADIUS + 1 parts.
+PART_BITS = 10
 #: Pairs of a fingerprint and a block that are compared at a time.
 WORK = 1 << 15
 HASHES_AT_ONCE = 1 << 16
@@ -171,13 +174,25 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(prints: DataFrame, tile: int = TILE) -> DataFrame:
     """(a, b): links between different fingerprints (column `print`, each once) that keep every component of them."""
+    band = [F.shiftrightunsigned("print", p).bitwiseAND((1 << m) - 1) for p, m in BANDS]
     keys = []
-    for t, ((p, m), (q, n)) in enumerate(combinations(BANDS, 2)):
-        two = F.shiftrightunsigned("print", p).bitwiseAND((1 << m) - 1) * (1 << n) + F.shiftrightunsigned("print", q).bitwiseAND((1 << n) - 1)
-        keys.append(F.lit(t << 26) + two)
-    dealt = prints.select("print", F.explode(F.array(*keys)).alias("key"))
-    # At most one row for each `tile` rows, and mostly none: the join is a broadcast where Spark finds it small.
-    large = dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select("key", F.ceil(F.col("n") / tile).alias("tiles"))
+    for t, pair in enumerate(combinations(range(len(BANDS)), 2)):
+        key, rest = F.lit(t), F.lit(0).cast("long")
+        for k, (_, m) in enumerate(BANDS):
+            if k in pair:
+                key = key * (1 << m) + band[k]
+            else:
+                rest = rest * (1 << m) + band[k]
+        keys.append(F.struct(key.alias("key"), rest.alias("rest")))
+    dealt = prints.select("print", F.explode(F.array(*keys)).alias("k")).select("print", "k.*")
+    # At most one row for each `tile` rows, and mostly none: the joins are broadcasts where Spark finds them small. The
+    # other bits of a large bucket's fingerprints are cut into one part more than the radius, so that two within the
+    # radius agree on a part: such a fingerprint goes to a bucket for each part instead.
+    large = dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select("key", F.lit(True).alias("large"))
+    parts = F.array(*(F.xxhash64("key", F.lit(k), F.shiftrightunsigned("rest", PART_BITS * k).bitwiseAND((1 << PART_BITS) - 1)) for k in range(RADIUS + 1)))
+    dealt = dealt.join(large, "key", "left").select("print", "large", F.explode(F.when(F.col("large"), parts).otherwise(F.array("key"))).alias("key"))
+    # What is large even so is cut into tiles.
+    large = dealt.filter("large").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select("key", F.ceil(F.col("n") / tile).alias("tiles"))
     sized = dealt.join(large, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.xxhash64("print"), F.col("tiles"))
     others = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)

@@ -45,7 +45,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def _word_features(word: str) -> tuple[int, ...]:
-    own = word.encode()[:256]
+    own = word.encode()
     return (zlib.crc32(own), *(zlib.crc32(b"%d:" % n + word[:n].encode()) for n in BEGINNINGS if len(word) >= n))
 
 
