@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quantide.llm import chat, decontaminate, idstore, maxent, minhash, mpegts, packing, pii, queries, simhash, tokens, toxicity, warc
@@ -217,6 +219,29 @@ def test_account_numbers_take_linear_time():
     assert not any(k == "iban" for k, *_ in pii.spans("AA11 " * 40_000 + "AA11" * 40_000))
 
 
+def test_personal_data_query(spark, sf, docs):
+    """op2_pii over the whole table against the plain rule; base spans stay among all spans."""
+    text = dict(zip(docs.doc_id.tolist(), docs.text))
+    rows = queries.QUERIES["op2_pii"](spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(text)
+    for r in rows:
+        want = plain_spans(text[r.doc_id] or "")
+        listed = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for _, k, _ in want) for j in range(4)]
+        own = [x for x in r.spans.split(",") if x and x.split(":")[0] in pii.KINDS[:4]]
+        assert ",".join(own) == listed
+
+
+def test_personal_data_in_long_texts():
+    """Many numbers in one text take linear time, and added spans overlap nothing."""
+    text = "call 555-123-4567 or mail a@b.org, card 4111 1111 1111 1111. " * 4000
+    began = time.process_time()
+    found = pii.spans(text)
+    assert time.process_time() - began < 10 and len(found) == 12_000
+    assert all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+
+
 def test_personal_data_edges(edges, empty):
     out = pii.mask(edges).collect()
     assert len(out) == len(EDGES) and sum("[EMAIL] now" in (r.text or "") for r in out) == 2 and sum(r.text is None for r in out) == 2
@@ -543,14 +568,49 @@ def test_containment(spark):
     less = " ".join(f"w{k}" for k in range(19))
     rows = [(1, f"Before, {item.upper().replace(' ', ', ')}! after"), (2, part + " z " + LONG), (3, less), (None, item), (4, None), (5, ""), (1, "other"), (6, "w1 w2")]
     docs = with_clashes(spark.createDataFrame(rows, "doc_id long, text string"))
-    items = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (7, item)], "item_id long, text string")
-    got = sorted((str(r.doc_id), r.item_id, r.n_shared) for r in decontaminate.contained(docs, items).collect())
-    assert got == [("1", 7, 20), ("2", 7, 16), ("None", 7, 20)]
+    items = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (7, item), (10, " .,; ")], "item_id long, text string")
+    for few in (0, 1000):  # texts shuffled, ids broadcast
+        got = sorted((str(r.doc_id), r.item_id, r.n_shared) for r in decontaminate.contained(docs, items, broadcast_rows=few).collect())
+        assert got == [("1", 7, 20), ("2", 7, 16), ("None", 7, 20)]
     kept = decontaminate.clean(docs, items)
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(i), t) for i, t in [rows[2], *rows[4:]]) and kept.columns == docs.columns
+    short = spark.createDataFrame([(11, "Other"), (12, "w18, w19 z w0x0"), (13, "w1 w2"), (14, "w2 w1")], "item_id long, text string")
+    got = sorted((str(r.doc_id), r.item_id) for r in decontaminate.contained(docs, short).collect())
+    assert got == [("1", 11), ("1", 13), ("2", 12), ("2", 13), ("3", 13), ("6", 13), ("None", 13)]
     assert decontaminate.contained(docs.filter("doc_id = 99"), items).count() == 0 and decontaminate.clean(docs, items.filter("item_id = 99")).count() == len(rows)
 
 
+def test_containment_by_brute_force(spark, docs):
+    """Items cut from texts at random, with words replaced, of all sizes; a phrase that all items share."""
+    rng = np.random.default_rng(8)
+    texts = [(int(i), t or "") for i, t in zip(docs.doc_id, docs.text)][:120]
+    found = []
+    for k in range(60):
+        w = decontaminate_words(texts[int(rng.integers(120))][1])
+        n = int(rng.integers(1, 60))
+        if len(w) > n:
+            at = int(rng.integers(len(w) - n))
+            own = w[at : at + n]
+            for j in rng.integers(0, n, int(rng.integers(0, 3))):
+                own[int(j)] = "changed"
+            found.append((k, " ".join(["the shared phrase of all items here"] * (k % 2) + own)))
+    df, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(found, "item_id long, text string")
+    of = lambda w, n: {" ".join(w[k : k + n]) for k in range(len(w) - n + 1)}
+    want = set()
+    for k, t in found:
+        n = min(len(t.split()), 5)
+        own = of(t.split(), n)
+        for i, d in texts:
+            shared = len(own & of(decontaminate_words(d), n))
+            if shared >= math.ceil(0.8 * len(own) - 1e-9):
+                want.add((i, k, shared))
+    assert {(r.doc_id, r.item_id, r.n_shared) for r in decontaminate.contained(df, items).collect()} == want and want
+
+
+def decontaminate_words(t):
+    return [w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w]
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -569,6 +629,23 @@ def test_toxicity_on_held_out_labels(sf):
     assert math.isclose(score(test.text.iloc[0])[0], 1 / (1 + math.exp(-chain[0].logit(own, []))), rel_tol=1e-9)
 
 
+def test_toxicity_query(spark, sf, docs):
+    """op10_toxicity against the chain applied text by text, without Spark."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    chain = toxicity.fit_labelled(df, labels, toxicity.CATEGORIES)
+    rows = {r.doc_id: r for r in queries.QUERIES["op10_toxicity"](spark, sf).collect()}
+    assert len(rows) == len(docs)
+    for i, t in zip(docs.doc_id.tolist(), docs.text):
+        found, logits = toxicity.features(t), []
+        for m in chain:
+            own = dict(zip(m.keys.tolist(), m.weights.tolist()))
+            logits.append(m.bias + sum(own.get(x, 0.0) for x in found.tolist()) + sum(c * x for c, x in zip(m.chain, logits)))
+        p = [1 / (1 + math.exp(-min(max(x, -40), 40))) for x in logits]
+        assert math.isclose(rows[i].p_low_quality, p[0], rel_tol=1e-6) and math.isclose(rows[i].p_toxic, p[1], rel_tol=1e-6)
+        assert rows[i].rejected == (p[1] >= chain[1].threshold)
+
+
 def test_toxicity_edges(spark, edges, empty):
     labels = spark.createDataFrame([(0, 1, 1), (1, None, 0), (None, 1, 1), (0, 0, 0)], "doc_id long, quality int, toxic int")
     chain = toxicity.fit_labelled(edges, labels, toxicity.CATEGORIES)
@@ -594,3 +671,76 @@ def test_pipeline(spark, sf):
     packed = c.run(spark, sf)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert c.pack(spark, docs.filter("doc_id < 0"), sf).count() == 0 and isinstance(pa.__version__, str)
+
+
+def test_pipeline_stages_on_edges(spark, sf, edges, empty):
+    """Nulls, repeated rows, a very long text and clashing names through every stage; empty tables."""
+    import corpus_pipeline
+
+    own = edges.select(*edges.columns, F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    now, none = own, own.filter("doc_id = 99")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, now, sf)
+        assert stage(spark, none, sf).count() == 0, name
+        if name != "packing":
+            assert got.columns == own.columns, name
+            rows = got.select("doc_id", "text").collect()
+            before = Counter((r.doc_id, r.text) for r in now.select("doc_id", "text").collect())
+            if name == "near_duplicates":  # one of the repeated rows, one of the texts without words, and all others
+                assert sorted(str(r.doc_id) for r in rows) == sorted(["0", "None", "1", "4", "5", "-7"])
+            elif name == "personal_data":
+                assert {r.text for r in rows if r.doc_id == 0} == {"Mail [EMAIL] now"}
+            else:
+                assert Counter((r.doc_id, r.text) for r in rows) == before, name
+            now = spark.createDataFrame(got.collect(), got.schema)
+        else:
+            assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
+
+
+def test_pipeline_by_brute_force(spark, sf, docs, library):
+    """What the pipeline packs, from plain Python: the chain text by text, exact Jaccard over all pairs, exact containment,
+    masked spans, and the library's ids."""
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, sf).collect()
+    chain = toxicity.fit_labelled(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), toxicity.CATEGORIES)
+    score = toxicity.Scorer(chain)
+    text = {i: t or "" for i, t in zip(docs.doc_id.tolist(), docs.text) if score(t)[1] < chain[1].threshold}
+
+    def grams(t):
+        w = t.encode().lower().split()
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else frozenset()
+
+    sets, root = {i: grams(t) for i, t in text.items()}, {i: i for i in text}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(text)
+    for a in ids:
+        for b in ids:
+            if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    kept = [i for i in ids if top(i) == i]
+    items = pq.read_table(f"{sf}/benchmark.parquet").to_pandas()
+    of = lambda w, n: {" ".join(w[k : k + n]) for k in range(len(w) - n + 1)}
+    wanted = [(n, of(w, n)) for w in map(decontaminate_words, items.text) if (n := min(len(w), 5))]
+    clean = [i for i in kept if not any(len(s & of(decontaminate_words(text[i]), n)) >= math.ceil(0.8 * len(s) - 1e-9) for n, s in wanted)]
+    masked = {}
+    for i in clean:
+        t, at, parts = text[i], 0, []
+        for kind, a, b, _ in pii.spans(t):
+            if a >= at:
+                parts += [t[at:a], f"[{kind.upper()}]"]
+            at = max(at, b)
+        masked[i] = "".join([*parts, t[at:]])
+    assert len(clean) < len(kept) < len(text) <= len(docs)
+    want = {i: b + (2).to_bytes(4, "little") for i, b in zip(masked, library.whole(list(masked.values())))}
+    got = Counter()
+    for r in out:
+        assert r.ids_crc32 == zlib.crc32(want[r.doc_id][4 * r.start : 4 * (r.start + r.length)])
+        got[r.doc_id] += r.length
+    assert got == {i: len(b) // 4 for i, b in want.items()}
