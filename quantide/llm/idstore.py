@@ -27,7 +27,8 @@ from . import common, tokens
 
 BLOCK_IDS = 256
 SEGMENT_IDS = 1 << 20
-ROWS_AT_ONCE = 256
+#: Documents whose ids are counted together.
+COUNTED_AT_ONCE = 256
 #: Ids that are coded at a time.
 CODED_IDS = 1 << 16
 MAGIC = b"HIDS"
@@ -187,8 +188,7 @@ def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                rows = batch.slice(at, ROWS_AT_ONCE)
+            for rows in tokens.slices(batch, 1):
                 ids = list(tokens.encode_documents(rows.column(1).to_pylist(), path, end_id))
                 n = np.array([len(x) for x in ids], np.int64)
                 starts = before + np.cumsum(n) - n
@@ -207,8 +207,9 @@ def _ids(data: bytes, n: int) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            c = np.bincount(_ids(data, n))
+        for at in range(0, batch.num_rows, COUNTED_AT_ONCE):
+            rows = batch.slice(at, COUNTED_AT_ONCE)
+            c = np.bincount(np.concatenate([*map(_ids, rows.column(1).to_pylist(), rows.column(0).to_pylist())]))
             if len(c) > len(total):
                 total = np.pad(total, (0, len(c) - len(total)))
             total[: len(c)] += c

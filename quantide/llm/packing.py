@@ -27,7 +27,6 @@ from pyspark.sql import types as T
 from . import common, tokens
 
 CAPACITY = 1024
-ROWS_AT_ONCE = 256
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -86,8 +85,7 @@ def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                piece = batch.slice(at, ROWS_AT_ONCE)
+            for piece in tokens.slices(batch, 1):
                 out: list[tuple] = []
                 texts = piece.column(1).to_pylist()
                 for doc, ids in zip(piece.column(0).to_pylist(), tokens.encode_documents(texts, path, end_id)):

@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -21,9 +24,15 @@ END_ID = 2
 CACHE_UNITS = 700_000
 #: Longer units aren't kept.
 CACHE_CHARS = 64
+#: Texts that are encoded together share the look-up of their units; together they are this large at most, or one text.
+ROWS_AT_ONCE = 4096
+BYTES_AT_ONCE = 8 << 20
+#: Units whose ids are put together at a time.
+UNITS_AT_ONCE = 1 << 18
 
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\u024f]+")
 _INSIDE = re.compile(r"\s[ \n](?:\s|\Z)")
+_GAP = re.compile(r"[ \n]")
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -102,22 +111,53 @@ class Encoder:
             return self.units[u[:-1]] + self.marks[u[-1]]
         return self._unit(u if u[:1] == "\n" else " " + u)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def flat(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, `end` after each text, and the place where each text's ids end.
+
+        Arrow splits the texts and numbers their distinct units; only those are looked up one by one.
+        """
         for held in (self.units, self.pieces):
             if len(held) > CACHE_UNITS:
                 held.clear()
-        ids_of, out = self.units.__getitem__, []
-        for t in texts:
+        heads, rests = [], []
+        for k, t in enumerate(texts):
+            before = end if k else b""  # the end of the text before
             if not t or _INSIDE.search(t):
-                out.append(self.whole([t])[0] if t else b"")
+                heads.append(before + (self.whole([t])[0] if t else b""))
+                rests.append("")
                 continue
-            # A line feed gets a space before it, so that one split gives all units; a unit's own first character is
-            # the line feed that it begins with, or else the space that the split took.
-            own = t.replace("\n", " \n").split(" ")
-            first = self._unit(own[0]) if own[0] else b""
-            del own[0]
-            out.append(first + b"".join(map(ids_of, own)))
-        return out
+            gap = _GAP.search(t)
+            at = gap.start() if gap else len(t)
+            heads.append(before + (self._unit(t[:at]) if at else b""))
+            rests.append(t[at:])
+        # A line feed gets a space before it, so that one split gives all units; a unit's own first character is the
+        # line feed that it begins with, or else the space that the split took. What is before the first one is empty,
+        # and the text's head takes its place.
+        split = pc.split_pattern(pc.replace_substring(pa.array(rests, pa.large_string()), "\n", " \n"), " ")
+        units = split.values.dictionary_encode()
+        bounds = split.offsets.to_numpy()
+        index = units.indices.to_numpy().copy()
+        index[bounds[:-1]] = len(units.dictionary) + np.arange(len(texts))
+        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = [*map(self.units.__getitem__, distinct), *heads]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.array([len(x) >> 2 for x in found], np.int64)
+        first = np.cumsum(size) - size
+        upto = np.concatenate([[0], np.cumsum(size[index])])
+        tail = len(end) >> 2
+        out = np.empty(int(upto[-1]) + (tail if texts else 0), "<u4")
+        for lo in range(0, len(index), UNITS_AT_ONCE):
+            own = index[lo : lo + UNITS_AT_ONCE]
+            start, stop = int(upto[lo]), int(upto[lo + len(own)])
+            shift = first[own] - upto[lo : lo + len(own)]
+            out[start:stop] = ids[np.repeat(shift, size[own]) + np.arange(start, stop)]
+        if texts and tail:
+            out[-tail:] = np.frombuffer(end, "<u4")
+        return out, upto[bounds[1:]] + tail
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, ends = self.flat(texts)
+        return [x.tobytes() for x in np.split(ids, ends[:-1])][: len(texts)]
 
 
 def encoder(path: str) -> Encoder:
@@ -129,6 +169,19 @@ def encoder(path: str) -> Encoder:
 
 def encode_documents(texts: list[str | None], path: str, end_id: int = END_ID):
     """For each text (null: empty) its ids with the end id appended, as an array."""
-    end = np.array([end_id], "<u4").tobytes()
-    for b in encoder(path).encode([t or "" for t in texts]):
-        yield np.frombuffer(b + end, "<u4")
+    ids, ends = encoder(path).flat([t or "" for t in texts], np.array([end_id], "<u4").tobytes())
+    start = 0
+    for stop in ends.tolist():
+        yield ids[start:stop]
+        start = stop
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ROWS_AT_ONCE rows and, where that is more than one row, BYTES_AT_ONCE of the column's text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(size, (size[at - 1] if at else 0) + BYTES_AT_ONCE, side="right"))
+        stop = max(at + 1, min(fits, at + ROWS_AT_ONCE))
+        yield batch.slice(at, stop - at)
+        at = stop

@@ -267,6 +267,20 @@ def test_tokens_are_the_library_s(library, docs):
         assert library.encode(texts) == library.whole(texts)
 
 
+def test_texts_are_encoded_in_slices(library, docs, monkeypatch):
+    """Slices hold all rows in order, a text beyond the limit is one of its own, and none changes the ids."""
+    texts = [None, "", "a  b", *docs.text.tolist()[:50], "x y\n" * 3000, None, "end"]
+    monkeypatch.setattr(tokens, "BYTES_AT_ONCE", 5000)
+    monkeypatch.setattr(tokens, "ROWS_AT_ONCE", 7)
+    monkeypatch.setattr(tokens, "UNITS_AT_ONCE", 100)
+    found = [s.column(0).to_pylist() for s in tokens.slices(pa.record_batch([pa.array(texts, pa.string())], ["text"]), 0)]
+    assert [t for s in found for t in s] == texts and max(map(len, found)) <= 7
+    assert all(len(s) == 1 or sum(len((t or "").encode()) for t in s) <= 5000 for s in found)
+    ids = [x for s in found for x in tokens.encode_documents(s, tokens.tokenizer_path())]
+    assert [x.tolist() for x in ids] == [ids_of(library, t).tolist() for t in texts]
+    assert list(tokens.encode_documents([], tokens.tokenizer_path())) == []
+
+
 def test_id_store(spark, sf, library, docs):
     rows = queries.QUERIES["op3_token_ids"](spark, sf).collect()
     before = 0
