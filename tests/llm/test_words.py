@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import re
+import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quantide.llm import bpe, queries, words
+from quantide.llm import bpe, periodic, queries, words
 
 LONG = " ".join(f"w{k % 977}x{k}" for k in range(30_000))
 EDGES = [(0, "Mail a.b@c.org now"), (0, "Mail a.b@c.org now"), (None, None), (None, "null id"), (1, ""), (2, None), (3, " \t\n "), (4, LONG), (5, "日本語 ünïcode 👍 <|endoftext|>"), (-7, "x"), (10, "a b " * 40), (20, "a" * 5000)]
@@ -31,8 +33,6 @@ def docs(sf):
 
 
 def test_words_are_the_pattern_s():
-    import re
-
     import pyarrow as pa
 
     texts = ["", None, " a\tb\x0bc ", "é  日本\x1cx\x85y", "\n", "end", "A Zé"] * 3
@@ -141,3 +141,85 @@ def test_bpe_edges(edges, empty, library):
         bpe.Ranks({b"a": 0, b"b": 1, b"ab": 2}, r"(?s).+").encode(["ac"])
     with pytest.raises(ValueError):
         bpe.Ranks({b"a": 0, b"b": 1, b"c": 2, b"abc": 3}, r"(?s).+")
+
+
+# 11 ----------------------------------------------------------------------------------------------------------------------
+
+
+def all_runs(s, least=12):
+    """Every period in turn: (start, length, period) by start, then period."""
+    out = []
+    code = {x: k for k, x in enumerate(dict.fromkeys(s))}
+    s = np.array([code[x] for x in s])
+    for p in range(1, len(s) // 2 + 1):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], s[:-p] == s[p:], [0]])))
+        for i, j in edges.reshape(-1, 2).tolist():
+            if j - i >= p and j - i + p >= least and not any((s[i : j + p - q] == s[i + q : j + p]).all() for q in range(1, p)):
+                out.append((i, j - i + p, p))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def told_runs(rows):
+    out = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        h = zlib.crc32(str(i).encode()) if i is not None else 1
+        if h % 10 == 0 and w:
+            g = h // 10
+            a = g % len(w)
+            p = 1 + (len(w) - a) // (3 + g % 8)
+            w = [w[a + (k - a) % p] if k >= a else w[k] for k in range(len(w))]
+        found = all_runs(w)
+        gone = {k for s, n, p in found for k in range(s + p, s + n)}
+        best = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else None
+        out.append((
+            str(i), len(found), *((*best, 1000 * best[1] // best[2]) if best else [None] * 4),
+            hashlib.sha256("".join("%d,%d,%d\n" % r for r in found).encode()).hexdigest(), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest(),
+        ))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 3, 6])
+def test_runs_of_random_words(kinds):
+    rnd = random.Random(kinds)
+    for _ in range(400):
+        s = [rnd.randrange(kinds) for _ in range(rnd.randint(1, 50))]
+        if rnd.random() < 0.5:
+            s += s[: rnd.randint(1, 1 + len(s) // 4)] * rnd.randint(2, 5) + s[:5]
+        least = rnd.choice([1, 2, 12])
+        found = periodic.runs(np.array(s), least)
+        assert list(zip(found.start.tolist(), found.length.tolist(), found.period.tolist())) == all_runs(s, least)
+        # No run reaches outside the stretches.
+        apart = periodic.stretches(np.array(s), np.zeros(len(s), np.int64))
+        assert all(any(lo <= a and a + n <= hi for lo, hi in apart) for a, n, _ in all_runs(s))
+
+
+@pytest.mark.parametrize("text", [[0, 1, 2, 0, 1, 2, 3], [0] * 9, [2, 1, 0], [0], [0, 1] * 6 + [1, 0] * 4])
+def test_suffix_tree(text):
+    tree = periodic.SuffixTree(text, max(text) + 1)
+    n = len(text)
+    assert [k for k in tree.order if k < n] == sorted(range(n), key=lambda k: text[k:])
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n)))
+    i, j = i[i != j], j[i != j]
+    common = lambda a, b: next((k for k in range(n) if max(a, b) + k >= n or text[a + k] != text[b + k]), 0)
+    assert tree.common(i, j).tolist() == [common(a, b) for a, b in zip(i, j)]
+    is_lyndon = lambda w: all(w < w[k:] for k in range(1, len(w)))
+    for lengths, sign in zip(tree.lyndon(), (1, -1)):
+        signed = [sign * x for x in text]
+        assert lengths.tolist() == [max(m for m in range(1, n - k + 1) if is_lyndon(signed[k : k + m])) for k in range(n)]
+
+
+def test_periodic_query(spark, sf, docs):
+    rows = queries.QUERIES["op11_periodic_runs"](spark, sf).collect()
+    assert sorted(((str(r[0]), *r[1:]) for r in rows), key=str) == told_runs(zip(docs.doc_id.tolist(), docs.text))
+    assert any(r.n_runs > 1 for r in rows) and any(r.n_runs == 0 for r in rows)
+
+
+def test_periodic_edges(edges, empty):
+    assert sorted(((str(r[0]), *r[1:]) for r in periodic.find(edges).collect()), key=str) == told_runs(EDGES)
+    assert periodic.find(empty).collect() == [] == periodic.with_runs(empty).collect() == periodic.collapse(empty).collect()
+    told = periodic.with_runs(edges, to="own_runs")
+    assert told.columns == [*edges.columns, "own_runs"]
+    assert {r.text: [tuple(x) for x in r.own_runs] for r in told.select("text", "own_runs").collect()}["a b " * 40] == [(0, 80, 2)]
+    kept = {r.doc_id: r.text for r in periodic.collapse(edges).select("doc_id", "text").collect()}
+    assert kept[10] == "a b" and kept[2] is None and kept[3] == " \t\n " and kept[4] == LONG
