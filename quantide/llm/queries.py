@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, idstore, maxent, mpegts, packing, periodic, pii, simhash, toxicity, warc
+from . import bpe, chat, collocation, decontaminate, idstore, maxent, mpegts, packing, periodic, pii, simhash, toxicity, warc
 
 QUERIES = {
     "op1_lm_score": maxent.op1_lm_score,
@@ -16,6 +16,12 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_collocations": collocation.op12_collocations,
     "op13_bpe": bpe.op13_bpe,
 }
-ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op6_preference": chat.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_warc": warc.ORACLE,
+    "op6_preference": chat.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
+    "op12_collocations": collocation.ORACLE,
+}

@@ -4,13 +4,16 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quantide.llm import bpe, periodic, queries, words
+from quantide.llm import bpe, collocation, periodic, queries, words
+
+from twins import assert_same
 
 LONG = " ".join(f"w{k % 977}x{k}" for k in range(30_000))
 EDGES = [(0, "Mail a.b@c.org now"), (0, "Mail a.b@c.org now"), (None, None), (None, "null id"), (1, ""), (2, None), (3, " \t\n "), (4, LONG), (5, "日本語 ünïcode 👍 <|endoftext|>"), (-7, "x"), (10, "a b " * 40), (20, "a" * 5000)]
@@ -223,3 +226,83 @@ def test_periodic_edges(edges, empty):
     assert {r.text: [tuple(x) for x in r.own_runs] for r in told.select("text", "own_runs").collect()}["a b " * 40] == [(0, 80, 2)]
     kept = {r.doc_id: r.text for r in periodic.collapse(edges).select("doc_id", "text").collect()}
     assert kept[10] == "a b" and kept[2] is None and kept[3] == " \t\n " and kept[4] == LONG
+
+
+# 12 ----------------------------------------------------------------------------------------------------------------------
+
+
+def told_phrases(rows, least, longest=5, kept=2000):
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for i in range(len(w)):
+                for k in range(1, longest + 1):
+                    if i + k <= len(w):
+                        f[lang, tuple(w[i : i + k])] += 1
+    candidates = {x: a for x, a in f.items() if a >= least and len(x[1]) > 1}
+    out = []
+    for (lang, p), a in candidates.items():
+        if any(x == lang and len(q) > len(p) and b == a and any(q[i : i + len(p)] == p for i in range(len(q))) for (x, q), b in candidates.items()):
+            continue
+        score, _, left, right = min((1000 * a * n[lang] // (f[lang, p[:k]] * f[lang, p[k:]]), k, f[lang, p[:k]], f[lang, p[k:]]) for k in range(1, len(p)))
+        out.append((lang, -score, -a, " ".join(p).encode(), left, right, n[lang]))
+    told, rank = [], Counter()
+    for lang, score, a, p, left, right, total in sorted(out):
+        rank[lang] += 1
+        if rank[lang] <= kept:
+            told.append((lang, rank[lang], p.decode(), -a, left, right, total, -score))
+    return sorted(told)
+
+
+def phrases(spark, rows, **options):
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    return sorted(tuple(r) for r in collocation.collocations(docs, **options).collect())
+
+
+def test_collocations_query(spark, sf):
+    assert_same(queries.QUERIES["op12_collocations"](spark, sf), queries.ORACLES["op12_collocations"], sf)
+
+
+@pytest.mark.parametrize("mean, bits", [(1, 26), (2, 26), (3, 15), (16, 12)])
+def test_collocations_of_random_texts(spark, mean, bits):
+    """Triggers at every, every second ... place; a bitmap so small that it says yes to nearly all."""
+    rnd = random.Random(mean)
+    names = ["a", "B", "ab", "é", "日本", "c", "d\x1c"]
+    rows = []
+    for _ in range(120):
+        w = [rnd.choice(names) + rnd.choice([" "] * 12 + [". ", "\t", "\n", ", ", "  "]) for _ in range(rnd.randint(0, 60))]
+        rows.append((rnd.choice(["x", "y", None, "und"]), "".join(w)))
+    rows += rows[:40] + [("x", None), (None, ""), ("z", " .,! "), ("y", "same words here again and again " * 300)]
+    assert phrases(spark, rows, least=3, mean=mean, power=bits) == told_phrases(rows, 3)
+    assert phrases(spark, rows, least=3, longest=3, kept=5, mean=mean, power=bits) == told_phrases(rows, 3, 3, 5)
+
+
+def test_chunks_hold_each_word_once():
+    """Equal passages have equal chunks wherever they stand, and own parts one after another are the text."""
+    import pyarrow as pa
+
+    rnd = random.Random(1)
+    passage = " ".join(rnd.choice("abcdefgh") for _ in range(900))
+    texts = [passage, "z z z " + passage + " y", passage + ". " + passage]
+    (batch,) = collocation._chunks(4)([pa.RecordBatch.from_arrays([pa.array(["x"] * 3), pa.array(texts, pa.string())], ["lang", "text"])])
+    rows = [(c.split(" "), k) for c, k in zip(batch["chunk"].to_pylist(), batch["own"].to_pylist())]
+    assert [w for c, k in rows for w in c[:k]] == " ".join(texts).replace(".", "").split()
+    assert len({tuple(c) for c, _ in rows}) < len(rows) / 3 + 6
+
+
+def test_collocations_edges(spark, edges, empty):
+    docs = edges.withColumn("lang", F.when(F.col("doc_id") > 3, "l"))
+    assert sorted(tuple(r) for r in collocation.collocations(docs, least=2).collect()) == told_phrases([("l" if i is not None and i > 3 else None, t) for i, t in EDGES], 2)
+    assert collocation.collocations(empty.withColumn("lang", F.lit("x"))).collect() == []
+    with pytest.raises(ValueError):
+        collocation.collocations(docs, longest=6)
+
+
+def test_scores_beyond_64_bits(spark):
+    counts = [spark.createDataFrame(r, "lang string, phrase string, f long") for r in ([("x", "a", 3 * 10**12), ("x", "b", 7 * 10**12)], [("x", "a b", 10**12)])]
+    row = collocation.scored(counts, spark.createDataFrame([("x", 10**15)], "lang string, n long")).collect()[0]
+    assert row.score == 1000 * 10**12 * 10**15 // (21 * 10**24)
