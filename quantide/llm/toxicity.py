@@ -2,9 +2,9 @@
 
 Categories are 0/1 columns of a label table, in an order. Each has a logistic model over hashed features of the text:
 its words, their beginnings (which catch inflected and compounded forms), and bins of its shape (capitals, marks, word
-length). A later model also gets the logits of the earlier ones. In training these are out-of-fold: each labelled
-document's logit comes from a model that saw none of its fold, so later models learn from predictions as good as those
-that they meet in use. The threshold of each category is the one with the best F1 on its out-of-fold
+length). A later model also gets the probabilities of the earlier ones. In training these are out-of-fold: each labelled
+document's probability comes from a model that saw none of its fold, so later models learn from predictions as good as
+those that they meet in use. The threshold of each category is the one with the best F1 on its out-of-fold
 probabilities among those with a precision of at least LEAST_PRECISION; if there is none, nothing is rejected.
 
 The models are fitted on the driver from at most LABELLED labelled documents, those with the smallest hash of the id;
@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 from . import common
 
 LABELLED = 6000
-SELECTED = 2048
+SELECTED = 4096
 FOLDS = 4
 LEAST_DOCUMENTS = 3
 BEGINNINGS = (4, 5, 6)
 #: Of the documents that a threshold takes, out of fold.
 LEAST_PRECISION = 0.9
 PENALTY = 2e-4
-STEPS = 150
+STEPS = 250
 #: Words whose features a worker keeps.
 HELD = 300_000
 
@@ -69,7 +69,7 @@ def features(text: str | None) -> np.ndarray:
 
 @dataclass
 class Model:
-    """One link of the chain. keys: selected features, sorted; chain: weights of the earlier categories' logits."""
+    """One link of the chain. keys: selected features, sorted; chain: weights of the earlier categories' probabilities."""
 
     bias: float
     keys: np.ndarray
@@ -110,8 +110,8 @@ class Sample:
         self.row = np.concatenate([*rows, np.zeros(0, np.int32)])
 
     def fit(self, use: np.ndarray, y: np.ndarray, before: np.ndarray) -> tuple[Model, np.ndarray]:
-        """A logistic model of y (by document) over the documents in `use` and the logits before, and its logits of all
-        documents."""
+        """A logistic model of y (by document) over the documents in `use` and the probabilities before, and its logits of
+        all documents."""
         n, rate = int(use.sum()), float(y[use].mean()) if use.any() else 0.0
         base = float(np.clip(rate, 1e-6, 1 - 1e-6))
         bias = math.log(base / (1 - base))
@@ -174,7 +174,7 @@ def train_chain(docs: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -
     logits = np.zeros(labels.shape)
     chain = []
     for k in range(labels.shape[1]):
-        y, known, before = np.nan_to_num(labels[:, k]), ~np.isnan(labels[:, k]), logits[:, :k].copy()
+        y, known, before = np.nan_to_num(labels[:, k]), ~np.isnan(labels[:, k]), _sigmoid(logits[:, :k])
         for fold in range(FOLDS):
             _, found = sample.fit(known & (folds != fold), y, before)
             logits[folds == fold, k] = found[folds == fold]
@@ -223,10 +223,10 @@ class Scorer:
             if own:
                 found.update(own)
         row = np.fromiter(found, np.uint32, len(found))
-        logits: list[float] = []
+        found_before: list[float] = []
         for m in self.chain:
-            logits.append(m.logit(row, logits))
-        return [float(p) for p in _sigmoid(np.array(logits))] if logits else []
+            found_before.append(float(_sigmoid(m.logit(row, found_before))))
+        return found_before
 
 
 def classify(df: DataFrame, chain: list[Model], names: list[str], text: str = "text", to: str = "toxicity") -> DataFrame:

@@ -651,11 +651,11 @@ def test_toxicity_query(spark, sf, docs):
     rows = {r.doc_id: r for r in queries.QUERIES["op10_toxicity"](spark, sf).collect()}
     assert len(rows) == len(docs)
     for i, t in zip(docs.doc_id.tolist(), docs.text):
-        found, logits = toxicity.features(t), []
+        found, p = toxicity.features(t), []
         for m in chain:
             own = dict(zip(m.keys.tolist(), m.weights.tolist()))
-            logits.append(m.bias + sum(own.get(x, 0.0) for x in found.tolist()) + sum(c * x for c, x in zip(m.chain, logits)))
-        p = [1 / (1 + math.exp(-min(max(x, -40), 40))) for x in logits]
+            logit = m.bias + sum(own.get(x, 0.0) for x in found.tolist()) + sum(c * x for c, x in zip(m.chain, p))
+            p.append(1 / (1 + math.exp(-min(max(logit, -40), 40))))
         assert math.isclose(rows[i].p_low_quality, p[0], rel_tol=1e-6) and math.isclose(rows[i].p_toxic, p[1], rel_tol=1e-6)
         assert rows[i].rejected == (p[1] >= chain[1].threshold)
 
