@@ -16,19 +16,31 @@ LEVEL1 = {"bid": "p_bid_0_price", "bid_size": "p_bid_0_size", "ask": "p_ask_0_pr
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir. Where none is set a local master, as in
-    tests, gets one of its own; a cluster has to name one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    tests, gets one of its own for the session; a cluster has to name one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quantide.scratch.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("quantide.scratch.dir", root)
     return f"{root}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once and read again, so that what follows doesn't compute it anew."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written once and read again, and where; the caller discards it when nothing reads it any more."""
     df.write.option("compression", "zstd").parquet(path := scratch(df.sparkSession))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once and read again, so that what follows doesn't compute it anew. It lives as long as the shared folder:
+    a query's result reads it when it runs."""
+    return written(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def read_level1(spark: SparkSession, path: str, start: str, end: str, instruments: list[str]) -> DataFrame:
