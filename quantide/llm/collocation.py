@@ -7,10 +7,11 @@ wherever they stand. The distinct chunks and their frequencies are the dictionar
 counted inside the distinct chunks, weighted by frequency; a phrase belongs to the chunk in whose own part, the words
 before its last trigger, it begins, so what lies in an overlap counts once.
 
-Phrases are counted by length. One that occurs often enough has only parts that do, so of longer ones only those are
-counted whose both parts, a word shorter, may be frequent. What may be is a bitmap of fixed size over hashes of the
-frequent phrases, made by Spark's bitmap aggregate: it can say yes to others, which then only get counted in vain, never
-no to one of them. Counts are by the phrases themselves, never by hashes.
+A phrase that occurs often enough has only parts that do. So words are counted first, then pairs of words, then longer
+phrases all of whose pairs may be frequent. Which pairs may be is told by counts of their hashes: a task sends three bytes
+for a hash that it met once, which a shard of hashes adds up. What may be frequent is kept in bitmaps of fixed size, made
+by Spark's bitmap aggregate: they can say yes to other phrases, which then only get counted in vain, never no to a frequent
+one. Counts that matter are by the phrases themselves, never by hashes.
 
 Defined results: a null text is an empty one; a null lang is `und`; a text without words adds nothing; repeated rows
 count each; other columns don't matter; a language without any frequent phrase has no rows, an empty table gives none.
@@ -41,6 +42,8 @@ WINDOW = LONGEST - 1
 CHUNK_WORDS = 16
 #: Bits that tell which phrases may be frequent (8 MB); 2 to this power, whatever the input.
 BITS = 26
+#: Hashes of pairs are counted in 2^12 shards of 2^20 cells.
+SHARD_BITS, CELL_BITS = 12, 20
 UNKNOWN = "und"
 
 _BREAK = words.byte_set(b".,;:!?\x0a\x0b\x0c\x0d")
@@ -124,68 +127,141 @@ def _numbered(columns: list[np.ndarray], sizes: list[int]) -> np.ndarray:
 
 
 def _may_be(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
-    at = (code % np.uint64(8 * len(bits))).astype(np.int64)
+    at = _bit_of(code, 8 * len(bits)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def _bit_of(code: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of a hash follows from its cell, the upper bits."""
+    return (code >> np.uint64(64 - SHARD_BITS - CELL_BITS)) % np.uint64(bits)
+
+
+class _Part:
+    """A slice of the dictionary: ids of all words, and which places begin phrases of the chunks' own parts."""
+
+    def __init__(self, part: pa.RecordBatch):
+        cut = words.cut(part.column(1), _SPACE)
+        self.n = len(cut.values)
+        self.ids, self.distinct = cut.ids()
+        self.row = cut.rows()
+        self.lang = part.column(0)
+        self.number, self.langs, self.lang_hash = _lang_codes(self.lang)
+        self.own = np.arange(self.n) - cut.bounds[self.row] < part.column(2).to_numpy(zero_copy_only=False)[self.row]
+        self.f = part.column(3).to_numpy(zero_copy_only=False)
+
+    def fits(self, length: int) -> np.ndarray:
+        """For each place that `length` words follow whether they are of one chunk and begin in its own part."""
+        last = max(self.n - length + 1, 0)
+        return self.own[:last] & (self.row[:last] == self.row[length - 1 :]) if last else np.zeros(0, bool)
+
+    def pair_codes(self) -> np.ndarray:
+        """Hashes of each word and the next, whether or not they are of one chunk."""
+        word = _hashes(self.distinct)[self.ids]
+        return _mixed(_mixed(self.lang_hash[self.row[:-1]], word[:-1]), word[1:])
+
+    def counted(self, at: np.ndarray, length: int) -> pa.RecordBatch:
+        """The phrases at the places `at`, added up."""
+        ids, row = self.ids, self.row
+        key = _numbered([self.number[row[at]], *(ids[at + k] for k in range(length))], [len(self.langs), *[len(self.distinct)] * length])
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        f = np.zeros(len(first), np.int64)
+        np.add.at(f, inverse, self.f[row[at]])
+        one = at[first]
+        phrase = words.joined(self.distinct, ids[one[:, None] + np.arange(length)].ravel(), np.arange(len(one) + 1) * length)
+        return pa.RecordBatch.from_arrays([self.lang.take(pa.array(row[one])), phrase.cast(pa.large_string()).cast(pa.string()), pa.array(f)], ["lang", "phrase", "f"])
+
+
 COUNT_DDL = "lang string, phrase string, f long"
 
 
-def _counted(length: int, bits):
-    """Rows (lang, chunk, own, f) to the phrases of `length` words that begin in the chunks' own parts, added up by slice.
+def _counted(lengths: range, bits):
+    """Rows (lang, chunk, own, f) to the phrases of these lengths that begin in the chunks' own parts, added up by slice.
 
-    bits: a broadcast bitmap of what phrases a word shorter may be frequent; None for single words.
+    bits: a broadcast bitmap of the pairs that may be frequent; None for single words.
     """
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = None if bits is None else np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            for part in tokens.slices(batch, 1):
-                cut = words.cut(part.column(1), _SPACE)
-                n = len(cut.values)
-                if n < length:
+            for rows in tokens.slices(batch, 1):
+                part = _Part(rows)
+                if part.n < lengths[0]:
                     continue
-                ids, distinct = cut.ids()
-                row = cut.rows()
-                number, langs, lang_hash = _lang_codes(part.column(0))
-                place = np.arange(n) - cut.bounds[row]
-                fits = place < part.column(2).to_numpy(zero_copy_only=False)[row]
-                last = n - length + 1
-                fits = fits[:last] & (row[:last] == row[length - 1 :])
-                if frequent is not None:
-                    word = _hashes(distinct)[ids]
-                    code = lang_hash[row[: last + 1]]
+                known = _may_be(frequent, part.pair_codes()) if frequent is not None else None
+                for length in lengths:
+                    fits = part.fits(length)
                     for k in range(length - 1):
-                        code = _mixed(code, word[k : last + 1 + k])
-                    known = _may_be(frequent, code)
-                    fits &= known[:-1] & known[1:]
-                at = np.flatnonzero(fits)
-                if not len(at):
-                    continue
-                key = _numbered([number[row[at]], *(ids[at + k] for k in range(length))], [len(langs), *[len(distinct)] * length])
-                _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-                f = np.zeros(len(first), np.int64)
-                np.add.at(f, inverse, part.column(3).to_numpy(zero_copy_only=False)[row[at]])
-                one = at[first]
-                phrase = words.joined(distinct, ids[one[:, None] + np.arange(length)].ravel(), np.arange(len(one) + 1) * length)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[one])), phrase.cast(pa.large_string()).cast(pa.string()), pa.array(f)], ["lang", "phrase", "f"])
+                        fits = fits & known[k : k + len(fits)]
+                    if fits.any():
+                        yield part.counted(np.flatnonzero(fits), length)
 
     return own
 
 
-def _bitmap(frequent: DataFrame, power: int) -> bytes:
-    """The bits of all phrases; the driver gets them in parts of 4 kB, and never more than the whole bitmap."""
+SHARD_DDL = "shard int, once binary, often binary"
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, chunk, own, f) to counts of the cells of their pairs: for each shard the cells met once, three bytes each,
+    and the others, three bytes each, followed by their counts."""
+    for batch in batches:
+        for rows in tokens.slices(batch, 1):
+            part = _Part(rows)
+            fits = part.fits(2)
+            if not fits.any():
+                continue
+            at = np.flatnonzero(fits)
+            cell = (part.pair_codes()[at] >> np.uint64(64 - SHARD_BITS - CELL_BITS)).astype(np.int64)
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            f = np.add.reduceat(part.f[part.row[at[order]]], first)
+            cell = cell[first]
+            shard = cell >> CELL_BITS
+            three = (cell & ((1 << CELL_BITS) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+            begin = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+            once, often = [], []
+            for a, b in zip(begin, np.append(begin[1:], len(cell))):
+                one = f[a:b] == 1
+                once.append(three[a:b][one].tobytes())
+                often.append(three[a:b][~one].tobytes() + f[a:b][~one].astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(shard[begin].astype(np.int32)), pa.array(once, pa.binary()), pa.array(often, pa.binary())], ["shard", "once", "often"])
+
+
+def _offsets(three: bytes) -> np.ndarray:
+    out = np.zeros((len(three) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(three, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
+def _full_cells(least: int, power: int):
+    """Rows of _cells(), by shard, to the bits (from 1 on) of the cells that reach `least`. One shard's counters are held at a time."""
 
-    def own(lang: pa.Array, phrase: pa.Array) -> pa.Array:
-        out = []
-        for x, p in zip(lang.to_pylist(), phrase.to_pylist()):
-            code = np.array([zlib.crc32(x.encode())], np.uint64)
-            for w in p.split(" "):
-                code = _mixed(code, np.array([zlib.crc32(w.encode())], np.uint64))
-            out.append(int(code[0] % np.uint64(1 << power)) + 1)
-        return pa.array(out, pa.int64())
-
-    bit = frequent.select(F.arrow_udf(own, "long")("lang", "phrase").alias("bit"))
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, total = -1, np.zeros(1 << CELL_BITS, np.int64)
+
+        def full() -> pa.RecordBatch:
+            code = ((shard << CELL_BITS) + np.flatnonzero(total >= least)).astype(np.uint64) << np.uint64(64 - SHARD_BITS - CELL_BITS)
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(_bit_of(code, 1 << power)).astype(np.int64) + 1)], ["bit"])
+
+        for batch in batches:
+            for k, once, often in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != shard:
+                    if shard >= 0:
+                        yield full()
+                    shard = k
+                    total[:] = 0
+                np.add.at(total, _offsets(once), 1)
+                n = len(often) // 11
+                np.add.at(total, _offsets(often[: 3 * n]), np.frombuffer(often, "<i8", n, 3 * n))
+        if shard >= 0:
+            yield full()
+
+    return own
+
+
+def _bitmap(bit: DataFrame, power: int) -> bytes:
+    """The bits (from 1 on) of a column `bit`; the driver gets them in parts of 4 kB, and never more than the whole bitmap."""
     parts = bit.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
     out = bytearray(1 << (power - 3))
     for r in parts:
@@ -194,18 +270,33 @@ def _bitmap(frequent: DataFrame, power: int) -> bytes:
     return bytes(out)
 
 
+def _pair_bits(pairs: DataFrame, power: int) -> DataFrame:
+    def own(lang: pa.Array, phrase: pa.Array) -> pa.Array:
+        each = [[zlib.crc32(x.encode()) for x in (a, *p.split(" "))] for a, p in zip(lang.to_pylist(), phrase.to_pylist())]
+        a, first, second = np.array(each, np.uint64).reshape(-1, 3).T
+        return pa.array(_bit_of(_mixed(_mixed(a, first), second), 1 << power).astype(np.int64) + 1)
+
+    return pairs.select(F.arrow_udf(own, "long")("lang", "phrase").alias("bit"))
+
+
 def frequent_phrases(chunks: DataFrame, least: int = LEAST, longest: int = LONGEST, power: int = BITS) -> list[DataFrame]:
-    """For 1 to `longest` words the phrases (lang, phrase, f) that occur `least` times or more, each stored."""
+    """Words, pairs, and longer phrases (lang, phrase, f) that occur `least` times or more, each stored."""
     spark = chunks.sparkSession
     rows = chunks.select("lang", "chunk", "own", "f")
-    out, bits = [], None
-    for length in range(1, longest + 1):
-        counted = rows.mapInArrow(_counted(length, bits), COUNT_DDL)
-        counts = counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-        out.append(common.stored(counts, f"phrases-{length}")[0])
-        if bits is not None:
-            bits.destroy()
-        bits = spark.sparkContext.broadcast(_bitmap(out[-1], power)) if length < longest else None
+
+    def counts(lengths: range, bits) -> DataFrame:
+        counted = rows.mapInArrow(_counted(lengths, bits), COUNT_DDL)
+        return common.stored(counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), f"phrases-{lengths[0]}")[0]
+
+    out = [counts(range(1, 2), None)]
+    cells = rows.mapInArrow(_cells, SHARD_DDL).repartition("shard").sortWithinPartitions("shard")
+    bits = spark.sparkContext.broadcast(_bitmap(cells.mapInArrow(_full_cells(least, power), "bit long"), power))
+    out.append(counts(range(2, 3), bits))
+    bits.destroy()
+    if longest > 2:
+        bits = spark.sparkContext.broadcast(_bitmap(_pair_bits(out[1], power), power))
+        out.append(counts(range(3, longest + 1), bits))
+        bits.destroy()
     return out
 
 
@@ -214,13 +305,13 @@ def _part(phrase: str, start, size):
 
 
 def scored(counts: list[DataFrame], totals: DataFrame) -> DataFrame:
-    """lang, phrase, a, l, r, n, score of each candidate, at its lowest-scoring cut. counts: by words, from one on; totals: lang, n.
+    """lang, phrase, a, l, r, n, score of each candidate, at its lowest-scoring cut. counts: words first, then longer; totals: lang, n.
 
     Products pass 64 bits, so they are exact decimals of 38 digits.
     """
     known = reduce(DataFrame.unionByName, counts)
-    cuts = [c.select("lang", "phrase", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(m - 1))).alias("k"), F.lit(m).alias("m")) for m, c in enumerate(counts, 1) if m > 1]
-    cut = reduce(DataFrame.unionByName, cuts).withColumn("head", _part("phrase", F.lit(1), F.col("k"))).withColumn("rest", _part("phrase", F.col("k") + 1, F.col("m") - F.col("k")))
+    longer = reduce(DataFrame.unionByName, counts[1:]).select("lang", "phrase", F.col("f").alias("a"), F.size(F.split("phrase", " ")).alias("m"))
+    cut = longer.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m") - 1))).withColumn("head", _part("phrase", F.lit(1), F.col("k"))).withColumn("rest", _part("phrase", F.col("k") + 1, F.col("m") - F.col("k")))
     of = lambda part, to: known.select("lang", F.col("phrase").alias(part), F.col("f").alias(to))
     both = cut.join(of("head", "l"), ["lang", "head"]).join(of("rest", "r"), ["lang", "rest"]).join(totals, "lang")
     exact = F.expr("(1000 * cast(a as decimal(38, 0)) * cast(n as decimal(38, 0))) div (cast(l as decimal(38, 0)) * cast(r as decimal(38, 0)))")
