@@ -31,7 +31,7 @@ def design(spark, sf_dir):
         return features.forward_targets(df, "s", HORIZONS)
 
     df = series.with_features(series.price_table(spark, sf_dir), make, 910, 901)
-    logs = [F.ln(F.greatest(F.col(f"v{w}"), F.lit(0.0)) + X.EPS).alias(f) for w, f in zip((60, 300, 900), FEATURES)]
+    logs = [F.ln(F.when(F.col(f"v{w}").isNotNull(), F.greatest(F.col(f"v{w}"), F.lit(0.0))) + X.EPS).alias(f) for w, f in zip((60, 300, 900), FEATURES)]
     return df.select("rn", "n", "sec", *logs, *(F.col(f"s_fwd_log_rv_{h}").alias(f"y{h}") for h in HORIZONS))
 
 
@@ -39,7 +39,7 @@ def train(df):
     return df.filter(F.col("rn") < F.floor(F.col("n") * 0.7))
 
 
-_DESIGN = f"WITH {S.BASE}, g AS (SELECT rn, n, sec, " + ", ".join(f"ln(greatest({S.rs('s_rv', w)}, 0) + 1e-12) AS {f}" for w, f in zip((60, 300, 900), FEATURES)) + ", ln(CASE WHEN count(s_rv) OVER (ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) = 60 THEN sum(s_rv) OVER (ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) END + 1e-12) AS y60 FROM base)"
+_DESIGN = f"WITH {S.BASE}, g AS (SELECT rn, n, sec, " + ", ".join(f"ln({S.full(w, f'greatest({S.rs("s_rv", w)}, 0)')} + 1e-12) AS {f}" for w, f in zip((60, 300, 900), FEATURES)) + ", ln(CASE WHEN count(s_rv) OVER (ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) = 60 THEN sum(s_rv) OVER (ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) END + 1e-12) AS y60 FROM base)"
 
 
 def _ols1(spark, sf_dir):
@@ -66,32 +66,9 @@ def _predict(spark, sf_dir):
     return df.select("rn", m.predict().alias("f"))
 
 
-add("M06_predict", _predict, _DESIGN + f", r AS (SELECT regr_intercept(y60, f1) AS a, regr_slope(y60, f1) AS b {_T}) SELECT rn, round(a + b * f1, 8) AS f FROM g, r", "J10_model_lookup")
+add("M06_predict", _predict, _DESIGN + f", r AS (SELECT regr_intercept(y60, f1) AS a, regr_slope(y60, f1) AS b {_T}) SELECT rn, round(a + b * f1, 8) AS f FROM g, r")
 
 
-def _bundle(spark, sf_dir):
-    """Ridge models of all horizons from one pass."""
-    df = train(design(spark, sf_dir)).select(*FEATURES, *(f"y{h}" for h in HORIZONS))
-    found = linear.ridge(df, list(FEATURES), [f"y{h}" for h in HORIZONS])
-    rows = [(h, m.intercept, m.beta, m.sigma2, m.n) for h in HORIZONS if (m := found[f"y{h}"])]
-    return spark.createDataFrame(rows, "horizon_s int, intercept double, beta array<double>, sigma2 double, n_train bigint")
-
-
-add("M07_model_grid", lambda s, d: _bundle(s, d).select("horizon_s", "intercept", F.col("beta")[0].alias("b1"), F.col("beta")[1].alias("b2"), F.col("beta")[2].alias("b3"), "sigma2", "n_train"))
-
-
-def _evaluate(spark, sf_dir):
-    df = design(spark, sf_dir)
-    found = linear.ridge(train(df).select(*FEATURES, *(f"y{h}" for h in HORIZONS)), list(FEATURES), [f"y{h}" for h in HORIZONS])
-    test = F.col("rn") >= F.floor(F.col("n") * 0.85)
-    out = []
-    for h in HORIZONS:
-        f, y = found[f"y{h}"].predict(), F.col(f"y{h}")
-        out += [scoring.r2(F.when(~test, y), f).alias(f"r2_train_{h}"), scoring.r2(F.when(test, y), f).alias(f"r2_test_{h}"), scoring.r2(F.when(test, F.exp(y)), F.exp(f)).alias(f"r2_level_{h}")]
-    return df.agg(*out)
-
-
-add("M08_fit_and_evaluate", _evaluate)
 add("M01_weekly_curve", lambda s, d: seasonality.weekly_factors(series.base_table(s, d)), None, "F36_wavelet_low_pass")
 _CURVE = f"WITH {S.BASE}, c AS (SELECT m::INT AS mow, mean FROM range(10080) r(m) LEFT JOIN (SELECT (isodow(sec) - 1) * 1440 + hour(sec) * 60 + minute(sec) AS k, avg(s_rv) AS mean FROM base GROUP BY 1) x ON m = x.k), z AS (SELECT mow, mean, last_value(CASE WHEN mean IS NOT NULL THEN mow END IGNORE NULLS) OVER (ORDER BY mow) AS a, last_value(mean IGNORE NULLS) OVER (ORDER BY mow) AS av, first_value(CASE WHEN mean IS NOT NULL THEN mow END IGNORE NULLS) OVER (ORDER BY mow ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b, first_value(mean IGNORE NULLS) OVER (ORDER BY mow ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bv FROM c)"
 add("F35_interpolated_curve", lambda s, d: seasonality.interpolated(seasonality.minute_means(series.base_table(s, d))), _CURVE + " SELECT mow, round(CASE WHEN a = b THEN av ELSE coalesce(av + (bv - av) * (mow - a) / (b - a), av, bv) END, 8) AS mean FROM z")
@@ -106,33 +83,6 @@ def _fourier(spark, sf_dir):
 add("M02_fourier_seasonality", _fourier, None, "M03_fourier_predict")
 
 
-def _trees(spark, sf_dir):
-    """Gradient-boosted trees on the same regressors; another family than leaf-wise boosting, so its metric is reported."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    df = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(design(spark, sf_dir).na.drop(subset=[*FEATURES, "y60"]))
-    model = GBTRegressor(featuresCol="x", labelCol="y60", predictionCol="f", maxIter=5, maxDepth=3, seed=7).fit(train(df))
-    return model, df
-
-
-def _tree_metric(spark, sf_dir):
-    model, df = _trees(spark, sf_dir)
-    test = F.col("rn") >= F.floor(F.col("n") * 0.85)
-    return model.transform(df).agg(scoring.r2(F.when(~test, F.col("y60")), F.col("f")).alias("r2_train"), scoring.r2(F.when(test, F.col("y60")), F.col("f")).alias("r2_test"), F.count("*").alias("n"))
-
-
-add("M09_boosted_trees", _tree_metric)
-
-
-def _importance(spark, sf_dir):
-    model, _ = _trees(spark, sf_dir)
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(FEATURES, model.featureImportances.toArray())], "feature string, gain double").orderBy(F.desc("gain")).limit(3)
-
-
-add("A31_feature_importance", _importance)
-
-
 def evaluation(spark, sf_dir, least: int = 3):
     """Prices of every row of well-filled periods from the variance that came, and their scores' inputs. Rows stand for
     seconds, so the variance is that of as many rows as the period still has."""
@@ -157,21 +107,6 @@ add("M16_pricer_evaluation", lambda s, d: evaluation(s, d).agg(scoring.brier(F.c
     _EVAL + " SELECT round(avg((p - y) * (p - y)), 8) AS brier, round(var_pop(y), 8) AS naive, round(avg(-(y * ln(least(greatest(p, 1e-8), 1 - 1e-8)) + (1 - y) * ln(1 - least(greatest(p, 1e-8), 1 - 1e-8)))), 8) AS loss, count(*) AS n, count(DISTINCT ps) AS periods FROM e")
 
 
-def _tree_pricer(spark, sf_dir):
-    """Boosted trees on moneyness, variance and time as a pricer; scored on the last fifteen percent."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    rows = evaluation(spark, sf_dir).withColumns({"m": F.ln(F.col("s_mid") / F.col("strike")), "root": F.sqrt("variance"), "t": F.ln(F.col("seconds_left") + 1)})
-    df = VectorAssembler(inputCols=["m", "variance", "root", "t"], outputCol="x").transform(rows)
-    model = GBTRegressor(featuresCol="x", labelCol="label", predictionCol="g", maxIter=5, maxDepth=3, seed=7).fit(train(df))
-    test = model.transform(df).filter(F.col("rn") >= F.floor(F.col("n") * 0.85))
-    return test.agg(scoring.brier(X.clip(F.col("g"), 0, 1), F.col("label")).alias("brier"), F.count("*").alias("n"))
-
-
-add("M10_tree_pricer", _tree_pricer)
-
-
 def _pooled(spark, sf_dir, kernel: int = 4):
     """Max-pooled and patched series: tumbling buckets of rows."""
     df = series.price_table(spark, sf_dir)

@@ -275,7 +275,7 @@ def _routing(s, d, experts: int = 4):
 
 
 add("A30_routing_table", _routing, _PR + """, e AS (SELECT m, [p, p2, 1 - p, 1 - p2] AS w FROM f), z AS (SELECT m, w, list_sum(list_transform(w, lambda v: exp(v))) AS t, list_max(w) AS mx FROM e), u AS (SELECT m, unnest(range(4)) AS expert, w, t, mx FROM z)
-SELECT CASE WHEN m < 5 THEN 'early' WHEN m < 10 THEN 'middle' ELSE 'late' END AS bucket, expert, round(avg(exp(w[expert + 1]) / t), 8) AS share, round(avg(CASE WHEN w[expert + 1] = mx THEN 1.0 ELSE 0.0 END), 8) AS top_share FROM u GROUP BY ALL""", "M12_expert_gating")
+SELECT CASE WHEN m < 5 THEN 'early' WHEN m < 10 THEN 'middle' ELSE 'late' END AS bucket, expert, round(avg(exp(w[expert + 1]) / t), 8) AS share, round(avg(CASE WHEN w[expert + 1] = mx THEN 1.0 ELSE 0.0 END), 8) AS top_share FROM u GROUP BY ALL""")
 add("A32_stale_share", lambda s, d: series.with_features(series.price_table(s, d), features.availability, 12).agg((1 - F.avg("c_avail")).alias("stale")), S.query({"stale": "1 - avg(CASE WHEN k THEN CASE WHEN t > 0 THEN 1.0 ELSE 0.0 END END)"}, keys="", steps=[{"k": "count(c_has_update) OVER (ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) = 10", "t": "sum(c_has_update) OVER (ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"}]))
 add("A33_seasonality_range", lambda s, d: _dense(s, d).agg(F.min("mean").alias("low"), F.max("mean").alias("high"), F.avg("mean").alias("mean")), f"WITH {S.BASE}, m AS (SELECT (isodow(sec) - 1) * 1440 + hour(sec) * 60 + minute(sec) AS mow, avg(s_rv) AS mean FROM base GROUP BY 1) SELECT {_r(low='min(mean)', high='max(mean)', mean='avg(mean)')} FROM m")
 add("A34_base_rate", lambda s, d: forecasts(s, d).agg(F.avg("y").alias("base_rate"), F.count("*").alias("n"), F.countDistinct(bars.truncated("sec", 900)).alias("n_periods")), _PR + " SELECT round(avg(y), 8) AS base_rate, count(*) AS n, count(DISTINCT time_bucket(INTERVAL 15 MINUTE, sec)) AS n_periods FROM f")

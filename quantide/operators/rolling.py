@@ -67,6 +67,21 @@ def forward_sum(x: Column, h: int) -> Column:
     return F.when(F.count(x).over(o) == h, F.sum(x).over(o))
 
 
+def forward_sums(df: DataFrame, wanted: dict[str, tuple[Column, int]]) -> DataFrame:
+    """df with the sum over the next h rows for each name: (expression, h); null if fewer or any is missing. Differences of
+    one running sum for each expression serve all lengths."""
+    o, up = order(), order().rowsBetween(Window.unboundedPreceding, 0)
+    runs = {}
+    for x, _ in wanted.values():
+        runs.setdefault(str(x), (len(runs), x))
+    df = df.withColumns({f"_f{k}": F.sum(F.coalesce(x, F.lit(0.0))).over(up) for k, x in runs.values()} | {f"_c{k}": F.count(x).over(up) for k, x in runs.values()})
+    made = {}
+    for name, (x, h) in wanted.items():
+        k = runs[str(x)][0]
+        made[name] = F.when(F.lead(f"_c{k}", h).over(o) - F.col(f"_c{k}") == h, F.lead(f"_f{k}", h).over(o) - F.col(f"_f{k}"))
+    return df.withColumns(made).drop(*(f"_{p}{k}" for p in "fc" for k, _ in runs.values()))
+
+
 def std(s1: Column, s2: Column, w: int) -> Column:
     """Population standard deviation from a window's sum and sum of squares."""
     m = s1 / w
