@@ -42,8 +42,9 @@ WINDOW = LONGEST - 1
 CHUNK_WORDS = 16
 #: Bits that tell which phrases may be frequent (8 MB); 2 to this power, whatever the input.
 BITS = 26
-#: Hashes of pairs are counted in 2^12 shards of 2^20 cells.
-SHARD_BITS, CELL_BITS = 12, 20
+#: Hashes of pairs are counted in 2^9 shards, a task each at most, of 2^23 cells (16 MB while a shard is added up). More shards
+#: serve corpora of many terabytes; a cell has 24 bits at most.
+SHARD_BITS, CELL_BITS = 9, 23
 UNKNOWN = "und"
 
 _BREAK = words.byte_set(b".,;:!?\x0a\x0b\x0c\x0d")
@@ -198,34 +199,38 @@ def _counted(lengths: range, bits):
     return own
 
 
-SHARD_DDL = "shard int, once binary, often binary"
+SHARD_DDL = "shard int, once binary, often binary, counts binary"
+
+
+def _pieces(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of flat, cut at the ends."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, chunk, own, f) to counts of the cells of their pairs: for each shard the cells met once, three bytes each,
-    and the others, three bytes each, followed by their counts."""
+    the others, three bytes each, and the counts of those."""
     for batch in batches:
         for rows in tokens.slices(batch, 1):
             part = _Part(rows)
-            fits = part.fits(2)
-            if not fits.any():
+            at = np.flatnonzero(part.fits(2))
+            if not len(at):
                 continue
-            at = np.flatnonzero(fits)
             cell = (part.pair_codes()[at] >> np.uint64(64 - SHARD_BITS - CELL_BITS)).astype(np.int64)
             order = np.argsort(cell, kind="stable")
             cell = cell[order]
             first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
             f = np.add.reduceat(part.f[part.row[at[order]]], first)
             cell = cell[first]
-            shard = cell >> CELL_BITS
+            one = f == 1
             three = (cell & ((1 << CELL_BITS) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-            begin = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-            once, often = [], []
-            for a, b in zip(begin, np.append(begin[1:], len(cell))):
-                one = f[a:b] == 1
-                once.append(three[a:b][one].tobytes())
-                often.append(three[a:b][~one].tobytes() + f[a:b][~one].astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(shard[begin].astype(np.int32)), pa.array(once, pa.binary()), pa.array(often, pa.binary())], ["shard", "once", "often"])
+            shards = np.unique(cell >> CELL_BITS)
+            ends = np.searchsorted(cell >> CELL_BITS, shards, side="right")
+            ones = np.cumsum(one)[ends - 1]
+            more = ends - ones
+            counts = f[~one].astype("<i8").view(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), _pieces(three[one].ravel(), 3 * ones), _pieces(three[~one].ravel(), 3 * more), _pieces(counts, 8 * more)], ["shard", "once", "often", "counts"])
 
 
 def _offsets(three: bytes) -> np.ndarray:
@@ -235,25 +240,25 @@ def _offsets(three: bytes) -> np.ndarray:
 
 
 def _full_cells(least: int, power: int):
-    """Rows of _cells(), by shard, to the bits (from 1 on) of the cells that reach `least`. One shard's counters are held at a time."""
+    """Rows of _cells(), by shard, to the bits (from 1 on) of the cells that reach `least`, where counting stops. One shard's
+    counters are held at a time; a row has each cell once."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, total = -1, np.zeros(1 << CELL_BITS, np.int64)
+        shard, total = -1, np.zeros(1 << CELL_BITS, np.uint16 if least < 1 << 16 else np.int64)
 
         def full() -> pa.RecordBatch:
-            code = ((shard << CELL_BITS) + np.flatnonzero(total >= least)).astype(np.uint64) << np.uint64(64 - SHARD_BITS - CELL_BITS)
+            code = ((shard << CELL_BITS) + np.flatnonzero(total == least)).astype(np.uint64) << np.uint64(64 - SHARD_BITS - CELL_BITS)
             return pa.RecordBatch.from_arrays([pa.array(np.unique(_bit_of(code, 1 << power)).astype(np.int64) + 1)], ["bit"])
 
         for batch in batches:
-            for k, once, often in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, once, often, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 if k != shard:
                     if shard >= 0:
                         yield full()
                     shard = k
                     total[:] = 0
-                np.add.at(total, _offsets(once), 1)
-                n = len(often) // 11
-                np.add.at(total, _offsets(often[: 3 * n]), np.frombuffer(often, "<i8", n, 3 * n))
+                for at, n in ((_offsets(once), 1), (_offsets(often), np.frombuffer(counts, "<i8"))):
+                    total[at] = np.minimum(total[at].astype(np.int64) + n, least)
         if shard >= 0:
             yield full()
 
