@@ -42,6 +42,8 @@ WINDOW = LONGEST - 1
 CHUNK_WORDS = 16
 #: Bits that tell which phrases may be frequent (8 MB); 2 to this power, whatever the input.
 BITS = 26
+#: Text of the dictionary that a task looks at together.
+BYTES_AT_ONCE = 4 << 20
 #: Hashes of pairs are counted in 2^9 shards, a task each at most, of 2^23 cells (16 MB while a shard is added up). More shards
 #: serve corpora of many terabytes; a cell has 24 bits at most.
 SHARD_BITS, CELL_BITS = 9, 23
@@ -172,6 +174,20 @@ class _Part:
         return pa.RecordBatch.from_arrays([self.lang.take(pa.array(row[one])), phrase.cast(pa.large_string()).cast(pa.string()), pa.array(f)], ["lang", "phrase", "f"])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The dictionary's rows again, in fewer and larger batches, so that more of a batch's words and phrases are equal."""
+    held, size = [], 0
+    for batch in batches:
+        for rows in tokens.slices(batch, 1):
+            held.append(rows)
+            size += rows.column(1).nbytes
+            if size >= BYTES_AT_ONCE:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 COUNT_DDL = "lang string, phrase string, f long"
 
 
@@ -183,18 +199,17 @@ def _counted(lengths: range, bits):
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = None if bits is None else np.frombuffer(bits.value, np.uint8)
-        for batch in batches:
-            for rows in tokens.slices(batch, 1):
-                part = _Part(rows)
-                if part.n < lengths[0]:
-                    continue
-                known = _may_be(frequent, part.pair_codes()) if frequent is not None else None
-                for length in lengths:
-                    fits = part.fits(length)
-                    for k in range(length - 1):
-                        fits = fits & known[k : k + len(fits)]
-                    if fits.any():
-                        yield part.counted(np.flatnonzero(fits), length)
+        for rows in _gathered(batches):
+            part = _Part(rows)
+            if part.n < lengths[0]:
+                continue
+            known = _may_be(frequent, part.pair_codes()) if frequent is not None else None
+            for length in lengths:
+                fits = part.fits(length)
+                for k in range(length - 1):
+                    fits = fits & known[k : k + len(fits)]
+                if fits.any():
+                    yield part.counted(np.flatnonzero(fits), length)
 
     return own
 
@@ -211,26 +226,25 @@ def _pieces(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, chunk, own, f) to counts of the cells of their pairs: for each shard the cells met once, three bytes each,
     the others, three bytes each, and the counts of those."""
-    for batch in batches:
-        for rows in tokens.slices(batch, 1):
-            part = _Part(rows)
-            at = np.flatnonzero(part.fits(2))
-            if not len(at):
-                continue
-            cell = (part.pair_codes()[at] >> np.uint64(64 - SHARD_BITS - CELL_BITS)).astype(np.int64)
-            order = np.argsort(cell, kind="stable")
-            cell = cell[order]
-            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            f = np.add.reduceat(part.f[part.row[at[order]]], first)
-            cell = cell[first]
-            one = f == 1
-            three = (cell & ((1 << CELL_BITS) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-            shards = np.unique(cell >> CELL_BITS)
-            ends = np.searchsorted(cell >> CELL_BITS, shards, side="right")
-            ones = np.cumsum(one)[ends - 1]
-            more = ends - ones
-            counts = f[~one].astype("<i8").view(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), _pieces(three[one].ravel(), 3 * ones), _pieces(three[~one].ravel(), 3 * more), _pieces(counts, 8 * more)], ["shard", "once", "often", "counts"])
+    for rows in _gathered(batches):
+        part = _Part(rows)
+        at = np.flatnonzero(part.fits(2))
+        if not len(at):
+            continue
+        cell = (part.pair_codes()[at] >> np.uint64(64 - SHARD_BITS - CELL_BITS)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        f = np.add.reduceat(part.f[part.row[at[order]]], first)
+        cell = cell[first]
+        one = f == 1
+        three = (cell & ((1 << CELL_BITS) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+        shards = np.unique(cell >> CELL_BITS)
+        ends = np.searchsorted(cell >> CELL_BITS, shards, side="right")
+        ones = np.cumsum(one)[ends - 1]
+        more = ends - ones
+        counts = f[~one].astype("<i8").view(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), _pieces(three[one].ravel(), 3 * ones), _pieces(three[~one].ravel(), 3 * more), _pieces(counts, 8 * more)], ["shard", "once", "often", "counts"])
 
 
 def _offsets(three: bytes) -> np.ndarray:
