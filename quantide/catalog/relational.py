@@ -107,7 +107,6 @@ def _hourly(s, d):
 
 
 add("P22_deseasonalise", lambda s, d: _hourly(s, d).select("rn", (F.col("s_rv") / F.greatest("f", F.lit(X.EPS))).alias("v")), f"WITH {S.BASE} SELECT rn, round(s_rv / greatest(f, 1e-12), 8) AS v FROM base JOIN {_HS} x ON hour(sec) = h")
-add("P23_reseasonalise", lambda s, d: _hourly(s, d).select("rn", (F.exp(F.ln(F.col("s_rv") / F.col("f") + X.EPS)) * F.col("f")).alias("v")), f"WITH {S.BASE} SELECT rn, round(exp(ln(s_rv / f + 1e-12)) * f, 8) AS v FROM base JOIN {_HS} x ON hour(sec) = h")
 _V = "CAST(rn % 900 + 1 AS DOUBLE)"
 add("P24_horizon_scaling", lambda s, d: series.base_table(s, d).select("rn", (F.col("s_rv") * (F.pmod("rn", F.lit(900)) + 1) / 900).alias("v")), S.query({"v": "s_rv * (rn % 900 + 1) / 900"}))
 

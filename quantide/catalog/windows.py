@@ -6,8 +6,9 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import bars, features as X, rolling as R
+from ..operators import bars, features as X, rolling as R, seasonality
 from ..plans import series
+from ..sources import io
 from . import twin as S
 
 QUERIES: dict = {}
@@ -177,44 +178,53 @@ register("T03_basis_change", X.basis, 8192, {f"basis_change_{k}s": f"b - {S.lag(
 register("T04_basis_zscore", X.basis, 8192, {"basis_zscore_1h": S.div(f"b - {S.rmean('b', 3600)}", S.rstd("b", 3600))}, _b)
 register("T05_spread_levels", X.spreads, 1440, {f"{i}_spread_w{w}": S.rmean(f"{i}_spread", w) for i in "sp" for w in (5, 60, 1440)})
 register("T06_spread_zscore", X.spreads, 1440, {"s_spread_zscore_5m": S.div(f"s_spread - {S.rmean('s_spread', 300)}", S.rstd("s_spread", 300))})
-_j = [{"la": S.lag("abs(s_ret)", 1)}]
+_j = [{f"la_{i}": S.lag(f"abs({i}_ret)", 1) for i in "sp"}]
 
 
-def _rv(w):
-    return S.rs("s_ret * s_ret", w)
+def _rv(w, i="s"):
+    return S.rs(f"{i}_ret * {i}_ret", w)
 
 
-def _jump(w):
-    bp = S.rs("abs(s_ret) * la", w)
-    return S.full(w, f"greatest({_rv(w)} - {X.HALF_PI!r} * {bp} / {w - 1}, 0)")
+def _jump(w, i="s"):
+    bp = S.rs(f"abs({i}_ret) * la_{i}", w)
+    return S.full(w, f"greatest({_rv(w, i)} - {X.HALF_PI!r} * {bp} / {w - 1}, 0)")
 
 
 def _settled(x: str) -> str:
     return f"(CASE WHEN abs({x}) < 1e-9 THEN 0 ELSE {x} END)"
 
 
-_up, _dn = "CASE WHEN s_ret > 0 THEN s_ret * s_ret ELSE 0 END", "CASE WHEN s_ret <= 0 THEN s_ret * s_ret ELSE 0 END"
+def _up(i):
+    return f"CASE WHEN {i}_ret > 0 THEN {i}_ret * {i}_ret ELSE 0 END"
+
+
+def _dn(i):
+    return f"CASE WHEN {i}_ret <= 0 THEN {i}_ret * {i}_ret ELSE 0 END"
+
+
 W3 = (60, 900, 1440, 3600, 8192)
-register("T07_jump_ratio", X.jumps, 8192, {f"s_jump_ratio_w{w}": S.div(_jump(w), _rv(w)) for w in W3}, _j)
-register("T08_asym_impact", X.jumps, 8192, {f"s_asym_impact_w{w}": f"{S.rs(_dn, w)} - {S.rs(_up, w)}" for w in W3}, _j)
-register("T09_downside_share", X.jumps, 8192, {f"s_downside_share_w{w}": S.div(S.rs(_dn, w), _rv(w)) for w in W3}, _j)
-register("T10_signed_jump", X.jumps, 8192, {f"s_signed_jump_w{w}": f"{_jump(w)} * sign({_settled(S.rs('s_ret', w))})" for w in W3}, _j)
-register("T11_jump_variation", X.jumps, 8192, {f"s_rj_w{w}": _jump(w) for w in W3}, _j)
-register("T12_signed_return", X.trend, 32768, {f"s_signed_ret_w{w}": S.rs("s_ret", w) for w in (30, 60, 1440)})
-register("T13_drawdown", X.trend, 32768, {f"s_drawdown_w{w}": S.full(w, f"ln(s_mid + 1e-12) - max(ln(s_mid + 1e-12)) OVER {S.frame(w)}") for w in (1440, 8192, 16384)})
-register("T14_variance_term_structure", X.trend, 32768, {"s_rv_term_slope": f"{S.div(_rv(60), _rv(900))} * 15", "s_rv_term_curvature": f"{_rv(60)} / 60 - 2 * {_rv(300)} / 300 + {_rv(900)} / 900"})
+_jumps, _trend = X.both(X.jumps), X.both(X.trend)
+register("T07_jump_ratio", _jumps, 8192, {f"{i}_jump_ratio_w{w}": S.div(_jump(w, i), _rv(w, i)) for i in "sp" for w in W3}, _j)
+register("T08_asym_impact", _jumps, 8192, {f"{i}_asym_impact_w{w}": f"{S.rs(_dn(i), w)} - {S.rs(_up(i), w)}" for i in "sp" for w in W3}, _j)
+register("T09_downside_share", _jumps, 8192, {f"{i}_downside_share_w{w}": S.div(S.rs(_dn(i), w), _rv(w, i)) for i in "sp" for w in W3}, _j)
+register("T10_signed_jump", _jumps, 8192, {f"{i}_signed_jump_w{w}": f"{_jump(w, i)} * sign({_settled(S.rs(f'{i}_ret', w))})" for i in "sp" for w in W3}, _j)
+register("T11_jump_variation", _jumps, 8192, {f"{i}_rj_w{w}": _jump(w, i) for i in "sp" for w in W3}, _j)
+register("T12_signed_return", _trend, 32768, {f"{i}_signed_ret_w{w}": S.rs(f"{i}_ret", w) for i in "sp" for w in (30, 60, 1440)})
+register("T13_drawdown", _trend, 32768, {f"{i}_drawdown_w{w}": S.full(w, f"ln({i}_mid + 1e-12) - max(ln({i}_mid + 1e-12)) OVER {S.frame(w)}") for i in "sp" for w in (1440, 8192, 16384)})
+register("T14_variance_term_structure", _trend, 32768, {k: v for i in "sp" for k, v in ((f"{i}_rv_term_slope", f"{S.div(_rv(60, i), _rv(900, i))} * 15"), (f"{i}_rv_term_curvature", f"{_rv(60, i)} / 60 - 2 * {_rv(300, i)} / 300 + {_rv(900, i)} / 900"))})
 register("T15_microprice_returns", X.microprice_returns, 300, {f"microprice_ret_{k}s": f"s_micro / {S.lag('s_micro', k)} - 1" for k in (1, 5, 10, 30, 60, 300)})
 _acc = lambda a, b: f"CASE WHEN rn >= {b} THEN (ln(s_mid) - {S.lag('ln(s_mid)', a)}) / {a} - (ln(s_mid) - {S.lag('ln(s_mid)', b)}) / {b} END"
 register("T16_return_acceleration", X.acceleration, 300, {f"ret_accel_{a}s_{b}s": _acc(a, b) for a, b in ((1, 5), (5, 30), (30, 300))})
 _d = [{"d": f"coalesce(s_mid - {S.lag('s_mid', 1)}, 0)"}]
 register("T17_vpin", X.flow, 900, {"vpin_5m": f"abs({S.div(S.rs('greatest(d, 0)', 300), S.rs('abs(d)', 300), 0.5)} - 0.5) * 2"}, _d)
 register("T18_tick_intensity", X.flow, 900, {"tick_intensity_ratio": f"{S.div(S.rs('s_n_ticks', 10), S.rs('s_n_ticks', 60), 1.0)} * 6"})
-register("T19_obi_delta", X.book, 61, {"s_obi_delta_5s": f"s_obi - {S.lag('s_obi', 5)}"})
-register("T20_obi_autocorr", X.book, 61, {"s_obi_autocorr_1m": S.corr("s_obi", "lo", 59, 60)}, [{"lo": S.lag("s_obi", 1)}])
+_book = X.both(X.book)
+register("T19_obi_delta", _book, 61, {f"{i}_obi_delta_5s": f"{i}_obi - {S.lag(f'{i}_obi', 5)}" for i in "sp"})
+register("T20_obi_autocorr", _book, 61, {f"{i}_obi_autocorr_1m": S.corr(f"{i}_obi", f"lo_{i}", 59, 60) for i in "sp"}, [{f"lo_{i}": S.lag(f"{i}_obi", 1) for i in "sp"}])
 register("T21_obi_divergence", X.book, 61, {"obi_divergence": "s_obi - p_obi"})
-register("T22_spread_obi", X.book, 61, {"s_spread_obi_interaction": "s_obi / greatest(s_spread, 0.1)"})
+register("T22_spread_obi", _book, 61, {f"{i}_spread_obi_interaction": f"{i}_obi / greatest({i}_spread, 0.1)" for i in "sp"})
 register("T23_realised_covariance", X.covariation, 300, {f"sp_rcov_{k}": S.rs("s_ret * p_ret", w) for k, w in (("1m", 60), ("5m", 300))} | {f"sp_rcov_corr_ratio_{k}": f"{S.rs('s_ret * p_ret', w)} / sqrt(greatest({_rv(w)} * {S.rs('p_ret * p_ret', w)}, 1e-12))" for k, w in (("1m", 60), ("5m", 300))})
-register("T24_signed_volume_imbalance", X.flow, 900, {f"s_signed_vol_imbalance_w{w}": S.div(S.rs("sign(coalesce(s_ret, 0)) * s_n_ticks", w), S.rs("s_n_ticks", w)) for w in (60, 300, 900)})
+register("T24_signed_volume_imbalance", X.both(X.signed_volume), 900, {f"{i}_signed_vol_imbalance_w{w}": S.div(S.rs(f"sign(coalesce({i}_ret, 0)) * {i}_n_ticks", w), S.rs(f"{i}_n_ticks", w)) for i in "sp" for w in (60, 300, 900)})
 register("T25_cumulative_returns", X.covariation, 300, {f"{i}_cum_ret_{w}s": S.rs(f"{i}_ret", w) for i in "sp" for w in (10, 60)} | {f"ps_cum_ret_ratio_{w}s": S.div(S.rs("p_ret", w), _settled(S.rs("s_ret", w))) for w in (10, 60)})
 _v = [{"md": "(s_mid - c_mid) / s_mid", "od": "s_obi - c_obi", "sr": "s_spread / c_spread", "vd": "s_micro - c_micro", "vr": "s_micro / c_micro"}]
 register("T26_venue_mid_delta", X.venues, 3600, {"sc_mid_delta": "md"} | {f"sc_mid_delta_mean_w{w}": S.rmean("md", w) for w in (5, 30, 60, 300)} | {f"sc_mid_delta_std_w{w}": S.rstd("md", w) for w in (60, 300)}, _v)
@@ -222,36 +232,101 @@ register("T27_venue_obi", X.venues, 3600, {"sc_obi_imbalance": "od"} | {f"sc_obi
 register("T28_venue_spread_ratio", X.venues, 3600, {"sc_spread_ratio": "sr"} | {f"sc_spread_ratio_w{w}": S.rmean("sr", w) for w in (60, 300)}, _v)
 register("T29_venue_variance_spread", X.venues, 3600, {f"sc_rv_spread_w{w}": f"ln({_rv(w)} + 1e-12) - ln({S.rs('c_ret * c_ret', w)} + 1e-12)" for w in (60, 300, 900, 3600)}, _v)
 register("T30_venue_vwap", X.venues, 3600, {"sc_vwap_delta": "vd"} | {f"sc_vwap_ratio_w{w}": S.rmean("vr", w) for w in (60, 300)} | {f"sc_vwap_delta_w{w}": S.rmean("vd", w) for w in (60, 300)}, _v)
-register("T31_wavelet_detail", X.wavelet_details, 512, {f"s_modwt_d{s}": f"CASE WHEN rn >= {2**s} THEN ln(d{s} * d{s} + 1e-12) END" for s in (6, 8)}, [
-    {f"m{s}": S.rs("s_rv", 2 ** (s - 1)) for s in (6, 8)}, {f"d{s}": f"(m{s} - {S.lag(f'm{s}', 2 ** (s - 1))}) / {2 ** (s - 1)}" for s in (6, 8)},
-])
+#: A seasonal model of the log variance, as a fit would give it; invented. Both engines can apply it, while only one fits it.
+SEASON = seasonality.Fourier((8, 24, 168), (2, 2, 1), (-0.05, 0.2, -0.1, 0.05, 0.08, 0.4, 0.15, -0.12, 0.06, 0.1, -0.2), 1.03)
+_AT = "(epoch_us(sec) / 3600000000)"
+_WAVES = [(t, k) for t, ks in zip(SEASON.periods, SEASON.harmonics) for k in range(1, ks + 1)]
+_FACTOR = f"exp({SEASON.coefficients[0]} + " + " + ".join(f"{SEASON.coefficients[1 + 2 * j]} * sin({_AT} * {2 * math.pi * k / t!r}) + {SEASON.coefficients[2 + 2 * j]} * cos({_AT} * {2 * math.pi * k / t!r})" for j, (t, k) in enumerate(_WAVES)) + f") / {SEASON.mean}"
+#: The base with the variances of both main instruments divided by the seasonal factor in place.
+SEASONAL = S.BASE + f", factored AS (SELECT *, greatest({_FACTOR}, 1e-12) AS s_seas_factor FROM base), seasonal AS (SELECT * REPLACE (" + ", ".join(f"{i}_{c} / s_seas_factor AS {i}_{c}" for i in "sp" for c in X.SEASONAL) + "), s_seas_factor AS p_seas_factor FROM factored)"
+
+
+def seasonal_base(spark, sf_dir):
+    """The base table, deseasonalised; written once."""
+    factor = SEASON.factor()
+    return io.stored(X.deseasonalised(series.base_table(spark, sf_dir), {i: factor for i in "sp"}))
+
+
+def register_seasonal(name: str, make, before: int, columns: dict[str, str], after: int = 0) -> None:
+    """A query of columns that make(df) gives over the deseasonalised base, and its twin."""
+
+    def run(spark, sf_dir: str):
+        return S.rounded(R.windowed(seasonal_base(spark, sf_dir), make, before, after).select("rn", *columns))
+
+    QUERIES[name] = run
+    ORACLES[name] = S.query(columns, base=SEASONAL, source="seasonal")
+
+
+register_seasonal("B08_deseasonalised_base", lambda df: df, 1, {f"{i}_{c}": f"{i}_{c}" for i in "sp" for c in (*X.SEASONAL, "seas_factor")})
+
+
+def b09(spark, sf_dir):
+    """The same with a seasonal model of each main instrument that is fitted on the training rows."""
+    base = io.stored(series.base_table(spark, sf_dir))
+    train = base.filter(F.col("rn") < F.floor(F.col("n") * 0.7))
+    models = {i: seasonality.fitted_fourier(train, f"{i}_rv") for i in "sp"}
+    made = X.deseasonalised(base, {i: m.factor() for i, m in models.items()})
+    return S.rounded(made.select("rn", *(f"{i}_{c}" for i in "sp" for c in (*X.SEASONAL, "seas_factor"))))
+
+
+QUERIES["B09_fitted_deseasonalised_base"] = b09
+
+
+def t31(spark, sf_dir):
+    return S.rounded(X.wavelet_details(seasonal_base(spark, sf_dir)))
+
+
+QUERIES["T31_wavelet_detail"] = t31
+# Running sums of the logs, as far as the scale's windows reach.
+ORACLES["T31_wavelet_detail"] = (
+    f"WITH {SEASONAL}, q AS (SELECT rn, " + ", ".join(f"sum(ln(coalesce({i}_rv, 0) + 1e-12)) OVER (ORDER BY rn) AS q{i}" for i in "sp") + " FROM seasonal) SELECT rn, "
+    + ", ".join(f"round(ln(pow(CASE WHEN rn >= {2**k} THEN (q{i} - 2 * {S.lag(f'q{i}', 2 ** (k - 1))} + {S.lag(f'q{i}', 2**k)}) / {2 ** (k - 1)} END, 2) + 1e-12), 8) AS {i}_modwt_d{k}" for i in "sp" for k in X.SCALES) + " FROM q"
+)
 register("T32_return_correlation", X.pair_correlation, 8192, {f"sp_corr_w{w}": S.corr("s_ret", "p_ret", w) for w in (60, 300, 1440, 8192)})
-_vv = [{"v0": S.rs("s_rv", 60)}, {"v": "coalesce(v0, 0)", "l": "ln(v0 + 1e-12)"}]
-register("T33_vol_of_vol", X.variance_of_variance, 1500, {f"s_vol_of_vol_w{w}": S.rstd("v", w) for w in (60, 1440)}, _vv)
-register("T47_spread_variance_correlation", X.variance_of_variance, 1500, {"spread_rv_corr_15m": S.corr("s_spread", "v", 900)}, _vv)
-register("T48_vol_phase", X.variance_of_variance, 1500, {f"s_vol_phase_{k}": f"(l - {S.rmean('coalesce(l, 0)', w)}) / greatest({S.rstd('coalesce(l, 0)', w)}, 1e-12)" for k, w in (("5m", 300), ("15m", 900))}, _vv)
-_ts = [{"k5": S.rs("s_ret", 5)}, {"kk": "coalesce(k5 * k5, 0)"}]
+_vv = [{f"v0_{i}": S.rs(f"{i}_rv", 60) for i in "sp"}, {k: v for i in "sp" for k, v in ((f"v_{i}", f"coalesce(v0_{i}, 0)"), (f"l_{i}", f"ln(v0_{i} + 1e-12)"))}]
+_vov = X.both(X.variance_of_variance)
+register("T33_vol_of_vol", _vov, 1500, {f"{i}_vol_of_vol_w{w}": S.rstd(f"v_{i}", w) for i in "sp" for w in (60, 1440)}, _vv)
+register("T47_spread_variance_correlation", X.variance_of_variance, 1500, {"spread_rv_corr_15m": S.corr("s_spread", "v_s", 900)}, _vv)
+register("T48_vol_phase", _vov, 1500, {f"{i}_vol_phase_{k}": f"(l_{i} - {S.rmean(f'coalesce(l_{i}, 0)', w)}) / greatest({S.rstd(f'coalesce(l_{i}, 0)', w)}, 1e-12)" for i in "sp" for k, w in (("5m", 300), ("15m", 900))}, _vv)
+_ts = [{f"k5_{i}": S.rs(f"{i}_ret", 5) for i in "sp"}, {f"kk_{i}": f"coalesce(k5_{i} * k5_{i}, 0)" for i in "sp"}]
+
+
+def _tsrv(w, i):
+    return S.full(w, f"greatest({S.rs(f'kk_{i}', w)} / 5 - {_rv(w, i)} / 5, 0.1 * {_rv(w, i)})")
+
+
+_two = X.both(X.two_scale)
+register("T34_two_scale_variance", _two, 14410, {f"{i}_tsrv_w{w}": _tsrv(w, i) for i in "sp" for w in (60, 300, 900, 3600, 14400)}, _ts)
+register("T35_two_scale_ratio", _two, 14410, {f"{i}_tsrv_rv_ratio_w{w}": f"ln(({_tsrv(w, i)} + 1e-12) / ({_rv(w, i)} + 1e-12))" for i in "sp" for w in (60, 300, 900)}, _ts)
 
 
-def _tsrv(w):
-    return S.full(w, f"greatest({S.rs('kk', w)} / 5 - {_rv(w)} / 5, 0.1 * {_rv(w)})")
+def _rq(w, i):
+    return f"{S.rs(f'{i}_ret * {i}_ret * {i}_ret * {i}_ret', w)} * {w / 3!r}"
 
 
-register("T34_two_scale_variance", X.two_scale, 14410, {f"s_tsrv_w{w}": _tsrv(w) for w in (60, 300, 900, 3600, 14400)}, _ts)
-register("T35_two_scale_ratio", X.two_scale, 14410, {f"s_tsrv_rv_ratio_w{w}": f"ln(({_tsrv(w)} + 1e-12) / ({_rv(w)} + 1e-12))" for w in (60, 300, 900)}, _ts)
-register("T37_quarticity", X.quarticity, 3600, {f"s_rq_w{w}": f"{S.rs('s_ret * s_ret * s_ret * s_ret', w)} * {w / 3!r}" for w in (60, 300, 900, 3600)})
-_rl = [{"lr": f"coalesce({S.lag('coalesce(s_ret, 0)', 1)}, 0)"}]
-register("T39_roll_measure", X.roll_measure, 310, {f"s_roll_measure_w{w}": S.full(w, f"2 * sqrt(greatest(-({S.rs('s_ret * lr', w - 1)} / {w - 1} - {S.rs('s_ret', w - 1)} / {w - 1} * {S.rs('lr', w - 1)} / {w - 1}), 0))") for w in (60, 300)}, _rl)
-register("T40_parkinson", X.parkinson, 120, {f"s_parkinson_{w}s": S.full(w, f"pow(ln(max(s_micro) OVER {S.frame(w)} / min(s_micro) OVER {S.frame(w)}), 2) / (4 * ln(2))") for w in (30, 60)})
+RQ = (60, 300, 900, 3600)
+register("T37_quarticity", X.both(X.quarticity), 3600, {f"{i}_rq_w{w}": _rq(w, i) for i in "sp" for w in RQ})
+_rl = [{f"lr_{i}": f"coalesce({S.lag(f'coalesce({i}_ret, 0)', 1)}, 0)" for i in "sp"}]
+
+
+def _roll(w, i):
+    return S.full(w, f"2 * sqrt(greatest(-({S.rs(f'{i}_ret * lr_{i}', w - 1)} / {w - 1} - {S.rs(f'{i}_ret', w - 1)} / {w - 1} * {S.rs(f'lr_{i}', w - 1)} / {w - 1}), 0))")
+
+
+def _park(w, i):
+    return S.full(w, f"pow(ln(max({i}_micro) OVER {S.frame(w)} / min({i}_micro) OVER {S.frame(w)}), 2) / (4 * ln(2))")
+
+
+register("T39_roll_measure", X.both(X.roll_measure), 310, {f"{i}_roll_measure_w{w}": _roll(w, i) for i in "sp" for w in (60, 300)}, _rl)
+register("T40_parkinson", X.both(X.parkinson), 120, {f"{i}_parkinson_{w}s": _park(w, i) for i in "sp" for w in (30, 60)})
 register("T41_perp_lead", X.lead_correlation, 300, {"perp_lead_1s": S.corr("p_ret", "nx", 300)}, [{"nx": "coalesce(lead(s_ret) OVER (ORDER BY rn), 0)"}], after=2)
-_x = [{"x": "ln(coalesce(s_rv, 0) + 1e-12)"}]
-register("T42_roughness", X.roughness, 300, {f"s_roughness_{k}s": f"x - {S.lag('x', k)}" for k in (5, 30, 60, 300)} | {"s_vol_accel_5s": f"CASE WHEN rn >= 10 THEN x - 2 * {S.lag('x', 5)} + {S.lag('x', 10)} END"}, _x)
+_x = [{f"x_{i}": f"ln(coalesce({i}_rv, 0) + 1e-12)" for i in "sp"}]
+register("T42_roughness", X.both(X.roughness), 300, {f"{i}_roughness_{k}s": f"x_{i} - {S.lag(f'x_{i}', k)}" for i in "sp" for k in (5, 30, 60, 300)} | {f"{i}_vol_accel_5s": f"CASE WHEN rn >= 10 THEN x_{i} - 2 * {S.lag(f'x_{i}', 5)} + {S.lag(f'x_{i}', 10)} END" for i in "sp"}, _x)
+
+
 def t44(spark, sf_dir):
-    prices = series.price_table(spark, sf_dir)
-    n = prices.count()  # of the written table
-    longest = max(min(p, n // 2) for p in X.PERIODS.values())
-    df = series.with_features(prices, lambda d: X.dft_magnitudes(d, n), longest + longest // 8 + 1)
-    return S.rounded(df.select("rn", *(f"s_fourier_mag_{k}" for k in X.PERIODS)))
+    base = seasonal_base(spark, sf_dir)
+    return S.rounded(X.dft_magnitudes(base, base.count()))  # of the written table
 
 
 def _t44_sql() -> str:
@@ -259,72 +334,105 @@ def _t44_sql() -> str:
     for name, period in X.PERIODS.items():
         w = f"least({period}, n // 2)"
         a = f"rn * {2 * math.pi / period!r}"
+        waves = ", ".join(f"sum(coalesce({i}_rv, 0) * {f}({a})) OVER (ORDER BY rn) AS {f}_{i}" for i in "sp" for f in ("cos", "sin"))
+        mag = ", ".join(f"sqrt(pow(p.cos_{i} - coalesce(q.cos_{i}, 0), 2) + pow(p.sin_{i} - coalesce(q.sin_{i}, 0), 2)) / p.w AS mag_{i}" for i in "sp")
         parts.append(
-            f"p{name} AS (SELECT rn, {w} AS w, greatest({w} // 8, 1) AS step, sum(coalesce(s_rv, 0) * cos({a})) OVER (ORDER BY rn) AS re, sum(coalesce(s_rv, 0) * sin({a})) OVER (ORDER BY rn) AS im FROM base), "
-            f"e{name} AS (SELECT p.rn, sqrt(pow(p.re - coalesce(q.re, 0), 2) + pow(p.im - coalesce(q.im, 0), 2)) / p.w AS mag FROM p{name} p LEFT JOIN p{name} q ON q.rn = p.rn - p.w WHERE p.w > {X.LEAST_WINDOW} AND p.rn >= p.w - 1 AND (p.rn - (p.w - 1)) % p.step = 0)"
+            f"p{name} AS (SELECT rn, {w} AS w, greatest({w} // 8, 1) AS step, {waves} FROM seasonal), "
+            f"e{name} AS (SELECT p.rn, {mag} FROM p{name} p LEFT JOIN p{name} q ON q.rn = p.rn - p.w WHERE p.w > {X.LEAST_WINDOW} AND p.rn >= p.w - 1 AND (p.rn - (p.w - 1)) % p.step = 0)"
         )
-        outs.append(f"round(last_value(e{name}.mag IGNORE NULLS) OVER (ORDER BY base.rn), 8) AS s_fourier_mag_{name}")
-    joins = " ".join(f"LEFT JOIN e{k} ON e{k}.rn = base.rn" for k in X.PERIODS)
-    return f"WITH {S.BASE}, {', '.join(parts)} SELECT base.rn, {', '.join(outs)} FROM base {joins}"
+        outs += [f"round(last_value(e{name}.mag_{i} IGNORE NULLS) OVER (ORDER BY seasonal.rn), 8) AS {i}_fourier_mag_{name}" for i in "sp"]
+    joins = " ".join(f"LEFT JOIN e{k} ON e{k}.rn = seasonal.rn" for k in X.PERIODS)
+    return f"WITH {SEASONAL}, {', '.join(parts)} SELECT seasonal.rn, {', '.join(outs)} FROM seasonal {joins}"
 
 
 QUERIES["T44_dft_magnitude"] = t44
 ORACLES["T44_dft_magnitude"] = _t44_sql()
-register("T45_return_autocorr", X.shape, 910, {f"s_ret_autocorr_{k}": S.corr("coalesce(s_ret, 0)", "lr", w - 1, w) for k, w in (("5m", 300), ("15m", 900))}, [{"lr": S.lag("coalesce(s_ret, 0)", 1)}])
-register("T46_return_shape", X.shape, 910, {f"s_{k}_{q}": _moments_sql("s_ret", w)[j] for k, w in (("5m", 300), ("15m", 900)) for j, q in enumerate(("skew", "kurt"))})
-register("T49_har_windows", X.har, 16384, {f"s_{n}_w{w}": f"ln(sqrt({S.full(w, f'greatest({S.rs(f's_{n}', w)}, 0)')} + 1e-12) + 1e-12)" for n in ("rv", "rsv_pos", "rsv_neg", "bpv") for w in X.HAR_WINDOWS})
-register("T50_har_v1", lambda df: df.withColumns({f"h{w}": 0.5 * F.ln(R.strict_sum(F.col("s_rv"), w) + X.EPS) for w in (5, 30, 60)}), 60, {f"h{w}": f"0.5 * ln(CASE WHEN count(s_rv) OVER {S.frame(w)} = {w} THEN sum(s_rv) OVER {S.frame(w)} END + 1e-12)" for w in (5, 30, 60)})
-register("T51_log_transforms", lambda df: X.log_transformed(X.quarticity(df), ["s_rq_w60", "s_rq_w300"]), 3600, {f"s_rq_w{w}_log": S.full(w, f"ln(greatest({S.rs('s_ret * s_ret * s_ret * s_ret', w)} * {w / 3!r}, 1e-12))") for w in (60, 300)})
-_fw = lambda h: f"CASE WHEN count(s_rv) OVER (ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) = {h} THEN sum(s_rv) OVER (ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) END"
-register("T52_forward_variance", X.forward_targets, 4, {f"s_fwd_rv_{h}": _fw(h) for h in (60, 300, 900)} | {f"s_fwd_log_rv_{h}": f"ln({_fw(h)} + 1e-12)" for h in (60, 300, 900)}, after=900)
+_shape = X.both(X.shape)
+register("T45_return_autocorr", _shape, 910, {f"{i}_ret_autocorr_{k}": S.corr(f"coalesce({i}_ret, 0)", f"lr_{i}", w - 1, w) for i in "sp" for k, w in (("5m", 300), ("15m", 900))}, [{f"lr_{i}": S.lag(f"coalesce({i}_ret, 0)", 1) for i in "sp"}])
+register("T46_return_shape", _shape, 910, {f"{i}_{k}_{q}": _moments_sql(f"{i}_ret", w)[j] for i in "sp" for k, w in (("5m", 300), ("15m", 900)) for j, q in enumerate(("skew", "kurt"))})
+register_seasonal("T49_har_windows", X.both(X.har), 16384, {f"{i}_{n}_w{w}": f"ln(sqrt({S.full(w, f'greatest({S.rs(f'{i}_{n}', w)}, 0)')} + 1e-12) + 1e-12)" for i in "sp" for n in X.SEASONAL for w in X.HAR_WINDOWS})
+#: Windows of the first version, in rows.
+HAR_V1 = (5, 30, 60, 1440, 2048, 4096, 8192, 16384)
 
 
-def t36(spark, sf_dir):
-    return S.rounded(X.realized_kernel(series.base_table(spark, sf_dir), "s", 60))
+def _har_v1(df):
+    names = {f"{i}_{n}_h{w}": (f"{i}_{n}", w) for i in "sp" for n in X.SEASONAL for w in HAR_V1}
+    return R.strict_sums(df, names).withColumns({k: 0.5 * F.ln(X.floored(F.col(k), 0.0) + X.EPS) for k in names})
+
+
+register_seasonal("T50_har_v1", _har_v1, 16384, {f"{i}_{n}_h{w}": f"0.5 * ln(CASE WHEN count({i}_{n}) OVER {S.frame(w)} = {w} THEN sum({i}_{n}) OVER {S.frame(w)} END + 1e-12)" for i in "sp" for n in X.SEASONAL for w in HAR_V1})
+
+
+def _estimators(df):
+    """Quarticity, two-scale variance, Roll's measure and Parkinson's range of both instruments, and their logs."""
+    for make in (X.quarticity, X.two_scale, X.roll_measure, X.parkinson):
+        df = X.both(make)(df)
+    return X.log_transformed(df, [c for c in df.columns if any(k in c for k in ("_rq_w", "_tsrv_w", "_roll_measure_w", "_parkinson_"))])
+
 
+_logged = {f"{i}_rq_w{w}": _rq(w, i) for i in "sp" for w in RQ} | {f"{i}_tsrv_w{w}": _tsrv(w, i) for i in "sp" for w in (60, 300, 900, 3600, 14400)} | {f"{i}_roll_measure_w{w}": _roll(w, i) for i in "sp" for w in (60, 300)} | {f"{i}_parkinson_{w}s": _park(w, i) for i in "sp" for w in (30, 60)}
+register("T51_log_transforms", _estimators, 14410, {f"{k}_log": f"CASE WHEN {v} IS NOT NULL THEN ln(greatest({v}, 1e-12)) END" for k, v in _logged.items()}, [_ts[0], _ts[1] | _rl[0]])
 
-def _parzen(h: int, n: int) -> float:
-    x = h / n
-    return 1 - 6 * x**2 + 6 * x**3 if x <= 0.5 else 2 * (1 - x) ** 3
+
+def _ahead(x, h):
+    o = f"(ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
+    return f"CASE WHEN count({x}) OVER {o} = {h} THEN sum({x}) OVER {o} END"
+
+
+FORWARD = (60, 300, 900)
+register_seasonal(
+    "T52_forward_variance", X.seasonal_targets, 4,
+    {f"{i}_fwd_{n}_{h}": _ahead(f"{i}_{c}", h) for i in "sp" for h in FORWARD for n, c in (("rv", "rv"), ("seas", "seas_factor"))} | {f"{i}_fwd_log_rv_{h}": f"ln({_ahead(f'{i}_rv', h)} + 1e-12)" for i in "sp" for h in FORWARD}, 901,
+)
+register_seasonal("P23_reseasonalise", lambda df: (lambda d: d.withColumns({f"{i}_v_{h}": X.restored(F.col(f"{i}_fwd_log_rv_{h}"), F.col(f"{i}_fwd_seas_{h}"), h) for i in "sp" for h in FORWARD}))(X.seasonal_targets(df)), 4, {f"{i}_v_{h}": f"({_ahead(f'{i}_rv', h)} + 1e-12) * ({_ahead(f'{i}_seas_factor', h)} / {h})" for i in "sp" for h in FORWARD}, 901)
+
+
+def t36(spark, sf_dir):
+    return S.rounded(X.realized_kernels(series.base_table(spark, sf_dir)))
 
 
 QUERIES["T36_realized_kernel"] = t36
-_H = math.ceil(60 ** (2 / 3))
+RK = (300, 900)
+
+
+def _rk(w, i):
+    weights = X.kernel_weights(w).tolist()
+    terms = " + ".join(f"{(1 if h == 0 else 2) * k!r} * sum({i}{h}) OVER (ORDER BY rn ROWS BETWEEN {w - 1 - h} PRECEDING AND CURRENT ROW)" for h, k in enumerate(weights) if k > 0)
+    return S.full(w, f"greatest({terms}, 0.1 * sum({i}0) OVER {S.frame(w)})")
+
+
 # Each lag's products are a column, so that its window is a direct frame of the pairs inside the window.
 ORACLES["T36_realized_kernel"] = S.query(
-    {"s_rk_w60": S.full(60, "greatest(" + " + ".join(f"{(1 if h == 0 else 2) * _parzen(h, _H)!r} * sum(p{h}) OVER (ORDER BY rn ROWS BETWEEN {59 - h} PRECEDING AND CURRENT ROW)" for h in range(_H)) + f", 0.1 * sum(p0) OVER {S.frame(60)})")},
-    steps=[{"r0": "coalesce(s_ret, 0)"}, {f"p{h}": "r0 * r0" if h == 0 else f"r0 * coalesce({S.lag('r0', h)}, 0)" for h in range(_H)}],
+    {f"{i}_rk_w{w}": _rk(w, i) for i in "sp" for w in RK},
+    steps=[{f"r_{i}": f"coalesce({i}_ret, 0)" for i in "sp"}, {f"{i}{h}": f"r_{i} * r_{i}" if h == 0 else f"r_{i} * coalesce({S.lag(f'r_{i}', h)}, 0)" for i in "sp" for h in range(math.ceil(max(RK) ** (2 / 3)))}],
 )
 
 
-_SPECTRA = {"_4k": 4096, "_8k": 8192}
-
-
 def t43(spark, sf_dir):
-    base = series.base_table(spark, sf_dir)
-    out = [X.spectral_bands(base, "s", w, k) for k, w in _SPECTRA.items()]
-    return S.rounded(out[0].join(out[1], "rn"))
+    return S.rounded(X.spectral_bands(seasonal_base(spark, sf_dir)))
 
 
 def _t43_sql() -> str:
     """The few low frequencies and the highest by a direct transform; the band above them by the sum of squares."""
     ctes, outs, joins = [], [], []
-    for k, w in _SPECTRA.items():
-        of = {j: next((b for b, (lo, hi) in X.BANDS.items() if lo <= j / w < hi), "none") for j in [*range(w // 300 + 2), w // 2]}
-        low = [j for j, b in of.items() if b != "hf" or j == w // 2]
-        power = lambda b: " + ".join([f"coalesce(sum(p) FILTER (j IN ({', '.join(str(j) for j in low if of[j] == b)})), 0)"])
-        ctes.append(
-            f"ends{k} AS (SELECT rn AS e FROM base WHERE rn >= {w - 1} AND (rn - {w - 1}) % {w // 4} = 0), "
-            f"rows{k} AS (SELECT e, rn - e + {w - 1} AS t, coalesce(s_rv, 0) AS x FROM ends{k} JOIN base ON rn BETWEEN e - {w - 1} AND e), "
-            f"f{k} AS (SELECT e, j, pow(sum(x * cos({2 * math.pi / w!r} * ((j * t) % {w}))), 2) + pow(sum(x * sin({2 * math.pi / w!r} * ((j * t) % {w}))), 2) AS p FROM rows{k}, (SELECT unnest({low}) AS j) GROUP BY e, j), "
-            f"b{k} AS (SELECT e, {power('mf')} AS mf, {power('lf')} AS lf, {power('trend')} AS trend, sum(CASE WHEN j IN (0, {w // 2}) THEN p ELSE 2 * p END) AS taken FROM f{k} GROUP BY e), "
-            f"s{k} AS (SELECT e, mf + 1e-12 AS mf, lf + 1e-12 AS lf, trend + 1e-12 AS trend, ({w} * q - taken) / 2 + 1e-12 AS hf FROM b{k} JOIN (SELECT e, sum(x * x) AS q FROM rows{k} GROUP BY e) USING (e))"
-        )
-        each = {"hf_lf": "ln(hf / lf)", "mf_lf": "ln(mf / lf)", "hf_mf": "ln(hf / mf)", "trend_share": "trend / (hf + mf + lf + trend)"}
-        ctes.append(f"r{k} AS (SELECT e, {', '.join(f'{x} AS {n}' for n, x in each.items())} FROM s{k})")
-        outs += [f"round(last_value(r{k}.{n} IGNORE NULLS) OVER (ORDER BY base.rn), 8) AS s_spec_{n}{k}" for n in each]
-        joins.append(f"LEFT JOIN r{k} ON r{k}.e = base.rn")
-    return f"WITH {S.BASE}, {', '.join(ctes)} SELECT base.rn, {', '.join(outs)} FROM base {' '.join(joins)}"
+    for i in "sp":
+        for suffix, w in X.SPECTRA.items():
+            k = f"{i}{suffix}"
+            of = {j: next((b for b, (lo, hi) in X.BANDS.items() if lo <= j / w < hi), "none") for j in [*range(w // 300 + 2), w // 2]}
+            low = [j for j, b in of.items() if b != "hf" or j == w // 2]
+            power = lambda b: " + ".join([f"coalesce(sum(p) FILTER (j IN ({', '.join(str(j) for j in low if of[j] == b)})), 0)"])
+            ctes.append(
+                f"ends{k} AS (SELECT rn AS e FROM seasonal WHERE rn >= {w - 1} AND (rn - {w - 1}) % {w // 4} = 0), "
+                f"rows{k} AS (SELECT e, rn - e + {w - 1} AS t, coalesce({i}_rv, 0) AS x FROM ends{k} JOIN seasonal ON rn BETWEEN e - {w - 1} AND e), "
+                f"f{k} AS (SELECT e, j, pow(sum(x * cos({2 * math.pi / w!r} * ((j * t) % {w}))), 2) + pow(sum(x * sin({2 * math.pi / w!r} * ((j * t) % {w}))), 2) AS p FROM rows{k}, (SELECT unnest({low}) AS j) GROUP BY e, j), "
+                f"b{k} AS (SELECT e, {power('mf')} AS mf, {power('lf')} AS lf, {power('trend')} AS trend, sum(CASE WHEN j IN (0, {w // 2}) THEN p ELSE 2 * p END) AS taken FROM f{k} GROUP BY e), "
+                f"s{k} AS (SELECT e, mf + 1e-12 AS mf, lf + 1e-12 AS lf, trend + 1e-12 AS trend, ({w} * q - taken) / 2 + 1e-12 AS hf FROM b{k} JOIN (SELECT e, sum(x * x) AS q FROM rows{k} GROUP BY e) USING (e))"
+            )
+            each = {"hf_lf": "ln(hf / lf)", "mf_lf": "ln(mf / lf)", "hf_mf": "ln(hf / mf)", "trend_share": "trend / (hf + mf + lf + trend)"}
+            ctes.append(f"r{k} AS (SELECT e, {', '.join(f'{x} AS {n}' for n, x in each.items())} FROM s{k})")
+            outs += [f"round(last_value(r{k}.{n} IGNORE NULLS) OVER (ORDER BY seasonal.rn), 8) AS {i}_spec_{n}{suffix}" for n in each]
+            joins.append(f"LEFT JOIN r{k} ON r{k}.e = seasonal.rn")
+    return f"WITH {SEASONAL}, {', '.join(ctes)} SELECT seasonal.rn, {', '.join(outs)} FROM seasonal {' '.join(joins)}"
 
 
 QUERIES["T43_spectral_bands"] = t43

@@ -43,6 +43,17 @@ def returns(df: DataFrame, insts=("s", "p", "c")) -> DataFrame:
     return df.withColumns(new)
 
 
+#: What a seasonal factor is taken out of.
+SEASONAL = ("rv", "rsv_pos", "rsv_neg", "bpv")
+
+
+def deseasonalised(df: DataFrame, factors: dict[str, Column]) -> DataFrame:
+    """{i}_seas_factor, at least EPS, and the variances of instrument i divided by it in place, as all features and targets
+    that follow read them. A missing variance stays missing."""
+    df = df.withColumns({f"{i}_seas_factor": floored(f, EPS) for i, f in factors.items()})
+    return df.withColumns({f"{i}_{c}": F.col(f"{i}_{c}") / F.col(f"{i}_seas_factor") for i in factors for c in SEASONAL})
+
+
 def composite(df: DataFrame, insts=("s", "p", "c")) -> DataFrame:
     """x_mid: the instruments' mids weighted by their tick counts."""
     weight = sum((z(f"{i}_n_ticks") for i in insts), F.lit(0.0))
@@ -124,23 +135,40 @@ def acceleration(df: DataFrame) -> DataFrame:
     return df.withColumns({f"ret_accel_{a}s_{b}s": F.when(F.col("rn") >= b, r[a] / a - r[b] / b) for a, b in pairs})
 
 
+def both(make, insts=("s", "p")):
+    """make(df, i) for each main instrument."""
+
+    def made(df: DataFrame) -> DataFrame:
+        for i in insts:
+            df = make(df, i)
+        return df
+
+    return made
+
+
+def signed_volume(df: DataFrame, i: str = "s", wins=(60, 300, 900)) -> DataFrame:
+    """Ticks signed by the return's sign, as a share of all ticks."""
+    n = z(f"{i}_n_ticks")
+    parts = {f"_s{w}": (F.signum(z(f"{i}_ret")) * n, w) for w in wins} | {f"_n{w}": (n, w) for w in wins}
+    df = R.sums(df, parts)
+    return df.withColumns({f"{i}_signed_vol_imbalance_w{w}": safe_div(F.col(f"_s{w}"), F.col(f"_n{w}")) for w in wins}).drop(*parts)
+
+
 def flow(df: DataFrame) -> DataFrame:
-    """Volume-synchronised imbalance from price moves, tick intensity, and signed tick imbalance."""
+    """Volume-synchronised imbalance from price moves, and tick intensity."""
     df = df.withColumn("_d", z(F.col("s_mid") - lag("s_mid", 1)))
     d, n = F.col("_d"), z("s_n_ticks")
     parts = {"_up": (F.greatest(d, F.lit(0.0)), 300), "_all": (F.abs(d), 300), "_n10": (n, 10), "_n60": (n, 60)}
-    parts |= {f"_s{w}": (F.signum(z("s_ret")) * n, w) for w in (60, 300, 900)} | {f"_n_{w}": (n, w) for w in (60, 300, 900)}
     df = R.sums(df, parts)
     new = {"vpin_5m": F.abs(safe_div(F.col("_up"), F.col("_all"), 0.5) - 0.5) * 2, "tick_intensity_ratio": safe_div(F.col("_n10"), F.col("_n60"), 1.0) * 6}
-    new |= {f"s_signed_vol_imbalance_w{w}": safe_div(F.col(f"_s{w}"), F.col(f"_n_{w}")) for w in (60, 300, 900)}
     return df.withColumns(new).drop("_d", *parts)
 
 
-def book(df: DataFrame) -> DataFrame:
+def book(df: DataFrame, i: str = "s") -> DataFrame:
     """Order-book imbalance: change, autocorrelation, divergence of instruments, interaction with the spread."""
-    df = R.autocorrelations(df, {"s_obi_autocorr_1m": (F.col("s_obi"), 60)})
-    new = {"s_obi_delta_5s": F.col("s_obi") - lag("s_obi", 5), "obi_divergence": F.col("s_obi") - F.col("p_obi")}
-    new["s_spread_obi_interaction"] = F.col("s_obi") / F.greatest(F.col("s_spread"), F.lit(0.1))
+    df = R.autocorrelations(df, {f"{i}_obi_autocorr_1m": (F.col(f"{i}_obi"), 60)})
+    new = {f"{i}_obi_delta_5s": F.col(f"{i}_obi") - lag(f"{i}_obi", 5), "obi_divergence": F.col("s_obi") - F.col("p_obi")}
+    new[f"{i}_spread_obi_interaction"] = F.col(f"{i}_obi") / F.greatest(F.col(f"{i}_spread"), F.lit(0.1))
     return df.withColumns(new)
 
 
@@ -179,15 +207,25 @@ def venues(df: DataFrame) -> DataFrame:
     return df.withColumns(new).drop("_vr", *parts)
 
 
-def wavelet_details(df: DataFrame, i: str = "s", scales=(6, 8)) -> DataFrame:
-    """Log squared differences of neighbouring means of 2^(scale-1) variances, from row 2^scale on."""
-    halves = {s: 2 ** (s - 1) for s in scales}
-    df = R.sums(df, {f"_m{s}": (z(f"{i}_rv"), h) for s, h in halves.items()})
+#: Scales whose details are followed; the largest spans two windows of 65,536 rows.
+SCALES = (6, 8, 10, 13, 15, 17)
+
+
+def wavelet_details(df: DataFrame, insts=("s", "p"), scales=SCALES, chunk: int = R.CHUNK) -> DataFrame:
+    """(rn, {i}_modwt_d{scale}): the log of the squared difference of neighbouring means of 2^(scale-1) log variances, from row
+    2^scale on. Windows are differences of running sums, and the sums that long ones start from come by the shifted
+    row's chunk, so no row is copied for a halo, however long the window."""
+    logs = {f"_p{i}": F.ln(z(f"{i}_rv") + EPS) for i in insts}
+    runs = R.prefix_sums(df.select("rn", *(f"{i}_rv" for i in insts)), logs, chunk).select("rn", *logs)
+    shifts = sorted({k for s in scales for k in (2 ** (s - 1), 2**s)})
+    met = R.shifted(runs, list(logs), shifts, chunk)
     new = {}
-    for s, h in halves.items():
-        d = (F.col(f"_m{s}") - lag(f"_m{s}", h)) / h
-        new[f"{i}_modwt_d{s}"] = F.when(F.col("rn") >= 2 * h, F.ln(d * d + EPS))
-    return df.withColumns(new).drop(*(f"_m{s}" for s in scales))
+    for i in insts:
+        for s in scales:
+            h = 2 ** (s - 1)
+            d = (F.col(f"_p{i}") - 2 * F.col(f"_p{i}_{h}") + F.col(f"_p{i}_{2 * h}")).cast("double") / h
+            new[f"{i}_modwt_d{s}"] = F.when(F.col("rn") >= 2 * h, F.ln(d * d + EPS))
+    return met.select("rn", *(c.alias(k) for k, c in new.items()))
 
 
 def variance_of_variance(df: DataFrame, i: str = "s") -> DataFrame:
@@ -303,54 +341,77 @@ def dft_magnitude(df: DataFrame, i: str = "s", period: int = 1440, w: int | None
 PERIODS, LEAST_WINDOW = {"8h": 28_800, "24h": 86_400, "168h": 604_800}, 100
 
 
-def dft_magnitudes(df: DataFrame, n: int, i: str = "s", periods: dict[str, int] = PERIODS) -> DataFrame:
-    """Magnitudes of long periods over windows of a period, or of half a table of n rows that is shorter; null where that is
-    too little."""
+def dft_magnitudes(df: DataFrame, n: int, insts=("s", "p"), periods: dict[str, int] = PERIODS, chunk: int = R.CHUNK) -> DataFrame:
+    """(rn, {i}_fourier_mag_{period}): magnitudes of long periods over windows of a period, or of half a table of n rows that is
+    shorter; null where that is too little. Only window ends and the rows before windows meet, and a row gets the value
+    of the end at or before it by the number of that end."""
+    waves, ends = {}, {}
     for name, period in periods.items():
-        w = min(period, n // 2)
-        if w > LEAST_WINDOW:
-            df = dft_magnitude(df, i, period, w, f"fourier_mag_{name}")
-        else:
-            df = df.withColumn(f"{i}_fourier_mag_{name}", F.lit(None).cast("double"))
-    return df
+        if (w := min(period, n // 2)) > LEAST_WINDOW:
+            a = F.col("rn") * (2 * math.pi / period)
+            ends[name] = w
+            waves |= {f"_{k}{i}{name}": z(f"{i}_rv") * f(a) for i in insts for k, f in (("c", F.cos), ("s", F.sin))}
+    out = df.select("rn")
+    runs = R.prefix_sums(df.select("rn", *(f"{i}_rv" for i in insts)), waves, chunk).select("rn", *waves) if waves else None
+    for name, w in ends.items():
+        step = max(w // 8, 1)
+        own = [f"_{k}{i}{name}" for i in insts for k in "cs"]
+        at = lambda shift: F.floor((F.col("rn") + shift - (w - 1)) / step)
+        is_end = lambda shift: (F.col("rn") + shift >= w - 1) & (F.pmod(F.col("rn") + shift - (w - 1), F.lit(step)) == 0)
+        now = runs.filter(is_end(0)).select(at(0).alias("_end"), *own)
+        before = runs.filter(is_end(w)).select(at(w).alias("_end"), *(F.col(c).alias(f"{c}_0") for c in own))
+        met = now.join(before, "_end", "left")
+        part = lambda c: (F.col(c) - F.coalesce(F.col(f"{c}_0"), F.lit(0).cast(R.EXACT))).cast("double")
+        mags = met.select("_end", *((F.sqrt(part(f"_c{i}{name}") * part(f"_c{i}{name}") + part(f"_s{i}{name}") * part(f"_s{i}{name}")) / w).alias(f"{i}_fourier_mag_{name}") for i in insts))
+        out = out.withColumn("_end", at(0)).join(mags, "_end", "left").drop("_end")
+    return out.withColumns({f"{i}_fourier_mag_{name}": F.lit(None).cast("double") for i in insts for name in periods if name not in ends})
 
 
 def log_transformed(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({f"{c}_log": log_floor(F.col(c)) for c in columns})
 
 
-def realized_kernel(df: DataFrame, i: str, w: int, chunk: int = R.CHUNK) -> DataFrame:
-    """(rn, {i}_rk_w{w}): autocovariances up to the bandwidth with Parzen weights, at least a tenth of the variance.
-    A running sum for each lag in NumPy, chunk by chunk with a halo."""
+def kernel_weights(w: int):
+    """Parzen weights of the lags up to the bandwidth of a window of w rows."""
     import numpy as np
-    import pandas as pd
 
     lags = math.ceil(w ** (2 / 3))
     x = np.arange(lags + 1) / lags
-    weight = np.where(x <= 0.5, 1 - 6 * x**2 + 6 * x**3, 2 * (1 - x) ** 3)
-    name = f"{i}_rk_w{w}"
+    return np.where(x <= 0.5, 1 - 6 * x**2 + 6 * x**3, 2 * (1 - x) ** 3)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        r, n = pdf["r"].to_numpy(), len(pdf)
-        total = np.zeros(n)
-        for h in range(lags + 1):
-            run_ = np.concatenate([[0.0], np.cumsum(r[h:] * r[: n - h])]) if h < n else np.zeros(1)
-            # Pairs (k, k - h) with both ends in the window: w - h of them end at row t.
-            t = np.arange(w - 1, n)
-            if h < n and len(t):
-                g = run_[t - h + 1] - run_[t - h + 1 - (w - h)]
-                total[t] += (1 if h == 0 else 2) * weight[h] * g
-                if h == 0:
-                    floor_ = 0.1 * g
+
+def realized_kernels(df: DataFrame, insts=("s", "p"), wins=(300, 900), chunk: int = R.CHUNK) -> DataFrame:
+    """(rn, {i}_rk_w{w}): autocovariances up to the bandwidth with Parzen weights, at least a tenth of the variance.
+    A running sum for each lag in NumPy, chunk by chunk with a halo, all windows and instruments in one pass."""
+    import numpy as np
+    import pandas as pd
+
+    names = {(i, w): f"{i}_rk_w{w}" for i in insts for w in wins}
+
+    def kernel(r, w):
+        n, weight = len(r), kernel_weights(w)
         out = np.full(n, np.nan)
-        if n >= w:
-            out[w - 1 :] = np.maximum(total[w - 1 :], floor_)
-        return pd.DataFrame({"rn": pdf["rn"].to_numpy(), "_chunk": pdf["_chunk"].to_numpy(), name: out})
+        t = np.arange(w - 1, n)
+        if not len(t):
+            return out
+        total = np.zeros(len(t))
+        for h in range(len(weight)):
+            run_ = np.concatenate([[0.0], np.cumsum(r[h:] * r[: n - h])])
+            # Pairs (k, k - h) with both ends in the window: w - h of them end at row t.
+            g = run_[t - h + 1] - run_[t - w + 1]
+            total += (1 if h == 0 else 2) * weight[h] * g
+            if h == 0:
+                floor_ = 0.1 * g
+        out[w - 1 :] = np.maximum(total, floor_)
+        return out
 
-    cut = R.haloed(df.select("rn", z(f"{i}_ret").alias("r")), w, 0, chunk)
-    made = cut.groupBy("_chunk").applyInPandas(run, f"rn bigint, _chunk bigint, {name} double")
-    return R.trimmed(made, chunk).withColumn(name, F.when(~F.isnan(name), F.col(name)))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn").reset_index(drop=True)
+        return pdf[["rn", "_chunk"]].assign(**{name: kernel(pdf[i].to_numpy(), w) for (i, w), name in names.items()})
+
+    cut = R.haloed(df.select("rn", *(z(f"{i}_ret").alias(i) for i in insts)), max(wins), 0, chunk)
+    made = cut.groupBy("_chunk").applyInPandas(run, "rn bigint, _chunk bigint, " + ", ".join(f"{n} double" for n in names.values()))
+    return R.trimmed(made, chunk).withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names.values()})
 
 
 #: Bands by cycles a row (a second): from the first, below the second.
@@ -358,36 +419,55 @@ BANDS = {"hf": (1 / 300, 0.5), "mf": (1 / 3600, 1 / 300), "lf": (1 / 14400, 1 /
 RATIOS = ("hf_lf", "mf_lf", "hf_mf", "trend_share")
 
 
-def spectral_bands(df: DataFrame, i: str, w: int = 4096, suffix: str = "", chunk: int = R.CHUNK) -> DataFrame:
-    """(rn, {i}_spec_hf_lf, _mf_lf, _hf_mf, _trend_share): log ratios of band powers of the window's FFT and the share of the
-    lowest band in all four, at window ends every quarter, carried forward."""
+#: Windows of the spectra, by the suffix of their names.
+SPECTRA = {"_4k": 4096, "_8k": 8192}
+
+
+def spectral_bands(df: DataFrame, insts=("s", "p"), windows: dict[str, int] = SPECTRA, chunk: int = R.CHUNK) -> DataFrame:
+    """(rn, {i}_spec_hf_lf, _mf_lf, _hf_mf, _trend_share by window): log ratios of band powers of the window's FFT and the share
+    of the lowest band in all four, at window ends every quarter, carried forward; all in one pass."""
     import numpy as np
     import pandas as pd
 
-    names = [f"{i}_spec_{k}{suffix}" for k in RATIOS]
-    freq = np.fft.rfftfreq(w)
-    masks = [(freq >= lo) & (freq < hi) for lo, hi in BANDS.values()]
+    names = {(i, k): [f"{i}_spec_{q}{k}" for q in RATIOS] for i in insts for k in windows}
+    masks = {k: [(f >= lo) & (f < hi) for lo, hi in BANDS.values()] for k, w in windows.items() for f in (np.fft.rfftfreq(w),)}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        rn, v = pdf["rn"].to_numpy(), pdf["v"].to_numpy()
-        out = np.full((len(rn), 4), np.nan)
-        ends = np.flatnonzero((rn >= w - 1) & ((rn - (w - 1)) % (w // 4) == 0) & (np.arange(len(rn)) >= w - 1))
-        for e in ends:
-            p = np.abs(np.fft.rfft(v[e - w + 1 : e + 1])) ** 2
-            hf, mf, lf, trend = (p[m].sum() + EPS for m in masks)
-            out[e] = np.log(hf / lf), np.log(mf / lf), np.log(hf / mf), trend / (hf + mf + lf + trend)
-        done = pd.DataFrame(out, columns=names).ffill(limit=w // 4 - 1)
-        return pd.concat([pdf[["rn", "_chunk"]].reset_index(drop=True), done], axis=1)
-
-    cut = R.haloed(df.select("rn", z(f"{i}_rv").alias("v")), 2 * w, 0, chunk)
-    made = cut.groupBy("_chunk").applyInPandas(run, "rn bigint, _chunk bigint, " + ", ".join(f"{k} double" for k in names))
-    return R.trimmed(made, chunk).withColumns({k: F.when(~F.isnan(k), F.col(k)) for k in names})
+        pdf = pdf.sort_values("rn").reset_index(drop=True)
+        rn, parts = pdf["rn"].to_numpy(), [pdf[["rn", "_chunk"]]]
+        for (i, k), own in names.items():
+            v, w = pdf[i].to_numpy(), windows[k]
+            out = np.full((len(rn), 4), np.nan)
+            ends = np.flatnonzero((rn >= w - 1) & ((rn - (w - 1)) % (w // 4) == 0) & (np.arange(len(rn)) >= w - 1))
+            for e in ends:
+                p = np.abs(np.fft.rfft(v[e - w + 1 : e + 1])) ** 2
+                hf, mf, lf, trend = (p[m].sum() + EPS for m in masks[k])
+                out[e] = np.log(hf / lf), np.log(mf / lf), np.log(hf / mf), trend / (hf + mf + lf + trend)
+            parts.append(pd.DataFrame(out, columns=own).ffill(limit=w // 4 - 1))
+        return pd.concat(parts, axis=1)
+
+    columns = [c for own in names.values() for c in own]
+    cut = R.haloed(df.select("rn", *(z(f"{i}_rv").alias(i) for i in insts)), 2 * max(windows.values()), 0, chunk)
+    made = cut.groupBy("_chunk").applyInPandas(run, "rn bigint, _chunk bigint, " + ", ".join(f"{c} double" for c in columns))
+    return R.trimmed(made, chunk).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
 # --- targets --------------------------------------------------------------------------------------------------------
 
 
+def seasonal_targets(df: DataFrame, insts=("s", "p"), horizons=(60, 300, 900)) -> DataFrame:
+    """Of the deseasonalised variance: the sum over the next h rows, level and log, and the sum of the seasonal factor over the
+    same rows, which restores the season: variance ahead ~ exp(log) * sum / h."""
+    wanted = {f"{i}_fwd_{n}_{h}": (F.col(f"{i}_{c}"), h) for i in insts for h in horizons for n, c in (("rv", "rv"), ("seas", "seas_factor"))}
+    df = R.forward_sums(df, wanted)
+    return df.withColumns({f"{i}_fwd_log_rv_{h}": F.ln(floored(F.col(f"{i}_fwd_rv_{h}"), 0.0) + EPS) for i in insts for h in horizons})
+
+
+def restored(log_forecast: Column, seasonal_sum: Column, h: int) -> Column:
+    """The variance of the next h rows from a deseasonalised log forecast."""
+    return F.exp(log_forecast) * (seasonal_sum / h)
+
+
 def forward_targets(df: DataFrame, i: str = "s", horizons=(60, 300, 900)) -> DataFrame:
     """Variance of the next h rows: level and log."""
     df = df.withColumns({f"{i}_fwd_rv_{h}": R.forward_sum(F.col(f"{i}_rv"), h) for h in horizons})

@@ -61,6 +61,17 @@ def strict_sum(x: Column, w: int) -> Column:
     return F.when(F.count(x).over(o) == w, F.sum(x).over(o))
 
 
+def strict_sums(df: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+    """df with a rolling sum of a column for each name, null if any row of the window is missing; one running sum and count for
+    each column serve all lengths."""
+    o, up = order(), order().rowsBetween(Window.unboundedPreceding, 0)
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    df = df.withColumns({f"_r_{c}": F.sum(F.coalesce(F.col(c), F.lit(0.0))).over(up) for c in columns} | {f"_n_{c}": F.count(c).over(up) for c in columns})
+    past = lambda c, w: F.coalesce(F.lag(c, w).over(o), F.lit(0))
+    made = {k: full(w, F.when(F.col(f"_n_{c}") - past(f"_n_{c}", w) == w, F.col(f"_r_{c}") - past(f"_r_{c}", w))) for k, (c, w) in wanted.items()}
+    return df.withColumns(made).drop(*(f"_{p}_{c}" for p in "rn" for c in columns))
+
+
 def forward_sum(x: Column, h: int) -> Column:
     """The sum over the next h rows, null if fewer or any is missing."""
     o = order().rowsBetween(1, h)
@@ -164,6 +175,31 @@ def prefix_sums(df: DataFrame, wanted: dict[str, Column], chunk: int = CHUNK) ->
     return met.withColumns({k: F.col(f"_b_{k}") + F.sum(f"_v_{k}").over(run) for k in wanted}).drop("_chunk", *(f"_{p}_{k}" for p in "vb" for k in wanted))
 
 
+def shifted(df: DataFrame, columns: list[str], shifts: list[int], chunk: int = CHUNK) -> DataFrame:
+    """df with {c}_{k}: column c as it was k rows ago, for each shift; null before the first row.
+
+    Shifts up to an eighth of a chunk are lags within chunks with a halo. For each longer one a row goes once more, alone, to
+    the chunk of the row that needs it, and stands beside that row there: one narrow copy, however far the shift reaches,
+    and one exchange for all of them."""
+    near, far = [k for k in shifts if 8 * k <= chunk], [k for k in shifts if 8 * k > chunk]
+    if near:
+        lags = {f"{c}_{k}": F.lag(c, k).over(order()) for c in columns for k in near}
+        df = windowed(df, lambda d: d.withColumns(lags), max(near), 0, chunk)
+    if not far:
+        return df
+    kept = [F.col(c) if c in ("rn", *columns) else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns]
+    copies = df.select(*kept, F.explode(F.array(*(F.lit(k) for k in far))).alias("_k")).withColumn("rn", F.col("rn") + F.col("_k"))
+    every = df.withColumn("_k", F.lit(0)).unionByName(copies).withColumn("_chunk", F.floor(F.col("rn") / chunk))
+    # Rows of one number stand together: first the copies, then the row itself.
+    beside = Window.partitionBy("_chunk").orderBy("rn", F.desc("_k")).rowsBetween(-len(far), 0)
+    met = every.withColumn("_met", F.collect_list(F.when(F.col("_k") > 0, F.struct("rn", "_k", *columns))).over(beside)).filter("_k = 0")
+
+    def at(c: str, k: int) -> Column:
+        return F.get(F.filter("_met", lambda m: (m["rn"] == F.col("rn")) & (m["_k"] == k)), F.lit(0))[c]
+
+    return met.select(*df.columns, *(at(c, k).alias(f"{c}_{k}") for c in columns for k in far))
+
+
 def ewma(df: DataFrame, wanted: dict[str, tuple[str, float]], chunk: int = CHUNK, group: int = 4096) -> DataFrame:
     """Exponentially weighted means by half-life in rows, y0 = x0, of whole columns. The recursion is linear: a chunk of rows
     gives its own response from zero and what it leaves of the state before it. Chunks are composed the same way within

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,6 +89,21 @@ def fourier_fit(df: DataFrame, value: str = "s_rv", periods=(8, 24, 168, 720), h
     return model, mean, basis
 
 
-def deseasonalised(df: DataFrame, factor: str, columns: list[str]) -> DataFrame:
-    f = F.greatest(F.col(factor), F.lit(X.EPS))
-    return df.withColumns({f"{c}_ds": F.col(c) / f for c in columns})
+@dataclass(frozen=True)
+class Fourier:
+    """A seasonal model of the log variance: an intercept, then a sine and a cosine for each harmonic of each period (hours);
+    mean is that of its exponentials over the rows that it was fitted on, so that factors are about 1."""
+
+    periods: tuple[float, ...]
+    harmonics: tuple[int, ...]
+    coefficients: tuple[float, ...]
+    mean: float
+
+    def factor(self, ts: str = "sec") -> Column:
+        basis = X.fourier_basis(hours(ts), self.periods, self.harmonics)
+        return F.exp(sum((b * c for b, c in zip(basis, self.coefficients[1:])), F.lit(self.coefficients[0]))) / self.mean
+
+
+def fitted_fourier(df: DataFrame, value: str = "s_rv", periods=(8, 24, 168, 720), harmonics=(4, 12, 25, 4)) -> Fourier:
+    model, mean, _ = fourier_fit(df, value, periods, harmonics)
+    return Fourier(tuple(periods), tuple(harmonics), (model.intercept, *model.beta), mean)

@@ -107,7 +107,7 @@ def test_realized_kernel_and_two_scale(spark):
     r = np.random.default_rng(3).normal(size=150) * 0.01
     df = series(spark, r).withColumnRenamed("x", "s_ret")
     w, k = 40, 5
-    got = column(features.realized_kernel(df, "s", w, chunk=50), f"s_rk_w{w}")
+    got = column(features.realized_kernels(df, ("s",), (w,), chunk=50), f"s_rk_w{w}")
     lags = math.ceil(w ** (2 / 3))
     for t in range(w - 1, 150):
         v = r[t - w + 1 : t + 1]
@@ -202,3 +202,78 @@ def test_streams_equal_batches(spark, tmp_path):
     got = {(r.inst, r.bid, r.n_ticks) for r in spark.table("bars_now").collect()}
     assert got == {(r.inst, r.bid, r.n_ticks) for r in bars.last_per_second(q).collect()}
     assert live.sessions(q).count() == 1 and live.period_prices(q).count() == 1
+
+
+@pytest.mark.parametrize("chunk", [16, 1 << 16])
+def test_shifted_rows(spark, chunk):
+    """Short shifts by halo, long ones by copies to the chunk that needs them."""
+    df = spark.range(0, 137).select(F.col("id").alias("rn"), (F.col("id") * 3).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") / 7).alias("b"), F.lit("x").alias("other")).repartition(4)
+    shifts = [1, 2, 15, 40, 100, 500]
+    rows = R.shifted(df, ["a", "b"], shifts, chunk).orderBy("rn").collect()
+    assert [r.rn for r in rows] == list(range(137)) and {r.other for r in rows} == {"x"}
+    for r in rows:
+        for k in shifts:
+            was = r.rn - k
+            assert r[f"a_{k}"] == (was * 3 if was >= 0 else None) and r[f"b_{k}"] == (was / 7 if was >= 0 and was % 5 else None)
+
+
+def seasonal_rows(spark, n=700):
+    rng = np.random.default_rng(6)
+    v = {i: rng.gamma(0.5, 1e-6, n) for i in "sp"}
+    v["p"][[3, 50]] = np.nan
+    rows = [(k, *(None if np.isnan(v[i][k]) else float(v[i][k]) for i in "sp")) for k in range(n)]
+    return spark.createDataFrame(rows, "rn long, s_rv double, p_rv double").repartition(3), v
+
+
+def test_wavelet_details_by_definition(spark):
+    """Haar energies of the log variance: differences of neighbouring rolling means, from row 2^scale on."""
+    df, v = seasonal_rows(spark)
+    rows = features.wavelet_details(df, scales=(1, 3, 6, 8, 9), chunk=64).orderBy("rn").toPandas()
+    for i in "sp":
+        x = np.log(np.nan_to_num(v[i]) + 1e-12)
+        for scale in (1, 3, 6, 8, 9):
+            half = 2 ** (scale - 1)
+            mean = np.array([x[t - half + 1 : t + 1].mean() if t >= half - 1 else np.nan for t in range(len(x))])
+            for t in range(0, len(x), 11):
+                own = rows[f"{i}_modwt_d{scale}"][t]
+                assert np.isnan(own) if t < 2 * half else np.isclose(own, np.log((mean[t] - mean[t - half]) ** 2 + 1e-12), atol=1e-6)
+
+
+def test_long_periods_by_definition(spark):
+    """Magnitudes at window ends every eighth of a window, carried forward."""
+    df, v = seasonal_rows(spark)
+    rows = features.dft_magnitudes(df, 700, periods={"a": 120, "b": 1000, "c": 90}, chunk=64).orderBy("rn").toPandas()
+    for i in "sp":
+        x = np.nan_to_num(v[i])
+        for name, period in (("a", 120), ("b", 1000)):
+            w = min(period, 350)
+            wave = np.exp(-2j * np.pi * np.arange(w) / period)
+            want, last = np.full(700, np.nan), np.nan
+            for t in range(700):
+                if t >= w - 1 and (t - (w - 1)) % (w // 8) == 0:
+                    last = abs(x[t - w + 1 : t + 1] @ wave) / w
+                want[t] = last
+            assert np.allclose(rows[f"{i}_fourier_mag_{name}"], want, atol=1e-12, equal_nan=True)
+        assert rows[f"{i}_fourier_mag_c"].isna().all()
+
+
+def test_seasonal_factor_comes_out_first(spark):
+    """A fitted model and its factors against NumPy, the variances divided in place, and the season restored ahead."""
+    n = 3000
+    rng = np.random.default_rng(8)
+    hour = np.arange(n) * 0.05
+    rv = np.exp(0.5 * np.sin(2 * np.pi * hour / 8) - 0.3 * np.cos(2 * np.pi * hour / 24) + rng.normal(size=n) * 0.1) * 1e-3
+    rows = [(k, float(r), float(r) / 2, float(r) / 3, None if k < 2 else float(r) / 4) for k, r in enumerate(rv)]
+    df = spark.createDataFrame(rows, "rn long, s_rv double, s_rsv_pos double, s_rsv_neg double, s_bpv double")
+    df = df.withColumn("sec", F.timestamp_seconds(F.col("rn") * 180))
+    model = seasonality.fitted_fourier(df, "s_rv", (8, 24), (2, 1))
+    basis = [f(2 * np.pi * k * hour / t) for t, ks in ((8, 2), (24, 1)) for k in range(1, ks + 1) for f in (np.sin, np.cos)]
+    a = np.column_stack([np.ones(n), *basis])
+    beta = np.linalg.lstsq(a, np.log(rv + 1e-12), rcond=None)[0]
+    factor = np.exp(a @ beta) / np.exp(a @ beta).mean()
+    assert np.allclose(model.coefficients, beta, atol=1e-6) and np.isclose(model.mean, np.exp(a @ beta).mean())
+    made = features.deseasonalised(df, {"s": model.factor()})
+    got = R.windowed(made, lambda d: features.seasonal_targets(d, ("s",), (60,)), 1, 60, 256).orderBy("rn").toPandas()
+    assert np.allclose(got.s_seas_factor, factor) and np.allclose(got.s_rv, rv / factor) and np.allclose(got.s_bpv[2:], rv[2:] / 4 / factor[2:]) and got.s_bpv[:2].isna().all()
+    ahead, season = np.array([(rv / factor)[t + 1 : t + 61].sum() for t in range(n - 60)]), np.array([factor[t + 1 : t + 61].sum() for t in range(n - 60)])
+    assert np.allclose(got.s_fwd_log_rv_60[: n - 60], np.log(ahead + 1e-12), atol=1e-9) and np.allclose(got.s_fwd_seas_60[: n - 60], season) and got.s_fwd_rv_60[n - 60 :].isna().all()
