@@ -168,9 +168,9 @@ add("J08_curve_join", _factor, f"WITH {S.BASE}, m AS (SELECT (isodow(sec) - 1) *
 
 
 def _ahead(s, d, h: int = 30):
-    df = series.price_table(s, d)
-    to = df.select(F.col("rn").alias("to"), F.col("s_mid").alias("later"))
-    return df.withColumn("to", F.least(F.col("rn") + h, F.col("n") - 1)).join(to, "to").select("rn", "later")
+    """The mid h rows ahead, or the last one: the end of a frame, within chunks with a halo."""
+    last = F.last("s_mid").over(R.order().rowsBetween(0, h))
+    return R.windowed(series.price_table(s, d).select("rn", "s_mid"), lambda df: df.withColumn("later", last), 0, h + 1).select("rn", "later")
 
 
 add("J12_offset_join", _ahead, f"WITH {S.PRICES} SELECT a.rn, {_r(later='b.s_mid')} FROM prices a JOIN prices b ON b.rn = least(a.rn + 30, a.n - 1)")
@@ -234,11 +234,11 @@ add("A21_r_squared", lambda s, d: variance_forecast(s, d).agg(scoring.r2(y(), F.
 add("A22_mse_mae", lambda s, d: variance_forecast(s, d).agg(F.avg((y() - F.col("f")) * (y() - F.col("f"))).alias("mse"), F.avg(F.abs(y() - F.col("f"))).alias("mae"), (1 - F.avg((y() - F.col("f")) * (y() - F.col("f"))) / (F.var_pop("y") + 1e-12)).alias("r2")), _FC + f" SELECT {_r(mse='avg((y - f) * (y - f))', mae='avg(abs(y - f))', r2='1 - avg((y - f) * (y - f)) / (var_pop(y) + 1e-12)')} FROM z")
 add("A23_streaming_r2", lambda s, d: variance_forecast(s, d).agg(F.sum("y").alias("sy"), F.sum(y() * y()).alias("syy"), F.sum((y() - F.col("f")) * (y() - F.col("f"))).alias("se"), F.count("*").alias("n")).select((1 - F.col("se") / (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))).alias("r2")), _FC + " SELECT round(1 - sum((y - f) * (y - f)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 8) AS r2 FROM z")
 
-_H = (1, 60, 300)
+_H = (1, 60, 300, 600, 900)
 
 
 def _per_horizon(s, d):
-    df = series.with_features(series.price_table(s, d), lambda x: features.forward_targets(x, "s", _H), 4, 301)
+    df = series.with_features(series.price_table(s, d), lambda x: features.forward_targets(x, "s", _H), 4, 901)
     rows = df.select(F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.ln(F.col(f"s_fwd_rv_{h}") / h + X.EPS).alias("y"), F.ln(F.col("s_rv") + X.EPS).alias("f")) for h in _H))).alias("x")).select("x.*").na.drop()
     return rows
 
@@ -259,7 +259,7 @@ add("A26_target_stats", lambda s, d: _per_horizon(s, d).filter("h = 60").agg(F.a
 add("A27_clip_rates", lambda s, d: _per_horizon(s, d).rollup("h").agg(F.avg((y() > 2).cast("double")).alias("above"), F.avg((y() < -2).cast("double")).alias("below"), F.min("y").alias("low"), F.max("y").alias("high"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("sd")).withColumn("h", F.col("h").cast("long")),
     _HZ + " SELECT h, round(avg(CASE WHEN y > 2 THEN 1.0 ELSE 0.0 END), 8) AS above, round(avg(CASE WHEN y < -2 THEN 1.0 ELSE 0.0 END), 8) AS below, round(min(y), 8) AS low, round(max(y), 8) AS high, round(avg(y), 8) AS mean, round(stddev_pop(y), 8) AS sd FROM z GROUP BY ROLLUP (h)", "M18_clip_report")
 _QS = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
-add("A28_percentiles", lambda s, d: _per_horizon(s, d).groupBy(F.col("h").cast("long").alias("h")).agg(*(F.expr(f"percentile(y, {v})").alias(f"q{k}") for k, v in enumerate(_QS))), _HZ + " SELECT h, " + ", ".join(f"round(quantile_cont(y, {v}), 8) AS q{k}" for k, v in enumerate(_QS)) + " FROM z GROUP BY h")
+add("A28_percentiles", lambda s, d: scoring.percentiles(_per_horizon(s, d).select(F.col("h").cast("long").alias("h"), "y"), ["h"], "y", {f"q{k}": v for k, v in enumerate(_QS)}), _HZ + " SELECT h, " + ", ".join(f"round(quantile_cont(y, {v}), 8) AS q{k}" for k, v in enumerate(_QS)) + " FROM z GROUP BY h")
 add("A29_variance_reduction", lambda s, d: _per_horizon(s, d).agg((1 - F.var_pop(X.clip(y(), -2, 2)) / F.var_pop("y")).alias("reduction")), _HZ + " SELECT round(1 - var_pop(least(greatest(y, -2), 2)) / var_pop(y), 8) AS reduction FROM z")
 
 

@@ -49,6 +49,18 @@ def pulled(spark, sf_dir):
 add("S04_many_instruments", pulled, f"WITH {S.QUOTES} SELECT inst, received_time::DATE AS day, count(*) AS n, min(received_time) AS first, {_r(size='sum(bid_size)')} FROM quotes GROUP BY 1, 2")
 
 
+def reported(spark, sf_dir):
+    """Three inputs pulled on their own, one of which is not there."""
+    q, paths = bars.quotes(spark, sf_dir), {"x": io.scratch(spark)}
+    for i in ("s", "p"):
+        q.filter(F.col("inst") == i).drop("inst").write.parquet(path := io.scratch(spark))
+        paths[i] = path
+    return io.pull(spark, paths, io.scratch(spark)).select("inst", "rows", F.col("error").isNotNull().alias("failed"))
+
+
+add("S04_pull_report", reported, f"WITH {S.QUOTES} SELECT inst, count(*) AS rows, false AS failed FROM quotes WHERE inst IN ('s', 'p') GROUP BY 1 UNION ALL SELECT 'x', NULL, true")
+
+
 def mapped(spark, sf_dir):
     """One input for each instrument, by prefix, as one long table."""
     q, paths = bars.quotes(spark, sf_dir), {}

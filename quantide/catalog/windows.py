@@ -440,11 +440,11 @@ ORACLES["T43_spectral_bands"] = _t43_sql()
 
 
 def t53(spark, sf_dir):
-    """Targets at a horizon that each row has for itself, as a difference of running sums joined by row number."""
-    df = prefixes(spark, sf_dir)
+    """Targets at a horizon that each row has for itself, as a difference of running sums: the later one is asked of its chunk."""
     h = (F.pmod(F.col("rn") * 7919, F.lit(900)) + 1).cast("long")
-    ahead = df.select((F.col("rn")).alias("to"), F.col("prefix").alias("later"))
-    return S.rounded(df.withColumn("h", h).withColumn("to", F.col("rn") + F.col("h")).join(ahead, "to").select("rn", "h", F.ln(F.greatest((F.col("later") - F.col("prefix")).cast("double"), F.lit(0.0)) + X.EPS).alias("target")))
+    df = R.gathered(prefixes(spark, sf_dir).withColumn("h", h), F.col("rn") + F.col("h"), ["prefix"])
+    target = F.ln(F.greatest((F.col("prefix_at") - F.col("prefix")).cast("double"), F.lit(0.0)) + X.EPS)
+    return S.rounded(df.filter(F.col("prefix_at").isNotNull()).select("rn", "h", target.alias("target")))
 
 
 QUERIES["T53_horizon_target"] = QUERIES["J13_prefix_difference_join"] = t53
@@ -453,14 +453,14 @@ ORACLES["T53_horizon_target"] = ORACLES["J13_prefix_difference_join"] = _T53
 
 
 def t54(spark, sf_dir, lookback: int = 16):
-    """Positional features of lookback windows at a stride: k/L, what is left, its root, log1p, and the variance so far."""
-    p = prefixes(spark, sf_dir)
-    ends = p.filter((F.col("rn") >= lookback) & (F.pmod("rn", F.lit(64)) == 0)).select(F.col("rn").alias("t"))
-    rows = ends.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(lookback - 1)))).withColumn("rn", F.col("t") - lookback + F.col("k"))
-    first = p.select((F.col("rn") + lookback).alias("t"), F.col("prefix").alias("p0"))
+    """Positional features of lookback windows at a stride: k/L, what is left, its root, log1p, and the variance so far, from the
+    running sums of the rows before, a frame within chunks with a halo."""
+    before = F.collect_list("prefix").over(R.order().rowsBetween(-lookback, -1))
+    at = (F.col("rn") >= lookback) & (F.pmod("rn", F.lit(64)) == 0)
+    ends = R.windowed(prefixes(spark, sf_dir), lambda d: d.withColumn("w", before), lookback).filter(at)
+    rows = ends.select(F.col("rn").alias("t"), F.col("w")[0].alias("p0"), F.posexplode("w").alias("k", "prefix"))
     left = (F.lit(float(lookback)) - F.col("k")) / lookback
-    met = rows.join(p, "rn").join(first, "t")
-    return S.rounded(met.select("t", "k", (F.col("k") / lookback).alias("pos"), left.alias("left"), F.sqrt(left).alias("root"), F.log1p(left).alias("log1p"), F.ln(F.greatest((F.col("prefix") - F.col("p0")).cast("double"), F.lit(0.0)) + X.EPS).alias("log_cum_rv")))
+    return S.rounded(rows.select("t", "k", (F.col("k") / lookback).alias("pos"), left.alias("left"), F.sqrt(left).alias("root"), F.log1p(left).alias("log1p"), F.ln(F.greatest((F.col("prefix") - F.col("p0")).cast("double"), F.lit(0.0)) + X.EPS).alias("log_cum_rv")))
 
 
 QUERIES["T54_positional_features"] = QUERIES["T55_lookback_cumulative"] = t54

@@ -200,6 +200,21 @@ def shifted(df: DataFrame, columns: list[str], shifts: list[int], chunk: int = C
     return met.select(*df.columns, *(at(c, k).alias(f"{c}_{k}") for c in columns for k in far))
 
 
+def gathered(df: DataFrame, to: Column, columns: list[str], chunk: int = CHUNK) -> DataFrame:
+    """df with {c}_at: column c of the row whose number is `to`, which each row has for itself; null where there is none.
+
+    A row is sent to the chunk of the row that it asks for, where requests stand behind the values in one sorted run: one exchange,
+    no join. Rows without a `to` get nulls."""
+    asked = df.withColumns({"_to": to.cast("long"), "_asks": F.lit(1)})
+    null = {f.name: F.lit(None).cast(f.dataType) for f in df.schema}
+    held = df.select(*(F.col(c) if c in columns else null[c].alias(c) for c in df.columns), F.col("rn").cast("long").alias("_to"), F.lit(0).alias("_asks"))
+    every = asked.unionByName(held).withColumn("_chunk", F.floor(F.col("_to") / chunk))
+    run = Window.partitionBy("_chunk").orderBy("_to", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    met = every.withColumn("_held", F.last(F.when(F.col("_asks") == 0, F.struct("_to", *columns)), True).over(run)).filter("_asks = 1")
+    own = F.col("_held._to") == F.col("_to")
+    return met.select(*df.columns, *(F.when(own, F.col(f"_held.{c}")).alias(f"{c}_at") for c in columns))
+
+
 def ewma(df: DataFrame, wanted: dict[str, tuple[str, float]], chunk: int = CHUNK, group: int = 4096) -> DataFrame:
     """Exponentially weighted means by half-life in rows, y0 = x0, of whole columns. The recursion is linear: a chunk of rows
     gives its own response from zero and what it leaves of the state before it. Chunks are composed the same way within

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import io
+
 
 def brier(p: Column, y: Column) -> Column:
     return F.avg((p - y) * (p - y))
@@ -43,3 +47,57 @@ def calibration(df: DataFrame, p: str, y: str, n: int = 20) -> DataFrame:
 
 def best_and_worst(groups: DataFrame, key: str) -> DataFrame:
     return groups.agg(F.min_by(key, F.struct("brier", key)).alias("best"), F.max_by(key, F.struct("brier", key)).alias("worst"), F.avg("brier").alias("mean"))
+
+
+#: Rows of a range table up to which it is broadcast.
+SMALL = 100_000
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 1024, most: int = 4096) -> DataFrame:
+    """(*keys, a column for each share): exact percentiles with linear interpolation between the two nearest ranks, by group.
+
+    A histogram between a group's ends tells the bin that a rank falls into; that bin is cut again until it holds few values, and
+    only those are told apart. So no task holds a group, state is a row for each group and rank, and equal values,
+    however many, are one row with a count. Missing values don't count; keys are matched null-safe."""
+    own = io.stored(df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("_v")))
+    rank = {k: F.lit(q) * (F.col("_n") - 1) for k, q in shares.items()}
+    every = F.array_distinct(F.array(*(f(x).cast("long") for x in rank.values() for f in (F.floor, F.ceil))))
+    stat = own.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    state = io.stored(stat.withColumn("_rank", F.explode(every)).withColumn("_below", F.lit(0).cast("long")).withColumn("_inside", F.col("_n")))
+
+    def same(a: DataFrame, b: DataFrame, more: list[str] = []) -> Column:
+        return reduce(Column.__and__, (a[k].eqNullSafe(b[f"_k_{k}"]) for k in [*keys, *more]), F.lit(True))
+
+    def within(ranges: DataFrame) -> DataFrame:
+        """Values with each range of their group that holds them."""
+        named = ranges.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+        held = F.broadcast(named) if named.limit(SMALL + 1).count() <= SMALL else named
+        return own.join(held, same(own, named) & own["_v"].between(named["_low"], named["_high"]))
+
+    def large() -> Column:
+        return (F.col("_inside") > most) & (F.col("_low") < F.col("_high"))
+
+    while not state.filter(large()).isEmpty():
+        ranges = state.filter(large()).select(*keys, "_low", "_high").distinct()
+        at = F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins), F.lit(bins - 1))
+        group = [F.col(f"_k_{k}") for k in keys]
+        told = within(ranges).groupBy(*group, F.col("_low").alias("_k__low"), F.col("_high").alias("_k__high"), at.alias("_bin")).agg(F.count("*").alias("_c"), F.min("_v").alias("_to_low"), F.max("_v").alias("_to_high"))
+        along = Window.partitionBy(*(f"_k_{k}" for k in keys), "_k__low", "_k__high").orderBy("_bin")
+        told = told.withColumn("_upto", F.sum("_c").over(along))
+        now = state.filter(large())
+        left = F.col("_rank") - F.col("_below")
+        met = now.join(told, same(now, told, ["_low", "_high"]) & (left >= F.col("_upto") - F.col("_c")) & (left < F.col("_upto")))
+        cut = met.select(*keys, F.col("_to_low").alias("_low"), F.col("_to_high").alias("_high"), "_n", "_rank", (F.col("_below") + F.col("_upto") - F.col("_c")).alias("_below"), F.col("_c").alias("_inside"))
+        state = io.stored(state.filter(~large()).unionByName(cut))
+    last = [f"_k_{k}" for k in keys]
+    counted = within(state).groupBy(*last, "_rank", "_below", "_n", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*last, "_rank").orderBy("_v"))
+    left = F.col("_rank") - F.col("_below")
+    found = counted.withColumn("_upto", upto).filter((left >= F.col("_upto") - F.col("_c")) & (left < F.col("_upto")))
+    by = found.groupBy(*(F.col(f"_k_{k}").alias(k) for k in keys)).agg(F.first("_n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+
+    def value_at(x: Column) -> Column:
+        low, high = (F.element_at("_at", f(x).cast("long")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (x - F.floor(x))
+
+    return by.select(*keys, *(value_at(x).alias(k) for k, x in rank.items()))

@@ -69,6 +69,26 @@ def instruments(spark: SparkSession, inputs: dict[str, str]) -> DataFrame:
     return out
 
 
+def pull(spark: SparkSession, inputs: dict[str, str], path: str, at_once: int = 8) -> DataFrame:
+    """Each input {instrument: path} read and written below `path` on its own, a few at once; a report of (inst, rows, error).
+
+    A missing or corrupt input, or one without a column that is needed, is a row with its error, and the others go on."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    needed = ["received_time", "event_id", *LEVEL1]
+
+    def one(inst: str) -> tuple[str, int | None, str | None]:
+        try:
+            own = required(spark.read.parquet(inputs[inst]), needed).select(*needed)
+            write_level1(own.withColumn("inst", F.lit(inst)), f"{path}/{inst}")
+            return inst, spark.read.parquet(f"{path}/{inst}").count(), None
+        except Exception as e:  # whatever an input's reader raises is its result
+            return inst, None, f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return spark.createDataFrame(list(pool.map(one, inputs)), "inst string, rows bigint, error string")
+
+
 def read_jsu(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=JSU_SCHEMA)
 

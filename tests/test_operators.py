@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quantide.functions import scalars as X
-from quantide.operators import bars, features, linear, pricing, rolling as R, seasonality
+from quantide.operators import bars, features, linear, pricing, rolling as R, scoring, seasonality
 from quantide.sources import io
 from quantide.streaming import live
 
@@ -277,3 +277,62 @@ def test_seasonal_factor_comes_out_first(spark):
     assert np.allclose(got.s_seas_factor, factor) and np.allclose(got.s_rv, rv / factor) and np.allclose(got.s_bpv[2:], rv[2:] / 4 / factor[2:]) and got.s_bpv[:2].isna().all()
     ahead, season = np.array([(rv / factor)[t + 1 : t + 61].sum() for t in range(n - 60)]), np.array([factor[t + 1 : t + 61].sum() for t in range(n - 60)])
     assert np.allclose(got.s_fwd_log_rv_60[: n - 60], np.log(ahead + 1e-12), atol=1e-9) and np.allclose(got.s_fwd_seas_60[: n - 60], season) and got.s_fwd_rv_60[n - 60 :].isna().all()
+
+
+@pytest.mark.parametrize("most", [1, 40, 100_000])
+def test_exact_percentiles(spark, most):
+    """Heavy ties, far outliers, a group of one value, null keys and missing values, against NumPy."""
+    rng = np.random.default_rng(3)
+    groups = {"a": np.concatenate([rng.normal(size=900), [1e9, -1e9], np.full(300, 0.25)]), "b": np.full(500, 7.0), "c": np.array([3.5]), None: np.exp(rng.normal(size=400) * 9)}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("a", None), ("b", float("nan")), ("gone", None)]
+    df = spark.createDataFrame(rows, "g string, y double").repartition(5)
+    shares = {"q0": 0.0, "q1": 0.001, "q2": 0.25, "q3": 0.5, "q4": 0.987, "q5": 1.0}
+    out = {r.g: r for r in scoring.percentiles(df, ["g"], "y", shares, bins=8, most=most).collect()}
+    assert out.keys() == groups.keys()
+    for g, x in groups.items():
+        assert np.allclose([out[g][k] for k in shares], np.quantile(x, list(shares.values())), rtol=1e-12)
+    assert scoring.percentiles(df.filter("y > 1e30"), ["g"], "y", shares).collect() == []
+
+
+@pytest.mark.parametrize("chunk", [8, 1 << 16])
+def test_gathered_rows(spark, chunk):
+    df = spark.range(0, 60).select(F.col("id").alias("rn"), (F.col("id") * 2).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("w")).repartition(3)
+    to = F.when(F.col("rn") % 7 > 0, F.pmod(F.col("rn") * 37, F.lit(80)))
+    rows = R.gathered(df, to, ["v", "w"], chunk).orderBy("rn").collect()
+    assert [r.rn for r in rows] == list(range(60))
+    for r in rows:
+        t = r.rn * 37 % 80 if r.rn % 7 else None
+        assert (r.v_at, r.w_at) == ((t * 2, t if t % 3 else None) if t is not None and t < 60 else (None, None)) and r.v == r.rn * 2
+
+
+def test_pull_goes_on_after_errors(spark, tmp_path):
+    good, bad, other = (str(tmp_path / n) for n in ("good", "bad", "other"))
+    quotes(spark, [("s", k, k, 1.0) for k in range(5)]).drop("inst").write.parquet(good)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"PAR1 not a table")
+    spark.range(3).write.parquet(other)
+    rows = {r.inst: r for r in io.pull(spark, {"s": good, "m": str(tmp_path / "missing"), "b": bad, "o": other}, str(tmp_path / "out")).collect()}
+    assert rows["s"].rows == 5 and rows["s"].error is None
+    assert all(rows[k].rows is None and rows[k].error for k in "mbo") and "missing columns" in rows["o"].error
+
+
+def test_stream_of_filled_seconds(spark, tmp_path):
+    """Several batches with late and silent seconds, against a fill of the finished table."""
+    rows = [("a", 0.2, 1, 10.0), ("a", 0.7, 2, 11.0), ("b", 1.0, 3, 20.0), ("a", 5.5, 4, 12.0), ("a", 3.1, 5, 11.5), ("b", 9.0, 6, 21.0), ("b", 9.0, 7, 22.0), ("a", 5.1, 8, 12.5), ("b", 40.0, 9, 23.0), ("b", 41.0, 10, 24.0), ("b", 90.0, 11, 25.0)]
+    for k in range(0, len(rows), 2):
+        made = quotes(spark, []).schema
+        spark.createDataFrame([(i, T0 + dt.timedelta(seconds=s), e, b, b + 1.0, 1.0, 2.0) for i, s, e, b in rows[k : k + 2]], made).withColumn("received_time", F.col("received_time").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k:02d}"))
+    schema = spark.read.parquet(str(tmp_path / "in")).drop("part").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+    job = live.filled_seconds(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+    job.awaitTermination(120)
+    assert job.exception() is None
+    got = {(r.inst, r.sec): (r.bid, r.n_ticks) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    done = 80  # the watermark: ten seconds before the last quote
+    want = {}
+    for i in "ab":
+        own = sorted((s, e, b) for j, s, e, b in rows if j == i)
+        for second in range(int(own[0][0]), done):
+            before = [r for r in own if r[0] < second + 1]
+            want[i, T0 + dt.timedelta(seconds=second)] = (before[-1][2], sum(second <= r[0] for r in before))
+    assert got == want
