@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import calendar, learned, models, relational, storage, windows
+from . import calendar, details, learned, models, relational, storage, windows
 
-_MODULES = (relational, windows, calendar, models, learned, storage)
+_MODULES = (relational, windows, calendar, models, learned, details, storage)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

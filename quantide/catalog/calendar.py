@@ -204,7 +204,7 @@ def jsu(spark, sf_dir):
 
 _PARAMS = "params(t, a, b, l, s) AS (VALUES " + ", ".join(f"({float(t)}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for t, a, b, c, d in pricing.JSU) + ")"
 _JX = "(a + b * asinh((ln(s_micro / s_mid) - l) / s))"
-for _n in ("F13_jsu_probability", "J11_nearest_parameters", "F15_degenerate_rows", "F17_parameters_at"):
+for _n in ("F13_jsu_probability", "J11_nearest_parameters"):
     QUERIES[_n] = jsu
     ORACLES[_n] = f"WITH {S.PRICES}, {_PARAMS}, m AS (SELECT rn, s_mid, s_micro, t, a, b, l, s, row_number() OVER (PARTITION BY rn ORDER BY abs(t - s_bid_size * 10000), t) AS k FROM prices, params WHERE s >= 0.0001) SELECT rn, t AS param_tte, round(1 - ({_cdf(_JX)}), 8) AS p FROM m WHERE k = 1"
 

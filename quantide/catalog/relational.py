@@ -111,12 +111,6 @@ _V = "CAST(rn % 900 + 1 AS DOUBLE)"
 add("P24_horizon_scaling", lambda s, d: series.base_table(s, d).select("rn", (F.col("s_rv") * (F.pmod("rn", F.lit(900)) + 1) / 900).alias("v")), S.query({"v": "s_rv * (rn % 900 + 1) / 900"}))
 
 
-def _smear(s, d):
-    y = F.ln(F.col("s_rv") + X.EPS)
-    return series.base_table(s, d).select("rn", F.exp(y).alias("none"), F.exp(y + 0.25 / 2).alias("lognormal"), (F.exp(y) * 1.1).alias("factor"))
-
-
-add("P25_smearing", _smear, S.query({"none": "exp(ln(s_rv + 1e-12))", "lognormal": "exp(ln(s_rv + 1e-12) + 0.125)", "factor": "exp(ln(s_rv + 1e-12)) * 1.1"}))
 add("P26_target_clip", lambda s, d: series.base_table(s, d).select("rn", X.clip((F.ln(F.col("s_rv") + X.EPS) + 5) / 4, -2, 2).alias("v")), S.query({"v": "CASE WHEN s_rv IS NOT NULL THEN least(greatest((ln(s_rv + 1e-12) + 5) / 4, -2), 2) END"}))
 add("P27_group_slice", lambda s, d: series.price_table(s, d).filter(F.minute("sec") % 15 == 3).select("rn", "s_mid"), f"WITH {S.PRICES} SELECT rn, {_r(s_mid='s_mid')} FROM prices WHERE minute(sec) % 15 = 3")
 add("P28_named_projection", lambda s, d: series.base_table(s, d).select("sec", *(f"s_{k}" for k in ("rv", "rsv_pos", "rsv_neg", "bpv", "mid"))), S.query({f"s_{k}": f"s_{k}" for k in ("rv", "rsv_pos", "rsv_neg", "bpv", "mid")}, keys="sec"))
@@ -153,7 +147,7 @@ def _dense(s, d):
     return seasonality.minute_means(series.base_table(s, d))
 
 
-add("J04_dense_domain_join", _dense, f"WITH {S.BASE} SELECT m::INT AS mow, round(mean, 8) AS mean FROM range(10080) r(m) LEFT JOIN (SELECT (isodow(sec) - 1) * 1440 + hour(sec) * 60 + minute(sec) AS mow, avg(s_rv) AS mean FROM base GROUP BY 1) x ON m = x.mow", "A07_mean_by_minute_of_week")
+add("J04_dense_domain_join", _dense, f"WITH {S.BASE} SELECT m::INT AS mow, round(mean, 8) AS mean FROM range(10080) r(m) LEFT JOIN (SELECT (isodow(sec) - 1) * 1440 + hour(sec) * 60 + minute(sec) AS mow, avg(s_rv) AS mean FROM base GROUP BY 1) x ON m = x.mow")
 add("J05_period_join", lambda s, d: series.price_table(s, d).withColumn("period_start", bars.truncated("sec", 900)).join(per(s, d), "period_start", "left").select("rn", "strike", "end_price"), _PER + f" SELECT rn, {_r(strike='strike', end_price='end_price')} FROM prices LEFT JOIN per ON time_bucket(INTERVAL 15 MINUTE, sec) = period_start")
 add("J06_semi_join", lambda s, d: series.price_table(s, d).withColumn("period_start", bars.truncated("sec", 900)).join(per(s, d).filter("n >= 4"), "period_start", "left_semi").select("rn"), _PER + " SELECT rn FROM prices WHERE time_bucket(INTERVAL 15 MINUTE, sec) IN (SELECT period_start FROM per WHERE n >= 4)")
 add("J07_lookup_join", lambda s, d: series.price_table(s, d).withColumn("period_start", bars.truncated("sec", 900)).join(per(s, d).filter("n >= 4"), "period_start").select("rn", "strike", "end_price"), _PER + f" SELECT rn, {_r(strike='strike', end_price='end_price')} FROM prices JOIN per ON time_bucket(INTERVAL 15 MINUTE, sec) = period_start WHERE per.n >= 4")

@@ -110,8 +110,8 @@ def w16(spark, sf_dir):
     return S.rounded(bars.filled(df, ["c_bid"], backward=False).select("sec", "c_bid"))
 
 
-QUERIES["W16_carry_forward"] = QUERIES["W20_running_last_index"] = w16
-ORACLES["W16_carry_forward"] = ORACLES["W20_running_last_index"] = f"WITH {S.BARS} SELECT sec, round(c_bid, 8) AS c_bid FROM forward"
+QUERIES["W16_carry_forward"] = w16
+ORACLES["W16_carry_forward"] = f"WITH {S.BARS} SELECT sec, round(c_bid, 8) AS c_bid FROM forward"
 
 
 def w18(spark, sf_dir):
@@ -120,8 +120,8 @@ def w18(spark, sf_dir):
     return df.select("rn", F.when(F.col("rn") < cut(0.7), "train").when(F.col("rn") < cut(0.85), "val").otherwise("test").alias("split"))
 
 
-QUERIES["W18_position_split"] = QUERIES["O06_split_ranges"] = w18
-ORACLES["W18_position_split"] = ORACLES["O06_split_ranges"] = f"WITH {S.BARS} SELECT rn, CASE WHEN rn < floor(n * 0.7::DOUBLE) THEN 'train' WHEN rn < floor(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM bars"
+QUERIES["W18_position_split"] = w18
+ORACLES["W18_position_split"] = f"WITH {S.BARS} SELECT rn, CASE WHEN rn < floor(n * 0.7::DOUBLE) THEN 'train' WHEN rn < floor(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM bars"
 
 
 def w19(spark, sf_dir, lookback: int = 60, stride: int = 30):

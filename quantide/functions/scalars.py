@@ -149,3 +149,13 @@ def annual_vol(variance: Column, tte_seconds: Column) -> Column:
 def jsu_probability(spot: Column, strike: Column, a: Column, b: Column, loc: Column, scale: Column) -> Column:
     """P(end > strike) where the log return is Johnson SU."""
     return 1 - normal_cdf(a + b * F.asinh((F.ln(strike / spot) - loc) / scale))
+
+
+# --- labels ---------------------------------------------------------------------------------------------------------
+
+
+def horizon_seconds(label: Column) -> Column:
+    """'15m' is 900; what is no whole number of s, m, h or d is null."""
+    unit = F.create_map(*(F.lit(x) for pair in (("s", 1), ("m", 60), ("h", 3600), ("d", 86400)) for x in pair))
+    ok = label.rlike("^[0-9]+[smhd]$")
+    return F.when(ok, F.regexp_extract(label, "^([0-9]+)", 1).cast("long") * F.element_at(unit, F.substring(label, -1, 1)))

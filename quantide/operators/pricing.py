@@ -86,3 +86,21 @@ def interpolated(x, pieces, low: float, high: float):
         out = value if out is None else F.when(x >= _next, out).otherwise(value)  # noqa: F821
         _next = k
     return out
+
+
+STRATEGIES = ("clamp", "intrinsic")
+
+
+def by_parameters(rows: DataFrame, params: DataFrame, strategy: str = "clamp", spot: str = "s_mid", strike: str = "s_micro", tte_ms: str = "tte_ms", to: str = "p") -> DataFrame:
+    """rows with a probability from the parameters of the nearest valid time to expiry, and `below`, whether the row's own time
+    is shorter than all valid ones, where fits are degenerate: such a row is priced by the shortest valid time (clamp), or
+    is worth 1 or 0 by where the spot stands (intrinsic; at the strike 1)."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"not a strategy: {strategy!r}")
+    least = params.filter(F.col("scale") >= LEAST_SCALE).agg(F.min("tte_ms").alias("_least"))
+    near = nearest_parameters(rows, params, tte_ms).crossJoin(F.broadcast(least))  # one row
+    below = F.col(tte_ms) < F.col("_least")
+    p = X.jsu_probability(F.col(spot), F.col(strike), F.col("a"), F.col("b"), F.col("loc"), F.col("scale"))
+    if strategy == "intrinsic":
+        p = F.when(below, (F.col(spot) >= F.col(strike)).cast("double")).otherwise(p)
+    return near.select(*rows.columns, below.alias("below"), p.alias(to))

@@ -49,6 +49,18 @@ def best_and_worst(groups: DataFrame, key: str) -> DataFrame:
     return groups.agg(F.min_by(key, F.struct("brier", key)).alias("best"), F.max_by(key, F.struct("brier", key)).alias("worst"), F.avg("brier").alias("mean"))
 
 
+def histogram(df: DataFrame, keys: list[str], value: str, n: int = 50) -> DataFrame:
+    """(*keys, bin, low, n, density): equal bins between a group's least and largest value, the last one closed; only bins that
+    have rows. The density's integral over a group is 1; a group of one value has one bin of width 1 around it."""
+    own = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    ends = own.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_all"))
+    flat = F.col("_lo") == F.col("_hi")
+    ends = ends.withColumns({"_from": F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")), "_width": F.when(flat, F.lit(1.0 / n)).otherwise((F.col("_hi") - F.col("_lo")) / n)})
+    bin_ = F.least(F.floor((F.col(value) - F.col("_from")) / F.col("_width")), F.lit(n - 1)).cast("int")
+    counted = own.join(ends, keys).groupBy(*keys, "_from", "_width", "_all", bin_.alias("bin")).agg(F.count("*").alias("n"))
+    return counted.select(*keys, "bin", (F.col("_from") + F.col("bin") * F.col("_width")).alias("low"), "n", (F.col("n") / (F.col("_all") * F.col("_width"))).alias("density"))
+
+
 #: Rows of a range table up to which it is broadcast.
 SMALL = 100_000
 

@@ -97,6 +97,20 @@ def read_fourier(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema=FOURIER_SCHEMA, multiLine=True)
 
 
+def found_mid(df: DataFrame, to: str = "mid_price") -> DataFrame:
+    """df with the mid of whatever columns are called best_bid_price and best_ask_price, or else of the first ones whose names hold
+    "bid" and "price", "ask" and "price", in any case; a table without such columns is an error."""
+    names = {c.lower(): c for c in reversed(df.columns)}
+
+    def column(side: str) -> str | None:
+        return names.get(f"best_{side}_price") or next((c for c in df.columns if side in c.lower() and "price" in c.lower()), None)
+
+    bid, ask = column("bid"), column("ask")
+    if bid is None or ask is None:
+        raise ValueError(f"no bid and ask price among: {', '.join(df.columns)}")
+    return df.withColumn(to, (df[f"`{bid}`"] + df[f"`{ask}`"]) / 2)
+
+
 def required(df: DataFrame, columns: list[str]) -> DataFrame:
     """df, or an error that names the columns that it lacks."""
     missing = [c for c in columns if c not in df.columns]

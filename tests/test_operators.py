@@ -336,3 +336,30 @@ def test_stream_of_filled_seconds(spark, tmp_path):
             before = [r for r in own if r[0] < second + 1]
             want[i, T0 + dt.timedelta(seconds=second)] = (before[-1][2], sum(second <= r[0] for r in before))
     assert got == want
+
+
+def test_columns_are_discovered(spark):
+    df = spark.createDataFrame([(1.0, 3.0, 9.0)], "BEST_BID_PRICE double, best_ask_price double, ask_price_2 double")
+    assert io.found_mid(df).first().mid_price == 2.0
+    assert io.found_mid(df.toDF("x", "my ask Price", "Price of bid")).first().mid_price == 6.0
+    with pytest.raises(ValueError):
+        io.found_mid(df.select("BEST_BID_PRICE"))
+
+
+def test_strategies_below_the_valid_times(spark):
+    rows = spark.createDataFrame([(0, 10.0, 10.0, 500.0), (1, 9.0, 10.0, 500.0), (2, 9.0, 10.0, 60_000.0)], "rn long, s_mid double, s_micro double, tte_ms double")
+    clamp, intrinsic = ({r.rn: r for r in pricing.by_parameters(rows, pricing.jsu_table(spark), s).collect()} for s in ("clamp", "intrinsic"))
+    assert [clamp[k].below for k in range(3)] == [True, True, False]
+    assert intrinsic[0].p == 1.0 and intrinsic[1].p == 0.0 and intrinsic[2].p == clamp[2].p and 0 < clamp[0].p < 1
+    with pytest.raises(ValueError):
+        pricing.by_parameters(rows, pricing.jsu_table(spark), "guess")
+
+
+def test_histograms(spark):
+    x = np.random.default_rng(1).normal(size=500)
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 2.0)] * 3 + [("b", None)], "g string, v double")
+    rows = scoring.histogram(df, ["g"], "v", 20).collect()
+    n, edges = np.histogram(x, 20)
+    assert {r.bin: r.n for r in rows if r.g == "a"} == {k: c for k, c in enumerate(n.tolist()) if c}
+    assert all(np.isclose(r.low, edges[r.bin]) for r in rows if r.g == "a") and np.isclose(sum(r.density for r in rows if r.g == "a") * (edges[1] - edges[0]), 1)
+    assert [(r.n, r.bin) for r in rows if r.g == "b"] == [(3, 10 * 2 // 2)]
