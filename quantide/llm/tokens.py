@@ -20,13 +20,13 @@ import pyarrow.compute as pc
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Units, and pieces, kept by a Python worker; about 170 MB.
-CACHE_UNITS = 700_000
+#: Units, and pieces, kept by a Python worker; about 75 MB each.
+CACHE_UNITS = 300_000
 #: Longer units aren't kept.
 CACHE_CHARS = 64
 #: Texts that are encoded together share the look-up of their units; together they are this large at most, or one text.
 ROWS_AT_ONCE = 4096
-BYTES_AT_ONCE = 8 << 20
+BYTES_AT_ONCE = 4 << 20
 #: Units whose ids are put together at a time.
 UNITS_AT_ONCE = 1 << 18
 
