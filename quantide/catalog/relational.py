@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import bars, features, rolling as R, scoring
+from ..operators import bars, features, pricing, rolling as R, scoring, seasonality
 from ..plans import series
 from . import twin as S
 
@@ -75,15 +75,19 @@ add("P11_semivariance", lambda s, d: series.base_table(s, d).select("rn", "s_rsv
 _PER = f"WITH {S.PRICES}, per AS (SELECT time_bucket(INTERVAL 15 MINUTE, sec) AS period_start, arg_min(s_mid, sec) AS strike, arg_max(s_mid, sec) AS end_price, count(s_mid) AS n FROM prices GROUP BY 1)"
 
 
-def per(s, d):
-    from ..operators import pricing
+def with_periods(s, d, least: int = 0):
+    """The prices with their period's start, and the periods of at least so many rows, both of one table."""
+    df = series.price_table(s, d)
+    return df.withColumn("period_start", bars.truncated("sec", 900)), pricing.periods(df).filter(F.col("n") >= least)
+
 
+def per(s, d):
     return pricing.periods(series.price_table(s, d))
 
 
 add("P13_periods_tolerant", lambda s, d: per(s, d).filter("n >= 3").select("period_start", "n"), _PER + " SELECT period_start, n FROM per WHERE n >= 3")
 add("P14_periods_strict", lambda s, d: per(s, d).filter("n = 4").select("period_start", "n"), _PER + " SELECT period_start, n FROM per WHERE n = 4")
-add("P15_evaluation_rows", lambda s, d: series.price_table(s, d).withColumn("period_start", bars.truncated("sec", 900)).join(per(s, d).filter("n >= 3").select("period_start"), "period_start", "left_semi").filter("rn >= 60 and rn + 60 < n and second(sec) < 30").select("rn"),
+add("P15_evaluation_rows", lambda s, d: (lambda a, b: a.join(b.select("period_start"), "period_start", "left_semi"))(*with_periods(s, d, 3)).filter("rn >= 60 and rn + 60 < n and second(sec) < 30").select("rn"),
     _PER + " SELECT rn FROM prices WHERE rn >= 60 AND rn + 60 < n AND second(sec) < 30 AND time_bucket(INTERVAL 15 MINUTE, sec) IN (SELECT period_start FROM per WHERE n >= 3)")
 add("P16_drop_missing", lambda s, d: series.base_table(s, d).select("rn", "s_bpv", "s_rv").na.drop(), S.query({"s_bpv": "s_bpv", "s_rv": "s_rv"}, tail="WHERE s_bpv IS NOT NULL AND s_rv IS NOT NULL"))
 add("P17_label", lambda s, d: per(s, d).select("period_start", (F.col("end_price") > F.col("strike")).cast("double").alias("label")), _PER + " SELECT period_start, CASE WHEN end_price > strike THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM per")
@@ -142,20 +146,19 @@ add("J03_counts_on_bars", lambda s, d: bars.last_per_second(q(s, d)).select("ins
 
 
 def _dense(s, d):
-    from ..operators import seasonality
-
     return seasonality.minute_means(series.base_table(s, d))
 
 
 add("J04_dense_domain_join", _dense, f"WITH {S.BASE} SELECT m::INT AS mow, round(mean, 8) AS mean FROM range(10080) r(m) LEFT JOIN (SELECT (isodow(sec) - 1) * 1440 + hour(sec) * 60 + minute(sec) AS mow, avg(s_rv) AS mean FROM base GROUP BY 1) x ON m = x.mow")
-add("J05_period_join", lambda s, d: series.price_table(s, d).withColumn("period_start", bars.truncated("sec", 900)).join(per(s, d), "period_start", "left").select("rn", "strike", "end_price"), _PER + f" SELECT rn, {_r(strike='strike', end_price='end_price')} FROM prices LEFT JOIN per ON time_bucket(INTERVAL 15 MINUTE, sec) = period_start")
-add("J06_semi_join", lambda s, d: series.price_table(s, d).withColumn("period_start", bars.truncated("sec", 900)).join(per(s, d).filter("n >= 4"), "period_start", "left_semi").select("rn"), _PER + " SELECT rn FROM prices WHERE time_bucket(INTERVAL 15 MINUTE, sec) IN (SELECT period_start FROM per WHERE n >= 4)")
-add("J07_lookup_join", lambda s, d: series.price_table(s, d).withColumn("period_start", bars.truncated("sec", 900)).join(per(s, d).filter("n >= 4"), "period_start").select("rn", "strike", "end_price"), _PER + f" SELECT rn, {_r(strike='strike', end_price='end_price')} FROM prices JOIN per ON time_bucket(INTERVAL 15 MINUTE, sec) = period_start WHERE per.n >= 4")
+add("J05_period_join", lambda s, d: (lambda a, b: a.join(b, "period_start", "left"))(*with_periods(s, d)).select("rn", "strike", "end_price"), _PER + f" SELECT rn, {_r(strike='strike', end_price='end_price')} FROM prices LEFT JOIN per ON time_bucket(INTERVAL 15 MINUTE, sec) = period_start")
+add("J06_semi_join", lambda s, d: (lambda a, b: a.join(b, "period_start", "left_semi"))(*with_periods(s, d, 4)).select("rn"), _PER + " SELECT rn FROM prices WHERE time_bucket(INTERVAL 15 MINUTE, sec) IN (SELECT period_start FROM per WHERE n >= 4)")
+add("J07_lookup_join", lambda s, d: (lambda a, b: a.join(b, "period_start"))(*with_periods(s, d, 4)).select("rn", "strike", "end_price"), _PER + f" SELECT rn, {_r(strike='strike', end_price='end_price')} FROM prices JOIN per ON time_bucket(INTERVAL 15 MINUTE, sec) = period_start WHERE per.n >= 4")
 
 
 def _factor(s, d):
-    df = series.base_table(s, d).withColumn("mow", X.minute_of_week(F.col("sec")))
-    return df.join(_dense(s, d), "mow").select("rn", (F.col("s_rv") / F.greatest("mean", F.lit(X.EPS))).alias("v"))
+    base = series.base_table(s, d)
+    df = base.withColumn("mow", X.minute_of_week(F.col("sec")))
+    return df.join(seasonality.minute_means(base), "mow").select("rn", (F.col("s_rv") / F.greatest("mean", F.lit(X.EPS))).alias("v"))
 
 
 add("J08_curve_join", _factor, f"WITH {S.BASE}, m AS (SELECT (isodow(sec) - 1) * 1440 + hour(sec) * 60 + minute(sec) AS mow, avg(s_rv) AS mean FROM base GROUP BY 1) SELECT rn, round(s_rv / greatest(mean, 1e-12), 8) AS v FROM base JOIN m ON mow = (isodow(sec) - 1) * 1440 + hour(sec) * 60 + minute(sec)")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import io
+
 FIELDS = ("bid", "bid_size", "ask", "ask_size")
 GAP_SECONDS = 1800
 
@@ -158,8 +160,9 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right
 
 
 def resampled(q: DataFrame, step: int = 1, gap: int = GAP_SECONDS) -> DataFrame:
-    """Segments of each instrument on a grid, each grid row with the last quote and the mid."""
-    seg = segmented(q, gap)
+    """Segments of each instrument on a grid, each grid row with the last quote and the mid. The segmented quotes are written once,
+    for the grid and the search both start from them."""
+    seg = io.stored(segmented(q, gap))
     found = asof(grid(seg, step), seg, ["inst", "seg_id"], "grid_time", "received_time", "event_id", list(FIELDS))
     return found.withColumn("mid_price", (F.col("bid") + F.col("ask")) / 2)
 

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import io
+
 CHUNK = 1 << 16
 EXACT = "decimal(28,18)"
 DIRECT = 64
@@ -254,7 +256,7 @@ def ewma(df: DataFrame, wanted: dict[str, tuple[str, float]], chunk: int = CHUNK
 
         return fold
 
-    own = cut.select("rn", "_chunk", *{c for c, _ in wanted.values()}).groupBy("_chunk").applyInPandas(run, schema)
+    own = io.stored(cut.select("rn", "_chunk", *{c for c, _ in wanted.values()}).groupBy("_chunk").applyInPandas(run, schema))
     ends = own.groupBy("_chunk").agg(*(c for k in names for c in (F.max_by(k, "rn").alias(f"_s_{k}"), F.pow(F.lit(1 - alpha[k]), F.count("*")).alias(f"_d_{k}"))))
     lower = ends.withColumn("_group", F.floor(F.col("_chunk") / group)).groupBy("_group").applyInPandas(composed("_chunk"), f"_chunk bigint, {states}")
     tops = lower.filter("_chunk < 0").withColumn("_chunk", -1 - F.col("_chunk")).withColumn("_group", F.lit(0)).groupBy("_group").applyInPandas(composed("_chunk"), f"_chunk bigint, {states}")
