@@ -116,6 +116,7 @@ add("J10_model_lookup", _looked_up, _SLOPES + " SELECT f.rn, f.inst, ((15 - minu
 # Boosted trees -------------------------------------------------------------------------------------------------------------
 
 REGRESSORS = [n for i in INSTS for n in _names(i)]
+TARGET = "s_y60"
 TREES = boosting.Settings(rounds=12, leaves=8, depth=4, rate=0.2, patience=3, bins=32)
 #: Trainings whose models are stored side by side.
 VERSIONS = (boosting.Settings(rounds=2, leaves=4, rate=0.1, bins=16), TREES)
@@ -134,15 +135,15 @@ def parted(spark, sf_dir):
 
 def _boosted(spark, sf_dir):
     df = parted(spark, sf_dir)
-    return df, boosting.fit(df, REGRESSORS, "s_y900", "part", TREES)
+    return df, boosting.fit(df, REGRESSORS, TARGET, "part", TREES)
 
 
 def _tree_metric(spark, sf_dir):
     df, model = _boosted(spark, sf_dir)
-    y, f = F.col("s_y900"), F.col("f")
+    y, f = F.col(TARGET), F.col("f")
     of = lambda k: F.when(F.col("part") == k, y)
     scored = df.withColumn("f", model.predict())
-    return scored.agg(*(scoring.r2(of(k), f).alias(f"r2_{n}") for k, n in enumerate(("train", "val", "test"))), F.lit(model.best).alias("best_round"), F.lit(len(model.trees)).alias("rounds"), F.count("s_y900").alias("n"))
+    return scored.agg(*(scoring.r2(of(k), f).alias(f"r2_{n}") for k, n in enumerate(("train", "val", "test"))), F.lit(model.best).alias("best_round"), F.lit(len(model.trees)).alias("rounds"), F.count(TARGET).alias("n"))
 
 
 add("M09_boosted_trees", _tree_metric)
@@ -151,17 +152,17 @@ add("M09_boosted_trees", _tree_metric)
 def _histogram(spark, sf_dir):
     """The root's histogram of the first tree: rows and gradients by feature and bin."""
     df = parted(spark, sf_dir)
-    row = train(df).agg(F.avg("s_y900").alias("m"), F.max("s_y900").alias("hi"), F.min("s_y900").alias("lo")).first()
+    row = train(df).agg(F.avg(TARGET).alias("m"), F.max(TARGET).alias("hi"), F.min(TARGET).alias("lo")).first()
     if row["m"] is None:
         return spark.createDataFrame([], "feature int, bin int, n bigint, g double")
     unit = (max(row["hi"] - row["m"], row["m"] - row["lo"]) or 1.0) / boosting.SCALE
-    rows = boosting.coded_rows(df, REGRESSORS, "s_y900", "part", [EDGES] * len(REGRESSORS), row["m"])
+    rows = boosting.coded_rows(df, REGRESSORS, TARGET, "part", [EDGES] * len(REGRESSORS), row["m"])
     sums = boosting.histogram_sums(rows, len(REGRESSORS), [], boosting.Tree(), [0], list(range(len(REGRESSORS))), unit, False)
     return sums.select("feature", "bin", "n", F.round(F.col("g") * unit, 4).alias("g"))
 
 
 _FEATURES_SQL = ", ".join(f"ln({S.full(w, f'greatest({S.rs(f"{i}_rv", w)}, 0)')} + 1e-12) AS {i}_f{w}" for i in INSTS for w in WINDOWS)
-add("M09_tree_histogram", _histogram, f"""WITH {S.BASE}, g AS (SELECT rn, n, {_FEATURES_SQL}, ln(CASE WHEN count(s_rv) OVER w = 900 THEN greatest(sum(s_rv) OVER w, 0) END + 1e-12) AS y FROM base WINDOW w AS (ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 900 FOLLOWING)),
+add("M09_tree_histogram", _histogram, f"""WITH {S.BASE}, g AS (SELECT rn, n, {_FEATURES_SQL}, ln(CASE WHEN count(s_rv) OVER w = 60 THEN greatest(sum(s_rv) OVER w, 0) END + 1e-12) AS y FROM base WINDOW w AS (ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING)),
 t AS (SELECT *, y - avg(y) OVER () AS left_ FROM g WHERE y IS NOT NULL AND rn < floor(n * 0.7::DOUBLE)),
 x AS ({" UNION ALL ".join(f"SELECT {k} AS feature, {c} AS v, left_ FROM t" for k, c in enumerate(REGRESSORS))})
 SELECT feature::INT AS feature, CASE WHEN v IS NULL THEN {len(EDGES)} ELSE len(list_filter({EDGES}::DOUBLE[], lambda e: e < v)) END::INT AS bin, count(*) AS n, round(round(sum(left_), 4), 8) AS g FROM x GROUP BY 1, 2""")
@@ -180,7 +181,7 @@ def _from_file(spark, sf_dir):
     df = parted(spark, sf_dir)
     path, watched = io.scratch(spark), lambda m: m.history[m.best].get(1, 0.0)
     for k, s in enumerate(VERSIONS):
-        own = boosting.fit(df, REGRESSORS, "s_y900", "part", s)
+        own = boosting.fit(df, REGRESSORS, TARGET, "part", s)
         files.append(spark, path, "trees", [(k, watched(own), own.to_json())])
     version, _, text = files.best(spark, path, "trees")
     return df.select("rn", F.lit(version).alias("version"), boosting.Model.from_json(text).predict().alias("forecast"))

@@ -266,9 +266,9 @@ def test_recurrent_query(spark, sf):
 def test_tree_queries(spark, sf, designed):
     """The registered trees are those of NumPy; their file gives the same forecasts, and gains are theirs."""
     df = learned.parted(spark, sf)
-    model = boosting.fit(df, learned.REGRESSORS, "s_y900", "part", learned.TREES)
+    model = boosting.fit(df, learned.REGRESSORS, learned.TARGET, "part", learned.TREES)
     rows = df.toPandas().sort_values("rn")
-    rows = rows[rows.s_y900.notna()]
+    rows = rows[rows[learned.TARGET].notna()]
     if not len(rows):
         assert model.trees == []
         return
@@ -276,7 +276,7 @@ def test_tree_queries(spark, sf, designed):
     assert row.best_round == model.best and row.n == len(rows)
     stored = catalog.queries()["S17_tree_file"](spark, sf).collect()
     own = {r.rn: r.forecast for r in stored}
-    every = [boosting.fit(df, learned.REGRESSORS, "s_y900", "part", s) for s in learned.VERSIONS]
+    every = [boosting.fit(df, learned.REGRESSORS, learned.TARGET, "part", s) for s in learned.VERSIONS]
     errors = [m.history[m.best].get(1, 0.0) for m in every]
     assert {r.version for r in stored} == {int(np.argmin(errors))}
     model = every[int(np.argmin(errors))]
