@@ -20,13 +20,13 @@ import pyarrow.compute as pc
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Units, and pieces, kept by a Python worker; about 75 MB each.
-CACHE_UNITS = 300_000
+#: Units, and pieces, of a generation; a Python worker keeps two of each, about 200 bytes an entry.
+CACHE_UNITS = 200_000
 #: Longer units aren't kept.
 CACHE_CHARS = 64
 #: Texts that are encoded together share the look-up of their units; together they are this large at most, or one text.
 ROWS_AT_ONCE = 4096
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 6 << 20
 #: Units whose ids are put together at a time.
 UNITS_AT_ONCE = 1 << 18
 
@@ -51,18 +51,27 @@ def _byte_letters() -> list[str]:
 
 
 class _Held(dict):
-    """Ids by unit (or piece); make(key) fills in what is missing and says whether to keep it."""
+    """Ids by unit (or piece); make(key) fills in what is missing. Those used since the last turn are kept over the next one."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        found = self.make(key)
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
         if len(key) <= CACHE_CHARS:
             self[key] = found
         return found
 
+    def turn(self) -> None:
+        """The entries become the old ones where there are too many."""
+        if len(self) > CACHE_UNITS:
+            self.old = dict(self)
+            self.clear()
+
 
 class Encoder:
     """encode(texts) gives for each text its ids as little-endian unsigned 32-bit integers."""
@@ -117,8 +126,7 @@ class Encoder:
         Arrow splits the texts and numbers their distinct units; only those are looked up one by one.
         """
         for held in (self.units, self.pieces):
-            if len(held) > CACHE_UNITS:
-                held.clear()
+            held.turn()
         heads, rests = [], []
         for k, t in enumerate(texts):
             before = end if k else b""  # the end of the text before
