@@ -17,6 +17,10 @@ of the training pairs occur again, at most MOST_MEMORY.
 
 What is broadcast is bounded by parameters: weights, ending clusters, and the HEAD most frequent words with counts.
 
+A word of over 64 bytes has its class by its form, never one of its own. Where more than EQUAL_ROWS equal rows reach one
+task, those beyond go on to other chains, so that no chain gets them all; how many each gets then depends on how rows are
+dealt over tasks, and so, a little, do all scores.
+
 Defined results: a null or empty text has the end token alone; a null id is not held out; repeated rows are learned from
 and come out as often as they come; without training texts every class is equally likely; other columns are not read.
 """
