@@ -42,6 +42,8 @@ def priced(rows: DataFrame, spot: str = "s_mid", strike: str = "strike", varianc
 #: Johnson SU parameters of a few times to expiry, in milliseconds; invented, one below the scale threshold.
 JSU = ((1_000, 0.02, 1.2, 0.0, 5e-5), (16_000, 0.02, 1.3, 0.0, 4e-3), (60_000, 0.01, 1.4, 0.0, 8e-3), (300_000, 0.01, 1.5, 0.0, 2e-2), (900_000, 0.0, 1.6, 0.0, 3e-2))
 LEAST_SCALE = 1e-4
+#: Times to expiry that one row of parameters may hold, since it goes along with every row.
+MOST_PARAMETERS = 10_000
 FOURIER = [0.0, 0.01, -0.005, 0.002, 0.001]
 
 
@@ -51,7 +53,9 @@ def jsu_table(spark) -> DataFrame:
 
 def nearest_parameters(rows: DataFrame, params: DataFrame, tte_ms: str = "tte_ms") -> DataFrame:
     """Each row with the parameters of the nearest time to expiry, the lower of two as near; degenerate ones left out.
-    The parameters are one row of sorted arrays (a table of at most some thousand), searched in the expression."""
+    The parameters are one row of sorted arrays, searched in the expression; a table of over MOST_PARAMETERS is an error."""
+    if params.limit(MOST_PARAMETERS + 1).count() > MOST_PARAMETERS:
+        raise ValueError(f"more than {MOST_PARAMETERS} times to expiry")
     sorted_ = F.sort_array(F.collect_list(F.struct(F.col("tte_ms").alias("t"), "a", "b", "loc", "scale")))
     one = params.filter(F.col("scale") >= LEAST_SCALE).agg(sorted_.alias("_params"))
     near = F.array_min(F.transform("_params", lambda x: F.struct(F.abs(x["t"] - F.col(tte_ms)).alias("d"), x["t"].alias("t"), x["a"].alias("a"), x["b"].alias("b"), x["loc"].alias("loc"), x["scale"].alias("scale"))))
