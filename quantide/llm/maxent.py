@@ -513,7 +513,7 @@ def _asked(shards: int, make: Callable[[], Classes]):
             cut = np.searchsorted(each >> np.uint64(37), np.arange(shards + 1, dtype=np.uint64))
             order, at = u.by_shard(shards)
             learned = np.bincount(u.ids[u.learned], minlength=len(u.hashes))[u.rare][order].astype(np.uint32)
-            words_ = u.words.take(pa.array(order))
+            words_ = u.words.take(pa.array(u.rare[order]))
             low, group = each.astype(np.uint32), (each >> np.uint64(32)).astype(np.int64) & (GROUPS - 1)
             rows = []
             for s in range(shards):

@@ -166,6 +166,19 @@ def test_language_model_memory(spark, docs, monkeypatch):
     assert not copies or per(copies) > per(new) + 0.5
 
 
+@pytest.mark.parametrize("head", [8, maxent.HEAD])
+def test_language_model_rare_words_in_units(spark, monkeypatch, head):
+    """Counts of words beyond the head, or too long for it, over several units and shards whose dictionaries differ."""
+    monkeypatch.setattr(maxent, "HEAD", head)
+    monkeypatch.setattr(maxent, "UNIT_TOKENS", 300)
+    monkeypatch.setattr(maxent, "SHARD_TOKENS", 500)
+    rng = np.random.default_rng(7)
+    vocabulary = ["of", "it", *(f"w{k}" * (1 + k % 3 * 20) for k in range(300))]
+    texts = [(k, " ".join(vocabulary[j] for j in np.minimum(rng.zipf(1.3, 40) - 1, len(vocabulary) - 1))) for k in range(150)]
+    rows = maxent.score(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    check_scores(rows, texts)
+
+
 def test_language_model_edges(edges, empty):
     check_scores(maxent.score(edges).collect(), EDGES)
     assert maxent.score(empty).count() == 0
