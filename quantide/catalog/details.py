@@ -42,7 +42,17 @@ def _strategies(spark, sf_dir):
 
 
 add("F15_degenerate_rows", _strategies, _NEAR + f" SELECT rn, tte_ms < {LEAST} AS below, round({_P}, 8) AS p_clamp, round(CASE WHEN tte_ms < {LEAST} THEN CASE WHEN s_mid >= s_micro THEN 1.0 ELSE 0.0 END ELSE {_P} END, 8) AS p_intrinsic FROM m WHERE k = 1")
-add("F17_parameters_at", lambda s, d: pricing.nearest_parameters(timed(s, d), pricing.jsu_table(s)).select("rn", "param_tte", "a", "b", "loc", "scale"), _NEAR + " SELECT rn, t AS param_tte, round(a, 8) AS a, round(b, 8) AS b, round(l, 8) AS loc, round(s, 8) AS scale FROM m WHERE k = 1")
+
+
+def _inspected(spark, sf_dir):
+    """The parameters that each row is priced with, whether its own time has valid ones, what is done if not, and the price."""
+    near = pricing.nearest_parameters(timed(spark, sf_dir), pricing.jsu_table(spark))
+    p = X.jsu_probability(F.col("s_mid"), F.col("s_micro"), F.col("a"), F.col("b"), F.col("loc"), F.col("scale"))
+    valid = F.col("tte_ms") >= LEAST
+    return near.select("rn", "tte_ms", "param_tte", "a", "b", "loc", "scale", valid.alias("valid"), F.when(valid, "direct").otherwise("clamp").alias("strategy"), p.alias("p"))
+
+
+add("F17_parameters_at", _inspected, _NEAR + f" SELECT rn, tte_ms, t AS param_tte, round(a, 8) AS a, round(b, 8) AS b, round(l, 8) AS loc, round(s, 8) AS scale, tte_ms >= {LEAST} AS valid, CASE WHEN tte_ms >= {LEAST} THEN 'direct' ELSE 'clamp' END AS strategy, round({_P}, 8) AS p FROM m WHERE k = 1")
 
 
 def _one_shot(spark, sf_dir):

@@ -21,6 +21,15 @@ def test_twin(spark, sf, name):
     assert_same(catalog.queries()[name](spark, sf), catalog.oracles()[name], sf)
 
 
+def test_parameters_and_prices(spark, sf):
+    """Each row with its own time, the parameters used for it, and the price from them."""
+    assert_same(df := catalog.queries()["F17_parameters_at"](spark, sf), catalog.oracles()["F17_parameters_at"], sf)
+    rows = df.toPandas()
+    plain = catalog.queries()["F13_jsu_probability"](spark, sf).toPandas().set_index("rn")
+    assert len(rows) == len(plain) and np.allclose(rows.p, plain.p[rows.rn], equal_nan=True)
+    assert (rows.valid == (rows.tte_ms >= 16_000)).all() and set(rows.strategy[~rows.valid]) == {"clamp"} and set(rows.strategy[rows.valid]) == {"direct"}
+
+
 ROWS_ONLY = "F16_jsu_spline M02_fourier_seasonality"
 
 

@@ -146,6 +146,12 @@ def test_nearest_parameters_prefer_the_lower(spark):
     assert out == {38_000.0: 16_000.0, 500.0: 16_000.0, 1e9: 900_000.0}
 
 
+def test_price_of_a_zero_spot_is_no_number(spark):
+    p = X.jsu_probability(F.col("spot"), F.col("strike"), F.lit(0.02), F.lit(1.3), F.lit(0.0), F.lit(4e-3))
+    rows = spark.createDataFrame([(0.0, 0.0), (0.0, 1.0), (2.0, 2.0)], "spot double, strike double").select("spot", p.alias("p")).collect()
+    assert [math.isnan(r.p) for r in rows] == [True, True, False]
+
+
 def test_spline_meets_its_points(spark):
     x, y = [0.0, 1.0, 3.0, 4.0, 6.0], [1.0, 2.0, 0.0, 5.0, 1.0]
     p = pricing.spline_coefficients(x, y)
