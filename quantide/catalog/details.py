@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import bars, linear, pricing, scoring
+from ..operators import bars, linear, pricing, scoring, seasonality
 from ..plans import series
 from ..sources import io
 from . import twin as S
@@ -95,13 +95,17 @@ def _last_index(spark, sf_dir):
 add("W20_running_last_index", _last_index, f"WITH {S.WIDE}, x AS (SELECT row_number() OVER (ORDER BY sec) - 1 AS rn, c_bid FROM wide) SELECT rn, max(CASE WHEN c_bid IS NOT NULL THEN rn END) OVER (ORDER BY rn) AS last_index FROM x")
 
 
-def _train_curve(spark, sf_dir):
-    """Mean variance by minute of the week on the training rows."""
-    own = series.base_table(spark, sf_dir).filter(F.col("rn") < F.floor(F.col("n") * 0.7))
-    return own.groupBy(X.minute_of_week(F.col("sec")).cast("int").alias("mow")).agg(F.avg("s_rv").alias("mean"), F.count("s_rv").alias("n"))
+def _week_curve(spark, sf_dir):
+    """Mean variance and its rows by minute of the week, on all rows and on the training rows, for each of the 10,080 minutes."""
+    df = series.base_table(spark, sf_dir)
+    train = F.when(F.col("rn") < F.floor(F.col("n") * 0.7), F.col("s_rv"))
+    means = df.groupBy(X.minute_of_week(F.col("sec")).alias("mow")).agg(F.avg("s_rv").alias("mean"), F.count("s_rv").alias("n"), F.avg(train).alias("train_mean"), F.count(train).alias("train_n"))
+    return spark.range(seasonality.WEEK).select(F.col("id").cast("int").alias("mow")).join(means, "mow", "left").fillna(0, ["n", "train_n"])
 
 
-add("A07_mean_by_minute_of_week", _train_curve, f"WITH {S.BASE} SELECT ((isodow(sec) - 1) * 1440 + hour(sec) * 60 + minute(sec))::INT AS mow, round(avg(s_rv), 8) AS mean, count(s_rv) AS n FROM base WHERE rn < floor(n * 0.7::DOUBLE) GROUP BY 1")
+add("A07_mean_by_minute_of_week", _week_curve, f"""WITH {S.BASE}, x AS (
+  SELECT (isodow(sec) - 1) * 1440 + hour(sec) * 60 + minute(sec) AS mow, avg(s_rv) AS mean, count(s_rv) AS n, avg(s_rv) FILTER (rn < floor(n * 0.7::DOUBLE)) AS train_mean, count(s_rv) FILTER (rn < floor(n * 0.7::DOUBLE)) AS train_n FROM base GROUP BY 1)
+SELECT m::INT AS mow, round(mean, 8) AS mean, coalesce(n, 0) AS n, round(train_mean, 8) AS train_mean, coalesce(train_n, 0) AS train_n FROM range(10080) r(m) LEFT JOIN x ON m = x.mow""")
 
 
 def _discovered(spark, sf_dir):

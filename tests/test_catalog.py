@@ -30,6 +30,15 @@ def test_parameters_and_prices(spark, sf):
     assert (rows.valid == (rows.tte_ms >= 16_000)).all() and set(rows.strategy[~rows.valid]) == {"clamp"} and set(rows.strategy[rows.valid]) == {"direct"}
 
 
+def test_means_of_all_minutes_and_rows(spark, sf):
+    """Every minute of the week, on all rows as well as on those of training."""
+    assert_same(df := catalog.queries()["A07_mean_by_minute_of_week"](spark, sf), catalog.oracles()["A07_mean_by_minute_of_week"], sf)
+    rows = df.orderBy("mow").toPandas()
+    plain = catalog.queries()["J04_dense_domain_join"](spark, sf).orderBy("mow").toPandas()
+    assert rows.mow.tolist() == list(range(10_080)) and np.allclose(rows["mean"], plain["mean"], equal_nan=True)
+    assert 0 < rows.train_n.sum() < rows.n.sum() and rows.train_mean.notna().sum() == (rows.train_n > 0).sum()
+
+
 ROWS_ONLY = "F16_jsu_spline M02_fourier_seasonality"
 
 
