@@ -1,6 +1,8 @@
 """Near copies by exact Jaccard similarity: texts whose sets of five-word shingles share THRESHOLD or more of their union.
 
-Candidates: BANDS keys of ROWS min-hashes each; of two sets at the threshold itself all keys differ with a chance of
+Candidates come from SimHash and min-hashes. The fingerprints of `simhash`, by op5's rule, are linked at three differing
+bits, and each of their components is a key of its texts. Texts at the threshold differ in some ten bits, so there are
+BANDS keys of ROWS min-hashes each as well; of two sets at the threshold itself all these differ with a chance of
 (1 - 0.8 ** 6) ** 40, 5e-6, of closer sets with less. Texts of equal sets are one node. Nodes that share a key are
 joined into groups, so that each text moves once, to its group, whatever the number of keys that it shares. Within a
 group all pairs are compared by their sets, from counts of shared shingles in an inverted index, and only links that hold
@@ -95,6 +97,14 @@ def _sketches(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(prints), lists], fields=list(_SKETCH))
 
 
+_MARK = pa.struct([*_SKETCH, ("fingerprint", pa.int64())])
+
+
+def _marks(texts: pa.Array) -> pa.Array:
+    """Sketches with SimHash fingerprints."""
+    return pa.StructArray.from_arrays([*_sketches(texts).flatten(), simhash._fingerprints(texts)], fields=list(_MARK))
+
+
 def linked(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
     """For each set the first one that it is linked with over any number of steps. side: 0 for all pairs; sets of tiles
     1 and 2 are compared across only."""
@@ -148,10 +158,20 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def links(nodes: DataFrame, texts: DataFrame, tile: int = TILE) -> DataFrame:
+def simhash_keys(prints: DataFrame) -> DataFrame:
+    """(print, key) from (print, fingerprint): a key for each component of the fingerprints that SimHash links."""
+    prints, _ = common.stored(prints.distinct(), "fingerprints")
+    roots = simhash.components(simhash.links(prints.select(F.col("fingerprint").alias("print")).distinct()))
+    rooted = prints.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    return rooted.select("print", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fingerprint")).alias("key"))
+
+
+def links(nodes: DataFrame, texts: DataFrame, tile: int = TILE, more: DataFrame | None = None) -> DataFrame:
     """(a, b): links between different sets that keep every component of them. nodes: (print, number, keys), each print
-    once; texts: (number, text)."""
+    once; texts: (number, text); more: further keys of nodes, (print, key)."""
     dealt = nodes.select("print", F.explode("keys").alias("key"))
+    if more is not None:
+        dealt = dealt.unionByName(more)
     met = dealt.groupBy("key").agg(F.min("print").alias("b"), F.max("print").alias("most")).filter("b <> most")
     star = dealt.join(met, "key").select(F.col("print").alias("a"), "b")
     groups, _ = common.stored(simhash.components(star), "groups")
@@ -171,13 +191,14 @@ def links(nodes: DataFrame, texts: DataFrame, tile: int = TILE) -> DataFrame:
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near copies: that of the smallest id (null ids last), of repeated rows any one."""
     mark, number = common.free_name(df, "_sketch"), common.free_name(df, "_number")
-    sketch = F.arrow_udf(_sketches, "struct<print:bigint,keys:array<bigint>>")(text)
+    sketch = F.arrow_udf(_marks, "struct<print:bigint,keys:array<bigint>,fingerprint:bigint>")(text)
     marked, _ = common.stored(df.withColumn(mark, sketch).withColumn(number, F.monotonically_increasing_id()), "marked")
     rows = marked.select(F.col(doc_id).alias("doc_id"), f"{mark}.print", f"{mark}.keys", F.col(number).alias("number"))
     # Copies meet as minima, which are combined before they move.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "number")).alias("k")
     each, _ = common.stored(rows.groupBy("print").agg(first, F.first("keys").alias("keys")), "sets")
-    found = links(each.select("print", "k.number", "keys"), marked.select(F.col(number).alias("number"), F.col(text).alias("text")))
+    more = simhash_keys(marked.filter(F.size(f"{mark}.keys") > 0).select(f"{mark}.print", f"{mark}.fingerprint"))
+    found = links(each.select("print", "k.number", "keys"), marked.select(F.col(number).alias("number"), F.col(text).alias("text")), more=more)
     roots = simhash.components(found).withColumnRenamed("node", "print")
     rooted = each.select("print", "k").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     kept = rooted.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.number").alias(number))

@@ -525,6 +525,26 @@ def test_near_copies_in_tiles(spark):
     assert found[0] == found[1] and len(found[0]) >= 89
 
 
+def test_near_copies_come_from_simhash_too(spark, monkeypatch):
+    """Without any min-hash key, copies within three bits are candidates by their fingerprints; the exact check follows."""
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in (50, 150, 250)] + [" ".join(base), "w0 w1 w2 w3 w4 w5", "red"]
+    near = [k for k, t in enumerate(texts) if (simhash.fingerprint(t) ^ simhash.fingerprint(texts[3])).bit_count() <= 3]
+    assert len(near) > 1 and set(near) <= {0, 1, 2, 3}
+    marks = minhash._marks(pa.array(texts)).to_pylist()
+    nodes = spark.createDataFrame([(m["print"], k, []) for k, m in enumerate(marks)], "print long, number long, keys array<long>")
+    more = minhash.simhash_keys(spark.createDataFrame([(m["print"], m["fingerprint"]) for m in marks], "print long, fingerprint long"))
+    texts_ = spark.createDataFrame(list(enumerate(texts)), "number long, text string")
+    found = simhash.components(minhash.links(nodes, texts_, more=more)).collect()
+    joined = {x for r in found for x in r}
+    assert {marks[k]["print"] for k in near} <= joined and not {marks[4]["print"], marks[5]["print"]} & joined
+    assert minhash.links(nodes, texts_).count() == 0
+    # The stage takes these keys along.
+    taken, own = [], minhash.simhash_keys
+    monkeypatch.setattr(minhash, "simhash_keys", lambda df: taken.append(df.count()) or own(df))
+    assert minhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 3 and taken == [6]
+
+
 def test_near_copies_edges(edges, empty):
     assert sorted(str(r.doc_id) for r in minhash.deduplicate(edges).collect()) == sorted(map(str, [0, None, 1, 4, 5, -7]))
     assert minhash.deduplicate(edges).columns == edges.columns and minhash.deduplicate(empty).count() == 0
