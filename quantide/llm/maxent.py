@@ -35,6 +35,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,11 @@ END = b""
 
 
 _MARKS = b".,;:!?\"')"
+_IS_MARK = np.isin(np.arange(256), list(_MARKS))
+#: The table of CRC-32, as zlib.crc32 computes it.
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ 0xEDB88320, _CRC >> 1).astype(np.uint32)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -85,6 +91,23 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word.rstrip(_MARKS)[-3:]) & (ENDINGS - 1)
 
 
+def endings(found: pa.Array) -> np.ndarray:
+    """ending() of all words of a binary array, side by side."""
+    at = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1].astype(np.int64)
+    data = np.frombuffer(found.buffers()[2] or b"", np.uint8)
+    lo, hi = at[:-1], at[1:].copy()
+    left = np.flatnonzero(hi > lo)
+    while len(left := left[_IS_MARK[data[hi[left] - 1]]]):
+        hi[left] -= 1
+        left = left[hi[left] > lo[left]]
+    crc = np.full(len(found), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        some = np.flatnonzero(hi - lo >= back)
+        c = crc[some]
+        crc[some] = _CRC[(c ^ data[hi[some] - back]) & 0xFF] ^ c >> 8
+    return (~crc & (ENDINGS - 1)).astype(np.uint16)
+
+
 def hashed(found: Iterable[bytes]) -> np.ndarray:
     """64-bit hashes of words; what must be exact tells words apart by them only within the HEAD words and against them."""
     from xxhash import xxh64_intdigest
@@ -111,8 +134,9 @@ class Classes:
         of = np.where(self.own[at] == hashes, self.own_class[at], 1 + OWN + self.cluster_of[ends])
         return of | (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64) << 6 | rank << 38
 
-    def coded(self, found: list[bytes]) -> np.ndarray:
-        return self.codes(hashed(found), np.fromiter(map(ending, found), np.int64, len(found)))
+    def coded(self, found: list[bytes] | pa.Array) -> np.ndarray:
+        found = found if isinstance(found, pa.Array) else pa.array(found, pa.binary())
+        return self.codes(hashed(found.to_numpy(zero_copy_only=False).tolist()), endings(found))
 
 
 #: The classes that a worker used last.
@@ -243,14 +267,6 @@ def train(start: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) ->
 # --- jobs ---------------------------------------------------------------------------------------------------------
 
 
-class _Numbered(dict):
-    """Numbers of keys in the order in which they come."""
-
-    def __missing__(self, key):
-        self[key] = out = len(self)
-        return out
-
-
 def _packed(x: np.ndarray) -> bytes:
     """Compressed by planes of bytes, as most of them are nearly constant."""
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
@@ -269,42 +285,61 @@ _UNIT = "unit bigint, doc_id array<bigint>, held_out array<boolean>, mark binary
 _NAMES = [c.split()[0] for c in _UNIT.split(", ")]
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """words() of some texts without their ends, one text after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))  # null: no words
+    found, at = lists.flatten().cast(pa.binary()), np.asarray(lists.offsets)
+    # A text without words has an empty one.
+    full = np.asarray(pc.binary_length(found)) > 0
+    n = np.diff(np.append(0, np.cumsum(full))[at])
+    return (found if full.all() else found.filter(pa.array(full))), n
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unit, number, held, docs, tokens = TaskContext.get().partitionId() << 32, _Numbered(), [], [], 0
+    unit, found, held, docs, tokens = TaskContext.get().partitionId() << 32, [], [], [], 0
 
     def flush():
-        distinct = list(number)
-        number.clear()
+        # The end has number 0, the words follow in the order in which they come.
+        coded = pa.chunked_array(found, pa.binary()).dictionary_encode().chunks  # of one dictionary; none without words
+        distinct = pa.concat_arrays([pa.array([END], pa.binary()), *(c.dictionary for c in coded[:1])])
+        sizes = np.concatenate(held)
+        ids = np.zeros(int(sizes.sum()), np.uint32)
+        word = np.ones(len(ids), bool)
+        word[np.cumsum(sizes) - 1] = False
+        ids[word] = np.concatenate([np.zeros(0, np.int32), *(np.asarray(c.indices) for c in coded)]) + 1
         of = [pa.concat_arrays(c) for c in zip(*docs)]
-        lists = [pa.ListArray.from_arrays([0, len(c)], c) for c in (of[0].cast(pa.int64()), of[1], pa.array(distinct, pa.binary()))]
-        ends = np.fromiter(map(ending, distinct), np.uint16, len(distinct))
-        sizes = np.array([len(h) for h in held], np.uint32)
-        blobs = [pa.array([x], pa.binary()) for x in (np.asarray(of[2]).tobytes(), sizes.tobytes(), _packed(np.concatenate(held)), hashed(distinct).tobytes(), _packed(ends))]
+        lists = [pa.ListArray.from_arrays([0, len(c)], c) for c in (of[0].cast(pa.int64()), of[1], distinct)]
+        of_words = hashed(distinct.to_numpy(zero_copy_only=False).tolist())
+        blobs = [pa.array([x], pa.binary()) for x in (np.asarray(of[2]).tobytes(), sizes.astype(np.uint32).tobytes(), _packed(ids), of_words.tobytes(), _packed(endings(distinct)))]
         return pa.record_batch([pa.array([unit]), lists[0], lists[1], *blobs, lists[2]], _NAMES)
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            part = batch.slice(at, ROWS_AT_ONCE)
-            for t in part.column(3).to_pylist():
-                found = words(t)
-                held.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
-                tokens += len(found)
-            docs.append(part.columns[:3])
-            if tokens >= UNIT_TOKENS:
-                yield flush()
-                held, docs, tokens, unit = [], [], 0, unit + 1
+    for part in (p for batch in batches for p in _slices(batch)):
+        words_, n = _split(part.column(3))
+        found.append(words_)
+        held.append(n + 1)
+        tokens += len(words_) + len(n)
+        docs.append(part.columns[:3])
+        if tokens >= UNIT_TOKENS:
+            yield flush()
+            found, held, docs, tokens, unit = [], [], [], 0, unit + 1
+            pa.default_memory_pool().release_unused()
     if docs:
         yield flush()
 
 
 class Unit:
     def __init__(self, row: dict, classes: Classes | None = None):
-        self.unit, self.doc_id = row["unit"], row["doc_id"]
+        self.unit, self.doc_id = row["unit"], row.get("doc_id")
         self.held_out = np.asarray(row["held_out"].values, bool) if len(row["held_out"]) else np.zeros(0, bool)
         self.mark, self.sizes = np.frombuffer(row["mark"], np.int64), np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
         self.ends = np.cumsum(self.sizes)
         self.ids = _unpacked(row["ids"], int(self.ends[-1]), np.uint32)
-        self.hashes, self.words = np.frombuffer(row["hashes"], np.uint64), row["words"].values
+        self.hashes, self.words = np.frombuffer(row["hashes"], np.uint64), row["words"].values if "words" in row else None
         self.endings = _unpacked(row["ends"], len(self.hashes), np.uint16)
         self.learned = np.repeat(~self.held_out, self.sizes)
         if classes:
@@ -314,19 +349,28 @@ class Unit:
 
     def before(self) -> np.ndarray:
         """The dictionary's number of the word before each token, or one past its end at a document's begin."""
-        out = np.append(len(self.hashes), self.ids[:-1]).astype(np.int64)
+        out = np.empty(len(self.ids), np.uint32)
+        out[1:] = self.ids[:-1]
         out[self.ends - self.sizes] = len(self.hashes)
         return out
 
     def pairs(self, shards: int) -> np.ndarray:
         """A key for each token and the word before it: shard, group of the word before, and 32 bits."""
         before = self.before()
-        mixed = (np.append(self.hashes, np.uint64(0))[before] * _MIX[0] ^ self.hashes[self.ids]) * _MIX[1]
+        mixed = np.append(self.hashes * _MIX[0], np.uint64(0))[before]
+        mixed ^= self.hashes[self.ids]
+        mixed *= _MIX[1]
         mixed ^= mixed >> np.uint64(29)
         mixed *= _MIX[2]
-        mixed ^= mixed >> np.uint64(32)
-        shard = mixed >> np.uint64(32) & np.uint64(shards - 1)
-        return shard << np.uint64(37) | self.group()[before].astype(np.uint64) << np.uint64(32) | mixed & np.uint64(0xFFFFFFFF)
+        high = mixed >> np.uint64(32)
+        mixed ^= high
+        mixed &= np.uint64(0xFFFFFFFF)
+        high &= np.uint64(shards - 1)
+        high <<= np.uint64(5)
+        high |= self.group().astype(np.uint64)[before]
+        high <<= np.uint64(32)
+        mixed |= high
+        return mixed
 
     def group(self) -> np.ndarray:
         """For each word of the dictionary, and a document's begin, a group by frequency: words share a memory's weight."""
@@ -342,8 +386,8 @@ class Unit:
 
 
 def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys in order, and how often each comes. Sorting is several times as fast as hashing here."""
-    keys = np.sort(keys)
+    """The different keys in order, and how often each comes; sorts keys. Sorting is several times as fast as hashing here."""
+    keys.sort()
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     return keys[first], np.diff(np.append(first, len(keys)))
 
@@ -406,7 +450,7 @@ def _class_totals(make: Callable[[], Classes]):
     def run(batches):
         classes, out = make(), np.zeros((2, CLASSES), np.int64)
         for batch in batches:
-            k = classes.coded(batch.column(0).to_pylist()) & 63
+            k = classes.coded(batch.column(0)) & 63
             np.add.at(out[0], k, np.asarray(batch.column(1)))
             out[1] += np.bincount(k, minlength=CLASSES)
         yield pa.record_batch([pa.array(np.arange(CLASSES)), pa.array(out[0]), pa.array(out[1])], ["class", "n", "words"])
@@ -485,7 +529,7 @@ def _add(found: pa.Table) -> pa.Table:
 def _trained(units: DataFrame, round_: int, weights: np.ndarray, chains: int, make: Callable[[], Classes]) -> np.ndarray:
     """The weights after a round: the mean of the chains' changes by their tokens, summed as a tree."""
     start = units.sparkSession.sparkContext.broadcast(weights)
-    dealt = units.mapInArrow(_dealt(round_, chains, make), _DEALT)
+    dealt = units.drop("doc_id", "words").mapInArrow(_dealt(round_, chains, make), _DEALT)
     found, left = dealt.groupBy("chain").applyInArrow(_chain(start), _CHANGE), chains
     while True:
         found = found.withColumn("chain", F.floor(F.col("chain") / FAN_IN)).groupBy("block", "chain").applyInArrow(_add, _CHANGE)
@@ -506,10 +550,11 @@ def _asked(shards: int, make: Callable[[], Classes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u in _unit_rows(batches, make()):
             keys = u.pairs(shards)
-            each, _ = _different(keys)
             own, n = _different(keys[u.learned])
+            each, _ = _different(keys)
             counts = np.zeros(len(each), np.uint32)
             counts[np.searchsorted(each, own)] = n
+            del keys, own, n
             cut = np.searchsorted(each >> np.uint64(37), np.arange(shards + 1, dtype=np.uint64))
             order, at = u.by_shard(shards)
             learned = np.bincount(u.ids[u.learned], minlength=len(u.hashes))[u.rare][order].astype(np.uint32)
@@ -526,7 +571,11 @@ def _asked(shards: int, make: Callable[[], Classes]):
                 offsets = np.cumsum([0, *map(len, of[5])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(of[5]))
                 blobs = [pa.array(c, pa.binary()) for c in (*of[2:5], of[6])]
-                yield pa.record_batch([pa.array(of[0], pa.int64()), pa.array(of[1], pa.int64()), *blobs[:3], lists, blobs[3]], names)
+                asked = pa.record_batch([pa.array(of[0], pa.int64()), pa.array(of[1], pa.int64()), *blobs[:3], lists, blobs[3]], names)
+                del u, each, counts, low, group, words_, rows, of, lists, blobs
+                yield asked
+                del asked
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -569,33 +618,46 @@ def _told(asked: pa.Table) -> pa.Table:
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double"
 
 
+def _met(keys: np.ndarray, told: pa.Table) -> np.ndarray:
+    """The counts of a unit's pairs, of which the shards told each once, in order. One sort finds all their places, where a
+    search for each would miss the caches."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    of = keys[new] >> np.uint64(37)
+    sizes = np.diff(np.append(0, np.searchsorted(of, np.array(told["shard"].to_pylist(), np.uint64), "right"))).tolist()
+    counts = np.concatenate([_unpacked(b, n, np.uint32) for b, n in zip(told["counts"].to_pylist(), sizes)])
+    del keys, of
+    out = np.empty(len(order), np.uint32)
+    out[order] = np.repeat(counts, np.diff(np.append(np.flatnonzero(new), len(new))))
+    return out
+
+
 def _scored(shards: int, model, make: Callable[[], Classes]):
     """Over a unit and what the shards told it: a row for each document."""
 
     def run(unit: pa.Table, told: pa.Table) -> pa.Table:
         head, flat, log_mass, begins, share = model.value
         u, told = next(_unit_rows(unit.to_batches(), make())), told.sort_by("shard")
-        keys, before = u.pairs(shards), u.before()
-        different, _ = _different(keys)
-        at = np.searchsorted(different >> np.uint64(37), np.array(told["shard"].to_pylist(), np.uint64), "right")
-        sizes = np.diff(np.append(0, at)).tolist()
-        counts = np.concatenate([_unpacked(b, n, np.uint32) for b, n in zip(told["counts"].to_pylist(), sizes)])
+        met = _met(u.pairs(shards), told)
         rare, _ = _joined(told["word_counts"].to_pylist())
         rank = u.codes >> 38
         c = np.zeros(len(u.codes) + 1, np.int64)
         c[:-1][rank > 0] = head[rank[rank > 0] - 1]
         c[u.rare[u.by_shard(shards)[0]]] = rare
         c[-1] = begins
-        doc = np.repeat(np.arange(len(u.sizes)), u.sizes)
-        codes = u.codes[u.ids]
-        own = np.log10(c[:-1] + 0.5)[u.ids]
-        p = np.log10(np.e) * np.concatenate([Weights(flat).log_target(History(codes[a:b], u.sizes[i:j])) for i, j, a, b in _stretches(u.sizes)])
-        p += own - log_mass[codes & 63]
-        # Where the word before was learned, what followed it has its share.
-        met = counts[np.searchsorted(different, keys)]
-        part = np.where(c[before] > 0, share[u.group()[before]], 0.0)
-        p = np.log10((1 - part) * 10.0**p + part * met / np.maximum(c[before], 1))
-        sums = [np.bincount(doc, x, len(u.sizes)) for x in ((c[:-1] > 0)[u.ids], own, p)]
+        log_c, shares, before, weights = np.log10(c[:-1] + 0.5), np.where(c > 0, share[u.group()], 0.0), u.before(), Weights(flat)
+        sums = np.empty((3, len(u.sizes)))
+        for i, j, a, b in _stretches(u.sizes):
+            ids, last = u.ids[a:b], before[a:b]
+            codes, own = u.codes[ids], log_c[ids]
+            p = np.log10(np.e) * weights.log_target(History(codes, u.sizes[i:j]))
+            p += own - log_mass[codes & 63]
+            # Where the word before was learned, what followed it has its share.
+            part = shares[last]
+            p = np.log10((1 - part) * 10.0**p + part * met[a:b] / np.maximum(c[last], 1))
+            doc = np.repeat(np.arange(j - i), u.sizes[i:j])
+            sums[:, i:j] = [np.bincount(doc, x, j - i) for x in (c[ids] > 0, own, p)]
         columns = [u.doc_id.values, pa.array(u.held_out), pa.array(u.sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
         return pa.table(columns, names=[x.split()[0] for x in _SCORED.split(", ")])
 
@@ -665,7 +727,7 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     for r in told.filter(F.size("tokens") > 0).select(group).groupBy("group").agg(F.sum("x.tokens").alias("n"), F.sum("x.again").alias("again")).collect():
         share[r["group"]] = min(r["again"] / r["n"], MOST_MEMORY) if r["n"] else 0.0
     model = spark.sparkContext.broadcast((head_counts, weights, log_mass, begins, share))
-    rows = units.groupBy("unit").cogroup(told.select("unit", "shard", "counts", "word_counts").groupBy("unit")).applyInArrow(_scored(shards, model, make), _SCORED)
+    rows = units.drop("words").groupBy("unit").cogroup(told.select("unit", "shard", "counts", "word_counts").groupBy("unit")).applyInArrow(_scored(shards, model, make), _SCORED)
     base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(total + 0.5 * (distinct + 1)))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -128,6 +129,46 @@ def test_language_model_is_whole(monkeypatch):
     assert len(set(e)) == 5 and near == {(e[i], e[j]): 1 for j in range(5) for i in range(j)}
 
 
+@pytest.mark.parametrize("offset", [0, 3])
+def test_units_have_the_words_of_texts(monkeypatch, offset):
+    """Arrow's words, numbers and endings against Python's, also of slices, nulls, blank texts and other white space."""
+    monkeypatch.setattr(maxent.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    monkeypatch.setattr(maxent, "ROWS_AT_ONCE", 4)
+    texts = ["a", "b c", "d"][:offset] + [" One  TWO\t\n.,; ", None, "", " \v\f\r ", "x\x1cy\x85\u00a0\u2003 \u0130\u00c4 '", "a", "ab", "abc!", "ABCD", "two one", LONG, "end\n"]
+    n = len(texts)
+    batch = pa.record_batch([pa.array(range(n)), pa.array([False] * n), pa.array(range(n)), pa.array(texts, pa.string())], ["doc_id", "held_out", "mark", "text"]).slice(offset)
+    (unit,) = maxent._unit_rows(maxent._units(iter([batch])))
+    want = [maxent.words(t) for t in texts[offset:]]
+    assert unit.sizes.tolist() == [len(w) for w in want]
+    flat = [w for found in want for w in found]
+    assert np.array(unit.words.to_pylist(), object)[unit.ids].tolist() == flat and len(set(flat)) == len(unit.words)
+    assert unit.endings[unit.ids].tolist() == [maxent.ending(w) for w in flat]
+    assert unit.hashes[unit.ids].tolist() == maxent.hashed(flat).tolist()
+
+
+def test_units_are_scored_in_little_memory(monkeypatch):
+    """Arrays of a whole unit are few: a worker's memory follows from the tokens of a unit."""
+    monkeypatch.setattr(maxent.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    rng, docs, size, shards = np.random.default_rng(1), 4000, 100, 4
+    texts = [" ".join(f"w{k}" for k in found) for found in (rng.zipf(1.3, (docs, size)) % 5000).tolist()]
+    units = list(maxent._units(iter([pa.record_batch([pa.array(range(docs)), pa.array([False] * docs), pa.array(range(docs)), pa.array(texts)], ["doc_id", "held_out", "mark", "text"])])))
+    classes = maxent.Classes([b"w1", b"w2"], np.arange(maxent.ENDINGS) % maxent.CLUSTERS, [b"w1", b"w2"])
+    model = type("Model", (), {"value": (np.array([9, 8]), np.zeros(maxent.Weights().flat.size, np.float32), np.zeros(maxent.CLASSES), docs, np.full(maxent.GROUPS, 0.3))})
+    peaks = []
+
+    def watched(make):
+        tracemalloc.start()
+        out = make()
+        peaks.append(tracemalloc.get_traced_memory()[1] / (docs * (size + 1)))
+        tracemalloc.stop()
+        return out
+
+    asked = pa.Table.from_batches(watched(lambda: list(maxent._asked(shards, lambda: classes)(iter(units)))))
+    told = pa.concat_tables(maxent._told(asked.slice(k, 1)) for k in range(shards))
+    assert watched(lambda: maxent._scored(shards, model, lambda: classes)(pa.Table.from_batches(units), told)).num_rows == docs
+    assert max(peaks) < 60, peaks  # bytes a token
+
+
 def test_language_model_memory(spark, docs, monkeypatch):
     """The memory against counts of all pairs, in several units and shards; scores don't depend on the partitions."""
     monkeypatch.setattr(maxent, "UNIT_TOKENS", 5000)
