@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,9 @@ import pyarrow.compute as pc
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Units, and pieces, of a generation; a Python worker keeps two of each, about 200 bytes an entry.
-CACHE_UNITS = 200_000
-#: Longer units aren't kept.
+#: Units that a Python worker keeps, about 50 bytes each, and pieces of a generation, of which it keeps two, about 200 bytes each.
+CACHE_UNITS, CACHE_PIECES = 500_000, 100_000
+#: Longer units (in bytes) and pieces aren't kept.
 CACHE_CHARS = 64
 #: Texts that are encoded together share the look-up of their units; together they are this large at most, or one text.
 ROWS_AT_ONCE = 4096
@@ -51,7 +52,7 @@ def _byte_letters() -> list[str]:
 
 
 class _Held(dict):
-    """Ids by unit (or piece); make(key) fills in what is missing. Those used since the last turn are kept over the next one."""
+    """Ids by piece; make(key) fills in what is missing. Those used since the last turn are kept over the next one."""
 
     def __init__(self, make):
         super().__init__()
@@ -68,11 +69,48 @@ class _Held(dict):
 
     def turn(self) -> None:
         """The entries become the old ones where there are too many."""
-        if len(self) > CACHE_UNITS:
+        if len(self) > CACHE_PIECES:
             self.old = dict(self)
             self.clear()
 
 
+def _gathered(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of ids, one after another."""
+    start = np.cumsum(size) - size
+    return ids[np.repeat(first - start, size) + np.arange(int(size.sum()))]
+
+
+def _joined(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(found), "<u4"), np.fromiter((len(x) >> 2 for x in found), np.int64, len(found))
+
+
+class _Units:
+    """Ids of units, kept as arrays: Arrow finds all units of a slice in them at once, and make(units) gives the others'.
+    Where there are too many, only those of the last slice stay."""
+
+    def __init__(self, make):
+        self.make = make
+        self.text, self.ids, self.size = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def ids_of(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An array of ids, and for each of some different units where its ids begin there and how many they are."""
+        at = pc.index_in(units, value_set=self.text)
+        unknown = np.asarray(at.is_null())
+        new = units.filter(pa.array(unknown))
+        ids, size = map(np.concatenate, zip((self.ids, self.size), self.make(new)))
+        first = np.cumsum(size) - size
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        place[unknown] = len(self.text) + np.arange(len(new))
+        if len(size) > CACHE_UNITS:
+            kept, self.text = place, units
+        else:
+            kept, self.text = np.arange(len(size)), pa.concat_arrays([self.text, new])
+        short = np.asarray(pc.binary_length(self.text)) <= CACHE_CHARS
+        self.text, kept = self.text if short.all() else self.text.filter(pa.array(short)), kept[short]
+        self.ids, self.size = _gathered(ids, first[kept], size[kept]), size[kept]
+        return ids, first[place], size[place]
+
+
 class Encoder:
     """encode(texts) gives for each text its ids as little-endian unsigned 32-bit integers."""
 
@@ -91,7 +129,7 @@ class Encoder:
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         ).findall
         self.marks = {m: self._model_ids(m) for m in ".,"}
-        self.units, self.pieces = _Held(self._after_space), _Held(self._piece)
+        self.units, self.pieces = _Units(self._new), _Held(self._piece)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -109,24 +147,45 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, self.pieces_of(unit)))
 
     def _after_space(self, u: str) -> bytes:
-        """Ids of a space and u, or of u alone where it begins with a line feed. A word of letters is one piece, and so is
-        a mark after it."""
-        if u.isalpha():
-            if u.isascii():
-                return self._model_ids("\u0120" + u)
-            if _PLAIN.fullmatch(u):
-                return self._model_ids("\u0120" + u.encode().decode("latin-1").translate(self.letters))
-        elif u[-1:] in self.marks and u[:-1].isalpha():
-            return self.units[u[:-1]] + self.marks[u[-1]]
+        """Ids of a space and u, or of u alone where it begins with a line feed. A mark after letters is a piece."""
+        if u[-1:] in self.marks and u[:-1].isalpha():
+            return self._after_space(u[:-1]) + self.marks[u[-1]]
         return self._unit(u if u[:1] == "\n" else " " + u)
 
+    def _new(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units after a space, one after another, and how many each has. Each different word of letters, with a
+        mark after it or not, goes to the library once."""
+        marks = [*self.marks]
+        mark = [np.asarray(pc.ends_with(units, m)) for m in marks]
+        bare = pc.if_else(pa.array(np.any(mark, axis=0)), pc.utf8_slice_codeunits(units, 0, -1), units)
+        plain = np.asarray(pc.ascii_is_alpha(bare)).copy()
+        latin = np.flatnonzero(~np.asarray(pc.string_is_ascii(bare)))
+        plain[latin] = [w.isalpha() and _PLAIN.fullmatch(w) is not None for w in bare.take(pa.array(latin)).to_numpy(zero_copy_only=False).tolist()]
+        words = bare.filter(pa.array(plain)).dictionary_encode()
+        others = [*map(self._after_space, units.filter(pa.array(~plain)).to_numpy(zero_copy_only=False).tolist())]
+        tokenize, letters, ids, size = self.model.tokenize, self.letters, array("I"), []
+        for w in words.dictionary.to_numpy(zero_copy_only=False).tolist():
+            found = tokenize("\u0120" + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))
+            ids.extend([t.id for t in found])
+            size.append(len(found))
+        # What a unit is made of: a word or all of another unit, then a mark or nothing.
+        of_others, of_marks = _joined(others), _joined([*self.marks.values(), b""])
+        size = np.concatenate([np.array(size, np.int64), of_others[1], of_marks[1]])
+        first, n_words = np.cumsum(size) - size, len(words.dictionary)
+        part = np.full((len(units), 2), len(size) - 1)
+        part[plain, 0] = words.indices.to_numpy()
+        part[~plain, 0] = n_words + np.arange(len(others))
+        for k, has in enumerate(mark):
+            part[plain & has, 1] = n_words + len(others) + k
+        ids = np.concatenate([np.array(ids, "<u4"), of_others[0], of_marks[0]])
+        return _gathered(ids, first[part.ravel()], size[part.ravel()]), size[part].sum(1)
+
     def flat(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, `end` after each text, and the place where each text's ids end.
 
-        Arrow splits the texts and numbers their distinct units; only those are looked up one by one.
+        Arrow splits the texts and numbers their distinct units; only those that aren't kept are made one by one.
         """
-        for held in (self.units, self.pieces):
-            held.turn()
+        self.pieces.turn()
         heads, rests = [], []
         for k, t in enumerate(texts):
             before = end if k else b""  # the end of the text before
@@ -146,11 +205,10 @@ class Encoder:
         bounds = split.offsets.to_numpy()
         index = units.indices.to_numpy().copy()
         index[bounds[:-1]] = len(units.dictionary) + np.arange(len(texts))
-        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = [*map(self.units.__getitem__, distinct), *heads]
-        ids = np.frombuffer(b"".join(found), "<u4")
-        size = np.array([len(x) >> 2 for x in found], np.int64)
-        first = np.cumsum(size) - size
+        ids, first, size = self.units.ids_of(units.dictionary)
+        of_heads = _joined(heads)
+        first = np.concatenate([first, len(ids) + np.cumsum(of_heads[1]) - of_heads[1]])
+        ids, size = np.concatenate([ids, of_heads[0]]), np.concatenate([size, of_heads[1]])
         upto = np.concatenate([[0], np.cumsum(size[index])])
         tail = len(end) >> 2
         out = np.empty(int(upto[-1]) + (tail if texts else 0), "<u4")

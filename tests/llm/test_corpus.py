@@ -321,6 +321,32 @@ def test_tokens_are_the_library_s(library, docs):
         assert library.encode(texts) == library.whole(texts)
 
 
+def test_units_are_kept_in_little_memory():
+    """A kept unit takes under 100 bytes, so that a worker can keep many (175 in dictionaries)."""
+    made = [f"{a}{b}{c}{d}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd" for d in ("", "e", "fg", "hi", "ä", "s.", "t,", "1", "2-3", "é.")]
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    encoder.encode(["warm up"])
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    encoder.encode([" " + " ".join(made)])
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 100 * len(made), held / len(made)
+
+
+@pytest.mark.parametrize("limit", [0, 40, 1000])
+def test_units_that_go_and_come_again(docs, monkeypatch, limit):
+    """Ids are the library's whether units are kept or not, for words, marks, digits, other letters and long units."""
+    monkeypatch.setattr(tokens, "CACHE_UNITS", limit)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", limit)
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    words = ["one", "one.", "one,", "ärger", "ärger.", "日本", "日本.", "a.,", ".", "12", "12.", "x" * 100, "É", "\n", "\nline", "ª", "don't", "", "a\tb", "´"]
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(words, 20)) for _ in range(3)] + docs.text.tolist()[int(rng.integers(50)) :][:2]
+        assert encoder.encode(texts) == encoder.whole(texts)
+
+
 def test_texts_are_encoded_in_slices(library, docs, monkeypatch):
     """Slices hold all rows in order, a text beyond the limit is one of its own, and none changes the ids."""
     texts = [None, "", "a  b", *docs.text.tolist()[:50], "x y\n" * 3000, None, "end"]
