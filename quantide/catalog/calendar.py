@@ -153,9 +153,13 @@ def _tv():
     return X.total_variance(F.lit(0.6), F.col("s_bid_size") + 1)
 
 
+def _moneyness():
+    return X.ln(X.ratio(F.col("s_mid"), F.col("s_micro")))
+
+
 add(
     "F32_market_features",
-    {"moneyness": lambda: F.ln(F.col("s_mid") / F.col("s_micro")), "fvar": _tv, "root": lambda: F.sqrt(_tv()), "d2": lambda: (F.ln(F.col("s_mid") / F.col("s_micro")) - _tv() / 2) / F.sqrt(F.greatest(_tv(), F.lit(1e-12))), "tte": lambda: F.ln(F.col("s_bid_size") + 1) / math.log(901)},
+    {"moneyness": _moneyness, "fvar": _tv, "root": lambda: F.sqrt(_tv()), "d2": lambda: (_moneyness() - _tv() / 2) / F.sqrt(F.greatest(_tv(), F.lit(1e-12))), "tte": lambda: F.ln(F.col("s_bid_size") + 1) / math.log(901)},
     {"moneyness": "ln(s_mid / s_micro)", "fvar": _TV, "root": f"sqrt({_TV})", "d2": f"(ln(s_mid / s_micro) - {_TV} / 2) / sqrt(greatest({_TV}, 1e-12))", "tte": f"ln(s_bid_size + 1) / {math.log(901)!r}"},
 )
 

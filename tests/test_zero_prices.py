@@ -29,3 +29,8 @@ def zero_sf(tmp_path_factory):
 def test_probabilities(spark, zero_sf, name):
     assert_same(df := catalog.queries()[name](spark, zero_sf), catalog.oracles()[name], zero_sf)
     assert df.filter("isnan(p)").count() + df.filter("p = 1").count() > 0 and df.filter("p is null").count() == 0
+
+
+def test_market_features(spark, zero_sf):
+    assert_same(df := catalog.queries()["F32_market_features"](spark, zero_sf), catalog.oracles()["F32_market_features"], zero_sf)
+    assert df.filter("isnan(moneyness)").count() > 0 and df.filter("moneyness is null or d2 is null").count() == 0
