@@ -34,3 +34,16 @@ def test_probabilities(spark, zero_sf, name):
 def test_market_features(spark, zero_sf):
     assert_same(df := catalog.queries()["F32_market_features"](spark, zero_sf), catalog.oracles()["F32_market_features"], zero_sf)
     assert df.filter("isnan(moneyness)").count() > 0 and df.filter("moneyness is null or d2 is null").count() == 0
+
+
+def test_evaluation(spark, zero_sf):
+    """Every row of a well-filled period has a probability, also where its strike is zero, and is scored."""
+    rows = catalog.queries()["M17_realised_variance_prices"](spark, zero_sf).toPandas()
+    zero = rows[rows.strike == 0]
+    assert len(zero) > 0 and rows.p.between(0, 1).all() and (zero.label == 1).any()
+    r = catalog.queries()["M16_pricer_evaluation"](spark, zero_sf).first()
+    assert r.n == len(rows) and abs(r.brier - ((rows.p - rows.label) ** 2).mean()) < 1e-6
+    for name in ("M14_fitted_head", "S16_checkpoints"):
+        heads = catalog.queries()[name](spark, zero_sf).toPandas()
+        assert set(heads.rn) == set(rows.rn) and heads.p[heads.rn.isin(zero.rn)].notna().any()
+    assert 0 <= catalog.queries()["M10_tree_pricer"](spark, zero_sf).first().brier_price <= 1
