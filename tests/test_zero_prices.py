@@ -47,3 +47,9 @@ def test_evaluation(spark, zero_sf):
         heads = catalog.queries()[name](spark, zero_sf).toPandas()
         assert set(heads.rn) == set(rows.rn) and heads.p[heads.rn.isin(zero.rn)].notna().any()
     assert 0 <= catalog.queries()["M10_tree_pricer"](spark, zero_sf).first().brier_price <= 1
+
+
+def test_period_variance(spark, zero_sf):
+    for name in ("A03_period_variance", "A04_conditional_sums", "A05_period_bipower", "A06_last_mid"):
+        assert_same(df := catalog.queries()[name](spark, zero_sf), catalog.oracles()[name], zero_sf)
+    assert df.filter("isnan(rv)").count() > 0 and df.filter("mid = 0").count() > 0
