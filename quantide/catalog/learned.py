@@ -28,11 +28,12 @@ def add(name: str, run, sql: str | None = None) -> None:
 
 
 def design(spark, sf_dir):
-    """For each instrument i the log variance sums {i}_f60, {i}_f300, {i}_f900 and, ahead, {i}_y60 ... {i}_y900."""
+    """For each instrument i the log variance sums {i}_f60, {i}_f300, {i}_f900 and, ahead, {i}_y60 ... {i}_y900. A variance that
+    isn't finite, as prices of zero give it, is missing."""
 
     def make(df):
-        df = R.sums(df, {f"_{i}{w}": (F.col(f"{i}_rv"), w) for i in INSTS for w in WINDOWS})
-        return R.forward_sums(df, {f"_{i}y{h}": (F.col(f"{i}_rv"), h) for i in INSTS for h in HORIZONS})
+        df = R.sums(df, {f"_{i}{w}": (X.finite(f"{i}_rv"), w) for i in INSTS for w in WINDOWS})
+        return R.forward_sums(df, {f"_{i}y{h}": (X.finite(f"{i}_rv"), h) for i in INSTS for h in HORIZONS})
 
     df = series.with_features(series.price_table(spark, sf_dir), make, 910, 901)
     log = lambda c: F.ln(F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(0.0))) + X.EPS)
@@ -213,7 +214,7 @@ def network(spark, features: int = len(INPUTS)):
 
 
 def states(spark, sf_dir, stride: int = 1):
-    df = io.stored(series.base_table(spark, sf_dir).select("rn", *INPUTS))
+    df = io.stored(series.base_table(spark, sf_dir).select("rn", *(X.finite(c).alias(c) for c in INPUTS)))
     return recurrent.windowed_forecasts(df, INPUTS, network(spark), LOOKBACK, stride)
 
 
@@ -223,7 +224,7 @@ add("M11_gru_forecast", lambda s, d: states(s, d, 30).select("rn", F.round("fore
 def _tensor(spark, sf_dir):
     """The same network over windows that are a tensor column already, in batches."""
     o = R.order().rowsBetween(-LOOKBACK, -1)
-    steps = F.flatten(F.collect_list(F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in INPUTS))).over(o))
+    steps = F.flatten(F.collect_list(F.array(*(F.coalesce(X.finite(F.col(c).cast("double")), F.lit(0.0)) for c in INPUTS))).over(o))
     at = (F.col("rn") >= LOOKBACK) & (F.pmod(F.col("rn") - LOOKBACK, F.lit(30)) == 0)
     df = R.windowed(series.base_table(spark, sf_dir), lambda d: d.withColumn("tensor", steps), LOOKBACK).filter(at).select("rn", "tensor")
     return recurrent.tensor_forecasts(df, "tensor", network(spark), LOOKBACK, len(INPUTS)).select("rn", F.round(F.col("forecast").cast("double"), 5).alias("forecast"))

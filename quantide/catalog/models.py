@@ -24,9 +24,11 @@ def add(name: str, run, sql: str | None = None, *more: str) -> None:
 
 
 def design(spark, sf_dir):
-    """Log variance sums of one, five and fifteen minutes as regressors; the log variance ahead as targets."""
+    """Log variance sums of one, five and fifteen minutes as regressors; the log variance ahead as targets. A variance that isn't
+    finite, as prices of zero give it, is missing."""
 
     def make(df):
+        df = df.withColumn("s_rv", X.finite("s_rv"))
         df = R.sums(df, {"v60": (F.col("s_rv"), 60), "v300": (F.col("s_rv"), 300), "v900": (F.col("s_rv"), 900)})
         return features.forward_targets(df, "s", HORIZONS)
 

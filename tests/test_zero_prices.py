@@ -3,12 +3,15 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quantide import catalog
+from quantide.operators import rolling as R
 
 from conftest import SF
-from twins import assert_same
+from twins import assert_same, value
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +56,30 @@ def test_period_variance(spark, zero_sf):
     for name in ("A03_period_variance", "A04_conditional_sums", "A05_period_bipower", "A06_last_mid"):
         assert_same(df := catalog.queries()[name](spark, zero_sf), catalog.oracles()[name], zero_sf)
     assert df.filter("isnan(rv)").count() > 0 and df.filter("mid = 0").count() > 0
+
+
+def test_minutes_of_the_week(spark, zero_sf):
+    assert_same(df := catalog.queries()["A07_mean_by_minute_of_week"](spark, zero_sf), catalog.oracles()["A07_mean_by_minute_of_week"], zero_sf)
+    assert df.filter("abs(mean) = double('inf')").count() > 0
+
+
+def test_rolling_sums_past_infinite_values(spark):
+    """Long and short windows of running sums give what a sum of their rows gives, before, in and after infinite values."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-4, 5, 400).astype(float)
+    x[[40, 250]], x[[120, 122]], x[[200, 330]] = np.inf, (np.inf, -np.inf), (np.nan, -np.inf)
+    df = spark.createDataFrame([(k, float(v) if k % 17 else None) for k, v in enumerate(x)], "rn bigint, x double")
+    x[::17] = 0.0
+    lengths = (3, 20, 70)
+
+    def make(d):
+        d = R.sums(d, {f"s{w}": (F.col("x"), w) for w in lengths}, direct=8)
+        d = R.strict_sums(d.withColumn("z", F.coalesce("x", F.lit(0.0))), {f"t{w}": ("z", w) for w in lengths})
+        return R.forward_sums(d, {f"f{w}": (F.col("z"), w) for w in lengths})
+
+    rows = R.windowed(df, make, 80, 80, 128).orderBy("rn").collect()
+    for k, r in enumerate(rows):
+        for w in lengths:
+            back, ahead = (x[k - w + 1 : k + 1].sum() if k >= w - 1 else None), (x[k + 1 : k + 1 + w].sum() if k + w < len(x) else None)
+            for got, want in ((r[f"s{w}"], back), (r[f"t{w}"], back), (r[f"f{w}"], ahead)):
+                assert (got is None) == (want is None) and (want is None or value(got) == value(float(want))), (k, w)
