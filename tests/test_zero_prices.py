@@ -63,6 +63,11 @@ def test_minutes_of_the_week(spark, zero_sf):
     assert df.filter("abs(mean) = double('inf')").count() > 0
 
 
+@pytest.mark.parametrize("name", ["A21_r_squared", "A22_mse_mae", "A23_streaming_r2"])
+def test_forecast_scores(spark, zero_sf, name):
+    assert_same(catalog.queries()[name](spark, zero_sf), catalog.oracles()[name], zero_sf)
+
+
 def test_rolling_sums_past_infinite_values(spark):
     """Long and short windows of running sums give what a sum of their rows gives, before, in and after infinite values."""
     rng = np.random.default_rng(5)
