@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantide import catalog
-from quantide.operators import rolling as R
+from quantide.operators import rolling as R, scoring
 
 from conftest import SF
 from twins import assert_same, value
@@ -68,6 +68,28 @@ def test_forecast_scores(spark, zero_sf, name):
     assert_same(catalog.queries()[name](spark, zero_sf), catalog.oracles()[name], zero_sf)
 
 
+@pytest.mark.parametrize("name", ["A24_r2_by_horizon", "A25_r2_summary", "A26_target_stats", "A27_clip_rates", "A28_percentiles", "A29_variance_reduction"])
+def test_scores_by_horizon(spark, zero_sf, name):
+    assert_same(catalog.queries()[name](spark, zero_sf), catalog.oracles()[name], zero_sf)
+
+
+@pytest.mark.parametrize("most", [1, 40, 100_000])
+def test_percentiles_with_infinite_values(spark, most):
+    """Infinite values and NaN have their ranks; NaN, the largest, only where it is asked for."""
+    inf, nan = float("inf"), float("nan")
+    groups = {"a": [-inf, -inf, *map(float, range(60)), inf, inf, inf], "b": [inf, inf], "c": [-inf, 1.0, 1.0, inf]}
+    df = spark.createDataFrame([(k, v) for k, x in groups.items() for v in [*x, nan, nan, None]], "g string, y double").repartition(3)
+    shares = {f"q{k}": k / 10 for k in range(11)}
+    con = duckdb.connect()
+    for asked in (False, True):
+        out = {r.g: r for r in scoring.percentiles(df, ["g"], "y", shares, bins=8, most=most, nan=asked).collect()}
+        assert out.keys() == groups.keys()
+        for g, x in groups.items():
+            for k, q in shares.items():
+                want = con.execute(f"SELECT quantile_cont(v, {q}) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [[*x, *([nan] * 2 * asked)]]).fetchone()[0]
+                assert value(out[g][k]) == value(want), (g, k)
+
+
 def test_rolling_sums_past_infinite_values(spark):
     """Long and short windows of running sums give what a sum of their rows gives, before, in and after infinite values."""
     rng = np.random.default_rng(5)
