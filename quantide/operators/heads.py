@@ -19,8 +19,9 @@ from ..functions import scalars as X
 
 
 def market_features(spot: Column, strike: Column, variance: Column, seconds: Column, eps: float = 1e-8) -> dict[str, Column]:
-    """What a price depends on: log-moneyness, variance ahead and its root, d2, and the log of the time left (1 at 900 s)."""
-    moneyness, root = F.ln(spot / (strike + eps)), F.sqrt(variance + eps)
+    """What a price depends on: log-moneyness, variance ahead and its root, d2, and the log of the time left (1 at 900 s). A spot
+    of zero counts as eps."""
+    moneyness, root = F.ln(X.floored(spot, eps) / (strike + eps)), F.sqrt(variance + eps)
     return {"moneyness": moneyness, "variance_ahead": variance, "root": root, "d2": (moneyness - variance / 2) / (root + eps), "tte": F.ln(seconds + 1) / np.log(901.0).item()}
 
 
